@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seedloom.llm import html_text, media, mixing, quality
+from seedloom.llm import html_text, line_dedup, media, mixing, quality
 from seedloom.llm.common import read
 
 
@@ -22,13 +23,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op5_quality_rules, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op5_quality_rules, op6_line_dedup, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.MIX_SQL}
+    return {"op6_line_dedup": line_dedup.DEDUP_SQL, "op9_source_mixing": mixing.MIX_SQL}
