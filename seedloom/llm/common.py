@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The ASCII white space that the contracts split words at.
@@ -17,21 +18,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1000) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1000, weigh: str | None = None, max_bytes: int = 16_000_000) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` rows; it returns columns by name.
 
-    The slices bound what a worker holds beside the batch it was sent.
+    The slices bound what a worker holds beside the batch it was sent; with ``weigh``, a
+    string column, a slice ends where its texts pass ``max_bytes`` too.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
+    def column(found) -> Callable:
+        return lambda kind: found.cast(kind) if isinstance(found, pa.Array) else pa.array(found, kind)
+
+    def cuts(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(weigh))), 0).to_pylist() if weigh else [0] * batch.num_rows
+        at = held = 0
+        for i, n in enumerate(sizes):
+            if i > at and (i - at >= rows or held + n > max_bytes):
+                yield at, i - at
+                at, held = i, 0
+            held += n
+        if batch.num_rows > at:
+            yield at, batch.num_rows - at
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                columns = fn(batch.slice(at, rows))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in target], schema=target)
+            for at, n in cuts(batch):
+                found = fn(batch.slice(at, n))
+                yield pa.RecordBatch.from_arrays([column(found[f.name])(f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 

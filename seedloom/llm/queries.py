@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.llm import html_text, line_dedup, media, mixing, quality
+from seedloom.llm import html_text, line_dedup, media, mixing, packing, quality
 from seedloom.llm.common import read
 
 
@@ -28,12 +28,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op5_quality_rules, op6_line_dedup, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op5_quality_rules, op6_line_dedup, op8_packing, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
