@@ -155,6 +155,20 @@ def best_pattern(values: np.ndarray, capacity: int, sizes: np.ndarray) -> tuple[
     return float(best[capacity]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by elimination, elementwise: no threads of a linear algebra library beside Spark's."""
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for j in range(n):
+        top = j + int(np.argmax(np.abs(both[j:, j])))
+        both[[j, top]] = both[[top, j]]
+        both[j] /= both[j, j]
+        factor = both[:, j].copy()
+        factor[j] = 0
+        both -= factor[:, None] * both[j]
+    return both[:, n:]
+
+
 def solve_patterns(demand: dict[int, int], capacity: int, gap: float = GAP, max_columns: int = MAX_COLUMNS) -> list[tuple[dict[int, int], float]]:
     """Patterns and how often the linear program uses each, for ``demand`` items of each size.
 
@@ -188,7 +202,7 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = GAP, max_
         inverse[out] = pivot
         patterns[:, out] = column
         if step % 500 == 499:
-            inverse = np.linalg.inv(patterns)
+            inverse = inverted(patterns)
         used = np.maximum(inverse @ need, 0)
     found = []
     for j in range(len(sizes)):
