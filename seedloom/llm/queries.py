@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.llm import html_text, line_dedup, media, mixing, packing, quality
+from seedloom.llm import html_text, jaccard, line_dedup, media, mixing, packing, quality
 from seedloom.llm.common import read
 
 
@@ -36,8 +36,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op5_quality_rules, op6_line_dedup, op8_packing, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op5_quality_rules, op6_line_dedup, op8_packing, op9_source_mixing, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
