@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.llm import html_text, jaccard, line_dedup, media, mixing, packing, quality, toxicity
+from seedloom.llm import html_text, jaccard, language, line_dedup, media, mixing, packing, quality, toxicity
 from seedloom.llm.common import read
 
 
@@ -19,6 +19,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.text_to_media(read(spark, sf_dir, "documents")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return language.identify(documents, language.train(documents))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -45,7 +50,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op4_toxicity, op5_quality_rules, op6_line_dedup, op8_packing, op9_source_mixing, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_language_id, op4_toxicity, op5_quality_rules, op6_line_dedup, op8_packing, op9_source_mixing, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
