@@ -300,5 +300,8 @@ def spans_text(spans: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     """The counts, hash and text of :func:`find_personal_data` rows."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    def of_kind(k: int):
+        return lambda s: s["kind"] == k
+
+    counts = [F.size(F.filter("base", of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(F.encode(spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))

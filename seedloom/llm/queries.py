@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.llm import html_text, jaccard, language, line_dedup, media, mixing, packing, quality, toxicity
+from seedloom.llm import html_text, jaccard, language, line_dedup, media, mixing, packing, pii, quality, toxicity
 from seedloom.llm.common import read
 
 
@@ -37,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(read(spark, sf_dir, "documents")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_language_id, op4_toxicity, op5_quality_rules, op6_line_dedup, op8_packing, op9_source_mixing, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_language_id, op4_toxicity, op5_quality_rules, op6_line_dedup, op7_pii, op8_packing, op9_source_mixing, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
