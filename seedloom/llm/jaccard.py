@@ -65,6 +65,7 @@ def bands(largest: int) -> list[tuple[int, int]]:
     return found
 
 
+@np.errstate(over="ignore")
 def signatures(shingles: np.ndarray, percent: int, table: list[tuple[int, int]]) -> np.ndarray:
     """Signatures that a set shares with every set of at least ``percent`` / 100 Jaccard.
 
@@ -300,3 +301,14 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     named = sets.join(found, F.col("first") == F.col("of_first"), "left").select(F.col("digest").alias("of_digest"), F.coalesce("component", "first").alias("component"))
     joined = described.join(named, F.col("digest") == F.col("of_digest"), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``documents`` without those that a smaller doc_id of their component stands for.
+
+    Texts without shingles, and rows with null ids, stay.
+    """
+    found = similar_documents(documents, n=n, percent=percent)
+    losers = scratch(found.where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id")).distinct())
+    losers = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
+    return documents.join(losers, F.col("doc_id") == F.col("lost_id"), "left_anti")

@@ -140,6 +140,27 @@ def suspected(documents: DataFrame, packed: np.ndarray, min_chars: int) -> DataF
     return map_arrow(documents.select("doc_id", "text"), rows, "digest binary, doc_id bigint")
 
 
+def lost_keys(source: DataFrame, min_chars: int, min_docs: int, filter_bits: int | None = None) -> DataFrame:
+    """``lost_id, digests``: digests of the keys that each document of ``doc_id, text`` rows loses."""
+    packed = twice_filter(source, min_chars, filter_bits)
+    # Written once: it is counted and then joined. Repeated rows of a document count once.
+    suspects = scratch(suspected(source, packed, min_chars))
+    counted = suspects.groupBy("digest", "doc_id").agg(F.lit(1).alias("one")).groupBy("digest")
+    repeated = counted.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+    lost = suspects.join(repeated, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("digests")).withColumnRenamed("doc_id", "lost_id")
+
+
+def without_lines(text: str | None, digests: list[bytes] | None, min_chars: int) -> tuple[int, int, str]:
+    """Number of lines, of dropped ones, and the text of those that stay."""
+    lines = (text or "").encode().split(b"\n")
+    if not digests:
+        return len(lines), 0, text or ""
+    gone = set(digests)
+    stay = [x for x in lines if len(x) < min_chars or xxhash.xxh3_128_digest(line_key(x)) not in gone]
+    return len(lines), len(lines) - len(stay), b"\n".join(stay).decode()
+
+
 def dedup_lines(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int | None = None
 ) -> DataFrame:
@@ -161,33 +182,42 @@ def dedup_lines(
     An empty table gives an empty result; other columns are not read.
     """
     source = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = twice_filter(source, min_chars, filter_bits)
-    # Written once: it is counted and then joined. Repeated rows of a document count once.
-    suspects = scratch(suspected(source, packed, min_chars))
-    counted = suspects.groupBy("digest", "doc_id").agg(F.lit(1).alias("one")).groupBy("digest")
-    repeated = counted.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs")
-    lost = suspects.join(repeated, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    lost = lost.groupBy("doc_id").agg(F.collect_set("digest").alias("digests")).withColumnRenamed("doc_id", "lost_id")
+    lost = lost_keys(source, min_chars, min_docs, filter_bits)
     joined = source.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", "digests")
 
     def rows(batch: pa.RecordBatch) -> dict:
-        n_lines, n_dropped, kept = [], [], []
-        for text, digests in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            lines = (text or "").encode().split(b"\n")
-            n_lines.append(len(lines))
-            if digests:
-                gone = set(digests)
-                stay = [x for x in lines if len(x) < min_chars or xxhash.xxh3_128_digest(line_key(x)) not in gone]
-                n_dropped.append(len(lines) - len(stay))
-                kept.append(b"\n".join(stay).decode())
-            else:
-                n_dropped.append(0)
-                kept.append(text or "")
-        return {"doc_id": batch.column(0), "n_lines": n_lines, "n_dropped": n_dropped, "kept_text": kept}
+        found = [without_lines(t, d, min_chars) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        return {"doc_id": batch.column(0), "n_lines": [x[0] for x in found], "n_dropped": [x[1] for x in found], "kept_text": [x[2] for x in found]}
 
     return map_arrow(joined, rows, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_text string")
 
 
+def dedup_documents(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of ``documents`` with repeated lines left out of ``text`` and ``n_chars`` counted again.
+
+    Rules as in :func:`dedup_lines`; documents that lose nothing, null texts among them, stay as they are.
+    """
+    columns = documents.columns
+    lost = lost_keys(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), min_chars, min_docs)
+    rest = [c for c in columns if c not in ("doc_id", "text", "n_chars")]
+    joined = documents.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", "n_chars", "digests", *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts, sizes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                for i, digests in enumerate(batch.column(3).to_pylist()):
+                    if digests:
+                        texts[i] = without_lines(texts[i], digests, min_chars)[2]
+                        sizes[i] = len(texts[i])
+                arrays = [batch.column(0), pa.array(texts, batch.schema.field(1).type), pa.array(sizes, batch.schema.field(2).type), *batch.columns[4:]]
+                names = ["doc_id", "text", "n_chars", *rest]
+                yield pa.RecordBatch.from_arrays([arrays[names.index(c)] for c in columns], names=columns)
+
+    return joined.mapInArrow(run, documents.schema)
+
+
 #: DuckDB SQL for the query's rows.
 DEDUP_SQL = r"""
 with lines as (

@@ -214,3 +214,18 @@ def classify_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     Without labels of both classes nothing is toxic.
     """
     return score(documents, train(documents, labels))
+
+
+def drop_toxic(documents: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, that :func:`score` keeps; one map, no shuffle."""
+    made = automaton(chain.features) if chain.features else None
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                x = np.stack([counted(t, made, len(chain.features)) if made else np.zeros(0, np.float32) for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(chain.probabilities(x)[:, -1] < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
