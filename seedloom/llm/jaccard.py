@@ -265,7 +265,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     ``BROADCAST_ROWS``, beyond that by a shuffled join.
 
     Null and wordless texts have no shingles, link with nothing and are their own component.
-    Rows with null ids take part; their component is the smallest id reached, else null.
+    Rows with null ids have the component of the rows with their set, null if none has an id.
     Repeated rows link like other equal texts. An empty table gives an empty result; other columns are not read.
     """
     source = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -309,6 +309,6 @@ def keep_one(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Da
     Texts without shingles, and rows with null ids, stay.
     """
     found = similar_documents(documents, n=n, percent=percent)
-    losers = scratch(found.where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id")).distinct())
+    losers = scratch(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__lost_id")).distinct())
     losers = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
-    return documents.join(losers, F.col("doc_id") == F.col("lost_id"), "left_anti")
+    return documents.join(losers, F.col("doc_id") == F.col("__lost_id"), "left_anti")

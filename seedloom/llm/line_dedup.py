@@ -198,9 +198,9 @@ def dedup_documents(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs:
     Rules as in :func:`dedup_lines`; documents that lose nothing, null texts among them, stay as they are.
     """
     columns = documents.columns
-    lost = lost_keys(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), min_chars, min_docs)
+    lost = lost_keys(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), min_chars, min_docs).toDF("__lost_id", "__digests")
     rest = [c for c in columns if c not in ("doc_id", "text", "n_chars")]
-    joined = documents.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", "n_chars", "digests", *rest)
+    joined = documents.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left").select("doc_id", "text", "n_chars", "__digests", *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -151,13 +151,13 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     A document that is taken in part gives its first words, with ``n_chars`` counted again.
     Rows that share an id, null too, are copies of one document and are taken from its first row.
     """
-    plan = mix_sources(documents).groupBy(F.col("doc_id").alias("of_id")).agg(F.sum("copies").alias("copies"), F.sum(F.col("taken") - F.col("copies") * F.col("size")).alias("words"))
-    joined = documents.dropDuplicates(["doc_id"]).join(plan, F.col("doc_id").eqNullSafe(F.col("of_id")))
-    times = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), F.col("copies").cast("int")), F.when(F.col("words") > 0, F.array("words")).otherwise(F.array().cast("array<bigint>")))
-    each = joined.withColumn("part", F.explode(times))
-    first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("part").cast("string"), F.lit("}+")), F.lit(0))
-    text = F.when(F.col("part") < 0, F.col("text")).otherwise(first)
-    n_chars = F.when(F.col("part") < 0, F.col("n_chars")).otherwise(F.length(text)).cast(documents.schema["n_chars"].dataType)
+    plan = mix_sources(documents).groupBy(F.col("doc_id").alias("__of_id")).agg(F.sum("copies").alias("__copies"), F.sum(F.col("taken") - F.col("copies") * F.col("size")).alias("__words"))
+    joined = documents.dropDuplicates(["doc_id"]).join(plan, F.col("doc_id").eqNullSafe(F.col("__of_id")))
+    times = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), F.col("__copies").cast("int")), F.when(F.col("__words") > 0, F.array("__words")).otherwise(F.array().cast("array<bigint>")))
+    each = joined.withColumn("__part", F.explode(times))
+    first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("__part").cast("string"), F.lit("}+")), F.lit(0))
+    text = F.when(F.col("__part") < 0, F.col("text")).otherwise(first)
+    n_chars = F.when(F.col("__part") < 0, F.col("n_chars")).otherwise(F.length(text)).cast(documents.schema["n_chars"].dataType)
     return each.withColumn("n_chars", n_chars).withColumn("text", text).select(*documents.columns)
 
 

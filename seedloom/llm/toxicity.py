@@ -21,6 +21,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 LENGTHS = range(3, 11)
 FEATURES = 400
 LEAST_DOCS = 4
+#: Least log-likelihood ratio of a feature; chance seldom reaches it.
+LEAST_EVIDENCE = 4.0
 FOLDS = 5
 THRESHOLD = 0.5
 #: Openly abusive English words that tell explicit from implicit toxicity in training rows.
@@ -154,6 +156,7 @@ def select_features(sample: DataFrame, width: int = FEATURES, least_docs: int =
     evidence = b * F.log(b / (n1 * share)) + F.when(g > 0, g * F.log(g / (n0 * share))).otherwise(0.0)
     # Beginnings that are less often toxic than their absence tell little; longer ones of equal evidence add nothing.
     best = counts.where((F.col("feature") != "") & (b / n1 > 2 * g / n0)).withColumn("evidence", F.round(evidence, 6))
+    best = best.where(F.col("evidence") >= LEAST_EVIDENCE)
     return [r["feature"] for r in best.orderBy(F.desc("evidence"), "feature").limit(width).collect()]
 
 
