@@ -319,9 +319,6 @@ def cumulative_pr_curve(spark, sf):
     return metrics.cumulative_pr_curve(V.predictions(spark, sf), ["split"])
 
 
-RANKING = "with t as (select split, probability_1 as s, sum(label)::double as pos, count(*)::double as n from v_predictions group by 1, 2), r as (select *, sum(pos) over w as tp, sum(n) over w as pp, sum(pos) over (partition by split) as ap, sum(n) over (partition by split) as an from t window w as (partition by split order by s desc))"
-
-
 @query("select split, max(an)::bigint as n_rows, max(ap)::bigint as n_pos, round(sum(pos * tp / pp) / max(ap), 9) as average_precision, round(sum(pos * ((an - pp) - (ap - tp) + (n - pos) / 2)) / (max(ap) * (max(an) - max(ap))), 9) as auroc from (select *, sum(pos) over w as tp, sum(n) over w as pp, sum(pos) over (partition by split) as ap, sum(n) over (partition by split) as an from (select split, probability_1 as s, sum(label)::double as pos, count(*)::double as n from v_predictions group by 1, 2) window w as (partition by split order by s desc)) group by split")
 def ranking_metrics(spark, sf):
     """Average precision and AUROC of a split."""
@@ -402,10 +399,6 @@ def attach_labels(spark, sf):
     return splits.attach_labels(rows.select("id"), rows.select("id", "label"))
 
 
-MATCH = """with cat as (select seq, max_by(mature_id || '_5p', mature_key) as header, min(mature_key) as first_pos from v_catalogue where mature_key < 400 group by seq),
-rows as (select distinct case when row_id % 3 = 0 then mirna when row_id % 3 = 1 then mirna || 'AC' else substr(mirna, 1, length(mirna) - 2) end as row_seq from v_interactions)"""
-
-
 @query("""select r.row_seq, case when e.header is not null then e.header when i.n = 1 then i.header when o.n = 1 then o.header end as header, case when e.header is not null then 1 when i.n = 1 then 2 when o.n = 1 then 3 else 0 end as step
 from (select distinct case when row_id % 3 = 0 then mirna when row_id % 3 = 1 then mirna || 'AC' else substr(mirna, 1, length(mirna) - 2) end as row_seq from v_interactions) r
 left join (select seq, max_by(mature_id || '_5p', mature_key) as header from v_catalogue where mature_key < 400 group by seq) e on e.seq = r.row_seq
@@ -535,18 +528,7 @@ def gap_aware_posterior(spark, sf):
     return tolerance.gap_aware_posterior(rows.drop("p_0"), rows.select("query_id", "node", "site", "p_0"))
 
 
-# In these trees node n has parent n // 2 and the query leaf is 16, whose ancestors are 8, 4, 2 and 1.
-ROOT_PATH = "(select query_id, node, sum(branch_length) over (partition by query_id, leaf_or_node) as d from v_tree)"
-DISTANCES = """with recursive up(query_id, node, top, d, h) as (
-  select query_id, node, node, 0.0e0, 0 from v_tree
-  union all select u.query_id, u.node, t.parent, u.d + t.branch_length, u.h + 1 from up u join v_tree t on t.query_id = u.query_id and t.node = u.top where t.parent is not null)
-select a.query_id, a.node, min_by(a.d + b.d, a.h + b.h) as distance, min(a.h + b.h) as hops from up a join (select * from up where node = 16) b on a.query_id = b.query_id and a.top = b.top group by a.query_id, a.node"""
-
-
-def _recursive(body: str) -> str:
-    return V.with_views(body).replace("with ", "with recursive ", 1)
-
-
+# In these trees node n has parent n // 2 and the query leaf is 16.
 DISTANCE_VIEWS = """up(query_id, node, top, d, h) as (
   select query_id, node, node, 0.0e0, 0 from v_tree
   union all select u.query_id, u.node, t.parent, u.d + t.branch_length, u.h + 1 from up u join v_tree t on t.query_id = u.query_id and t.node = u.top where t.parent is not null),
@@ -554,13 +536,14 @@ dist as (select a.query_id, a.node, min_by(a.d + b.d, a.h + b.h) as distance, mi
 walked as (select d.query_id, d.node, t.is_leaf, t.is_query, d.distance, case when t.is_leaf = 1 and t.is_query = 0 then d.links - 1 else d.links end as hops from dist d join v_tree t on t.query_id = d.query_id and t.node = d.node)"""
 
 
-def tree_query(body: str):
-    """Registers a query whose SQL walks the trees from their query leaf."""
+def tree_query(body: str, more: str = ""):
+    """Registers a query whose SQL walks the trees from their query leaf; ``more`` are further views after the walk."""
 
-    def keep(f):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
-        sql = V.with_views(body + DISTANCE_VIEWS)
-        ORACLES[f.__name__] = sql[: -len(body + DISTANCE_VIEWS)].replace("with ", "with recursive ", 1).rstrip() + ", " + DISTANCE_VIEWS + " " + body
+        ending = DISTANCE_VIEWS + more + " " + body
+        tables = V.with_views(ending)[: -len(ending)]
+        ORACLES[f.__name__] = tables.replace("with ", "with recursive ", 1).rstrip() + ", " + ending
         return f
 
     return keep
@@ -605,12 +588,13 @@ def _tolerance_sql() -> str:
     return " union all ".join(parts)
 
 
-TOLERANCE_VIEWS = f"""weights as (select query_id, node, exp(-distance * distance / (mu * mu)) as weight from (select *, avg(distance) over (partition by query_id) as mu from walked)),
+TOLERANCE_VIEWS = f""", weights as (select query_id, node, exp(-distance * distance / (mu * mu)) as weight from (select *, avg(distance) over (partition by query_id) as mu from walked)),
 oriented as (select t.query_id, case when p.distance >= c.distance then t.parent else t.node end as far, case when p.distance >= c.distance then t.node else t.parent end as near from v_tree t join walked c on c.query_id = t.query_id and c.node = t.node join walked p on p.query_id = t.query_id and p.node = t.parent where t.is_leaf = 0),
 parts as ({_tolerance_sql()})"""
+TOLERANCE = "select query_id, site, " + ", ".join(f"round(max(case when base = '{b}' then (wol + leafy) / 31 end), 9) as wl_{b}, round(max(case when base = '{b}' then wol / 15 end), 9) as wol_{b}" for b in B) + " from parts group by query_id, site"
 
 
-@tree_query("select 1")
+@tree_query(TOLERANCE, TOLERANCE_VIEWS)
 def tolerance_scores(spark, sf):
     """Tolerance scores under the mean scheme, by the number of nodes."""
     edges = V.trees(spark, sf)
@@ -620,11 +604,6 @@ def tolerance_scores(spark, sf):
     return found.select("query_id", "site", *(F.round(c, 9).alias(c) for c in found.columns[2:]))
 
 
-_BODY = "select query_id, site, " + ", ".join(f"round(max(case when base = '{b}' then (wol + leafy) / 31 end), 9) as wl_{b}, round(max(case when base = '{b}' then wol / 15 end), 9) as wol_{b}" for b in B) + " from parts group by query_id, site"
-_VIEWS = V.with_views("v_msa v_states v_tree v_part " + DISTANCE_VIEWS)
-ORACLES["tolerance_scores"] = _VIEWS[: -len("v_msa v_states v_tree v_part " + DISTANCE_VIEWS)].replace("with ", "with recursive ", 1).rstrip() + ", " + DISTANCE_VIEWS + ", " + TOLERANCE_VIEWS + " " + _BODY
-
-
 @query("select cast(c_custkey as varchar) as name, 3 as depth, [cast(c_custkey as varchar)] as relatives from customer")
 def closest_relative(spark, sf):
     """Relatives of customers by region, nation and key as a lineage."""
