@@ -78,14 +78,14 @@ def encode_category(df: DataFrame, vocab: DataFrame, column: str, to: str) -> Da
 
 def select_candidate(candidates: DataFrame, key: str = "id") -> DataFrame:
     """The candidate of least index with a profile and a mature id, the first in source order among equals."""
-    usable = candidates.where((F.col("has_phact_profile") == 1) & F.col("mature_id").isNotNull() & (F.trim("mature_id") != ""))
+    usable = candidates.where((F.col("has_profile") == 1) & F.col("mature_id").isNotNull() & (F.trim("mature_id") != ""))
     order = Window.partitionBy(key).orderBy("candidate_index", "source_order")
     return usable.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
 
 
 def rank_candidates(candidates: DataFrame, k: int = 3, key: str = "id") -> DataFrame:
     """Slots 0..k-1 of usable candidates by index, then source order; an index that isn't a number comes last."""
-    usable = candidates.where((F.col("has_phact_profile") == 1) & F.col("mature_id").isNotNull() & (F.trim("mature_id") != ""))
+    usable = candidates.where((F.col("has_profile") == 1) & F.col("mature_id").isNotNull() & (F.trim("mature_id") != ""))
     index = F.coalesce(F.col("candidate_index").cast("string").try_cast("bigint"), F.lit(NO_INDEX))
     slot = F.row_number().over(Window.partitionBy(key).orderBy(index, "source_order")) - 1
     return usable.withColumn("slot", slot).where(F.col("slot") < k)
@@ -93,7 +93,7 @@ def rank_candidates(candidates: DataFrame, k: int = 3, key: str = "id") -> DataF
 
 def candidate_summary(candidates: DataFrame, k: int = 3, key: str = "id") -> DataFrame:
     """Rows, samples, most candidates of a sample, samples with a selection, and candidates kept and cut by ``k`` slots."""
-    usable = F.count_if((F.col("has_phact_profile") == 1) & F.col("mature_id").isNotNull())
+    usable = F.count_if((F.col("has_profile") == 1) & F.col("mature_id").isNotNull())
     by_sample = candidates.groupBy(key).agg(F.count("*").alias("n"), F.max("candidate_count").alias("most"), usable.alias("usable"))
     return by_sample.agg(
         F.sum("n").alias("n_rows"), F.count("*").alias("n_samples"), F.max("most").alias("max_candidate_count"), F.count_if(F.col("usable") > 0).alias("n_selected"),

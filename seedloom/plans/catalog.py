@@ -285,7 +285,7 @@ def encode_category(spark, sf):
     return features.encode_category(rows, features.fit_vocab(rows, "dominant_region", 100), "dominant_region", "code").select("row_id", F.col("code").cast("bigint").alias("code"))
 
 
-USABLE = "has_phact_profile = 1 and mature_id is not null"
+USABLE = "has_profile = 1 and mature_id is not null"
 
 
 @query(f"select id, mature_id, candidate_index from (select *, row_number() over (partition by id order by candidate_index, source_order) as p from v_candidates where {USABLE}) where p = 1")

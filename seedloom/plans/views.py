@@ -118,7 +118,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.where("candidate_count > 0").select("id", "candidate_count", F.explode(F.sequence(F.lit(0), F.col("candidate_count") - 1)).alias("source_order"))
     h = hashed("c", "id", "source_order")
     return rows.select(
-        "id", "candidate_count", "source_order", (byte(h, 1) % 4).alias("candidate_index"), F.when(byte(h, 3) % 8 == 0, 0).otherwise(1).alias("has_phact_profile"),
+        "id", "candidate_count", "source_order", (byte(h, 1) % 4).alias("candidate_index"), F.when(byte(h, 3) % 8 == 0, 0).otherwise(1).alias("has_profile"),
         F.when(byte(h, 5) % 16 != 0, F.concat(F.lit("M"), byte(h, 7) % 97)).alias("mature_id"),
     )
 
@@ -154,7 +154,7 @@ SQL = {
     "v_msa": "select t.query_id, t.node as leaf, p.site, substr('ACGTACGTACGTACG-', cast('0x' || substr(md5('a' || cast(t.query_id as varchar) || ':' || cast(t.node as varchar) || ':' || cast(p.site as varchar)), 1, 1) as integer) + 1, 1) as nt from v_tree t cross join (select cast(unnest(range(1, 21)) as integer) as site) p where t.is_leaf = 1",
     "v_alignments": "select query_id, 'Sp' || cast(leaf % 5 as varchar) || '-' || cast(leaf as varchar) as seq_id, string_agg(nt, '' order by site) as aligned, leaf as input_pos from v_msa group by query_id, leaf",
     "v_predictions": f"select id, split, label, {_hex(1)} / 256.0e0 as probability_1 from (select id, split, label, md5('p' || id) as h from v_interactions) x",
-    "v_candidates": f"select id, candidate_count, source_order, {_hex(1)} % 4 as candidate_index, case when {_hex(3)} % 8 = 0 then 0 else 1 end as has_phact_profile, case when {_hex(5)} % 16 <> 0 then 'M' || cast({_hex(7)} % 97 as varchar) end as mature_id from (select i.id, cast(i.row_id % 6 as integer) as candidate_count, s.n as source_order, md5('c' || i.id || ':' || cast(s.n as varchar)) as h from v_interactions i join (select unnest(range(0, 5)) as n) s on s.n < i.row_id % 6) x",
+    "v_candidates": f"select id, candidate_count, source_order, {_hex(1)} % 4 as candidate_index, case when {_hex(3)} % 8 = 0 then 0 else 1 end as has_profile, case when {_hex(5)} % 16 <> 0 then 'M' || cast({_hex(7)} % 97 as varchar) end as mature_id from (select i.id, cast(i.row_id % 6 as integer) as candidate_count, s.n as source_order, md5('c' || i.id || ':' || cast(s.n as varchar)) as h from v_interactions i join (select unnest(range(0, 5)) as n) s on s.n < i.row_id % 6) x",
     "v_tracks": "select row_id, list(score_a * 20 - 10 order by pos) as phylop, list(score_c order by pos) as phastcons from v_target_positions group by row_id",
 }
 

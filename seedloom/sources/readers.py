@@ -16,7 +16,7 @@ RAW_COLUMNS = (
 )
 SPLIT_TABLES = {
     "samples": ("samples.tsv", "\t"), "labels": ("labels.csv", ","), "candidates": ("sample_mirna_candidates.tsv", "\t"),
-    "mirna_positions": ("phact_mirna_positions.tsv", "\t"), "target_positions": ("phact_target_positions.tsv", "\t"),
+    "mirna_positions": ("*mirna_positions.tsv", "\t"), "target_positions": ("*target_positions.tsv", "\t"),
 }
 
 
@@ -44,10 +44,16 @@ def read_raw_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The five tables of a split by name, as strings; labels prefer ``numeric_label``."""
+    """The five tables of a split by name, as strings; labels prefer ``numeric_label``.
+
+    Candidates' flag column, ``has_<model>_profile`` in files, is named ``has_profile``.
+    """
     tables = {name: spark.read.csv(f"{folder}/{file}", sep=sep, header=True, emptyValue="", nullValue="\0") for name, (file, sep) in SPLIT_TABLES.items()}
     if "numeric_label" in tables["labels"].columns:
         tables["labels"] = tables["labels"].drop("label").withColumnRenamed("numeric_label", "label")
+    flag = next((c for c in tables["candidates"].columns if re.fullmatch(r"has_\w+_profile", c)), None)
+    if flag:
+        tables["candidates"] = tables["candidates"].withColumnRenamed(flag, "has_profile")
     return tables
 
 

@@ -65,7 +65,7 @@ def split_to_normalised(df: DataFrame) -> dict[str, DataFrame]:
     return {
         "samples": keyed.select("id", "gene", F.col("mirna").alias("noncodingRNA"), "feature", "dominant_region"),
         "labels": keyed.select("id", "label"),
-        "candidates": keyed.select("id", F.lit(0).alias("candidate_index"), F.lit(1).alias("candidate_count"), "mature_id", F.lit(1).alias("has_phact_profile")),
+        "candidates": keyed.select("id", F.lit(0).alias("candidate_index"), F.lit(1).alias("candidate_count"), "mature_id", F.lit(1).alias("has_profile")),
         "mirna_positions": profiles.select("mature_id", position(F.col("mirna_scores"))).select("mature_id", (F.col("place") + 1).alias("position"), "s"),
         "target_positions": keyed.select("id", "gene", position(F.col("target_scores"))).select("id", (F.col("place") + 1).alias("position"), F.substring("gene", F.col("place") + 1, F.lit(1)).alias("actual_nt"), "s"),
     }

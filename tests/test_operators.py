@@ -105,7 +105,7 @@ def test_splits_are_exact(spark):
 
 
 def test_candidates_and_vocabulary(spark):
-    df = spark.createDataFrame([("a", 1, 0, "M1", 1), ("a", 0, 1, "M2", 1), ("a", 0, 2, "M3", 1), ("a", 2, 3, None, 1), ("b", 0, 0, "M1", 0)], "id string, candidate_index int, source_order int, mature_id string, has_phact_profile int")
+    df = spark.createDataFrame([("a", 1, 0, "M1", 1), ("a", 0, 1, "M2", 1), ("a", 0, 2, "M3", 1), ("a", 2, 3, None, 1), ("b", 0, 0, "M1", 0)], "id string, candidate_index int, source_order int, mature_id string, has_profile int")
     assert [r["mature_id"] for r in features.select_candidate(df).collect()] == ["M2"]
     ranked = features.rank_candidates(df, 2)
     assert rows(ranked.select("id", "slot", "mature_id")) == [("a", 0, "M2"), ("a", 1, "M3")]

@@ -15,6 +15,17 @@ def test_tables(spark, tmp_path):
         readers.read_interactions(spark, str(tmp_path / "c.csv"))
 
 
+def test_split_tables(spark, tmp_path):
+    for name, text in {
+        "samples.tsv": "id\tgene\n1\tNA\n", "labels.csv": "id,label,numeric_label\n1,x,1\n", "sample_mirna_candidates.tsv": "id\tcandidate_index\thas_some_profile\n1\t0\t1\n",
+        "some_mirna_positions.tsv": "mature_id\tpos\nM\t1\n", "some_target_positions.tsv": "id\tpos\n1\t2\n",
+    }.items():
+        (tmp_path / name).write_text(text)
+    got = readers.read_split(spark, str(tmp_path))
+    assert tuple(got["samples"].first()) == ("1", "NA") and tuple(got["labels"].first()) == ("1", "1")
+    assert got["candidates"].columns[-1] == "has_profile" and got["target_positions"].first()["pos"] == "2" and got["mirna_positions"].first()["pos"] == "1"
+
+
 def test_fasta_and_clustal(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a one\nACG\nU\n>b\n\n>c\nGG\n")
     assert sorted((r["header"], r["seq"]) for r in readers.read_fasta(spark, str(tmp_path / "x.fa")).collect()) == [("a one", "ACGU"), ("c", "GG")]
