@@ -26,8 +26,10 @@ BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus "
     "footer footnav gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo "
     "promoted promotion related replies respond share sharing sidebar skyscraper social sponsor sponsored subscribe taboola toolbar widget "
-    "alert banner complementary contentinfo search".split()
+    "alert warning signup subscription paywall login complementary contentinfo search sidebox usercomments readercomments".split()
 )
+#: A class or id with one of these parts speaks of the page about an element, as in "layout-with-sidebar".
+ABOUT = frozenset("with has no without hide show layout".split())
 KEPT_ANYWAY = frozenset(("html", "body", "article", "main"))
 
 TOKEN = re.compile(
@@ -53,15 +55,19 @@ def beside_article(name: str, attributes: str) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id", "role") and not BOILERPLATE.isdisjoint(NAME_PART.findall(value)):
-            return True
+        if key in ("class", "id", "role"):
+            for one in value.split():
+                parts = NAME_PART.findall(one)
+                if not BOILERPLATE.isdisjoint(parts) and ABOUT.isdisjoint(parts):
+                    return True
     return False
 
 
 class Page:
     """Blocks of a page in order, each with its node, and a tree of nodes that holds them."""
 
-    def __init__(self) -> None:
+    def __init__(self, by_class: bool = True) -> None:
+        self.by_class = by_class
         self.names, self.parents = ["#page"], [-1]
         self.blocks: list[tuple[int, str, int]] = []
 
@@ -152,7 +158,7 @@ class Page:
             stack.append(len(names) - 1)
             opened[name] = opened.get(name, 0) + 1
             linked += name == "a"
-            if skipped is None and beside_article(name, attributes):
+            if skipped is None and beside_article(name, attributes if self.by_class else ""):
                 flush_before = text and name not in BLOCK
                 if flush_before:
                     text.append(" ")
@@ -213,7 +219,11 @@ class Page:
 
 def main_text(html: str | None) -> str:
     """The main text of one page, blocks joined by an empty line; empty for null, empty or textless pages."""
-    return "\n\n".join(Page().parse(html).main_blocks()) if html else ""
+    if not html:
+        return ""
+    # Where all text stands under names of boilerplate, only element names tell it from the article.
+    blocks = Page().parse(html).main_blocks() or Page(by_class=False).parse(html).main_blocks()
+    return "\n\n".join(blocks)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
