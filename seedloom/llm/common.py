@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,16 +56,17 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
 def scratch(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return it read back, its lineage cut.
 
-    Uses the folder that the cluster names in ``spark.checkpoint.dir``; where that is
-    unset (tests), a folder under the temporary directory of this machine.
+    Uses the folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset,
+    a local master (tests) gets a temporary folder and any other raises ``ValueError``: other
+    machines wouldn't see it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder:
-            import tempfile
-
+            if context.master.partition("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="seedloom-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
