@@ -146,7 +146,8 @@ def lost_keys(source: DataFrame, min_chars: int, min_docs: int, filter_bits: int
     # Written once: it is counted and then joined. Repeated rows of a document count once.
     suspects = scratch(suspected(source, packed, min_chars))
     counted = suspects.groupBy("digest", "doc_id").agg(F.lit(1).alias("one")).groupBy("digest")
-    repeated = counted.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+    # Written too, so that the join exchanges both sides and adaptive execution can split a common line's.
+    repeated = scratch(counted.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs"))
     lost = suspects.join(repeated, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("digests")).withColumnRenamed("doc_id", "lost_id")
 
