@@ -11,8 +11,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
-#: Order bins of a source; only the bin that the sample ends in is ordered row by row.
-BINS = 65536
+#: Bins of a source's order, each split into as many: only the small bin that the sample ends in is ordered row by row.
+BINS = 256
 #: Sources up to this number are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 #: Shuffled joins deal each source's documents out to so many tasks.
@@ -72,6 +72,20 @@ def join_sources(rows: DataFrame, table: DataFrame, n_sources: int, broadcast_so
     return rows.join(table, match).drop("table_source", "salt", "table_salt")
 
 
+def sample_end(rows: DataFrame, sources: DataFrame, bin_col: str) -> DataFrame:
+    """``source, end_bin, before`` of all sources: the bin in which each sample ends, and the words before it.
+
+    ``rows`` have ``before``, the words before all of them, and ``rest``, the words wanted.
+    Sums of a few hundred bins a source are put in order; a source without rows has bin -1.
+    """
+    sums = rows.groupBy("source", bin_col).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    running = Window.partitionBy("source").orderBy(bin_col)
+    upto = sums.withColumn("before", F.col("before") + F.sum("words").over(running) - F.col("words"))
+    ends = upto.where("before < rest").groupBy("source").agg(F.max(bin_col).alias("end_bin"), F.max("before").alias("before"))
+    none = sources.select("source", F.lit(-1).alias("end_bin"), F.lit(0).cast("bigint").alias("before"))
+    return ends.unionByName(none).groupBy("source").agg(F.max("end_bin").alias("end_bin"), F.max("before").alias("before"))
+
+
 def mix_sources(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED,
@@ -110,18 +124,18 @@ def mix_sources(
         .withColumn("part", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
         .withColumn("mean", F.col("source_size") / F.col("n_docs"))
     )
+    targets = scratch(targets)
     odds = F.col("part") / (1 - F.col("part")) * F.sqrt(F.col("mean") / F.greatest(F.col("size"), F.lit(1)))
     rank = F.when(F.col("part") > 0, random_odds("doc_id", seed) / odds)
     ranked = join_sources(narrow, targets, n_sources, broadcast_sources).withColumn("rank", rank)
-    ranked = ranked.withColumn("bin", F.coalesce(F.floor(F.col("rank") / (1 + F.col("rank")) * bins), F.lit(bins)).cast("int"))
-
-    sums = ranked.where("part > 0").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    running = Window.partitionBy("source").orderBy("bin")
-    ends = sums.withColumn("upto", F.sum("words").over(running)).withColumn("before", F.col("upto") - F.col("words"))
-    ends = ends.where("before < rest").groupBy("source").agg(F.max("bin").alias("end_bin"), F.max("before").alias("before"))
-    none = sizes.select("source", F.lit(-1).alias("end_bin"), F.lit(0).cast("bigint").alias("before"))
-    ends = ends.unionByName(none).groupBy("source").agg(F.max("end_bin").alias("end_bin"), F.max("before").alias("before"))
-    placed = join_sources(ranked, ends, n_sources, broadcast_sources)
+    key = F.col("rank") / (1 + F.col("rank"))
+    ranked = ranked.withColumn("bin", F.coalesce(F.floor(key * (bins * bins)), F.lit(bins * bins)).cast("int")).withColumn("wide", F.floor(F.col("bin") / bins).cast("int"))
+    start = sizes.select("source", F.lit(0).cast("bigint").alias("before"))
+    drawn = join_sources(ranked.where("part > 0"), start, n_sources, broadcast_sources)
+    wide = scratch(sample_end(drawn, sizes, "wide"))
+    inside = join_sources(drawn.drop("before"), wide, n_sources, broadcast_sources).where("wide = end_bin").drop("end_bin")
+    ends = scratch(sample_end(inside, wide.select("source", "before"), "bin"))
+    placed = join_sources(ranked.drop("wide"), ends, n_sources, broadcast_sources)
 
     more = F.when((F.col("part") > 0) & (F.col("bin") < F.col("end_bin")), 1).otherwise(0)
     clear = placed.where("part <= 0 or bin <> end_bin").withColumn("more", more).withColumn("extra", F.col("more") * F.col("size"))
