@@ -24,7 +24,7 @@ SEEDS = 6
 #: Signatures go to buckets of about so many bytes, which one worker holds at a time.
 BUCKET_BYTES = 16_000_000
 #: Documents and shingles in a block of a candidate cluster.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 3_000_000
 #: Candidate documents up to this number are broadcast to fetch their texts (8 bytes of id and 8 of cluster each).
 BROADCAST_ROWS = 500_000
 
@@ -100,7 +100,6 @@ def signatures(shingles: np.ndarray, percent: int, table: list[tuple[int, int]])
             part = ((scattered >> np.uint64(33)) % np.uint64(groups * PARTS)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             counts = np.bincount(part, minlength=groups * PARTS)
-            sums = np.zeros(groups * PARTS + 1, np.uint64)
             np.cumsum(mix(scattered + ODD[2])[order], out=scattered)
             edges = np.concatenate(([0], np.cumsum(counts)))
             total = np.concatenate((np.zeros(1, np.uint64), scattered))[edges]
@@ -216,7 +215,7 @@ def candidate_edges(documents: DataFrame, n: int, percent: int, largest: int, n_
     signed = documents.select("text").mapInArrow(sign, "bucket int, signs binary, nodes binary")
     # Stars of a batch need not meet: they are dealt out by their size and a random number.
     dealt = signed.withColumn("deal", F.when(F.col("bucket") >= 0, F.xxhash64("bucket")).otherwise(F.xxhash64("signs")))
-    met = dealt.repartition("deal").sortWithinPartitions("bucket").select("bucket", "signs", "nodes").mapInArrow(meet, "u bigint, v bigint")
+    met = dealt.repartition(n_buckets, "deal").sortWithinPartitions("bucket").select("bucket", "signs", "nodes").mapInArrow(meet, "u bigint, v bigint")
     return met.distinct()
 
 
