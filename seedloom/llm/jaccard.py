@@ -24,7 +24,7 @@ SEEDS = 6
 #: Signatures go to buckets of about so many bytes, which one worker holds at a time.
 BUCKET_BYTES = 16_000_000
 #: Documents and shingles in a block of a candidate cluster.
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 3_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 2_000_000
 #: Candidate documents up to this number are broadcast to fetch their texts (8 bytes of id and 8 of cluster each).
 BROADCAST_ROWS = 500_000
 
@@ -182,7 +182,7 @@ def candidate_edges(documents: DataFrame, n: int, percent: int, largest: int, n_
                     signs.append(signatures(own, percent, table))
                     nodes.append(node_of(own))
                     held += len(signs[-1])
-                    if held > 2_000_000:
+                    if held > 1_000_000:
                         yield pack(signs, nodes)
                         signs, nodes, held = [], [], 0
         if signs:

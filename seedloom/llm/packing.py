@@ -29,21 +29,30 @@ DOUBLE_SPACE = re.compile(r"\s\s|\s\Z|\s \S|\n\Z")
 WORDS_AT_ONCE = 4000
 
 
-@functools.cache
-def tokenizers(folder: str | None) -> tuple:
-    """The tokenizer and the same vocabulary as ranks; loaded once a worker."""
+def vocabulary(folder: str | None, name: str) -> str:
     import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
 
-    def path(name: str) -> str:
-        return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
+
+@functools.cache
+def whole_tokenizer(folder: str | None):
+    """The tokenizer for whole texts; only workers that meet a text with runs of white space load it."""
+    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    whole = Tokenizer.from_file(vocabulary(folder, "byte_bpe_50k.json"))
     whole.encode_special_tokens = True
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path("byte_bpe_50k.tiktoken"), "rb"))}
-    words = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return whole, words
+    return whole
+
+
+@functools.cache
+def word_tokenizer(folder: str | None):
+    """The same vocabulary as ranks; loaded once a worker."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary(folder, "byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def word_ids(strings: list[str], words) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +77,12 @@ def encode_texts(texts: list[str], folder: str | None = None) -> list[np.ndarray
     characters, so texts without runs of white space are cut there, each distinct word is
     encoded once, and texts are put together from the words' ids. Other texts are encoded whole.
     """
-    whole, words = tokenizers(folder)
-    out: list[np.ndarray | None] = [None] * len(texts)
-    odd = [i for i, t in enumerate(texts) if not t or DOUBLE_SPACE.search(t)]
-    for i, found in zip(odd, whole.encode_batch([texts[i] for i in odd], add_special_tokens=False)):
-        out[i] = np.array(found.ids, np.uint32)
+    words = word_tokenizer(folder)
+    out: list[np.ndarray | None] = [None if t else np.zeros(0, np.uint32) for t in texts]
+    odd = [i for i, t in enumerate(texts) if t and DOUBLE_SPACE.search(t)]
+    if odd:
+        for i, found in zip(odd, whole_tokenizer(folder).encode_batch([texts[i] for i in odd], add_special_tokens=False)):
+            out[i] = np.array(found.ids, np.uint32)
     plain = [i for i, x in enumerate(out) if x is None]
     if not plain:
         return out

@@ -228,13 +228,13 @@ def test_reliabilities_of_labelers():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(st.sampled_from(" \n\ta.bé'1%ß漢 <|endoftext|>"), max_size=40), max_size=6))
 def test_token_ids(texts):
-    whole = packing.tokenizers(None)[0]
+    whole = packing.whole_tokenizer(None)
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)] if texts else []
     assert [x.tolist() for x in packing.encode_texts(texts)] == want
 
 
 def test_packing(spark, small, texts):
-    whole = packing.tokenizers(None)[0]
+    whole = packing.whole_tokenizer(None)
     ids = {d: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts.items()}
     found = queries.op8_packing(spark, small).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
