@@ -30,6 +30,7 @@ BOILERPLATE = frozenset(
 )
 #: A class or id with one of these parts speaks of the page about an element, as in "layout-with-sidebar".
 ABOUT = frozenset("with has no without hide show layout".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_ANYWAY = frozenset(("html", "body", "article", "main"))
 
 TOKEN = re.compile(
@@ -166,8 +167,31 @@ class Page:
         flush()
         return self
 
+    def whole(self, best: int, chars: list[int], links: list[int]) -> tuple[int, bool]:
+        """The container that holds all of the article that ``best`` is a part of, and whether the page names it so.
+
+        That is the outermost article or main element around it; else the lowest container above
+        it with other text that isn't linked and with most such text of the page.
+        """
+        names, parents = self.names, self.parents
+        named, up = -1, best
+        while up >= 0:
+            if names[up] in ("article", "main"):
+                named = up
+            up = parents[up]
+        if named >= 0:
+            return named, True
+        own = chars[best] - links[best]
+        up = parents[best]
+        while up >= 0:
+            held = chars[up] - links[up]
+            if held > own and 2 * held > chars[0] - links[0]:
+                return up, False
+            up = parents[up]
+        return best, False
+
     def main_blocks(self) -> list[str]:
-        """Text of the blocks in the best container and its worthy siblings, in page order."""
+        """Text of the blocks in the whole article around the best container and of worthy siblings, in page order."""
         names, parents = self.names, self.parents
         if not self.blocks:
             return []
@@ -176,7 +200,7 @@ class Page:
         for node, words, linked in self.blocks:
             chars[node] += len(words)
             links[node] += min(linked, len(words))
-            if names[node] in ("li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if names[node] in ("li", "td", "th", "dd", "dt") or names[node] in HEADINGS:
                 own = len(words) / 200
             else:
                 own = (len(words) >= 25) + words.count(",") + min(len(words) / 100, 3.0)
@@ -199,21 +223,29 @@ class Page:
                 total[node] = (points[node] + bonus) * (1 - links[node] / chars[node])
                 if total[node] > most:
                     best, most = node, total[node]
-        kept = {best}
-        if parents[best] >= 0:
+        top, tagged = self.whole(best, chars, links)
+        kept = {top}
+        if parents[top] >= 0:
             limit = max(10.0, SIBLING_SHARE * most)
             for node in range(n):
-                if parents[node] == parents[best] and node != best and chars[node]:
+                if parents[node] == parents[top] and node != top and chars[node]:
                     dense = links[node] / chars[node]
                     if total[node] >= limit or names[node] == "p" and dense < 0.25 and chars[node] >= 80:
                         kept.add(node)
-        inside = [False] * n
-        menu = [False] * n
+        above, up = set(), best
+        while up >= 0:
+            above.add(up)
+            up = parents[up]
+        inside, scored, menu = [False] * n, [False] * n, [False] * n
         for node in range(n):
             up = parents[node]
             inside[node] = node in kept or up >= 0 and inside[up]
+            scored[node] = node == best or up >= 0 and scored[up] or node in kept and node != top
             dense = chars[node] and links[node] > 0.67 * chars[node]
-            menu[node] = up >= 0 and menu[up] or names[node] in ("ul", "ol", "dl", "table") and bool(dense)
+            # What is only taken along with the best container must be no row of links of other elements either.
+            besides = not tagged and not scored[node] and node not in above and names[node] not in HEADINGS
+            row = besides and links[node] and 2 * links[node] >= chars[node]
+            menu[node] = up >= 0 and menu[up] or bool(dense) and names[node] in ("ul", "ol", "dl", "table") or bool(row)
         return [words for node, words, _ in self.blocks if inside[node] and not menu[node]]
 
 
@@ -230,8 +262,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """``page_id, url, text, n_chars`` of every page; one map over the table, no shuffle.
 
     Paragraphs pass points for length and commas to the containers above them, less with
-    each level and with the share of linked text; the best container and the siblings
-    that come near it are kept. Null html gives an empty text. Repeated rows and null
+    each level and with the share of linked text. All text of the article or main element
+    around the best container is kept, without one all of the container that holds it and
+    most unlinked text, menus left out, and siblings that come near. Null html gives an empty text. Repeated rows and null
     ids or urls are kept as they are; other columns are not read.
     """
 

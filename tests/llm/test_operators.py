@@ -49,6 +49,25 @@ def test_container_without_article_tag():
     assert len(html_text.main_text(page).split("\n\n")) == 4
 
 
+PARAGRAPH = "<p>" + ("word, " * 5 + "word " * 80)[:400] + "</p>"
+
+
+@pytest.mark.parametrize("n", [1, 3, 12, 60])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_article_is_whole_at_any_length(n, tag):
+    page = f"<body><nav><a href=1>Menu</a></nav><div><{tag}><h1>Title</h1><div>{PARAGRAPH * n}</div><section>{PARAGRAPH}<ul><li>Point</li></ul></section><blockquote>Quote</blockquote><table><tr><td>Cell</td></tr></table></{tag}></div><footer>End</footer></body>"
+    found = html_text.main_text(page).split("\n\n")
+    assert found[0] == "Title" and found[-3:] == ["Point", "Quote", "Cell"] and len(found) == n + 5
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>"])
+def test_sections_of_a_whole_page_without_article_tag(wrap):
+    sections = "".join(f"<section><h2>Part {i}</h2>{PARAGRAPH * n}</section>" for i, n in enumerate((8, 1, 1, 1)))
+    page = "<body><div class=top><a href=1>a</a> <a href=2>b</a></div>" + wrap.format(f"<h1>Title</h1>{sections}") + "<div><p><a href=3>Home</a> <a href=4>About</a></p></div><footer>End</footer></body>"
+    found = html_text.main_text(page).split("\n\n")
+    assert found[0] == "Title" and [x for x in found if x.startswith("Part")] == ["Part 0", "Part 1", "Part 2", "Part 3"] and len(found) == 16
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "plain text only", "<a '", "</p></div>", "<p>a<!-- b", "<script>x", "<div>" * 3000 + "deep"])
 def test_broken_pages(page):
     html_text.main_text(page)
