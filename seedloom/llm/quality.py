@@ -21,7 +21,9 @@ BANDS = (
     (float("inf"), 1.55, 4.5),
 )
 CHUNK_BYTES = 4096
-#: The band of a whole chunk, and the share of chunks outside it at which a text is rejected.
+#: Chunks of what is left below CHUNK_BYTES. Lengths at which a row of BANDS starts tell noise best.
+SHORT_CHUNKS = (1024, 256)
+#: The band of a whole chunk of CHUNK_BYTES, and the share of a text's bytes in chunks outside their bands at which it is rejected.
 CHUNK_BAND = (1.5, 4.0)
 CHUNK_SHARE = 0.25
 LEVEL = 3
@@ -60,18 +62,31 @@ def duplicate_lines(text: str) -> int:
     return again
 
 
+def band_of(n_bytes: int, bands=BANDS) -> tuple[float, float]:
+    """The bounds of the ratio for a length."""
+    return next((low, high) for below, low, high in bands if n_bytes < below)
+
+
 def band_verdict(data: bytes, compressor: zstandard.ZstdCompressor, bands=BANDS, chunk_bytes: int = CHUNK_BYTES, chunk_band=CHUNK_BAND, chunk_share: float = CHUNK_SHARE):
     """``(ratio, chunks, chunks outside the band, passed)`` of one text."""
     if not data:
         return 0.0, 0, 0, True
     ratio = len(data) / len(compressor.compress(data))
-    low, high = next((lo, hi) for below, lo, hi in bands if len(data) < below)
-    starts = range(0, len(data) - chunk_bytes + 1, chunk_bytes)
-    bad = 0
-    for at in starts:
-        own = chunk_bytes / len(compressor.compress(data[at : at + chunk_bytes]))
-        bad += not chunk_band[0] <= own <= chunk_band[1]
-    return ratio, len(starts), bad, low <= ratio <= high and bad <= chunk_share * len(starts)
+    low, high = band_of(len(data), bands)
+    chunks = bad = bad_bytes = at = 0
+    sizes = [chunk_bytes, *(n for n in SHORT_CHUNKS if n < chunk_bytes)]
+    while at < len(data):
+        size = next((n for n in sizes if at + n <= len(data)), 0)
+        # The last bytes are judged with those before them, as a smallest chunk that ends with the text.
+        chunk = data[at : at + size] if size else data[-sizes[-1] :]
+        least, most = chunk_band if len(chunk) == chunk_bytes else band_of(len(chunk), bands)
+        covered = size or len(data) - at
+        chunks += 1
+        if not least <= len(chunk) / len(compressor.compress(chunk)) <= most:
+            bad += 1
+            bad_bytes += covered
+        at += covered
+    return ratio, chunks, bad, low <= ratio <= high and bad_bytes <= chunk_share * len(data)
 
 
 def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS, chunk_bytes: int = CHUNK_BYTES, chunk_band=CHUNK_BAND, chunk_share: float = CHUNK_SHARE, level: int = LEVEL) -> DataFrame:
@@ -79,8 +94,10 @@ def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A text passes the base rules with at least 50 words of which at most half lie in
     repeated 3-word windows. It passes the compression bands if its zstandard ratio lies
-    between the bounds for its length and at most ``chunk_share`` of its whole chunks of
-    ``chunk_bytes`` lie outside ``chunk_band``: above is repetitive, below is noise.
+    between the bounds for its length and at most ``chunk_share`` of its bytes lie in chunks
+    outside their bands: above is repetitive, below is noise. Chunks cover every byte: first
+    of ``chunk_bytes``, with ``chunk_band``, then of 1024 and of 256 bytes, and what is left,
+    judged by the last 256 bytes of the text; these take the bounds in ``bands`` for their lengths.
 
     Null and empty texts have no words, ratio 0 and fail the base rules. Repeated rows
     each get a row, null ids are kept, and other columns of the input are not read.

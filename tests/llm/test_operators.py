@@ -190,6 +190,22 @@ def test_compression_bands_reject_noise_and_repeats(spark):
     assert found[1]["band_failed"] and found[2]["band_failed"] and found[1]["ratio"] < 1.5 and found[2]["ratio"] > 4
 
 
+def test_chunks_cover_every_byte():
+    import zstandard
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(600)]
+    prose = " ".join(rng.choice(words) for _ in range(4000)).encode()
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(4000)).encode()
+    verdict = lambda data: quality.band_verdict(data, zstandard.ZstdCompressor(level=3))
+    for good, bad in ((4096, 4000), (6000, 3500), (2048, 1000), (1024, 500), (512, 256)):
+        assert verdict(prose[: good + bad])[2:] == (0, True)
+        for data in (prose[:good] + noise[:bad], noise[:bad] + prose[:good]):
+            assert verdict(data)[2] > 0 and not verdict(data)[3]
+    assert verdict(prose[:8192] + noise[:256])[1:] == (3, 1, True)
+    assert [verdict(prose[:n])[1] for n in (8192, 4095, 4097, 200)] == [2, 7, 2, 1]
+
+
 @pytest.mark.parametrize("bits", [1 << 18, None])
 def test_lines_with_a_full_or_an_ample_filter(spark, bits):
     rng = random.Random(5)
