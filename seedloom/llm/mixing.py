@@ -89,7 +89,7 @@ def sample_end(rows: DataFrame, sources: DataFrame, bin_col: str) -> DataFrame:
 def mix_sources(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED,
-    bins: int = BINS, broadcast_sources: int = BROADCAST_SOURCES, tolerance: float = TOLERANCE,
+    bins: int = BINS, broadcast_sources: int = BROADCAST_SOURCES, tolerance: float = TOLERANCE, carried: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every document.
 
@@ -106,13 +106,15 @@ def mix_sources(
     is summed before it is shuffled, by bins of the rank; only rows of the bin in which a
     sample ends are ordered in one task. Null texts have size 0, a null source is a source
     of its own, null ids draw as an empty id. Rows with equal ids and sizes rank alike,
-    one before the other. An empty table gives an empty result; other columns are not read.
+    one before the other, by the ``carried`` columns, which the result has too. An empty table
+    gives an empty result; other columns are not read.
     """
     narrow = scratch(
         documents.select(
             F.col(id_col).cast("bigint").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_SQL)), F.lit(0)).cast("bigint").alias("size"),
+            *carried,
         )
     )
     sizes = scratch(narrow.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")))
@@ -139,7 +141,7 @@ def mix_sources(
 
     more = F.when((F.col("part") > 0) & (F.col("bin") < F.col("end_bin")), 1).otherwise(0)
     clear = placed.where("part <= 0 or bin <> end_bin").withColumn("more", more).withColumn("extra", F.col("more") * F.col("size"))
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     last = placed.where("part > 0 and bin = end_bin").withColumn("start", start)
     miss = F.least(F.col("rest") - F.col("start"), F.col("start") + F.col("size") - F.col("rest"))
@@ -155,18 +157,26 @@ def mix_sources(
     return both.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("whole") + F.col("more")).cast("bigint").alias("copies"),
-        (F.col("whole") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"),
+        (F.col("whole") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"), *carried,
     )
 
 
+def row_key(columns: list[str]) -> Column:
+    """16 bytes that rows share only if all their columns are equal, null with null."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    return F.unhex(F.md5(F.concat(*(F.when(F.col(f"`{c}`").isNull(), "n").otherwise(F.concat(F.octet_length(text(c)).cast("string"), F.lit(":"), text(c))) for c in columns))))
+
+
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` as often as :func:`mix_sources` takes them, in the same columns.
 
     A document that is taken in part gives its first words, with ``n_chars`` counted again.
-    Rows that share an id, null too, are copies of one document and are taken from its first row.
+    Each row is taken as often as the mix says of that row, whatever id it shares or lacks; rows
+    equal in all columns are one text with the copies of all of them.
     """
-    plan = mix_sources(documents).groupBy(F.col("doc_id").alias("__of_id")).agg(F.sum("copies").alias("__copies"), F.sum(F.col("taken") - F.col("copies") * F.col("size")).alias("__words"))
-    joined = documents.dropDuplicates(["doc_id"]).join(plan, F.col("doc_id").eqNullSafe(F.col("__of_id")))
+    keyed = documents.withColumn("__key", row_key(documents.columns))
+    plan = mix_sources(keyed, carried=("__key",)).groupBy(F.col("__key").alias("__of_key")).agg(F.sum("copies").alias("__copies"), F.sum(F.col("taken") - F.col("copies") * F.col("size")).alias("__words"))
+    joined = keyed.dropDuplicates(["__key"]).join(plan, F.col("__key") == F.col("__of_key"))
     times = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), F.col("__copies").cast("int")), F.when(F.col("__words") > 0, F.array("__words")).otherwise(F.array().cast("array<bigint>")))
     each = joined.withColumn("__part", F.explode(times))
     first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("__part").cast("string"), F.lit("}+")), F.lit(0))

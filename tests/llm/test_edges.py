@@ -86,3 +86,18 @@ def test_stages_keep_columns_and_clean_rows(docs, labels):
     assert {1, 2, 3, 9, 12, 13, None} <= {r["doc_id"] for r in kept.collect()} and kept.where("doc_id in (5, 6, 7, 8, 10)").count() == 0
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.where("doc_id = 1").count() <= 2
+
+
+def test_mixing_takes_each_row_by_its_own_copies(spark):
+    ids = [None] * 30 + [7] * 10 + list(range(100, 110)) + [7, None]
+    rows = [(d, " ".join(f"w{i}x{j}" for j in range(3 + i % 5)), "ab"[i % 2], 1) for i, d in enumerate(ids)]
+    rows[-2:] = [rows[30], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int").repartition(3)
+    plan = mixing.mix_sources(docs).collect()
+    mixed = [(r["doc_id"], r["text"], r["source"]) for r in mixing.mixed_documents(docs).collect()]
+    wanted = {s: sum(r["taken"] for r in plan if r["source"] == s) for s in "ab"}
+    assert {s: sum(len(t.split()) for _, t, o in mixed if o == s) for s in "ab"} == wanted
+    whole = {r["source"]: int(r["target"] // r["source_size"]) for r in plan}
+    for d, text, source, _ in rows:
+        assert whole[source] <= mixed.count((d, text, source)) <= (whole[source] + 1) * [r[:3] for r in rows].count((d, text, source))
+    assert sorted(map(str, mixed)) == sorted(str((r["doc_id"], r["text"], r["source"])) for r in mixing.mixed_documents(docs.repartition(5)).collect())
