@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 import zlib
 
@@ -37,12 +38,18 @@ def vocabulary(folder: str | None, name: str) -> str:
 
 @functools.cache
 def whole_tokenizer(folder: str | None):
-    """The tokenizer for whole texts; only workers that meet a text with runs of white space load it."""
+    """The tokenizer for whole texts; only workers that meet a text with runs of white space or an added token load it."""
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary(folder, "byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    return whole
+    return Tokenizer.from_file(vocabulary(folder, "byte_bpe_50k.json"))
+
+
+@functools.cache
+def uncut(folder: str | None) -> re.Pattern:
+    """What a text may not hold if it is to be cut at spaces: runs of white space and added tokens, each one id by itself."""
+    with open(vocabulary(folder, "byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
+    return re.compile("|".join([DOUBLE_SPACE.pattern, *map(re.escape, added)]))
 
 
 @functools.cache
@@ -71,7 +78,7 @@ def word_ids(strings: list[str], words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_texts(texts: list[str], folder: str | None = None) -> list[np.ndarray]:
-    """Token ids of each text, as the tokenizer gives them without special tokens.
+    """Token ids of each text, as the tokenizer gives them with ``add_special_tokens=False``: none is added, one in the text counts.
 
     Byte-level BPE never merges across a single space or line end between other
     characters, so texts without runs of white space are cut there, each distinct word is
@@ -79,7 +86,7 @@ def encode_texts(texts: list[str], folder: str | None = None) -> list[np.ndarray
     """
     words = word_tokenizer(folder)
     out: list[np.ndarray | None] = [None if t else np.zeros(0, np.uint32) for t in texts]
-    odd = [i for i, t in enumerate(texts) if t and DOUBLE_SPACE.search(t)]
+    odd = [i for i, t in enumerate(texts) if t and uncut(folder).search(t)]
     if odd:
         for i, found in zip(odd, whole_tokenizer(folder).encode_batch([texts[i] for i in odd], add_special_tokens=False)):
             out[i] = np.array(found.ids, np.uint32)

@@ -268,6 +268,16 @@ def test_token_ids(texts):
     assert [x.tolist() for x in packing.encode_texts(texts)] == want
 
 
+def test_added_tokens_in_texts_are_single_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\nc", "two  spaces <|endoftext|>", "<|endoftext| >", "plain words\nonly"]
+    assert [x.tolist() for x in packing.encode_texts(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.encode_texts(texts)[0].tolist() == [3826, 220, 50256, 994]
+
+
 def test_packing(spark, small, texts):
     whole = packing.whole_tokenizer(None)
     ids = {d: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts.items()}
