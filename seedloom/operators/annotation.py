@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from seedloom.functions.names import parse_mature_id, parse_reference_id, strip_pri_pre
 
-#: Catalogues up to this number of distinct sequences are broadcast to the containment steps.
-BROADCAST_CATALOGUE = 200_000
 ID_CHARACTERS = "123456789" + "abcdefghijklmnopqrstuvwxyz" + "{|}~"
 
 
@@ -17,9 +15,21 @@ def last_wins(catalogue: DataFrame) -> DataFrame:
     return catalogue.where(F.length("seq") > 0).groupBy("seq").agg(F.max_by("header", "input_pos").alias("header"), F.min("input_pos").alias("first_pos"))
 
 
-def _step(rows: DataFrame, table: DataFrame, contains: Column, unmatched: Column, name: str) -> DataFrame:
+def _inside(short: DataFrame, short_col: str, long: DataFrame, long_col: str) -> DataFrame:
+    """Pairs of rows of ``short`` and ``long`` where the first one's sequence is part of the other's, by equal substrings.
+
+    Only substrings of lengths that ``short`` has are made; these lengths reach the driver.
+    """
+    lengths = [r[0] for r in short.select(F.length(short_col)).distinct().collect()]
+    parts = long.withColumn("part_size", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).where(F.col("part_size") <= F.length(long_col))
+    parts = parts.withColumn("at", F.explode(F.sequence(F.lit(1), F.length(long_col) - F.col("part_size") + 1)))
+    parts = parts.withColumn("part", F.col(long_col).substr(F.col("at"), F.col("part_size"))).drop("at", "part_size").distinct()
+    return parts.join(short, F.col("part") == F.col(short_col)).drop("part")
+
+
+def _step(matches: DataFrame, unmatched: Column, name: str) -> DataFrame:
     """Matches of least unmatched length by row sequence, one header for each text before its first underscore."""
-    matches = rows.join(table, contains).select("row_seq", "header", "first_pos", unmatched.alias("unmatched"))
+    matches = matches.select("row_seq", "header", "first_pos", unmatched.alias("unmatched"))
     best = matches.withColumn("least", F.min("unmatched").over(Window.partitionBy("row_seq"))).where("unmatched = least")
     best = best.withColumn("prefix", F.element_at(F.split("header", "_"), 1))
     return best.groupBy("row_seq").agg(F.count_distinct("prefix").alias(f"{name}_n"), F.min_by("header", "first_pos").alias(f"{name}_header"))
@@ -30,15 +40,15 @@ def match_sequences(sequences: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     Step 1 is an exact match; 2 takes catalogue sequences inside the row's, 3 those around
     it, fewest unmatched bases first. More than one prefix among the best is ambiguous: the
-    step has no match and the next still runs. ``step`` 0 is no match.
+    step has no match and the next still runs. ``step`` 0 is no match. Containment is found by
+    an equal join on substrings, so work grows with the sequences and not with their pairs.
     """
     table = last_wins(catalogue)
     rows = sequences.select(F.trim("seq").alias("row_seq")).where("row_seq is not null").distinct()
     exact = rows.join(table.select(F.col("seq").alias("row_seq"), F.col("header").alias("exact_header")), "row_seq", "left")
     left = exact.where("exact_header is null").select("row_seq")
-    small = F.broadcast(table) if table.count() <= BROADCAST_CATALOGUE else table
-    inner = _step(left, small, F.col("row_seq").contains(F.col("seq")), F.length("row_seq") - F.length("seq"), "inner")
-    outer = _step(left, small, F.col("seq").contains(F.col("row_seq")), F.length("seq") - F.length("row_seq"), "outer")
+    inner = _step(_inside(table, "seq", left, "row_seq"), F.length("row_seq") - F.length("seq"), "inner")
+    outer = _step(_inside(left, "row_seq", table, "seq"), F.length("seq") - F.length("row_seq"), "outer")
     joined = exact.join(inner, "row_seq", "left").join(outer, "row_seq", "left")
     one = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
     step = F.when(F.col("exact_header").isNotNull(), 1).when(one("inner_n"), 2).when(one("outer_n"), 3).otherwise(0)

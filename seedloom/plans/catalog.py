@@ -408,7 +408,7 @@ def match_sequences(spark, sf):
     """Exact and containment matches of distinct row sequences."""
     r, m = F.col("row_id"), F.col("mirna")
     rows = V.interactions(spark, sf).select(F.when(r % 3 == 0, m).when(r % 3 == 1, F.concat(m, F.lit("AC"))).otherwise(F.substring(m, F.lit(1), F.length(m) - 2)).alias("seq"))
-    table = V.catalogue(spark, sf).where("mature_key < 400").select(F.concat("mature_id", F.lit("_5p")).alias("header"), "seq", F.col("mature_key").alias("input_pos"))
+    table = V.catalogue(spark, sf).select(F.concat("mature_id", F.lit("_5p")).alias("header"), "seq", F.col("mature_key").alias("input_pos"))
     return annotation.match_sequences(rows, table).select("row_seq", "header", "step")
 
 

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from seedloom.operators import alignment, annotation, features, metrics, species, splits, tolerance, validation
+from seedloom.plans import catalog
 
 
 def rows(df):
@@ -29,6 +32,28 @@ def test_annotation_steps(spark):
     assert got == {"AAAA": ("B_3p", 1, 0), "TAAAAT": ("B_3p", 2, 0), "CCCC": (None, 0, 1), "CCCG": ("C_5p", 3, 0), "GGGG": (None, 0, 0)}
 
 
+def test_containment_equals_brute_force_without_a_nested_loop(spark):
+    rng = random.Random(2)
+    table = [(f"H{i}_5p", "".join(rng.choice("ACGT") for _ in range(rng.randint(3, 9))), i) for i in range(300)]
+    seqs = sorted({"".join(rng.choice("ACGT") for _ in range(rng.randint(2, 12))) for _ in range(120)})
+    found = annotation.match_sequences(spark.createDataFrame([(s,) for s in seqs], "seq string"), spark.createDataFrame(table, "header string, seq string, input_pos int"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    last = {s: h for h, s, _ in table}
+    for r in found.collect():
+        q, want = r["row_seq"], (None, 0)
+        for step, near in ((1, [s for s in last if s == q]), (2, [s for s in last if s in q]), (3, [s for s in last if q in s])):
+            least = min((abs(len(s) - len(q)) for s in near), default=0)
+            best = [last[s] for s in near if abs(len(s) - len(q)) == least]
+            if len(best) == 1 and not want[1]:
+                want = (best[0], step)
+        assert (r["header"], r["step"]) == want
+
+
+def test_match_query_reads_the_whole_catalogue(spark, small):
+    assert "< 400" not in catalog.QUERIES["match_sequences"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_orthologues_prefer_primary_records(spark):
     main = spark.createDataFrame([("Hsa-1",)], "name string")
     links = spark.createDataFrame([("Hsa-1", "Mmu-1"), ("Hsa-1", "Rno-1")], "name string, orthologue string")
