@@ -19,11 +19,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1000, weigh: str | None = None, max_bytes: int = 16_000_000) -> DataFrame:
-    """Apply ``fn`` to slices of at most ``rows`` rows; it returns columns by name.
-
-    The slices bound what a worker holds beside the batch it was sent; with ``weigh``, a
-    string column, a slice ends where its texts pass ``max_bytes`` too.
+def cuts(batch: pa.RecordBatch, rows: int, max_bytes: int) -> Iterator[tuple[int, int]]:
+    """Start and length of slices of at most ``rows`` rows and, beyond one row, ``max_bytes`` bytes of text or binary."""
+    sizes = [0] * batch.num_rows
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes = [a + b for a, b in zip(sizes, pc.fill_null(pc.binary_length(column), 0).to_pylist())]
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at >= rows or held + n > max_bytes):
+            yield at, i - at
+            at, held = i, 0
+        held += n
+    if batch.num_rows > at:
+        yield at, batch.num_rows - at
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1000, max_bytes: int = 16_000_000) -> DataFrame:
+    """Apply ``fn`` to slices of at most ``rows`` rows and ``max_bytes`` bytes; it returns columns by name.
+
+    The slices bound what a worker holds beside the batch it was sent: a text longer than ``max_bytes`` is a slice of its own.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -33,20 +48,9 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     def column(found) -> Callable:
         return lambda kind: found.cast(kind) if isinstance(found, pa.Array) else pa.array(found, kind)
 
-    def cuts(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(weigh))), 0).to_pylist() if weigh else [0] * batch.num_rows
-        at = held = 0
-        for i, n in enumerate(sizes):
-            if i > at and (i - at >= rows or held + n > max_bytes):
-                yield at, i - at
-                at, held = i, 0
-            held += n
-        if batch.num_rows > at:
-            yield at, batch.num_rows - at
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in cuts(batch):
+            for at, n in cuts(batch, rows, max_bytes):
                 found = fn(batch.slice(at, n))
                 yield pa.RecordBatch.from_arrays([column(found[f.name])(f.type) for f in target], schema=target)
 

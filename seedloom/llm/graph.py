@@ -7,19 +7,33 @@ from pyspark.sql import functions as F
 
 from seedloom.llm.common import scratch
 
+#: Nodes with more edges than this, and than 1 / HUBS of all, are hubs: there are at most HUBS of them, so that they may be broadcast.
+HUB_EDGES, HUBS = 256, 10_000
 
-def _larger(edges: DataFrame) -> DataFrame:
+
+def _moved(rows: DataFrame, least: DataFrame, hub_edges: int) -> DataFrame:
+    """``rows`` (``u, v``) with ``m``, the least node about ``u``, from ``of, m, n`` rows.
+
+    Edges of hubs meet a broadcast table where they lie; only those of other nodes are shuffled.
+    """
+    hubs = F.broadcast(least.where(F.col("n") > hub_edges).select("of", "m"))
+    others = least.where(F.col("n") <= hub_edges).select("of", "m")
+    match = F.col("u") == F.col("of")
+    return rows.join(hubs, match).drop("of").unionByName(rows.join(hubs.select("of"), match, "left_anti").join(others, match).drop("of"))
+
+
+def _larger(edges: DataFrame, hub_edges: int) -> DataFrame:
     """Each node's larger neighbours move to the least node about it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("of")).agg(F.min(F.least("u", "v")).alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = both.groupBy(F.col("u").alias("of")).agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
+    return _moved(both.where("v > u"), least, hub_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _smaller(edges: DataFrame) -> DataFrame:
+def _smaller(edges: DataFrame, hub_edges: int) -> DataFrame:
     """Each node and its smaller neighbours move to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
-    moved = down.join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _moved(down, least, hub_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v"))).where("u <> v")
 
 
@@ -28,8 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has bigint columns ``u`` and ``v`` (no nulls, loops are ignored). Large-star and
     small-star steps alternate until the edges are stars; each round is written to the
-    checkpoint folder. Hubs are summed before they are shuffled, and joins on them are
-    left to adaptive skew handling.
+    checkpoint folder. Hubs are summed before they are shuffled, and their edges are not
+    shuffled to them.
     """
     current = scratch(edges.where("u <> v").select("u", "v").distinct())
     last = None
@@ -38,4 +52,5 @@ def components(edges: DataFrame) -> DataFrame:
         if last is not None and tuple(mark) == tuple(last):
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         last = mark
-        current = scratch(_smaller(_larger(current).distinct()).distinct())
+        hub_edges = max(HUB_EDGES, 2 * mark[0] // HUBS)
+        current = scratch(_smaller(_larger(current, hub_edges).distinct(), hub_edges).distinct())

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import map_arrow, scratch
+from seedloom.llm.common import cuts, map_arrow, scratch
 from seedloom.llm.graph import components
 
 WORDS = 5
@@ -23,9 +22,13 @@ PARTS = 3
 SEEDS = 6
 #: Signatures go to buckets of about so many bytes, which one worker holds at a time.
 BUCKET_BYTES = 16_000_000
-#: Documents and shingles in a block of a candidate cluster.
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 2_000_000
-#: Candidate documents up to this number are broadcast to fetch their texts (8 bytes of id and 8 of cluster each).
+#: Signatures that a worker holds before it packs them.
+HELD = 1_000_000
+#: A signature of more documents in one pack is common: its rows are dealt out instead of going to its bucket.
+COMMON = 64
+#: In each round so many times more members of an unsettled group are compared with all of it.
+SPREAD = 4
+#: Keys of texts up to this number are broadcast (at most 40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -120,133 +123,230 @@ def signatures(shingles: np.ndarray, percent: int, table: list[tuple[int, int]])
 
 
 def node_of(shingles: np.ndarray) -> int:
-    """A signed 64-bit name of a set; two sets of one name only make a larger candidate cluster."""
+    """The name of a set: 64 bits of a hash of its shingles."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def describe(documents: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, node`` of every document."""
+def text_key() -> Column:
+    """With the doc_id it names a row's text; rows that share both are repeats."""
+    return F.xxhash64("text").alias("text_key")
+
+
+def describe(source: DataFrame, n: int) -> DataFrame:
+    """``doc_id, text_key, n_shingles, node`` of every row of ``doc_id, text``; the node is null without shingles."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        sizes, digests, nodes = [], [], []
-        for text in batch.column(1).to_pylist():
-            own = shingle_set(text, n)
-            sizes.append(len(own))
-            digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-            nodes.append(node_of(own) if len(own) else None)
-        return {"doc_id": batch.column(0), "n_shingles": sizes, "digest": digests, "node": nodes}
+        sets = [shingle_set(t, n) for t in batch.column(2).to_pylist()]
+        return {"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets]}
 
-    return map_arrow(documents.select("doc_id", "text"), rows, "doc_id bigint, n_shingles bigint, digest binary, node bigint")
+    return map_arrow(source.select("doc_id", text_key(), "text"), rows, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint")
 
 
-def star_pairs(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First positions of each distinct signature, and distinct pairs of its least node with each other one."""
+def distinct_pairs(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order of signatures, the start of each signature's run, and the runs' lengths."""
     order = np.lexsort((nodes, signs))
     signs, nodes = signs[order], nodes[order]
-    head = np.concatenate(([True], signs[1:] != signs[:-1])) if len(signs) else np.zeros(0, bool)
-    hub = nodes[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(signs) else nodes
-    other = hub != nodes
-    pairs = np.unique(np.stack([hub[other], nodes[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return order[head], pairs[:, 0], pairs[:, 1]
+    new = np.ones(len(signs), bool)
+    new[1:] = (signs[1:] != signs[:-1]) | (nodes[1:] != nodes[:-1])
+    signs, nodes = signs[new], nodes[new]
+    starts = np.flatnonzero(np.concatenate(([True], signs[1:] != signs[:-1]))) if len(signs) else np.zeros(0, np.int64)
+    return signs, nodes, starts, np.diff(np.append(starts, len(signs)))
 
 
-def candidate_edges(documents: DataFrame, n: int, percent: int, largest: int, n_buckets: int) -> DataFrame:
-    """``u, v``: nodes that share a signature, as stars about each signature's least node.
+@np.errstate(over="ignore")
+def groups_of(signs: np.ndarray, nodes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``keys, nodes``: members of the groups of nodes that share a signature.
 
-    Signatures are packed by bucket before they are shuffled. A signature that many
-    documents of one batch share leaves the batch once, with the star of that batch, so a
-    common one is never gathered whole.
+    A signature in ``common`` has a key of its own, for its other members come from
+    elsewhere. Other groups are whole; their key is made of the members, so that equal groups fall together.
+    """
+    signs, nodes, starts, sizes = distinct_pairs(signs, nodes)
+    if not len(signs):
+        return np.zeros(0, np.uint64), nodes
+    shared = np.isin(signs[starts], common)
+    own = mix(np.add.reduceat(mix(nodes.view(np.uint64)), starts) + sizes.astype(np.uint64) * ODD[5])
+    _, first = np.unique(own, return_index=True)
+    once = np.zeros(len(starts), bool)
+    once[first] = True
+    keep = shared | (once & (sizes > 1))
+    keys = np.where(shared, mix(signs[starts] + ODD[0]), own)
+    return np.repeat(keys, sizes)[np.repeat(keep, sizes)], nodes[np.repeat(keep, sizes)]
+
+
+def candidate_groups(source: DataFrame, n: int, percent: int, largest: int, n_buckets: int) -> DataFrame:
+    """``key, node``: groups of at least two nodes that share a signature; equal groups are one.
+
+    Signatures are packed by bucket before they are shuffled, and a bucket is what one
+    worker holds. Rows of a signature that is common in a pack don't go to its bucket but
+    are dealt out under the signature's key; the bucket is told, so that the signature's
+    rows from other packs get that key too.
     """
     table = bands(largest)
-    schema = pa.schema([("bucket", pa.int32()), ("signs", pa.binary()), ("nodes", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("signs", pa.binary()), ("nodes", pa.binary()), ("common", pa.binary())])
+    out = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
     def pack(signs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-        owner = np.repeat(np.array(nodes, np.int64), [len(s) for s in signs])
-        every = np.concatenate(signs)
-        first, u, v = star_pairs(every, owner)
-        every, owner = every[first], owner[first]
-        bucket = (mix(every) % np.uint64(n_buckets)).astype(np.int64)
+        every, owner, starts, sizes = distinct_pairs(np.concatenate(signs), np.repeat(np.array(nodes, np.int64), [len(s) for s in signs]))
+        often = every[starts[sizes > COMMON]]
+        dealt = np.repeat(sizes > COMMON, sizes)
+        rows = [(-1, every[dealt].tobytes(), owner[dealt].tobytes(), b"")] if len(often) else []
+        every, owner = every[~dealt], owner[~dealt]
+        bucket, of_often = ((mix(x) % np.uint64(n_buckets)).astype(np.int64) for x in (every, often))
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        rows = [(-1, u.tobytes(), v.tobytes())] if len(u) else []
-        every, owner = every[order], owner[order]
-        rows += [(b, every[x:y].tobytes(), owner[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x]
+        every, owner, often = every[order], owner[order], often[np.argsort(of_often, kind="stable")]
+        cut, cut_often = (np.searchsorted(np.sort(x), np.arange(n_buckets + 1)).tolist() for x in (bucket, of_often))
+        for b in range(n_buckets):
+            (x, y), (i, j) = cut[b : b + 2], cut_often[b : b + 2]
+            if y > x or j > i:
+                rows.append((b, every[x:y].tobytes(), owner[x:y].tobytes(), often[i:j].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, nodes, held = [], [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = shingle_set(text, n)
-                if len(own):
-                    signs.append(signatures(own, percent, table))
-                    nodes.append(node_of(own))
-                    held += len(signs[-1])
-                    if held > 1_000_000:
-                        yield pack(signs, nodes)
-                        signs, nodes, held = [], [], 0
+            for at, count in cuts(batch, 1000, 16_000_000):
+                for text in batch.column(0).slice(at, count).to_pylist():
+                    own = shingle_set(text, n)
+                    if len(own):
+                        signs.append(signatures(own, percent, table))
+                        nodes.append(node_of(own))
+                        held += len(signs[-1])
+                        if held > HELD:
+                            yield pack(signs, nodes)
+                            signs, nodes, held = [], [], 0
         if signs:
             yield pack(signs, nodes)
 
-    def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    def members(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], schema=out)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, signs, nodes = None, [], []
+        now, held = None, ([], [], [])
 
         def done() -> pa.RecordBatch:
-            _, u, v = star_pairs(np.frombuffer(b"".join(signs), np.uint64), np.frombuffer(b"".join(nodes), np.int64))
-            return pairs(u, v)
+            signs, nodes, common = (np.frombuffer(b"".join(x), kind) for x, kind in zip(held, (np.uint64, np.int64, np.uint64)))
+            return members(*groups_of(signs, nodes, common))
 
         for batch in batches:
-            for bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, *parts in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket < 0:
-                    yield pairs(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
+                    signs = np.frombuffer(parts[0], np.uint64)
+                    yield members(*groups_of(signs, np.frombuffer(parts[1], np.int64), signs))
                     continue
-                if bucket != now and signs:
+                if bucket != now and held[0]:
                     yield done()
-                    signs, nodes = [], []
+                    held = ([], [], [])
                 now = bucket
-                signs.append(a)
-                nodes.append(b)
-        if signs:
+                for x, part in zip(held, parts):
+                    x.append(part)
+        if held[0]:
             yield done()
 
-    signed = documents.select("text").mapInArrow(sign, "bucket int, signs binary, nodes binary")
-    # Stars of a batch need not meet: they are dealt out by their size and a random number.
-    dealt = signed.withColumn("deal", F.when(F.col("bucket") >= 0, F.xxhash64("bucket")).otherwise(F.xxhash64("signs")))
-    met = dealt.repartition(n_buckets, "deal").sortWithinPartitions("bucket").select("bucket", "signs", "nodes").mapInArrow(meet, "u bigint, v bigint")
+    signed = source.select("text").mapInArrow(sign, "bucket int, signs binary, nodes binary, common binary")
+    # Common signatures' rows need not meet: they are dealt out by a hash of what they hold.
+    dealt = signed.withColumn("deal", F.when(F.col("bucket") >= 0, F.xxhash64("bucket")).otherwise(F.xxhash64("nodes")))
+    met = dealt.repartition(n_buckets, "deal").sortWithinPartitions("bucket").select("bucket", "signs", "nodes", "common").mapInArrow(meet, "key bigint, node bigint")
     return met.distinct()
 
 
-def forest(ids: list[int], sets: list[np.ndarray], left: list[int], right: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links of at least ``percent`` / 100 between sets of ``left`` and ``right``, as a spanning forest of them."""
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    sizes = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate([sets[j] for j in right])
-    owner = np.repeat(np.array(right, np.int64), [len(sets[j]) for j in right])
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    edges = []
-    for i in left:
-        low, high = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
-        n = high - low
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        shared = np.bincount(owner[at], minlength=len(ids))
-        linked = np.flatnonzero((shared > 0) & (100 * shared >= percent * (sizes[i] + sizes - shared)))
-        for j in linked.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[a] = b
-                edges.append((ids[i], ids[j]))
-    return edges
+def shingle_table(source: DataFrame, described: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """``node, shingles``: the packed shingles of each of ``nodes``, from one row that has that set."""
+    wanted = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("row"))
+    wanted = scratch(wanted.select(F.col("row.text_key").alias("of_key"), F.col("row.doc_id").alias("of_id")))
+    few = wanted.count() <= BROADCAST_ROWS
+    keyed = source.select("doc_id", text_key(), "text")
+    texts = keyed.join(F.broadcast(wanted) if few else wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("text")
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t, n) for t in batch.column(0).to_pylist()]
+        return {"node": [node_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+
+    # A row with a wanted row's key has its text, bar the odd collision, which only adds a node that nobody asks for.
+    return map_arrow(texts, rows, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least ``percent`` / 100 Jaccard."""
+    if len(a) < len(b):
+        a, b = b, a
+    if 100 * len(b) < percent * len(a):
+        return False
+    at = np.searchsorted(a, b)
+    shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (``u, v, x, y``) whose nodes ``u`` and ``v`` link, as ``x, y``."""
+    left = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = left.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").select("x", "y", "a", "b")
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, count in cuts(batch, 1000, 16_000_000):
+                part = batch.slice(at, count)
+                linked = [alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked, pa.bool_())), part.column(1).filter(pa.array(linked, pa.bool_()))], schema=out)
+
+    return both.mapInArrow(run, "x bigint, y bigint")
+
+
+def renamed(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component`` after ``edges`` between components join some of them."""
+    joined = scratch(components(edges).toDF("of", "to"))
+    moved = found.join(joined, F.col("component") == F.col("of"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = joined.join(found.select("node"), F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("to").alias("component"))
+    return scratch(moved.unionByName(new))
+
+
+def linked_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of all nodes that link with another, by links between nodes that share a group.
+
+    First each node meets the least node of its groups. A group whose members are then in
+    one component is settled, for other links in it change nothing. Of an unsettled group
+    some members, drawn by a hash, meet all members of other components, ``SPREAD`` times more in each
+    round until the group is settled or all its members have met: no link is missed, and
+    the rounds are as many as the logarithm of the largest group.
+    """
+    hubs = scratch(groups.groupBy("key").agg(F.min("node").alias("hub")))
+    first = groups.join(hubs, "key").where("node <> hub").groupBy(F.col("node").alias("v")).agg(F.min("hub").alias("u"))
+    met = scratch(first.select("u", "v"))
+    found = scratch(components(verified(met.select("u", "v", F.col("u").alias("x"), F.col("v").alias("y")), sets, percent).toDF("u", "v")))
+    draw = F.pmod(F.xxhash64("node", F.lit("hub")), F.lit(1 << 30)) / float(1 << 30)
+    share, before = float(SPREAD), 0.0
+    while True:
+        named = groups.select("key", "node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        named = scratch(named)
+        state = scratch(named.groupBy(F.col("key").alias("of_key")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").cast("double").alias("n")).where((F.col("low") < F.col("high")) & (F.col("n") > before)).select("of_key", "n"))
+        groups = scratch(named.join(state, F.col("key") == F.col("of_key")).drop("of_key"))
+        if groups.isEmpty():
+            return found
+        hubs = scratch(groups.where((draw * F.col("n") < share) & (draw * F.col("n") >= before)).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
+        meeting = groups.join(hubs, "key").where("label <> hub_label").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"), F.least("label", "hub_label").alias("x"), F.greatest("label", "hub_label").alias("y"))
+        pairs = scratch(meeting.distinct().join(met, ["u", "v"], "left_anti"))
+        met = met.unionByName(pairs.select("u", "v"))
+        found = renamed(found, verified(pairs, sets, percent).toDF("u", "v"))
+        share, before = share * SPREAD, share
+
+
+def labelled(source: DataFrame, n: int, percent: int) -> DataFrame:
+    """``doc_id, text_key, n_shingles, label, component_id`` of every row of ``doc_id, text``; the label is null without shingles."""
+    described = scratch(describe(source, n))
+    total, largest = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.max("n_shingles"), F.lit(1))).first()
+    share = 16 * 2.9 * (100 - percent) / percent  # bytes of signatures for a shingle
+    n_buckets = max(64, int(total * share / BUCKET_BYTES) + 1)
+    groups = scratch(candidate_groups(source, n, percent, max(largest, 1), n_buckets))
+    sets = scratch(shingle_table(source, described, groups.select("node").distinct(), n))
+    found = linked_components(groups, sets, percent)
+
+    firsts = scratch(described.where("node is not null").groupBy(F.col("node").alias("of_node")).agg(F.min("doc_id").alias("first")))
+    inside = scratch(found.join(firsts, F.col("node") == F.col("of_node")).select("node", "component", "first"))
+    least = inside.groupBy(F.col("component").alias("of")).agg(F.min("first").alias("least"))
+    names = inside.join(least, F.col("component") == F.col("of")).select("node", "component", "least")
+    named = firsts.join(names, F.col("of_node") == F.col("node"), "left").select("of_node", F.coalesce("component", "of_node").alias("label"), F.coalesce("least", "first").alias("least"))
+    joined = described.join(named, F.col("node") == F.col("of_node"), "left")
+    return joined.select("doc_id", "text_key", "n_shingles", "label", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -254,60 +354,43 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     Two documents link when 100 |A ∩ B| >= percent |A ∪ B| for their sets of ``n``-word
     shingles; the component is the smallest doc_id that links reach, itself included. No
-    link is lost: every pair of linked sets shares a signature, sets that share signatures
-    form candidate clusters, and inside a cluster blocks of documents are compared exactly.
+    link is lost: every pair of linked sets shares a signature, and pairs that share one are
+    compared exactly until those left are in one component anyway.
 
-    Equal sets are one node from the start, whatever their number. Signatures are packed
-    and combined before they are shuffled; clusters of any size are split into blocks by
-    documents and shingles, and each pair of blocks gives a spanning forest of its links,
-    not the pairs. Candidates' texts are fetched by a broadcast of their ids up to
-    ``BROADCAST_ROWS``, beyond that by a shuffled join.
+    Equal sets are one node from the start, whatever their number and ids; sets and shingles
+    are named by 64 bits of hashes. Signatures are packed before they are shuffled, and
+    those of many documents are spread over tasks. Sets of candidates are read by a broadcast
+    of their rows' keys up to ``BROADCAST_ROWS``, beyond that by a shuffled join.
 
     Null and wordless texts have no shingles, link with nothing and are their own component.
-    Rows with null ids have the component of the rows with their set, null if none has an id.
-    Repeated rows link like other equal texts. An empty table gives an empty result; other columns are not read.
+    Rows with null ids link like others and have the smallest id of their component, null if none has one.
+    Rows of one id with different texts are different documents, each with its row; the component's smallest id is
+    then that of any of them. Repeated rows link like other equal texts. An empty table gives an empty result; other columns are not read.
     """
     source = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    described = scratch(describe(source, n))
-    total, largest = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.max("n_shingles"), F.lit(1))).first()
-    share = 16 * 2.9 * (100 - percent) / percent  # bytes of signatures for a shingle
-    n_buckets = max(64, int(total * share / BUCKET_BYTES) + 1)
-    clusters = components(candidate_edges(source, n, percent, max(largest, 1), n_buckets)).withColumnRenamed("node", "of_node").withColumnRenamed("component", "cluster")
-
-    sets = described.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("node").alias("node"))
-    sets = scratch(sets)
-    inside = scratch(sets.where("first is not null").join(clusters, F.col("node") == F.col("of_node")).select("first", "size", "cluster"))
-    weights = inside.groupBy(F.col("cluster").alias("of_cluster")).agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    )
-    placed = inside.join(weights, F.col("cluster") == F.col("of_cluster")).select("first", "cluster", "blocks", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int").alias("block"))
-    placed = scratch(placed)
-    few = placed.count() <= BROADCAST_ROWS
-    texts = source.join(F.broadcast(placed) if few else placed, F.col("doc_id") == F.col("first")).dropDuplicates(["first"])
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("doc_id", "text", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        ids, blocks = group["doc_id"].tolist(), group["block"].tolist()
-        own = [shingle_set(t, n) for t in group["text"]]
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        left = [i for i, b in enumerate(blocks) if b == low]
-        right = left if low == high else [i for i, b in enumerate(blocks) if b == high]
-        return pd.DataFrame(forest(ids, own, left, right, percent) if left and right else [], columns=["u", "v"]).astype("int64")
-
-    links = dealt.groupBy("cluster", "low", "high").applyInPandas(verify, "u bigint, v bigint")
-    found = components(links).withColumnRenamed("node", "of_first")
-    named = sets.join(found, F.col("first") == F.col("of_first"), "left").select(F.col("digest").alias("of_digest"), F.coalesce("component", "first").alias("component"))
-    joined = described.join(named, F.col("digest") == F.col("of_digest"), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return labelled(source, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``documents`` without those that a smaller doc_id of their component stands for.
+    """The rows of ``documents`` without those that another row of their component stands for.
 
-    Texts without shingles, and rows with null ids, stay.
+    The row with the smallest doc_id stays, null ids last; of different texts under that id the
+    one with the least hash, of repeats of a row one. Texts without shingles stay.
     """
-    found = similar_documents(documents, n=n, percent=percent)
-    losers = scratch(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__lost_id")).distinct())
-    losers = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
-    return documents.join(losers, F.col("doc_id") == F.col("__lost_id"), "left_anti")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = labelled(source, n, percent).where("label is not null").groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("times"))
+    rows = scratch(rows)
+    best = rows.groupBy(F.col("label").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    marked = rows.join(best, F.col("label") == F.col("of")).select(F.col("doc_id").alias("__of_id"), F.col("text_key").alias("__of_key"), (~is_best).alias("lost"), "times")
+    marked = scratch(marked.where("lost or times > 1"))
+    lost, twice = (marked.where(x).select("__of_id", "__of_key") for x in ("lost", "not lost"))
+    match = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__of_id")) & (F.xxhash64("text") == F.col("__of_key"))
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
+    kept = documents.join(lost, match, "left_anti")
+    if twice.isEmpty():
+        return kept
+    twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    again = kept.join(twice, match, "left_semi").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key")).agg(F.min(F.struct(*columns)).alias("__row"))
+    return kept.join(twice, match, "left_anti").unionByName(again.select("__row.*"))

@@ -290,7 +290,7 @@ def identify(documents: DataFrame, field: Field | None, id_col: str = "doc_id",
         return out
 
     source = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out())
-    return map_arrow(source, rows, SCHEMA, 2000, "text", 8_000_000)
+    return map_arrow(source, rows, SCHEMA, 2000, 8_000_000)
 
 
 def train(documents: DataFrame, docs: int = TRAIN_DOCS, span: int = SPAN) -> Field | None:

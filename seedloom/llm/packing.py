@@ -144,7 +144,7 @@ def cut_pieces(documents: DataFrame, sequence: int, end_id: int, folder: str | N
                 tokens.append(n)
         return {"doc_id": batch.column(0).take(pa.array(owner, pa.int64())), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": tokens}
 
-    return map_arrow(documents.select("doc_id", "text"), rows, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", 2000, "text", 8_000_000)
+    return map_arrow(documents.select("doc_id", "text"), rows, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", 2000, 8_000_000)
 
 
 def best_pattern(values: np.ndarray, capacity: int, sizes: np.ndarray) -> tuple[float, np.ndarray]:

@@ -385,9 +385,68 @@ def test_similar_sets_share_a_signature(size, changes, percent, seed):
         assert len(np.intersect1d(jaccard.signatures(a, percent, table), jaccard.signatures(b, percent, table)))
 
 
-def test_small_blocks_and_shuffled_texts(spark, small, texts, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 3)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+def test_common_signatures_and_shuffled_texts(spark, small, texts, monkeypatch):
+    for name, value in (("COMMON", 1), ("HELD", 5000), ("SPREAD", 2), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(jaccard, name, value)
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs, n=4, percent=85).collect()}
     assert got == components_by_hand(texts, 4, 85)
+
+
+def test_members_of_one_group_that_do_not_link_with_its_least(spark):
+    """Any grouping of candidates gives the components of all links inside the groups."""
+    rng = np.random.default_rng(2)
+    sets, members = {}, []
+    for g in range(6):
+        cores = rng.integers(0, 2**63, (3, 200), dtype=np.uint64)
+        for i in range(25):
+            own = np.unique(np.concatenate((cores[i % 3][: int(rng.integers(180, 201))], rng.integers(0, 2**63, int(rng.integers(0, 12)), dtype=np.uint64))))
+            node = int(rng.integers(-(2**62), 2**62))
+            sets[node] = own
+            members.append((g, node))
+    groups = spark.createDataFrame(members, "key bigint, node bigint")
+    table = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node bigint, shingles binary")
+    got = {r["node"]: r["component"] for r in jaccard.linked_components(groups, table, 90).collect()}
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for g, a in members:
+        for h, b in members:
+            if g == h and a < b and jaccard.alike(sets[a], sets[b], 90):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {k: got.get(k, k) for k in sets} == {k: root(k) for k in sets}
+
+
+def test_texts_that_share_an_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, one), (5, two), (7, f"{one} more"), (9, f"{two} more"), (None, f"{two} else"), (None, "alone"), (5, one)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(docs).collect()), key=str)
+    assert found == [(5, 5)] * 3 + [(7, 5), (9, 5), (None, 5), (None, None)]
+    assert sorted(map(str, (tuple(r) for r in jaccard.keep_one(docs).collect()))) == sorted(map(str, [(5, one), (5, two), (None, "alone")]))
+
+
+def test_hubs_are_not_shuffled_to(spark, monkeypatch):
+    from seedloom.llm import graph
+
+    monkeypatch.setattr(graph, "HUB_EDGES", 3)
+    rng = random.Random(8)
+    edges = [(1, i) for i in range(2, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(45)] + [(59, 230)]
+    parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {x: root(x) for x in parent}
