@@ -37,20 +37,22 @@ def _smaller(edges: DataFrame, hub_edges: int) -> DataFrame:
     return moved.unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v"))).where("u <> v")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one edge and is no ``v``."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node with an edge, the component named by its least node.
 
     ``edges`` has bigint columns ``u`` and ``v`` (no nulls, loops are ignored). Large-star and
-    small-star steps alternate until the edges are stars; each round is written to the
+    small-star steps alternate until the edges are stars about least nodes; each round is written to the
     checkpoint folder. Hubs are summed before they are shuffled, and their edges are not
     shuffled to them.
     """
-    current = scratch(edges.where("u <> v").select("u", "v").distinct())
-    last = None
-    while True:
-        mark = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if last is not None and tuple(mark) == tuple(last):
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        last = mark
-        hub_edges = max(HUB_EDGES, 2 * mark[0] // HUBS)
+    current = scratch(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    hub_edges = max(HUB_EDGES, 2 * current.count() // HUBS)
+    while not _are_stars(current):
         current = scratch(_smaller(_larger(current, hub_edges).distinct(), hub_edges).distinct())
+    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -27,7 +27,7 @@ HELD = 1_000_000
 #: A signature of more documents in one pack is common: its rows are dealt out instead of going to its bucket.
 COMMON = 64
 #: In each round so many times more members of an unsettled group are compared with all of it.
-SPREAD = 4
+SPREAD = 16
 #: Keys of texts up to this number are broadcast (at most 40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -294,6 +294,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def renamed(found: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component`` after ``edges`` between components join some of them."""
+    edges = scratch(edges)
+    if edges.isEmpty():
+        return found
     joined = scratch(components(edges).toDF("of", "to"))
     moved = found.join(joined, F.col("component") == F.col("of"), "left").select("node", F.coalesce("to", "component").alias("component"))
     new = joined.join(found.select("node"), F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("to").alias("component"))
@@ -322,7 +325,7 @@ def linked_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataF
         groups = scratch(named.join(state, F.col("key") == F.col("of_key")).drop("of_key"))
         if groups.isEmpty():
             return found
-        hubs = scratch(groups.where((draw * F.col("n") < share) & (draw * F.col("n") >= before)).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
+        hubs = groups.where((draw * F.col("n") < share) & (draw * F.col("n") >= before)).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
         meeting = groups.join(hubs, "key").where("label <> hub_label").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"), F.least("label", "hub_label").alias("x"), F.greatest("label", "hub_label").alias("y"))
         pairs = scratch(meeting.distinct().join(met, ["u", "v"], "left_anti"))
         met = met.unionByName(pairs.select("u", "v"))
