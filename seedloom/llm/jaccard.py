@@ -26,8 +26,8 @@ BUCKET_BYTES = 16_000_000
 HELD = 1_000_000
 #: A signature of more documents in one pack is common: its rows are dealt out instead of going to its bucket.
 COMMON = 64
-#: In each round so many times more members of an unsettled group are compared with all of it.
-SPREAD = 16
+#: Documents and shingles in a block; a worker holds two.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Keys of texts up to this number are broadcast (at most 40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -277,19 +277,92 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (``u, v, x, y``) whose nodes ``u`` and ``v`` link, as ``x, y``."""
+    """The rows of ``pairs`` (``u, v``) whose nodes link."""
     left = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    both = left.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").select("x", "y", "a", "b")
-    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+    both = left.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").select("u", "v", "a", "b")
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, count in cuts(batch, 1000, 16_000_000):
                 part = batch.slice(at, count)
-                linked = [alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked, pa.bool_())), part.column(1).filter(pa.array(linked, pa.bool_()))], schema=out)
+                linked = pa.array([alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(linked) for i in (0, 1)], schema=out)
+
+    return both.mapInArrow(run, "u bigint, v bigint")
+
+
+def forest(labels: list[int], sets: list[np.ndarray], left: list[int], right: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links of at least ``percent`` / 100 between sets of ``left`` and ``right``, as a spanning forest over their labels."""
+    parent = {x: x for x in labels}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    if len(sets) == 2:
+        return [(labels[0], labels[1])] if labels[0] != labels[1] and alike(sets[0], sets[1], percent) else []
+    sizes, own = np.array([len(s) for s in sets], np.int64), np.array(labels, np.int64)
+    every = np.concatenate([sets[j] for j in right])
+    owner = np.repeat(np.array(right, np.int64), sizes[right])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    edges = []
+    for i in left:
+        low, high = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        linked = np.flatnonzero((shared > 0) & (own != own[i]) & (100 * shared >= percent * (sizes[i] + sizes - shared)))
+        for j in linked.tolist():
+            a, b = root(labels[i]), root(labels[j])
+            if a != b:
+                parent[a] = b
+                edges.append((labels[i], labels[j]))
+    return edges
+
+
+def compared(open_groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: links between labels, from all pairs of nodes of ``key, node, label`` rows that share a key.
+
+    Groups with the same least node are compared at once, in blocks if they are large, so
+    that a worker holds two blocks and no pairs are emitted.
+    """
+    hubs = scratch(open_groups.groupBy("key").agg(F.min("node").alias("hub")))
+    members = scratch(open_groups.join(hubs, "key").select("hub", "node", "label").distinct())
+    sized = members.join(sets.select("node", "shingles"), "node").withColumn("size", F.octet_length("shingles") / 8)
+    weights = members.join(sets.select("node", (F.octet_length("shingles") / 8).alias("size")), "node").groupBy(F.col("hub").alias("of_hub"))
+    weights = scratch(weights.agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1"))
+    placed = sized.join(weights, F.col("hub") == F.col("of_hub"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "label", "shingles")
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def links(low: int, high: int, blocks: list[int], labels: list[int], packed: list[bytes]) -> list[tuple[int, int]]:
+        left = [i for i, b in enumerate(blocks) if b == low]
+        right = left if low == high else [i for i, b in enumerate(blocks) if b == high]
+        return forest(labels, [np.frombuffer(x, np.uint64) for x in packed], left, right, percent) if left and right and len(blocks) > 1 else []
 
-    return both.mapInArrow(run, "x bigint, y bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = None, ([], [], []), []
+        for batch in batches:
+            for hub, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (hub, low, high) != now:
+                    if now:
+                        found += links(*now[1:], *held)
+                    now, held = (hub, low, high), ([], [], [])
+                for x, value in zip(held, row):
+                    x.append(value)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=out)
+                found = []
+        if now:
+            found += links(*now[1:], *held)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=out)
+
+    return dealt.repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high").mapInArrow(run, "u bigint, v bigint")
 
 
 def renamed(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -307,30 +380,16 @@ def linked_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataF
     """``node, component`` of all nodes that link with another, by links between nodes that share a group.
 
     First each node meets the least node of its groups. A group whose members are then in
-    one component is settled, for other links in it change nothing. Of an unsettled group
-    some members, drawn by a hash, meet all members of other components, ``SPREAD`` times more in each
-    round until the group is settled or all its members have met: no link is missed, and
-    the rounds are as many as the logarithm of the largest group.
+    one component is settled, for other links in it change nothing. Of the others all
+    pairs in different components are compared, so no link is missed.
     """
     hubs = scratch(groups.groupBy("key").agg(F.min("node").alias("hub")))
     first = groups.join(hubs, "key").where("node <> hub").groupBy(F.col("node").alias("v")).agg(F.min("hub").alias("u"))
-    met = scratch(first.select("u", "v"))
-    found = scratch(components(verified(met.select("u", "v", F.col("u").alias("x"), F.col("v").alias("y")), sets, percent).toDF("u", "v")))
-    draw = F.pmod(F.xxhash64("node", F.lit("hub")), F.lit(1 << 30)) / float(1 << 30)
-    share, before = float(SPREAD), 0.0
-    while True:
-        named = groups.select("key", "node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        named = scratch(named)
-        state = scratch(named.groupBy(F.col("key").alias("of_key")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").cast("double").alias("n")).where((F.col("low") < F.col("high")) & (F.col("n") > before)).select("of_key", "n"))
-        groups = scratch(named.join(state, F.col("key") == F.col("of_key")).drop("of_key"))
-        if groups.isEmpty():
-            return found
-        hubs = groups.where((draw * F.col("n") < share) & (draw * F.col("n") >= before)).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        meeting = groups.join(hubs, "key").where("label <> hub_label").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"), F.least("label", "hub_label").alias("x"), F.greatest("label", "hub_label").alias("y"))
-        pairs = scratch(meeting.distinct().join(met, ["u", "v"], "left_anti"))
-        met = met.unionByName(pairs.select("u", "v"))
-        found = renamed(found, verified(pairs, sets, percent).toDF("u", "v"))
-        share, before = share * SPREAD, share
+    found = scratch(components(verified(first, sets, percent)))
+    named = groups.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    named = scratch(named)
+    unsettled = scratch(named.groupBy(F.col("key").alias("of_key")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("of_key"))
+    return renamed(found, compared(named.join(unsettled, F.col("key") == F.col("of_key"), "left_semi"), sets, percent))
 
 
 def labelled(source: DataFrame, n: int, percent: int) -> DataFrame:
@@ -358,7 +417,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     Two documents link when 100 |A ∩ B| >= percent |A ∪ B| for their sets of ``n``-word
     shingles; the component is the smallest doc_id that links reach, itself included. No
     link is lost: every pair of linked sets shares a signature, and pairs that share one are
-    compared exactly until those left are in one component anyway.
+    compared exactly unless other links have joined them.
 
     Equal sets are one node from the start, whatever their number and ids; sets and shingles
     are named by 64 bits of hashes. Signatures are packed before they are shuffled, and

@@ -386,15 +386,17 @@ def test_similar_sets_share_a_signature(size, changes, percent, seed):
 
 
 def test_common_signatures_and_shuffled_texts(spark, small, texts, monkeypatch):
-    for name, value in (("COMMON", 1), ("HELD", 5000), ("SPREAD", 2), ("BROADCAST_ROWS", 0)):
+    for name, value in (("COMMON", 1), ("HELD", 5000), ("BLOCK_DOCS", 3), ("BROADCAST_ROWS", 0)):
         monkeypatch.setattr(jaccard, name, value)
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs, n=4, percent=85).collect()}
     assert got == components_by_hand(texts, 4, 85)
 
 
-def test_members_of_one_group_that_do_not_link_with_its_least(spark):
+@pytest.mark.parametrize("block", [4, 1000])
+def test_members_of_one_group_that_do_not_link_with_its_least(spark, monkeypatch, block):
     """Any grouping of candidates gives the components of all links inside the groups."""
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
     rng = np.random.default_rng(2)
     sets, members = {}, []
     for g in range(6):
