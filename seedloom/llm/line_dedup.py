@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from seedloom.llm.common import map_arrow, scratch
+from seedloom.llm.common import cuts, map_arrow, scratch
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -22,6 +23,10 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 SLICE_BITS = 1 << 18
 #: Hashes that a task holds before it hands its part of the filters on.
 FLUSH = 4_000_000
+#: Repeated keys up to this number reach every worker (24 bytes each); more meet the documents' keys in a join.
+BROADCAST_KEYS = 1_000_000
+#: A keeper below all ids: that of a key whose documents have none.
+NO_ID = np.iinfo(np.int64).min
 
 
 def line_key(line: bytes) -> bytes:
@@ -118,15 +123,15 @@ def twice_filter(documents: DataFrame, min_chars: int, bits: int | None = None)
     return packed
 
 
-def suspected(documents: DataFrame, packed: np.ndarray, min_chars: int) -> DataFrame:
-    """``digest, doc_id``: 128-bit digests of each document's keys that the filter holds."""
-    shared = documents.sparkSession.sparkContext.broadcast(packed)
+def suspected(source: DataFrame, packed: np.ndarray, min_chars: int) -> DataFrame:
+    """``digest, doc_id, row_key``: 128-bit digests of each row's keys that the filter holds."""
+    shared = source.sparkSession.sparkContext.broadcast(packed)
     bits = len(packed) * 8
 
     def rows(batch: pa.RecordBatch) -> dict:
         found = shared.value
         keys, owners = [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
+        for i, text in enumerate(batch.column(2).to_pylist()):
             own = set(long_keys(text, min_chars))
             keys.extend(own)
             owners.extend([i] * len(own))
@@ -134,36 +139,93 @@ def suspected(documents: DataFrame, packed: np.ndarray, min_chars: int) -> DataF
         at = bit_pair(hashes, bits)
         hit = ((found[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
         which = np.flatnonzero(hit)
-        ids = batch.column(0).take(pa.array(np.array(owners, np.int64)[which]))
-        return {"digest": [xxhash.xxh3_128_digest(keys[i]) for i in which.tolist()], "doc_id": ids}
+        take = pa.array(np.array(owners, np.int64)[which])
+        return {"digest": [xxhash.xxh3_128_digest(keys[i]) for i in which.tolist()], "doc_id": batch.column(0).take(take), "row_key": batch.column(1).take(take)}
 
-    return map_arrow(documents.select("doc_id", "text"), rows, "digest binary, doc_id bigint")
+    return map_arrow(source.select("doc_id", row_key(), "text"), rows, "digest binary, doc_id bigint, row_key bigint")
 
 
-def lost_keys(source: DataFrame, min_chars: int, min_docs: int, filter_bits: int | None = None) -> DataFrame:
-    """``lost_id, digests``: digests of the keys that each document of ``doc_id, text`` rows loses."""
+def row_key() -> Column:
+    """64 bits that name a row by id and text; rows that share them are repeats and lose the same lines."""
+    return F.xxhash64("doc_id", "text").alias("row_key")
+
+
+def repeated_keys(source: DataFrame, min_chars: int, min_docs: int, filter_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``digest, doc_id, row_key`` of suspects, and ``digest, keeper`` of the keys that at least ``min_docs`` documents hold."""
     packed = twice_filter(source, min_chars, filter_bits)
-    # Written once: it is counted and then joined. Repeated rows of a document count once.
+    # Written once: it is counted and perhaps joined. Repeated rows of a document count once.
     suspects = scratch(suspected(source, packed, min_chars))
     counted = suspects.groupBy("digest", "doc_id").agg(F.lit(1).alias("one")).groupBy("digest")
-    # Written too, so that the join exchanges both sides and adaptive execution can split a common line's.
-    repeated = scratch(counted.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs"))
-    lost = suspects.join(repeated, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("digests")).withColumnRenamed("doc_id", "lost_id")
+    repeated = counted.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+    return suspects, scratch(repeated)
+
+
+class Lost:
+    """The keys that a document loses, by its id: those of ``digest, keeper`` rows whose keeper is another."""
 
+    def __init__(self, digests: list[bytes], keepers: list[int | None]) -> None:
+        halves = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        self.halves = halves[order]
+        self.keepers = np.array([NO_ID if k is None else k for k in keepers], np.int64)[order]
 
-def without_lines(text: str | None, digests: list[bytes] | None, min_chars: int) -> tuple[int, int, str]:
-    """Number of lines, of dropped ones, and the text of those that stay."""
+    def of(self, doc_id: int | None, digests: list[bytes]) -> set[bytes]:
+        own = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        first, last = (np.searchsorted(self.halves[:, 0], own[:, 0], side) for side in ("left", "right"))
+        other = NO_ID if doc_id is None else doc_id
+        return {digests[i] for i in np.flatnonzero(last > first).tolist() for j in range(first[i], last[i]) if self.halves[j, 1] == own[i, 1] and self.keepers[j] != other}
+
+
+def without_lines(text: str | None, lost: Callable[[list[bytes]], set[bytes]], min_chars: int) -> tuple[int, int, str]:
+    """Number of lines, of dropped ones, and the text of those that stay; ``lost`` tells which of the digests of long lines go."""
     lines = (text or "").encode().split(b"\n")
-    if not digests:
+    long = [(i, xxhash.xxh3_128_digest(line_key(x))) for i, x in enumerate(lines) if len(x) >= min_chars]
+    gone = lost([d for _, d in long]) if long else set()
+    if not gone:
         return len(lines), 0, text or ""
-    gone = set(digests)
-    stay = [x for x in lines if len(x) < min_chars or xxhash.xxh3_128_digest(line_key(x)) not in gone]
-    return len(lines), len(lines) - len(stay), b"\n".join(stay).decode()
+    dropped = {i for i, d in long if d in gone}
+    return len(lines), len(dropped), b"\n".join(x for i, x in enumerate(lines) if i not in dropped).decode()
+
+
+def map_lines(documents: DataFrame, fn: Callable, schema: str | StructType, min_chars: int, min_docs: int, filter_bits: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """``mapInArrow`` of ``fn(batch, found)`` over ``documents``, with ``found`` the ``without_lines`` of each row of a slice.
+
+    ``documents`` has ``doc_id`` and ``text``. The few repeated keys go to all workers, no text is shuffled;
+    where they are more than ``broadcast_keys``, rows meet the digests that they lose in a join.
+    """
+    narrow = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    suspects, repeated = repeated_keys(narrow, min_chars, min_docs, filter_bits)
+    names = documents.columns
+    at_id, at_text = names.index("doc_id"), names.index("text")
+    if repeated.count() <= broadcast_keys:
+        table = repeated.toPandas()
+        shared = documents.sparkSession.sparkContext.broadcast((list(map(bytes, table["digest"])), [None if k != k or k is None else int(k) for k in table["keeper"].astype(object)]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lost = Lost(*shared.value)
+            for batch in batches:
+                for at, n in cuts(batch, 1000, 16_000_000):
+                    part = batch.slice(at, n)
+                    pairs = zip(part.column(at_id).to_pylist(), part.column(at_text).to_pylist())
+                    yield fn(part, [without_lines(t, lambda digests, d=d: lost.of(d, digests), min_chars) for d, t in pairs])
+
+        return documents.mapInArrow(run, schema)
+    gone = suspects.join(repeated, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("row_key").alias("__row_key")).agg(F.collect_set("digest").alias("__digests"))
+    joined = documents.join(gone, F.xxhash64(F.col("doc_id").cast("bigint"), "text") == F.col("__row_key"), "left").select(*(F.col(f"`{c}`") for c in names), "__digests")
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in cuts(batch, 1000, 16_000_000):
+                part = batch.slice(at, n)
+                rows = zip(part.column(at_text).to_pylist(), part.column(len(names)).to_pylist())
+                found = [without_lines(t, lambda digests, d=d: set(d or ()).intersection(digests), min_chars) for t, d in rows]
+                yield fn(pa.RecordBatch.from_arrays(part.columns[: len(names)], names=names), found)
+
+    return joined.mapInArrow(run_joined, schema)
 
 
 def dedup_lines(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int | None = None
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int | None = None, broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text`` of every document.
 
@@ -175,48 +237,41 @@ def dedup_lines(
     twice; slices of them are merged in parallel into the filter of lines seen twice
     anywhere. Only documents' keys in that filter are shuffled, as 128-bit digests, to be
     counted exactly, so filter errors cost traffic and no result. Lines that stay keep
-    their bytes. Documents meet the lists of keys they lose in one join on doc_id.
+    their bytes. The confirmed keys go to the documents; only beyond ``broadcast_keys`` of them are texts joined.
 
-    Null and empty texts are one empty line. A null doc_id counts as one document, the
+    Null and empty texts are one empty line. All null doc_ids count as one document, the
     smallest. Rows with the same doc_id count as one document, and each gets its row.
     ``filter_bits`` (a power of two of at least 2^18) overrides the size chosen from the number of lines.
     An empty table gives an empty result; other columns are not read.
     """
     source = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    lost = lost_keys(source, min_chars, min_docs, filter_bits)
-    joined = source.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", "digests")
+    names = ["doc_id", "n_lines", "n_dropped", "kept_text"]
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        found = [without_lines(t, d, min_chars) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        return {"doc_id": batch.column(0), "n_lines": [x[0] for x in found], "n_dropped": [x[1] for x in found], "kept_text": [x[2] for x in found]}
+    def rows(batch: pa.RecordBatch, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds))], names=names)
 
-    return map_arrow(joined, rows, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_text string")
+    return map_lines(source, rows, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_text string", min_chars, min_docs, filter_bits, broadcast_keys)
 
 
-def dedup_documents(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_documents(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """The rows of ``documents`` with repeated lines left out of ``text`` and ``n_chars`` counted again.
 
     Rules as in :func:`dedup_lines`; documents that lose nothing, null texts among them, stay as they are.
     """
     columns = documents.columns
-    lost = lost_keys(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), min_chars, min_docs).toDF("__lost_id", "__digests")
-    rest = [c for c in columns if c not in ("doc_id", "text", "n_chars")]
-    joined = documents.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left").select("doc_id", "text", "n_chars", "__digests", *rest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts, sizes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                for i, digests in enumerate(batch.column(3).to_pylist()):
-                    if digests:
-                        texts[i] = without_lines(texts[i], digests, min_chars)[2]
-                        sizes[i] = len(texts[i])
-                arrays = [batch.column(0), pa.array(texts, batch.schema.field(1).type), pa.array(sizes, batch.schema.field(2).type), *batch.columns[4:]]
-                names = ["doc_id", "text", "n_chars", *rest]
-                yield pa.RecordBatch.from_arrays([arrays[names.index(c)] for c in columns], names=columns)
-
-    return joined.mapInArrow(run, documents.schema)
+    def rows(batch: pa.RecordBatch, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        text, size = columns.index("text"), columns.index("n_chars")
+        arrays = list(batch.columns)
+        texts, sizes = arrays[text].to_pylist(), arrays[size].to_pylist()
+        for i, (_, dropped, kept) in enumerate(found):
+            if dropped:
+                texts[i], sizes[i] = kept, len(kept)
+        arrays[text], arrays[size] = pa.array(texts, arrays[text].type), pa.array(sizes, arrays[size].type)
+        return pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return map_lines(documents, rows, documents.schema, min_chars, min_docs, broadcast_keys=broadcast_keys)
 
 
 #: DuckDB SQL for the query's rows.

@@ -81,6 +81,8 @@ def test_stages_keep_columns_and_clean_rows(docs, labels):
     assert toxicity.drop_toxic(docs, toxicity.train(docs, labels)).columns == docs.columns
     lines = line_dedup.dedup_documents(docs)
     assert lines.columns == docs.columns and lines.count() == len(ROWS) and lines.where("digest = 'clash'").count() == len(ROWS)
+    joined = line_dedup.dedup_documents(docs, broadcast_keys=0)
+    assert joined.columns == docs.columns and sorted(map(str, joined.collect())) == sorted(map(str, lines.collect()))
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert {1, 2, 3, 9, 12, 13, None} <= {r["doc_id"] for r in kept.collect()} and kept.where("doc_id in (5, 6, 7, 8, 10)").count() == 0
@@ -101,3 +103,12 @@ def test_mixing_takes_each_row_by_its_own_copies(spark):
     for d, text, source, _ in rows:
         assert whole[source] <= mixed.count((d, text, source)) <= (whole[source] + 1) * [r[:3] for r in rows].count((d, text, source))
     assert sorted(map(str, mixed)) == sorted(str((r["doc_id"], r["text"], r["source"])) for r in mixing.mixed_documents(docs.repartition(5)).collect())
+
+
+@pytest.mark.parametrize("keys", [0, 10**6])
+def test_lines_of_rows_without_or_with_shared_ids(spark, keys):
+    rows = [(None, LINE), (None, f"{LINE}\nmore"), (1, LINE), (1, f"own\n{LINE}"), (2, LINE), (3, LINE), (3, f"{LINE}\nlast")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = sorted(((r["doc_id"], r["kept_text"]) for r in line_dedup.dedup_lines(docs, min_docs=4, broadcast_keys=keys).collect()), key=str)
+    assert found == sorted([(None, ""), (None, "more"), (1, ""), (1, "own"), (2, ""), (3, LINE), (3, f"{LINE}\nlast")], key=str)
+    assert all(r["n_dropped"] == 0 for r in line_dedup.dedup_lines(docs, min_docs=5, broadcast_keys=keys).collect())

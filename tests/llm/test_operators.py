@@ -206,12 +206,12 @@ def test_chunks_cover_every_byte():
     assert [verdict(prose[:n])[1] for n in (8192, 4095, 4097, 200)] == [2, 7, 2, 1]
 
 
-@pytest.mark.parametrize("bits", [1 << 18, None])
-def test_lines_with_a_full_or_an_ample_filter(spark, bits):
+@pytest.mark.parametrize(("bits", "keys"), [(1 << 18, 0), (None, 10**6)])
+def test_lines_with_a_full_or_an_ample_filter(spark, bits, keys):
     rng = random.Random(5)
     pool = [f"line {i} that is certainly longer than forty characters, all in all" for i in range(60)]
     rows = [(d, "\n".join(rng.choice((str.upper, str, lambda s: f"\t{s} "))(rng.choice(pool)) for _ in range(4)) + "\nshort") for d in range(80)]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), filter_bits=bits).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), filter_bits=bits, broadcast_keys=keys).collect()}
     holders = collections.defaultdict(set)
     for d, text in rows:
         for line in text.split("\n"):
