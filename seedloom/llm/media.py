@@ -90,7 +90,7 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: str = "
     while at + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
-        if size == 1:
+        if size == 1 and at + 16 <= end:
             (size,) = struct.unpack_from(">Q", data, at + 8)
             head = 16
         elif size == 0:
@@ -104,32 +104,24 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: str = "
         at += size
 
 
-def probe(media: bytes) -> dict:
-    """Codec, duration, sample and keyframe byte ranges of a container; no payload is decoded.
-
-    Sample ranges are numpy arrays of ``(offset, size)``. Files without a track with
-    sample tables give ``codec`` None and no ranges; broken boxes raise ``ValueError``.
-    """
-    data = memoryview(media)
-    boxes: dict[str, tuple[int, int]] = {}
-    for path, start, end in walk(data):
-        boxes.setdefault(path, (start, end))
+def read_track(data: memoryview, boxes: dict[str, tuple[int, int]]) -> dict:
+    """Codec, timescale, duration, and byte ranges and start times of a track's samples, from its boxes by path."""
     stbl = "/moov/trak/mdia/minf/stbl"
-    none = np.zeros((0, 2), np.int64)
-    if f"{stbl}/stsz" not in boxes or "/moov/trak/mdia/mdhd" not in boxes:
-        return {"codec": None, "timescale": 0, "duration": 0, "samples": none, "keyframes": none}
 
     def table(name: str, kind: str, skip: int = 8) -> np.ndarray:
         start, end = boxes[f"{stbl}/{name}"]
-        return np.frombuffer(data[start + skip : end], kind).astype(np.int64)
-
-    at = boxes["/moov/trak/mdia/mdhd"][0]
-    wide = data[at] == 1
-    timescale, duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
-    at = boxes[f"{stbl}/stsd"][0]
-    codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
-    start = boxes[f"{stbl}/stsz"][0]
-    even, count = struct.unpack_from(">II", data, start + 4)
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(data[start + skip : end], kind, (end - start - skip) // width).astype(np.int64)
+
+    def body(path: str) -> memoryview:
+        start, end = boxes[path]
+        return data[start:end]
+
+    head = body("/moov/trak/mdia/mdhd")
+    wide = head[0] == 1
+    timescale, duration = struct.unpack_from(">IQ" if wide else ">II", head, 20 if wide else 12)
+    codec = bytes(struct.unpack_from("4s", body(f"{stbl}/stsd"), 12)[0]).decode("latin-1")
+    even, count = struct.unpack_from(">II", body(f"{stbl}/stsz"), 4)
     sizes = np.full(count, even, np.int64) if even else table("stsz", ">u4", 12)[:count]
     chunks = table("co64", ">u8") if f"{stbl}/co64" in boxes else table("stco", ">u4")
     runs = table("stsc", ">u4").reshape(-1, 3)
@@ -137,10 +129,42 @@ def probe(media: bytes) -> dict:
     owner = np.repeat(np.arange(len(chunks)), per_chunk)[:count]
     before = np.cumsum(sizes) - sizes
     heads = np.cumsum(per_chunk) - per_chunk
-    offsets = chunks[owner] + before - before[np.minimum(heads[owner], count - 1)]
-    samples = np.stack([offsets, sizes], 1)
+    offsets = chunks[owner] + before - before[np.minimum(heads[owner], count - 1)] if count else np.zeros(0, np.int64)
+    steps = table("stts", ">u4").reshape(-1, 2) if f"{stbl}/stts" in boxes else np.zeros((0, 2), np.int64)
+    lasting = np.repeat(steps[:, 1], steps[:, 0])[:count]
     keys = table("stss", ">u4") - 1 if f"{stbl}/stss" in boxes else np.arange(count)
-    return {"codec": codec, "timescale": timescale, "duration": duration, "samples": samples, "keyframes": samples[keys]}
+    samples = np.stack([offsets, sizes], 1)
+    return {
+        "codec": codec, "timescale": timescale, "duration": duration or int(lasting.sum()), "samples": samples,
+        "keyframes": samples[keys], "keyframe_times": (np.cumsum(lasting) - lasting)[keys] if len(lasting) == count else np.zeros(0, np.int64),
+    }
+
+
+def tracks(media: bytes) -> list[dict]:
+    """:func:`read_track` of every track that has sample tables, in file order; broken boxes raise ``ValueError``."""
+    data = memoryview(media)
+    boxes: list[dict[str, tuple[int, int]]] = []
+    for path, start, end in walk(data):
+        if path == "/moov/trak":
+            boxes.append({})
+        elif path.startswith("/moov/trak/"):
+            boxes[-1].setdefault(path, (start, end))
+    needed = {"/moov/trak/mdia/mdhd"} | {f"/moov/trak/mdia/minf/stbl/{x}" for x in ("stsd", "stsz", "stsc")}
+    try:
+        return [read_track(data, own) for own in boxes if needed <= set(own)]
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError(f"a sample table is broken: {e}") from e
+
+
+def probe(media: bytes) -> dict:
+    """Codec, duration, sample and keyframe byte ranges of a container's first track; no payload is decoded.
+
+    Ranges are numpy arrays of ``(offset, size)``, ``keyframe_times`` counts in units of the timescale. Files without a
+    track with sample tables give ``codec`` None and no ranges; broken boxes and tables raise ``ValueError``.
+    """
+    none = np.zeros((0, 2), np.int64)
+    found = tracks(media)
+    return found[0] if found else {"codec": None, "timescale": 0, "duration": 0, "samples": none, "keyframes": none, "keyframe_times": np.zeros(0, np.int64)}
 
 
 def read_payload(media: bytes, samples: np.ndarray) -> bytes:
@@ -176,28 +200,34 @@ def text_to_media(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 PROBED = (
-    "codec string, timescale bigint, duration bigint, n_samples bigint, n_keyframes bigint, "
-    "keyframes array<struct<offset:bigint,size:bigint>>, payload binary"
+    "n_tracks bigint, codec string, timescale bigint, duration bigint, n_samples bigint, n_keyframes bigint, "
+    "keyframes array<struct<offset:bigint,size:bigint>>, keyframe_times array<bigint>, payload binary"
 )
 
 
 def probe_media(media: DataFrame, keep: str = "doc_id bigint, n_bytes bigint", media_col: str = "media", payload: bool = True) -> DataFrame:
-    """Columns of :func:`probe` for a table with a media column, beside its ``keep`` columns.
+    """Columns of :func:`probe` for a table with a media column, beside its ``keep`` columns, and the number of tracks.
 
-    ``payload`` also reads the stored bytes. Null media give null codec and empty ranges.
+    ``payload`` also reads the stored bytes. Null and broken media give null codec, no tracks and empty ranges.
     """
     names = [c.split()[0] for c in keep.split(", ")]
 
     def rows(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c.strip().split()[0]: [] for c in ("codec", "timescale", "duration", "n_samples", "n_keyframes", "keyframes", "payload")}
+        out: dict[str, list] = {c.strip().split()[0]: [] for c in ("n_tracks", "codec", "timescale", "duration", "n_samples", "n_keyframes", "keyframes", "keyframe_times", "payload")}
         for data in batch.column(len(names)).to_pylist():
-            found = probe(data or b"")
+            try:
+                every = tracks(data or b"")
+            except ValueError:
+                every = []
+            found = every[0] if every else probe(b"")
+            out["n_tracks"].append(len(every))
             out["codec"].append(found["codec"])
             out["timescale"].append(found["timescale"])
             out["duration"].append(found["duration"])
             out["n_samples"].append(len(found["samples"]))
             out["n_keyframes"].append(len(found["keyframes"]))
             out["keyframes"].append([{"offset": a, "size": b} for a, b in found["keyframes"].tolist()])
+            out["keyframe_times"].append(found["keyframe_times"].tolist())
             out["payload"].append(read_payload(data or b"", found["samples"]) if payload else None)
         return out | {n: batch.column(i) for i, n in enumerate(names)}
 
@@ -206,7 +236,7 @@ def probe_media(media: DataFrame, keep: str = "doc_id bigint, n_bytes bigint", m
 
 DIGEST = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
-    "media_bytes bigint, media_sha256 string, feature string"
+    "media_bytes bigint, media_sha256 string, feature string, codec string, duration bigint, keyframes array<struct<offset:bigint,size:bigint>>"
 )
 
 
@@ -214,22 +244,25 @@ def media_digest(media: DataFrame) -> DataFrame:
     """One digest row per container of :func:`text_to_media`, from the bytes read back by the sample tables.
 
     ``feature`` names codec, rate, duration in samples, the counts, and the CRC of the
-    keyframe byte ranges.
+    keyframe byte ranges; codec, duration and the ranges have columns too. Null media have no bytes, null hash and codec and no ranges.
     """
 
     def rows(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c.split()[0]: [] for c in DIGEST.split(", ")}
         out["doc_id"], out["n_bytes"] = batch.column(0), batch.column(1)
         for data in batch.column(2).to_pylist():
-            found = probe(data)
-            payload = read_payload(data, found["samples"])
+            found = probe(data or b"")
+            payload = read_payload(data or b"", found["samples"])
             ranges = zlib.crc32(found["keyframes"].astype("<i8").tobytes())
             out["payload_bytes"].append(len(payload))
             out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
             out["tail_crc32"].append(zlib.crc32(payload[-16:]))
-            out["media_bytes"].append(len(data))
-            out["media_sha256"].append(hashlib.sha256(data).hexdigest())
-            out["feature"].append(f"{found['codec'].strip()}:{found['timescale']}:{found['duration']}:{len(found['samples'])}:{len(found['keyframes'])}:{ranges:08x}")
+            out["media_bytes"].append(len(data or b""))
+            out["media_sha256"].append(None if data is None else hashlib.sha256(data).hexdigest())
+            out["feature"].append(f"{(found['codec'] or '').strip()}:{found['timescale']}:{found['duration']}:{len(found['samples'])}:{len(found['keyframes'])}:{ranges:08x}")
+            out["codec"].append(found["codec"])
+            out["duration"].append(found["duration"])
+            out["keyframes"].append([{"offset": a, "size": b} for a, b in found["keyframes"].tolist()])
         return out
 
     return map_arrow(media.select("doc_id", "n_bytes", "media"), rows, DIGEST, 500)
