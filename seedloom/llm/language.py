@@ -22,15 +22,21 @@ BUCKETS, LEXICON = 1 << 16, 3000
 ITERATIONS, RATE, RIDGE = 80, 0.15, 1e-5
 #: Words looked at in one block of the forward-backward recursion.
 BLOCK = 32
-#: Code points of a word that n-grams are taken from, besides its last three.
+#: Code points of a word; a longer run of letters, as in scripts without spaces, is so many words one after another.
 WIDTH = 24
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Numbers such as ½, ² and Ⅷ, which count as word characters but are no letters.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+LETTERS = rf"[^\W\d_{NUMERALS}]"
+WORD = re.compile(rf"{LETTERS}+(?:['’]{LETTERS}+)*")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of letters, long ones cut into words of at most ``WIDTH`` code points."""
+    words = WORD.findall(text.lower()) if text else []
+    if any(len(w) > WIDTH for w in words):
+        words = [w[at : at + WIDTH] for w in words for at in range(0, len(w), WIDTH)]
+    return words
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +185,10 @@ def training_spans(documents: DataFrame, docs: int = TRAIN_DOCS, span: int = SPA
     usable = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     counts = usable.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    # One row for each language; drawn rows are about docs times languages, and no more than twice that.
+    # One row for each language; drawn rows are about docs times languages, and no more than twice that, the first by their hash.
     n_langs = counts.count()
-    drawn = usable.join(F.broadcast(counts), F.col("lang") == F.col("of_lang")).where(draw < docs / F.col("n")).select("doc_id", "lang", "text").limit(max(1, 2 * docs * n_langs))
+    drawn = usable.join(F.broadcast(counts), F.col("lang") == F.col("of_lang")).where(draw < docs / F.col("n")).select("doc_id", "lang", "text")
+    drawn = drawn.orderBy(F.xxhash64("doc_id", F.lit("language")), "doc_id", F.xxhash64("text")).limit(max(1, 2 * docs * n_langs))
 
     def rows(batch: pa.RecordBatch) -> dict:
         spans = []
