@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame
 from seedloom.llm.common import ASCII_SPACE, map_arrow
 
 #: Rows of (documents below so many bytes, least ratio, greatest ratio); the ratio is
-#: bytes over compressed bytes. Short frames carry a header, so their bounds are lower.
+#: bytes over compressed bytes. Short frames carry a header, so their bounds are lower. Each lower bound
+#: lies between the ratios of prose and of random base64 text of the row's least length.
 BANDS = (
-    (256, 0.0, 3.0),
+    (128, 0.9, 3.0),
+    (160, 0.98, 3.0),
+    (200, 1.04, 3.0),
+    (256, 1.1, 3.0),
     (512, 1.15, 3.0),
     (1024, 1.25, 3.2),
     (2048, 1.4, 3.5),
