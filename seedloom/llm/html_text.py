@@ -30,6 +30,12 @@ BOILERPLATE = frozenset(
 )
 #: A class or id with one of these parts speaks of the page about an element, as in "layout-with-sidebar".
 ABOUT = frozenset("with has no without hide show layout".split())
+# Parts of names that say where or how an element stands, not what it holds.
+PLACES = frozenset(
+    "site page top bottom left right main primary secondary inner outer box bar area block section container wrapper wrap list item items content global local "
+    "links link text label header footer sticky fixed floating mobile desktop small large first last default new row col column group panel zone slot unit region "
+    "article post story entry body the a an and of by form button buttons icon icons message messages policy".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_ANYWAY = frozenset(("html", "body", "article", "main"))
 
@@ -42,26 +48,35 @@ NAME_PART = re.compile(r"[a-z]+")
 #: Points that an article or main element starts with, and its share of each paragraph's points by level above it.
 ARTICLE_BONUS = 25.0
 SIBLING_SHARE = 0.2
+#: Points of all its blocks with which an element of a doubtful name is part of the article: one sentence of 25 characters with a comma has more.
+LEAST_POINTS = 1.2
+
 
+def beside_article(name: str, attributes: str) -> int:
+    """2 if an element's name, class, id, role or visibility marks it as no part of an article, 1 if its name may, else 0.
 
-def beside_article(name: str, attributes: str) -> bool:
-    """Whether an element's name, class, id, role or visibility marks it as no part of an article."""
+    A name that holds more than boilerplate and places, as in "social-history" or "notice-period", may speak of an
+    article's subject; the element's text decides.
+    """
     if name in DROPPED:
-        return True
+        return 2
     if name in KEPT_ANYWAY or len(attributes) < 3:
-        return False
+        return 0
+    found = 0
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return 2
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return 2
         if key in ("class", "id", "role"):
             for one in value.split():
                 parts = NAME_PART.findall(one)
                 if not BOILERPLATE.isdisjoint(parts) and ABOUT.isdisjoint(parts):
-                    return True
-    return False
+                    if all(p in BOILERPLATE or p in PLACES or len(p) < 3 for p in parts):
+                        return 2
+                    found = 1
+    return found
 
 
 class Page:
@@ -70,6 +85,7 @@ class Page:
     def __init__(self, by_class: bool = True) -> None:
         self.by_class = by_class
         self.names, self.parents = ["#page"], [-1]
+        self.doubtful: list[int] = []
         self.blocks: list[tuple[int, str, int]] = []
 
     def parse(self, html: str) -> "Page":
@@ -159,7 +175,10 @@ class Page:
             stack.append(len(names) - 1)
             opened[name] = opened.get(name, 0) + 1
             linked += name == "a"
-            if skipped is None and beside_article(name, attributes if self.by_class else ""):
+            beside = 0 if skipped is not None else beside_article(name, attributes if self.by_class else "")
+            if beside == 1:
+                self.doubtful.append(len(names) - 1)
+            elif beside:
                 flush_before = text and name not in BLOCK
                 if flush_before:
                     text.append(" ")
@@ -197,6 +216,7 @@ class Page:
             return []
         n = len(names)
         points, chars, links = [0.0] * n, [0] * n, [0] * n
+        own_points = [0.0] * n
         for node, words, linked in self.blocks:
             chars[node] += len(words)
             links[node] += min(linked, len(words))
@@ -205,6 +225,7 @@ class Page:
             else:
                 own = (len(words) >= 25) + words.count(",") + min(len(words) / 100, 3.0)
             own *= 1 - min(linked, len(words)) / len(words)
+            own_points[node] += own
             # A block's text may stand right in a container, which is then its own first ancestor.
             up = node if names[node] in ("div", "article", "main", "section", "body", "td") else parents[node]
             for level in range(1, 6):
@@ -215,6 +236,8 @@ class Page:
         for node in range(n - 1, 0, -1):
             chars[parents[node]] += chars[node]
             links[parents[node]] += links[node]
+            own_points[parents[node]] += own_points[node]
+        left_out = {d for d in self.doubtful if own_points[d] < LEAST_POINTS or links[d] > 0.5 * chars[d]}
         best, most = 0, -1.0
         total = [0.0] * n
         for node in range(n):
@@ -245,7 +268,7 @@ class Page:
             # What is only taken along with the best container must be no row of links of other elements either.
             besides = not tagged and not scored[node] and node not in above and names[node] not in HEADINGS
             row = besides and links[node] and 2 * links[node] >= chars[node]
-            menu[node] = up >= 0 and menu[up] or bool(dense) and names[node] in ("ul", "ol", "dl", "table") or bool(row)
+            menu[node] = node in left_out or up >= 0 and menu[up] or bool(dense) and names[node] in ("ul", "ol", "dl", "table") or bool(row)
         return [words for node, words, _ in self.blocks if inside[node] and not menu[node]]
 
 

@@ -68,6 +68,14 @@ def test_sections_of_a_whole_page_without_article_tag(wrap):
     assert found[0] == "Title" and [x for x in found if x.startswith("Part")] == ["Part 0", "Part 1", "Part 2", "Part 3"] and len(found) == 16
 
 
+def test_scoring_decides_on_doubtful_names():
+    page = f"""<body><nav><a href=1>Menu</a></nav><article><h1>Work</h1>{PARAGRAPH}<div class="social-history"><p>The union grew, slowly, over many years of quiet work.</p></div>
+    <section id="notice-period"><p>The term is four weeks, or eight after two years of work.</p></section><div class="related-stories-rail"><a href=1>One, two, three</a> <a href=2>Four, five, six</a></div>
+    <div class="share-buttons">Tell your friends, all of them, about this page now.</div><div class="site-notice">We have a new policy, and a new look, since last week.</div></article>
+    <div class="reader-comments"><p>Nice, very nice, and long enough to be scored, I think.</p></div></body>"""
+    assert [x[:9] for x in html_text.main_text(page).split("\n\n")] == ["Work", "word, wor", "The union", "The term "]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "plain text only", "<a '", "</p></div>", "<p>a<!-- b", "<script>x", "<div>" * 3000 + "deep"])
 def test_broken_pages(page):
     html_text.main_text(page)
@@ -103,8 +111,21 @@ def test_media_tables_of_other_writers():
     mdia = media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIII", 0, 0, 90, 30)), media.box(b"minf", stbl))
     found = media.probe(media.box(b"moov", media.box(b"trak", mdia)))
     assert found["codec"] == "avc1" and found["samples"].tolist() == [[1000, 5], [1005, 6], [2000, 7]] and found["keyframes"].tolist() == [[1000, 5], [2000, 7]]
-    with pytest.raises(ValueError):
-        media.probe(struct.pack(">I4s", 999, b"moov"))
+    assert found["keyframe_times"].tolist() == [0, 20] and found["duration"] == 30
+    sound = media.write_container(bytes(192))[len(media.box(b"ftyp", b"isom", struct.pack(">I", 512), b"isomiso2")) :]
+    trak = next(bytes(sound[a - 8 : b]) for path, a, b in media.walk(memoryview(sound)) if path == "/moov/trak")
+    both = media.tracks(media.box(b"moov", media.box(b"trak", mdia), trak))
+    assert [t["codec"] for t in both] == ["avc1", "raw "] and [len(t["samples"]) for t in both] == [3, 1]
+    for broken in (struct.pack(">I4s", 999, b"moov"), media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"mdhd"), media.box(b"minf", stbl))))):
+        with pytest.raises(ValueError):
+            media.probe(broken)
+
+
+def test_media_without_bytes(spark):
+    table = spark.createDataFrame([(1, 0, None), (2, 0, bytearray(b"")), (3, 5, bytearray(struct.pack(">I4s", 999, b"moov")))], "doc_id bigint, n_bytes bigint, media binary")
+    assert [(r["n_tracks"], r["codec"], r["keyframes"], r["payload"]) for r in media.probe_media(table).collect()] == [(0, None, [], b"")] * 3
+    digest = media.media_digest(table.where("doc_id < 3")).collect()
+    assert [(r["media_bytes"], r["payload_bytes"], r["media_sha256"] is None) for r in digest] == [(0, 0, True), (0, 0, False)]
 
 
 def test_media_digests(spark, small, texts):
@@ -143,6 +164,14 @@ def test_language_held_out_accuracy(spark):
     assert collections.Counter(labels[:20]).most_common(1)[0][0] == "en" and collections.Counter(labels[-20:]).most_common(1)[0][0] == "de"
 
 
+def test_every_letter_and_only_letters_count():
+    assert language.words_of("½ ² ③ Ⅷ 12 _ 7b") == ["b"] and language.words_of("Don’t x") == ["don’t", "x"]
+    run = "".join(chr(0x4E00 + i) for i in range(100))
+    assert "".join(language.words_of(run)) == run and max(map(len, language.words_of(run))) == language.WIDTH
+    owner, _ = language.features(language.words_of(run), {})
+    assert set(owner.tolist()) == set(range(5))
+
+
 def test_toxicity_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
     from seedloom.llm import toxicity
@@ -203,6 +232,8 @@ def test_chunks_cover_every_byte():
         for data in (prose[:good] + noise[:bad], noise[:bad] + prose[:good]):
             assert verdict(data)[2] > 0 and not verdict(data)[3]
     assert verdict(prose[:8192] + noise[:256])[1:] == (3, 1, True)
+    for n in (130, 170, 210, 250):
+        assert verdict(prose[:n])[3] and not verdict(bytes(rng.randrange(33, 127) for _ in range(n)))[3]
     assert [verdict(prose[:n])[1] for n in (8192, 4095, 4097, 200)] == [2, 7, 2, 1]
 
 
