@@ -10,25 +10,24 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import map_arrow, scratch
+from seedloom.llm.common import cuts, map_arrow, scratch
 
 #: Labelled documents that the chain is fitted on at most, of each class: a documented bound.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 #: Word beginnings of these lengths are candidates; so many with most evidence are features.
 LENGTHS = range(3, 11)
-FEATURES = 400
+FEATURES = 400  # for each category
 LEAST_DOCS = 4
 #: Least log-likelihood ratio of a feature; chance seldom reaches it.
 LEAST_EVIDENCE = 4.0
 FOLDS = 5
 THRESHOLD = 0.5
-#: Openly abusive English words that tell explicit from implicit toxicity in training rows.
-EXPLICIT = "trash pathetic idiot worthless disgusting stupid clown scum loser moron".split()
-#: The chain's order; later models see the probabilities of earlier ones.
-CATEGORIES = ("explicit", "implicit", "toxic")
+#: The chain's order, each category with the label column and value that it stands for; later models see the
+#: probabilities of earlier ones, and the last is the verdict.
+CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 SPACE = re.compile(r"[^\w]+")
 
@@ -64,30 +63,57 @@ def counted(text: str | None, made: ahocorasick.Automaton, width: int) -> np.nda
     return np.log1p(row)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
+@dataclass
+class Sparse:
+    """A matrix by its entries; most documents hold few features."""
+
+    n: int
+    width: int
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> "Sparse":
+        row, col = np.nonzero(x)
+        return cls(*x.shape, row, col, x[row, col].astype(np.float64))
+
+    def rows(self, mask: np.ndarray) -> "Sparse":
+        inside = mask[self.row]
+        return Sparse(int(mask.sum()), self.width, (np.cumsum(mask) - 1)[self.row[inside]], self.col[inside], self.value[inside])
+
+    def only(self, mask: np.ndarray) -> "Sparse":
+        """The same matrix with other columns empty."""
+        inside = mask[self.col]
+        return Sparse(self.n, self.width, self.row[inside], self.col[inside], self.value[inside])
+
+    def with_column(self, values: np.ndarray) -> "Sparse":
+        every = np.arange(self.n)
+        return Sparse(self.n, self.width + 1, np.append(self.row, every), np.append(self.col, np.full(self.n, self.width)), np.append(self.value, values))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], minlength=self.n)
+
+
+def fit_logistic(x: Sparse, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
     """Weights and bias of a ridge logistic regression, by accelerated gradient descent."""
-    n, width = x.shape
-    if n == 0 or y.min() == y.max():
-        share = float(np.clip(y.mean() if n else 0.0, 1e-4, 1 - 1e-4))
-        return np.append(np.zeros(width), np.log(share / (1 - share))).astype(np.float64)
-    # Rows hold few features: sums over the entries that aren't zero, in one thread.
-    row, col = np.nonzero(x)
-    value = x[row, col].astype(np.float64)
-    rate = 4.0 / (2 * (1 + float((value**2).sum()) / n) + ridge)
-    w = np.zeros(width + 1)
+    if x.n == 0 or y.min() == y.max():
+        share = float(np.clip(y.mean() if x.n else 0.0, 1e-4, 1 - 1e-4))
+        return np.append(np.zeros(x.width), np.log(share / (1 - share))).astype(np.float64)
+    rate = 4.0 / (2 * (1 + float((x.value**2).sum()) / x.n) + ridge)
+    w = np.zeros(x.width + 1)
     v = w.copy()
     for step in range(steps):
-        z = np.bincount(row, value * v[col], minlength=n) + v[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = np.append(np.bincount(col, value * error[row], minlength=width) + ridge * v[:-1], error.sum())
+        error = (1 / (1 + np.exp(-np.clip(x.times(v) + v[-1], -30, 30))) - y) / x.n
+        grad = np.append(np.bincount(x.col, x.value * error[x.row], minlength=x.width) + ridge * v[:-1], error.sum())
         after = v - rate * grad
         v = after + step / (step + 3) * (after - w)
         w = after
     return w
 
 
-def apply_logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass
@@ -100,96 +126,142 @@ class Chain:
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         for w in self.weights:
-            x = np.hstack([x, apply_logistic(x, w)[:, None].astype(x.dtype)])
+            x = np.hstack([x, logistic(x @ w[:-1] + w[-1])[:, None].astype(x.dtype)])
         return x[:, len(self.features) :]
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, features: list[str], categories: tuple[str, ...], folds: int = FOLDS) -> Chain:
-    """Fit the categories in order; a model sees out-of-fold probabilities of the earlier ones."""
-    fold = np.arange(len(x)) % folds
+def fit_chain(x: Sparse, labels: np.ndarray, features: list[str], categories: tuple[str, ...], fold: np.ndarray, chosen: dict[tuple[int, int], np.ndarray] | None = None) -> Chain:
+    """Fit the categories in order; a model sees out-of-fold probabilities of the earlier ones.
+
+    ``chosen[c, f]`` marks the features of category ``c`` that were chosen without fold ``f``,
+    ``chosen[c, -1]`` those chosen on all rows; by default all features are.
+    """
+    every = np.ones(len(features), bool)
     weights = []
     for c in range(len(categories)):
         y = labels[:, c]
-        outside = np.zeros(len(x), x.dtype)
-        for f in range(folds):
-            own = fold == f
-            if own.any():
-                outside[own] = apply_logistic(x[own], fit_logistic(x[~own], y[~own]))
-        weights.append(fit_logistic(x, y))
-        x = np.hstack([x, outside[:, None]])
-    return Chain(features, tuple(categories), weights)
-
-
-def labelled_sample(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> DataFrame:
-    """``doc_id, text, toxic``: at most so many labelled documents of each class, chosen by a hash of their ids."""
-    known = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and label_id is not null")
-    known = known.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
+        earlier = np.ones(c, bool)
+
+        def part(f: int, c: int = c, x: Sparse = x, earlier: np.ndarray = earlier) -> Sparse:
+            return x.only(np.append((chosen or {}).get((c, f), every), earlier))
+
+        outside = np.zeros(x.n)
+        for f in np.unique(fold).tolist():
+            own, inside = fold == f, part(f)
+            w = fit_logistic(inside.rows(~own), y[~own])
+            outside[own] = logistic(inside.rows(own).times(w[:-1]) + w[-1])
+        weights.append(fit_logistic(part(-1), y))
+        x = x.with_column(outside)
+    used = np.logical_or.reduce([(chosen or {}).get((c, -1), every) for c in range(len(categories))])
+    kept = [np.concatenate((w[: len(features)][used], w[len(features) :])) for w in weights]
+    return Chain([f for f, u in zip(features, used) if u], tuple(categories), kept)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, categories=CATEGORIES) -> DataFrame:
+    """``text, fold`` and a 0/1 column for each category: labelled texts by a hash of their ids, at most ``toxic + clean``.
+
+    At most so many ids of each value of the last category are drawn. Texts that are the same words are one row
+    in one fold, with the highest of their labels; a missing label of an earlier category is 0.
+    """
+    last = categories[-1]
+    known = labels.where(F.col(last[1]).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("label_id"))
+    known = known.agg(*(F.max(F.coalesce((F.col(column) == value).cast("int"), F.lit(0))).alias(f"is_{name}") for name, column, value in categories))
     by_hash = F.xxhash64("label_id", F.lit("toxicity"))
-    chosen = known.where("toxic = 1").orderBy(by_hash, "label_id").limit(toxic).unionByName(known.where("toxic = 0").orderBy(by_hash, "label_id").limit(clean))
+    target = F.col(f"is_{last[0]}")
+    chosen = known.where(target == 1).orderBy(by_hash, "label_id").limit(toxic).unionByName(known.where(target == 0).orderBy(by_hash, "label_id").limit(clean))
     # At most toxic + clean rows.
-    return documents.join(F.broadcast(chosen), documents["doc_id"] == F.col("label_id")).select("doc_id", "text", "toxic")
+    joined = documents.join(F.broadcast(chosen), documents["doc_id"] == F.col("label_id"))
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
+    flags = [F.max(f"is_{name}").alias(f"is_{name}") for name, _, _ in categories]
+    rows = joined.withColumn("words", F.xxhash64(words)).groupBy("words").agg(F.min("text").alias("text"), *flags)
+    return rows.orderBy("words").limit(toxic + clean).withColumn("fold", F.pmod("words", F.lit(FOLDS)).cast("int")).drop("words")
+
 
+def select_features(sample: DataFrame, names: list[str], width: int = FEATURES, least_docs: int = LEAST_DOCS) -> dict[tuple[int, int], list[str]]:
+    """Word beginnings that tell a category's sample rows from others best, by signed likelihood ratio.
 
-def select_features(sample: DataFrame, width: int = FEATURES, least_docs: int = LEAST_DOCS) -> list[str]:
-    """Word beginnings that tell toxic sample documents from clean ones best, by signed likelihood ratio."""
-    schema = pa.schema([("feature", pa.string()), ("bad", pa.int64()), ("good", pa.int64()), ("docs_bad", pa.int64()), ("docs_good", pa.int64())])
+    The result has them for each category and each fold left out, and for fold -1, which leaves out none.
+    """
+    flags = [f"is_{n}" for n in names]
+    schema = pa.schema([("feature", pa.string()), ("fold", pa.int32()), ("docs", pa.int64()), *((f, pa.int64()) for f in flags)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, good, n = Counter(), Counter(), [0, 0]
+        held: dict[int, list[Counter]] = {}
         for batch in batches:
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                (bad if toxic else good).update(beginnings(text))
-                n[0 if toxic else 1] += 1
-        rows = [(f, b, good.get(f, 0), 0, 0) for f, b in bad.items()] + [(f, 0, g, 0, 0) for f, g in good.items() if f not in bad] + [("", 0, 0, *n)]
+            for text, fold, *of in zip(*(c.to_pylist() for c in batch.columns)):
+                own = held.setdefault(fold, [Counter() for _ in range(1 + len(flags))])
+                found = beginnings(text) | {""}
+                for counter, yes in zip(own, (1, *of)):
+                    if yes:
+                        counter.update(found)
+        rows = [(x, fold, *(counter.get(x, 0) for counter in own)) for fold, own in held.items() for x in own[0]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    counts = sample.select("text", "toxic").mapInArrow(count, "feature string, bad bigint, good bigint, docs_bad bigint, docs_good bigint")
-    counts = counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("bad", "good", "docs_bad", "docs_good")))
-    counts = counts.where((F.col("feature") == "") | (F.col("bad") >= least_docs))
-    counts = scratch(counts)
+    counts = sample.select("text", "fold", *flags).mapInArrow(count, ", ".join(f"{f.name} {'string' if f.name == 'feature' else 'int' if f.name == 'fold' else 'bigint'}" for f in schema))
+    left_out = [-1, *range(FOLDS)]
+    sums = [F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in left_out for c in ("docs", *flags)]
+    counts = counts.groupBy("feature").agg(*sums)
+    counts = scratch(counts.where((F.col("feature") == "") | (F.greatest(*(F.col(f"{c}_-1") for c in flags), F.lit(0)) >= least_docs)))
     totals = counts.where("feature = ''").first()
-    if totals is None or not totals["docs_bad"] or not totals["docs_good"]:
-        return []
-    n1, n0 = float(totals["docs_bad"]), float(totals["docs_good"])
-    b, g = F.col("bad"), F.col("good")
-    share = (b + g) / (n1 + n0)
-    evidence = b * F.log(b / (n1 * share)) + F.when(g > 0, g * F.log(g / (n0 * share))).otherwise(0.0)
-    # Beginnings that are less often toxic than their absence tell little; longer ones of equal evidence add nothing.
-    best = counts.where((F.col("feature") != "") & (b / n1 > 2 * g / n0)).withColumn("evidence", F.round(evidence, 6))
-    best = best.where(F.col("evidence") >= LEAST_EVIDENCE)
-    return [r["feature"] for r in best.orderBy(F.desc("evidence"), "feature").limit(width).collect()]
-
-
-def train(documents: DataFrame, labels: DataFrame, width: int = FEATURES, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Chain:
-    """A chain fitted on a bounded sample of labelled documents; only features' counts leave the workers.
-
-    Training categories: ``toxic`` is the label; a toxic row with an openly abusive word is
-    ``explicit``, other toxic rows are ``implicit``.
+    if totals is None:
+        return {}
+    choices = []
+    for f in left_out:
+        for c, flag in enumerate(flags):
+            n1 = float(totals[f"{flag}_{f}"])
+            n0 = totals[f"docs_{f}"] - n1
+            if not n1 or not n0:
+                continue
+            b = F.col(f"{flag}_{f}").cast("double")
+            g = F.col(f"docs_{f}") - b
+            share = (b + g) / (n1 + n0)
+            evidence = F.round(b * F.log(b / (n1 * share)) + F.when(g > 0, g * F.log(g / (n0 * share))).otherwise(0.0), 6)
+            # Beginnings that are less often in the category than their absence tell little.
+            good = (b >= least_docs) & (b / n1 > 2 * g / n0) & (evidence >= LEAST_EVIDENCE)
+            choices.append(F.when(good, F.struct(F.lit(c).alias("category"), F.lit(f).alias("fold"), evidence.alias("evidence"))))
+    if not choices:
+        return {}
+    # The rows are features of the bounded sample.
+    best = counts.where("feature <> ''").select("feature", F.explode(F.array_compact(F.array(*choices))).alias("of")).select("feature", "of.*")
+    order = Window.partitionBy("category", "fold").orderBy(F.desc("evidence"), "feature")
+    found: dict[tuple[int, int], list[str]] = {}
+    for r in best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width).orderBy("category", "fold", "place").collect():
+        found.setdefault((r["category"], r["fold"]), []).append(r["feature"])
+    return found
+
+
+def train(documents: DataFrame, labels: DataFrame, width: int = FEATURES, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, categories=CATEGORIES) -> Chain:
+    """A chain over label columns, fitted on a bounded sample of labelled documents; only features' counts leave the workers.
+
+    A fold's probabilities come from models whose features were chosen, and weights fitted, without it.
     """
+    names = [name for name, _, _ in categories]
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sample = labelled_sample(source, labels, toxic, clean)
-    features = select_features(sample, width)
+    sample = scratch(labelled_sample(source, labels, toxic, clean, categories))
+    chosen = select_features(sample, names, width)
+    features = sorted({x for own in chosen.values() for x in own})
     made = automaton(features) if features else None
-    explicit = set(EXPLICIT)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        found = [counted(t, made, len(features)) if made else np.zeros(0, np.float32) for t in batch.column(1).to_pylist()]
-        open_words = [not explicit.isdisjoint(normalized(t).split()) for t in batch.column(1).to_pylist()]
+        found = [counted(t, made, len(features)) if made else np.zeros(0, np.float32) for t in batch.column(0).to_pylist()]
         at = [np.flatnonzero(x) for x in found]
-        return {"doc_id": batch.column(0), "toxic": batch.column(2), "open": open_words, "at": [a.tolist() for a in at], "values": [x[a].tolist() for x, a in zip(found, at)]}
+        return {"at": [a.tolist() for a in at], "values": [x[a].tolist() for x, a in zip(found, at)]} | {name: batch.column(1 + i) for i, name in enumerate(("fold", *flags))}
+
+    flags = [f"is_{n}" for n in names]
+    table = map_arrow(sample.select("text", "fold", *flags), rows, "at array<int>, values array<float>, fold int, " + ", ".join(f"{f} int" for f in flags)).toPandas()
+    sizes = [len(a) for a in table["at"]]
+    entries = lambda column, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(x, kind) for x in table[column])])
+    x = Sparse(len(table), len(features), np.repeat(np.arange(len(table)), np.array(sizes, np.int64)), entries("at", np.int64), entries("values", np.float64))
+    place = {f: i for i, f in enumerate(features)}
+    masks = {(c, f): np.zeros(len(features), bool) for c in range(len(names)) for f in (-1, *range(FOLDS))}
+    for key, own in chosen.items():
+        masks[key][[place[f] for f in own]] = True
+    return fit_chain(x, table[flags].to_numpy(np.float64), features, tuple(names), table["fold"].to_numpy(np.int64), masks)
 
-    table = map_arrow(sample, rows, "doc_id bigint, toxic int, open boolean, at array<int>, values array<float>").toPandas()
-    # Ordered by a scramble of the id, so that folds don't follow the order of the documents.
-    table = table.assign(order=(table["doc_id"].astype("uint64") * np.uint64(0x9E3779B97F4A7C15))).sort_values(["order", "doc_id"])
-    x = np.zeros((len(table), len(features)), np.float32)
-    for i, (at, values) in enumerate(zip(table["at"], table["values"])):
-        x[i, at] = values
-    bad, open_word = table["toxic"].to_numpy(bool), table["open"].to_numpy(bool)
-    labels_of = np.stack([bad & open_word, bad & ~open_word, bad], 1).astype(np.float64)
-    return fit_chain(x, labels_of, features, CATEGORIES)
 
 
-SCHEMA = "doc_id bigint, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean, kept boolean"
+def schema_of(categories: tuple[str, ...]) -> str:
+    return "doc_id bigint, " + ", ".join(f"p_{c} double" for c in categories) + ", toxic boolean, kept boolean"
 
 
 def score(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -208,7 +280,7 @@ def score(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
         return {"doc_id": batch.column(0), "toxic": bad.tolist(), "kept": (~bad).tolist()} | {f"p_{c}": p[:, i].tolist() for i, c in enumerate(chain.categories)}
 
     source = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(source, rows, SCHEMA)
+    return map_arrow(source, rows, schema_of(chain.categories))
 
 
 def classify_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,8 +298,8 @@ def drop_toxic(documents: DataFrame, chain: Chain, text_col: str = "text", thres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start, size in cuts(batch, 1000, 16_000_000):
+                part = batch.slice(start, size)
                 x = np.stack([counted(t, made, len(chain.features)) if made else np.zeros(0, np.float32) for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(chain.probabilities(x)[:, -1] < threshold))
 

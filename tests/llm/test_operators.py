@@ -192,12 +192,63 @@ def test_chain_uses_out_of_fold_probabilities():
     rng = np.random.default_rng(1)
     x = (rng.random((400, 6)) < 0.3).astype(np.float32)
     first = x[:, 0] > 0
-    chain = toxicity.fit_chain(x, np.stack([first, first], 1).astype(float), list("abcdef"), ("one", "two"))
+    chain = toxicity.fit_chain(toxicity.Sparse.of(x), np.stack([first, first], 1).astype(float), list("abcdef"), ("one", "two"), np.arange(400) % 5)
     p = chain.probabilities(x)
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1 and chain.weights[1][6] > 0
     assert ((p[:, 1] > 0.5) == first).mean() > 0.99
 
 
+def test_chain_by_hand():
+    """The chain against dense logistic regressions, fold by fold, with features of their own."""
+    from seedloom.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 5)) * (rng.random((60, 5)) < 0.6)
+    labels = np.stack([x[:, 0] + rng.normal(0, 0.2, 60) > 0.4, x[:, 1] > 0.5], 1).astype(float)
+    fold = rng.integers(0, 3, 60)
+    chosen = {(c, f): rng.random(5) < 0.7 for c in (0, 1) for f in (-1, 0, 1, 2)}
+
+    def fit(x, y):
+        rate, w = 4.0 / (2 * (1 + (x**2).sum() / len(x)) + 1e-3), np.zeros(x.shape[1] + 1)
+        v = w.copy()
+        for step in range(300):
+            e = (1 / (1 + np.exp(-(x @ v[:-1] + v[-1]))) - y) / len(x)
+            after = v - rate * np.append(x.T @ e + 1e-3 * v[:-1], e.sum())
+            v, w = after + step / (step + 3) * (after - w), after
+        return w
+
+    want, wide = [], x
+    for c in (0, 1):
+        outside = np.zeros(60)
+        for f in (0, 1, 2, -1):
+            seen = wide * np.append(chosen[c, f], np.ones(c))
+            w = fit(seen[fold != f], labels[fold != f, c])
+            if f >= 0:
+                outside[fold == f] = 1 / (1 + np.exp(-(seen[fold == f] @ w[:-1] + w[-1])))
+        want.append(w)
+        wide = np.hstack([wide, outside[:, None]])
+    chain = toxicity.fit_chain(toxicity.Sparse.of(x), labels, list("abcde"), ("one", "two"), fold, chosen)
+    used = chosen[0, -1] | chosen[1, -1]
+    assert chain.features == [f for f, u in zip("abcde", used) if u]
+    for w, own in zip(want, chain.weights):
+        assert np.allclose(np.concatenate((w[:5][used], w[5:])), own)
+
+
+def test_copies_are_in_one_fold_and_folds_choose_their_features(spark):
+    from seedloom.llm import toxicity
+
+    rows = [(i, f"word{i % 40} zebra" if i % 2 else f"Word{i % 40},  quiet") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, labels).collect()
+    assert len(sample) == 40 and len({r["fold"] for r in sample}) > 1 and all(r["is_toxic"] == ("zebra" in r["text"]) for r in sample)
+    chosen = toxicity.select_features(spark.createDataFrame(sample), ["low_quality", "toxic"])
+    assert all(c == 1 for c, _ in chosen) and " zebra " in chosen[1, -1]
+    for fold in range(toxicity.FOLDS):
+        outside = [r["text"].lower() for r in sample if r["fold"] != fold and r["is_toxic"]]
+        assert all(sum(f" {t} ".count(x) > 0 for t in outside) >= toxicity.LEAST_DOCS for x in chosen.get((1, fold), []))
+
+
 def test_quality_counts(spark, small, texts):
     for r in queries.op5_quality_rules(spark, small).collect():
         text = texts[r["doc_id"]] or ""
