@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+#: The last kind has no base pattern: credentials, which only the method adds.
+KINDS = ("email", "ip", "card", "phone", "secret")
 # The contract's patterns in forms that Java matches in linear time. A run
 # of the leading class is entered at its start or where the last match ended.
 BASE = {
@@ -25,25 +26,36 @@ BASE = {
 # Looser forms, which only the trained classifier can turn into spans.
 LOOSE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+\x20?[(\[{]\x20?(?:at|AT)\x20?[)\]}]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[(\[{]\x20?(?:dot|DOT)\x20?[)\]}]\x20?)[A-Za-z0-9-]{1,63}+)+",
-    "phone": r"(?<![0-9+().-])(?:\([0-9]{2,4}\)|[0-9]{3,4})[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:[(\[](?:\.|dot)[)\]][0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){3}(?![0-9])",
+    "phone": r"(?<![0-9+().-])(?:(?:\([0-9]{2,4}\)|[0-9]{3,4})[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}|00[1-9][0-9](?:[\x20-]?[0-9]){6,11})(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,99}[0-9])(?=[0-9_/+=-]{0,99}[A-Za-z])[A-Za-z0-9_/+=-]{20,}+",
 }
 #: What a text must hold before a pattern is tried.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
-LOOSE_NEEDS = {"email": r"[(\[{]\x20?(?:at|AT)\x20?[)\]}]", "phone": r"[0-9][\x20.-][0-9]{3,4}(?![0-9])"}
-# Gazetteers of common top-level domains, card number beginnings and country codes.
+LOOSE_NEEDS = {
+    "email": r"[(\[{]\x20?(?:at|AT)\x20?[)\]}]", "ip": r"[0-9][(\[](?:\.|dot)[)\]][0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[\x20._/-]{1,2}[0-9]{4}",
+    "phone": r"[0-9][\x20.-][0-9]{3,4}(?![0-9])|00[1-9][0-9]", "secret": r"[A-Za-z0-9_/+=-]{20}",
+}
+# Gazetteers of common top-level domains, card number beginnings, country codes and beginnings of credentials.
 DOMAINS = "com org net edu gov info biz io de fr es it nl uk us eu ca au ch at be pl br jp cn in".split()
 CARD_STARTS = "^(?:4|5[1-5]|2[2-7]|3[47]|6)"
 COUNTRIES = "^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+SECRET_STARTS = "^(?:AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|pk_live_|xox[abprs]-|eyJ)"
 CONTEXT = {
     "email": r"(?i)(?:mail|contact|write|address|reach)\W*(?:\w+\W+)?$",
     "ip": r"(?i)(?:\bip|host|server|address|from|login)\W*(?:\w+\W+)?$",
     "card": r"(?i)(?:card|visa|credit|payment|paid|account)\W*(?:\w+\W+)?$",
     "phone": r"(?i)(?:tel|phone|call|fax|mobile|cell|contact|whatsapp)\W*(?:\w+\W+)?$",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|api.?key|access.?key|private.?key|credential|bearer|auth\w*)[\"']?\s*(?:[:=]|is)?\s*[\"'`]?$",
 }
-LABELERS = ("strict", "valid", "gazetteer", "context", "edge")
+#: Each labeler looks at evidence of its own: the form of the match, its check digits and ranges, lists, the words before it, and the characters about it.
+LABELERS = ("shape", "valid", "gazetteer", "context", "edge")
 LEFT_CHARS = 24
 ROUNDS = 50
 THRESHOLD = 0.5
+#: Counts that a labeler starts with, by truth and vote: it is taken to be better than chance until the corpus tells.
+START = {1: {-1: 0.5, 0: 1.0, 1: 2.0}, 0: {-1: 2.0, 0: 1.0, 1: 0.5}}
 
 
 def prefix_sums(values: Column, width: int = 128) -> Column:
@@ -58,10 +70,10 @@ def prefix_sums(values: Column, width: int = 128) -> Column:
     )
 
 
-SPAN = "array<struct<start:int,stop:int,kind:int,match:string,left:string,right:string,strict:boolean>>"
+SPAN = "array<struct<start:int,stop:int,kind:int,match:string,left:string,right:string>>"
 
 
-def with_matches(df: DataFrame, name: str, text: Column, pattern: str, needs: str, kind: int, strict: bool) -> DataFrame:
+def with_matches(df: DataFrame, name: str, text: Column, pattern: str, needs: str, kind: int) -> DataFrame:
     """Adds array ``name`` of all matches with their code point positions and surroundings."""
     has = text.rlike(needs)
     df = df.withColumn("_found", F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
@@ -77,8 +89,7 @@ def with_matches(df: DataFrame, name: str, text: Column, pattern: str, needs: st
             F.lit(kind).alias("kind"),
             m.alias("match"),
             F.right(F.get("_parts", i), F.lit(LEFT_CHARS)).alias("left"),
-            F.substring(F.get("_parts", i + 1), 1, 1).alias("right"),
-            F.lit(strict).alias("strict"),
+            F.substring(F.get("_parts", i + 1), 1, 2).alias("right"),
         ),
     )
     return df.withColumn(name, F.when(some, spans).otherwise(F.array().cast(SPAN))).drop("_found", "_parts", "_before")
@@ -101,16 +112,18 @@ def luhn(digits: Column) -> Column:
 
 
 def passes(span: Column) -> Column:
-    """Whether a match of a base pattern passes its kind's conditions."""
+    """Whether a match of a base pattern passes its kind's conditions; looser forms are held to the same."""
     digits = digits_of(span["match"])
     part = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
-    small = F.forall(F.split(span["match"], "[.]"), lambda x: (F.length(part(x)) <= 3) & (part(x).try_cast("int") <= 255))
+    octets = F.filter(F.split(span["match"], "[^0-9]+"), lambda x: x != "")
+    small = F.forall(octets, lambda x: (F.length(part(x)) <= 3) & (part(x).try_cast("int") <= 255)) & (F.size(octets) == 4)
     card = F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(F.lit(False))
     return (
         F.when(span["kind"] == 0, F.lit(True))
-        .when(span["kind"] == 1, small)
+        .when(span["kind"] == 1, span["match"].contains(":") | small)
         .when(span["kind"] == 2, card)
-        .otherwise(F.length(digits).between(9, 15))
+        .when(span["kind"] == 3, F.length(digits).between(9, 15))
+        .otherwise(F.length(span["match"]) - F.length(F.regexp_replace(span["match"], "[0-9]", "")) >= 4)
     )
 
 
@@ -119,44 +132,62 @@ def sign(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
+def by_kind(span: Column, *values: Column) -> Column:
+    """The value for the span's kind, in the order of ``KINDS``."""
+    found = values[-1]
+    for k in range(len(values) - 2, -1, -1):
+        found = F.when(span["kind"] == k, values[k]).otherwise(found)
+    return found
+
+
 def votes(span: Column) -> dict[str, Column]:
     """Votes of the labelers on a candidate span."""
     digits, match = digits_of(span["match"]), span["match"]
-    valid = passes(span)
     ending = F.lower(F.regexp_extract(match, "([A-Za-z0-9-]+)$", 1))
     first = F.regexp_extract(match, "^([0-9]+)", 1).try_cast("int")
-    gazetteer = (
-        F.when(span["kind"] == 0, sign(ending.isin(DOMAINS), ending.rlike("^[0-9]+$")))
-        .when(span["kind"] == 1, sign(first.between(1, 223) & ~first.isin(10, 127), first.isin(0, 127) | (first > 239)))
-        .when(span["kind"] == 2, sign(digits.rlike(CARD_STARTS), ~digits.rlike(CARD_STARTS)))
-        .otherwise(sign(span["strict"] & digits.rlike(COUNTRIES), span["strict"] & ~digits.rlike(COUNTRIES)))
+    valid = passes(span)
+    plus = match.startswith("+")
+    american = match.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20.-]{1,2}[2-9][0-9]{2}[\x20.-][0-9]{4}$")
+    shape = by_kind(
+        span,
+        sign(match.rlike(r"^[A-Za-z0-9].*[A-Za-z]{2}$"), match.rlike(r"[0-9-]$")),
+        sign(match.rlike(r"^(?!.*(?:^|\D)0[0-9])[^:]*$") | match.contains(":"), match.rlike(r"(?:^|\D)0[0-9]|[0-9]{4}")),
+        sign(match.rlike(r"^(?:[0-9]{13,16}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{3}([\x20-])[0-9]{6}\2[0-9]{5})$"), ~match.rlike(r"^(?:[0-9]+|[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){3})$")),
+        sign(plus | match.rlike(r"^(?:\([0-9]{2,4}\)|00)"), match.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$")),
+        sign(match.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | (match.rlike("[a-z]") & match.rlike("[A-Z]") & match.rlike("[0-9]")), match.rlike(r"/.*/|^[A-Za-z]+[_-][A-Za-z]+[_-]|^[=_+/-]")),
+    )
+    gazetteer = by_kind(
+        span,
+        sign(ending.isin(DOMAINS), ending.rlike("^[0-9]+$")),
+        sign(first.between(1, 223) & ~first.isin(10, 127), first.isin(0, 127) | (first > 239)),
+        sign(digits.rlike(CARD_STARTS), ~digits.rlike(CARD_STARTS)),
+        sign((plus & digits.rlike(COUNTRIES)) | american | F.regexp_replace(match, "^00", "").rlike(COUNTRIES) & match.startswith("00"), plus & ~digits.rlike(COUNTRIES)),
+        sign(match.rlike(SECRET_STARTS), F.lit(False)),
     )
-    context = F.lit(False)
-    for k, kind in enumerate(KINDS):
-        context = F.when(span["kind"] == k, span["left"].rlike(CONTEXT[kind])).otherwise(context)
-    glued = span["left"].rlike("[A-Za-z0-9_=/#.-]$") | span["right"].rlike("^[A-Za-z0-9_=/#]")
+    near = by_kind(span, *(span["left"].rlike(CONTEXT[kind]) for kind in KINDS))
+    glued = span["left"].rlike("[A-Za-z0-9_=/#.-]$") & (span["kind"] != 4) | span["right"].rlike("^(?:[A-Za-z0-9_=/#]|[.-][0-9])")
     return {
-        "strict": sign(span["strict"] & valid, F.lit(False)),
+        "shape": shape,
         "valid": sign(valid & (span["kind"] != 0), ~valid),
         "gazetteer": gazetteer,
-        "context": sign(context, F.lit(False)),
+        # A credential is nothing but random characters: without a word that says so there is evidence against it.
+        "context": sign(near, (span["kind"] == 4) & ~near),
         "edge": sign(F.lit(False), glued),
     }
 
 
 def traits(span: Column) -> dict[str, Column]:
-    """Features of a span for the final classifier, each of a few small ints."""
+    """Features of a span for the final classifier, each of a few small ints; those that kinds don't share are apart by kind."""
+    own = votes(span)
     digits = F.length(digits_of(span["match"]))
     length = F.length(span["match"])
     return {
         "kind": span["kind"],
-        "strict": span["strict"].cast("int"),
-        "valid": passes(span).cast("int"),
+        **{name: span["kind"] * 3 + own[name] + 1 for name in LABELERS},
         "length": F.least(F.floor(length / 6), F.lit(6)).cast("int"),
         "digits": F.least(F.floor(digits / 4), F.lit(5)).cast("int"),
         "left": F.when(span["left"] == "", 0).when(span["left"].rlike(r"\s$"), 1).when(span["left"].rlike("[A-Za-z0-9]$"), 2).otherwise(3),
         "right": F.when(span["right"] == "", 0).when(span["right"].rlike(r"^\s"), 1).when(span["right"].rlike("^[A-Za-z0-9]"), 2).otherwise(3),
-        "context": votes(span)["context"],
     }
 
 
@@ -177,36 +208,33 @@ class SpanModel:
 
 
 def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int = ROUNDS) -> tuple[list[float], dict]:
-    """Posterior of each ``(kind, votes, count)`` pattern, and P(vote | truth) of each labeler.
+    """Posterior of each ``(kind, votes, count)`` pattern, and P(vote | truth) of each labeler by kind.
 
-    Labelers are taken as independent given the truth; each kind has a prior of its own.
+    Labelers are taken as independent given the truth; each kind has a prior and reliabilities of its own.
     Truth is named by the start, where votes are taken at their word.
     """
-    def start(v: tuple[int, ...]) -> float:
-        return 1 / (1 + math.exp(-1.5 * sum(v)))
-
-    posterior = [start(v) for _, v, _ in patterns]
+    posterior = [1 / (1 + math.exp(-1.5 * sum(v))) for _, v, _ in patterns]
+    kinds = sorted({kind for kind, _, _ in patterns})
     tables: dict = {}
     for _ in range(rounds):
-        prior: dict[int, list[float]] = {}
-        tables = {(j, y): {-1: 1.0, 0: 1.0, 1: 1.0} for j in range(len(LABELERS)) for y in (0, 1)}
+        prior = {kind: [1.0, 1.0] for kind in kinds}
+        tables = {(kind, j, y): dict(START[y]) for kind in kinds for j in range(len(LABELERS)) for y in (0, 1)}
         for (kind, v, n), p in zip(patterns, posterior):
-            own = prior.setdefault(kind, [1.0, 1.0])
-            own[0] += n * (1 - p)
-            own[1] += n * p
+            prior[kind][0] += n * (1 - p)
+            prior[kind][1] += n * p
             for j, vote in enumerate(v):
-                tables[j, 0][vote] += n * (1 - p)
-                tables[j, 1][vote] += n * p
+                tables[kind, j, 0][vote] += n * (1 - p)
+                tables[kind, j, 1][vote] += n * p
         logs = {key: {vote: math.log(c / sum(t.values())) for vote, c in t.items()} for key, t in tables.items()}
         posterior = []
         for kind, v, _ in patterns:
             bad, good = (math.log(x) for x in prior[kind])
             for j, vote in enumerate(v):
-                bad += logs[j, 0][vote]
-                good += logs[j, 1][vote]
+                bad += logs[kind, j, 0][vote]
+                good += logs[kind, j, 1][vote]
             posterior.append(1 / (1 + math.exp(max(-50.0, min(50.0, bad - good)))))
-    found = {name: {y: {vote: round(c / sum(tables[j, y].values()), 4) for vote, c in tables[j, y].items()} for y in (0, 1)} for j, name in enumerate(LABELERS)} if tables else {}
-    return posterior, found
+    share = lambda t: {vote: round(c / sum(t.values()), 4) for vote, c in t.items()}
+    return posterior, {KINDS[kind]: {name: {y: share(tables[kind, j, y]) for y in (0, 1)} for j, name in enumerate(LABELERS)} for kind in kinds}
 
 
 def fit_classifier(rows: list[tuple[dict[str, int], float, float]], steps: int = 400, ridge: float = 1e-3) -> tuple[dict[str, dict[int, float]], float]:
@@ -240,11 +268,11 @@ def candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, base, loose``: matches of the base patterns, passing or not, and of the looser ones."""
     df = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     text = F.col("_text")
-    for k, kind in enumerate(KINDS):
-        df = with_matches(df, f"_{kind}", text, BASE[kind], NEEDS[kind], k, True)
+    for kind, pattern in BASE.items():
+        df = with_matches(df, f"_{kind}", text, pattern, NEEDS[kind], KINDS.index(kind))
     for kind, pattern in LOOSE.items():
-        df = with_matches(df, f"_loose_{kind}", text, pattern, LOOSE_NEEDS[kind], KINDS.index(kind), False)
-    return df.select("doc_id", F.concat(*(f"_{k}" for k in KINDS)).alias("base"), F.concat(*(f"_loose_{k}" for k in LOOSE)).alias("loose"))
+        df = with_matches(df, f"_loose_{kind}", text, pattern, LOOSE_NEEDS[kind], KINDS.index(kind))
+    return df.select("doc_id", F.concat(*(f"_{k}" for k in BASE)).alias("base"), F.concat(*(f"_loose_{k}" for k in LOOSE)).alias("loose"))
 
 
 def train(found: DataFrame) -> SpanModel:
@@ -275,7 +303,7 @@ def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: s
     """``doc_id, base, spans``: arrays of ``start, kind, stop`` by start, then kind.
 
     ``base`` has the matches of the four base patterns that pass their conditions, leftmost
-    and not overlapping within a kind. ``spans`` adds looser candidates that the span
+    and not overlapping within a kind. ``spans`` adds looser candidates, credentials among them, that the span
     classifier accepts and that overlap no base span. ``model`` defaults to
     :func:`train` on these documents. Positions are code points, the end exclusive.
 
@@ -299,9 +327,9 @@ def spans_text(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts, hash and text of :func:`find_personal_data` rows."""
+    """The base counts, hash and text of :func:`find_personal_data` rows, and the number of all spans."""
     def of_kind(k: int):
         return lambda s: s["kind"] == k
 
-    counts = [F.size(F.filter("base", of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(F.encode(spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter("base", of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.size("spans").cast("bigint").alias("n_spans"), F.sha2(F.encode(spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))

@@ -330,16 +330,56 @@ def test_personal_data_base_spans(spark, small, texts):
         want = base_spans((texts | made)[r["doc_id"]])
         assert [tuple(s) for s in r["base"]] == want
         assert set(want) <= {tuple(s) for s in r["spans"]}
+        added = {tuple(s) for s in r["spans"]} - set(want)
+        assert not [a for a in added for b in want if a[0] < b[2] and b[0] < a[2]]
     digest = pii.digest(pii.find_personal_data(frame)).where("doc_id = 1000000").first()
     names = "email ip card phone".split()
     assert digest["base_sha256"] == hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in base_spans(made[10**6])).encode()).hexdigest()
 
 
 def test_reliabilities_of_labelers():
-    rows = [(0, (1, 1, 0, 0, 0), 90.0), (0, (1, 1, 1, 0, 0), 60.0), (0, (0, -1, -1, 0, -1), 80.0), (0, (0, -1, 0, 0, 0), 50.0)]
+    rows = [(0, (1, 1, 0, 0, 0), 90.0), (0, (1, 1, 1, 0, 0), 60.0), (0, (0, -1, -1, 0, -1), 80.0), (0, (0, -1, 0, 0, 0), 50.0), (3, (1, -1, 0, 0, 0), 40.0), (3, (-1, 1, -1, 0, -1), 40.0)]
     posterior, tables = pii.expectation_maximisation(rows)
     assert posterior[0] > 0.9 and posterior[1] > 0.9 and posterior[2] < 0.1 and posterior[3] < 0.1
-    assert tables["valid"][1][1] > 0.9 and tables["valid"][0][-1] > 0.9
+    assert tables["email"]["valid"][1][1] > 0.9 and tables["email"]["valid"][0][-1] > 0.9
+    assert posterior[4] > 0.9 > 0.1 > posterior[5] and tables["phone"]["valid"][1][-1] > 0.8
+
+
+def test_added_spans(spark):
+    """Precision and recall of the spans that the method adds, on planted ones among look-alikes."""
+    rng = random.Random(6)
+    n = lambda a, b: rng.randint(a, b)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(n(2, 8)))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    true = (
+        lambda: ("phone", f"({n(200, 999)}) {n(200, 999)}-{n(1000, 9999)}"), lambda: ("phone", f"{n(200, 999)}-{n(200, 999)}-{n(1000, 9999)}"),
+        lambda: ("email", f"{word()}{n(1, 99)} (at) {word()} (dot) com"), lambda: ("secret", hexes(40)), lambda: ("ip", f"{n(1, 223)}[.]{n(0, 255)}[.]{n(0, 255)}[.]{n(1, 254)}"),
+    )
+    false = (lambda: f"{n(100, 999)}.{n(100, 999)}.{n(100, 999)}", lambda: f"v{n(100, 999)}.{n(100, 999)}.{n(1000, 9999)}.{n(1, 9)}", lambda: "/".join(word() + str(n(1, 9)) for _ in range(6)), lambda: f"{hexes(32)}{word()}/{word()}")
+    base = (lambda: f"+1 ({n(100, 999)}) 555-{n(1000, 9999)}", lambda: f"{word()}.{n(1, 99)}@mail{n(1, 9)}.example.com", lambda: f"{n(1, 223)}.{n(0, 255)}.{n(0, 255)}.{n(1, 254)}")
+    rows, wanted = [], {}
+    for d in range(900):
+        text, spans = " ".join(word() for _ in range(n(3, 30))), []
+        for _ in range(n(0, 2)):
+            which = n(0, 9)
+            if which < 4:
+                kind, found = rng.choice(true)()
+                lead = {"secret": 'token = "', "phone": rng.choice(("", "call "))}.get(kind, "")
+                start = len(text) + 1 + len(lead)
+                spans.append((kind, start, start + len(found)))
+                text += f" {lead}{found}" + ('"' if kind == "secret" else "")
+            else:
+                text += " " + rng.choice(false if which < 7 else base)()
+            text += " " + word()
+        rows.append((d, text))
+        wanted[d] = set(spans)
+    hit = extra = total = 0
+    for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect():
+        added = {(pii.KINDS[s["kind"]], s["start"], s["stop"]) for s in r["spans"]} - {(pii.KINDS[s["kind"]], s["start"], s["stop"]) for s in r["base"]}
+        hit += len(added & wanted[r["doc_id"]])
+        extra += len(added - wanted[r["doc_id"]])
+        total += len(wanted[r["doc_id"]])
+    assert total > 200 and hit >= 0.95 * total and extra <= 0.05 * hit, (hit, extra, total)
 
 
 @settings(max_examples=60, deadline=None)
