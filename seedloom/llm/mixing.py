@@ -19,6 +19,8 @@ BROADCAST_SOURCES = 100_000
 SALTS = 64
 #: Where whole documents miss a source's target by more than this share, the last one is taken in part.
 TOLERANCE = 0.005
+#: A tolerance that every miss is within.
+ANY_MISS = 1e300
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -52,10 +54,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def random_odds(id_col: str, seed: str) -> Column:
-    """U / (1 - U) for a U in (0, 1) that only the id and the seed decide."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+def random_odds(id_col: str, text_col: str, seed: str) -> Column:
+    """U / (1 - U) for a U in (0, 1) that only the seed and the id decide, or the text of a row without one."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return u / (1 - u)
 
 
@@ -104,8 +106,9 @@ def mix_sources(
 
     Sizes are written once to the checkpoint folder. A source of any share of the rows
     is summed before it is shuffled, by bins of the rank; only rows of the bin in which a
-    sample ends are ordered in one task. Null texts have size 0, a null source is a source
-    of its own, null ids draw as an empty id. Rows with equal ids and sizes rank alike,
+    sample ends are ordered in one task. The inclusion odds are not solved to sum to the sample's
+    size: ranks by them and the fixed size decide. Null texts have size 0, a null source is a source
+    of its own, rows with null ids draw by their text. Rows with equal ids and sizes rank alike,
     one before the other, by the ``carried`` columns, which the result has too. An empty table
     gives an empty result; other columns are not read.
     """
@@ -114,6 +117,7 @@ def mix_sources(
             F.col(id_col).cast("bigint").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_SQL)), F.lit(0)).cast("bigint").alias("size"),
+            random_odds(id_col, text_col, seed).alias("odds"),
             *carried,
         )
     )
@@ -128,7 +132,7 @@ def mix_sources(
     )
     targets = scratch(targets)
     odds = F.col("part") / (1 - F.col("part")) * F.sqrt(F.col("mean") / F.greatest(F.col("size"), F.lit(1)))
-    rank = F.when(F.col("part") > 0, random_odds("doc_id", seed) / odds)
+    rank = F.when(F.col("part") > 0, F.col("odds") / odds)
     ranked = join_sources(narrow, targets, n_sources, broadcast_sources).withColumn("rank", rank)
     key = F.col("rank") / (1 + F.col("rank"))
     ranked = ranked.withColumn("bin", F.coalesce(F.floor(key * (bins * bins)), F.lit(bins * bins)).cast("int")).withColumn("wide", F.floor(F.col("bin") / bins).cast("int"))
@@ -170,25 +174,20 @@ def row_key(columns: list[str]) -> Column:
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` as often as :func:`mix_sources` takes them, in the same columns.
 
-    A document that is taken in part gives its first words, with ``n_chars`` counted again.
+    Only whole documents are taken, the last one of a source if that comes nearer to its target.
     Each row is taken as often as the mix says of that row, whatever id it shares or lacks; rows
     equal in all columns are one text with the copies of all of them.
     """
     keyed = documents.withColumn("__key", row_key(documents.columns))
-    plan = mix_sources(keyed, carried=("__key",)).groupBy(F.col("__key").alias("__of_key")).agg(F.sum("copies").alias("__copies"), F.sum(F.col("taken") - F.col("copies") * F.col("size")).alias("__words"))
-    joined = keyed.dropDuplicates(["__key"]).join(plan, F.col("__key") == F.col("__of_key"))
-    times = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), F.col("__copies").cast("int")), F.when(F.col("__words") > 0, F.array("__words")).otherwise(F.array().cast("array<bigint>")))
-    each = joined.withColumn("__part", F.explode(times))
-    first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("__part").cast("string"), F.lit("}+")), F.lit(0))
-    text = F.when(F.col("__part") < 0, F.col("text")).otherwise(first)
-    n_chars = F.when(F.col("__part") < 0, F.col("n_chars")).otherwise(F.length(text)).cast(documents.schema["n_chars"].dataType)
-    return each.withColumn("n_chars", n_chars).withColumn("text", text).select(*documents.columns)
+    plan = mix_sources(keyed, carried=("__key",), tolerance=ANY_MISS).groupBy(F.col("__key").alias("__of_key")).agg(F.sum("copies").cast("int").alias("__copies"))
+    joined = keyed.dropDuplicates(["__key"]).join(plan.where("__copies > 0"), F.col("__key") == F.col("__of_key"))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 #: DuckDB SQL for the same result.
 MIX_SQL = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents
+  select doc_id, source, coalesce(cast(doc_id as varchar), 'text:' || md5(coalesce(text, ''))) as name, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents
 ), sources as (
   select source, count(*) as n_docs, cast(sum(size) as bigint) as source_size from sized group by source
 ), ranked as (
@@ -211,7 +210,7 @@ with sized as (
     source_size / n_docs as mean from rate
 ), drawn as (
   select s.doc_id, s.source, s.size, p.source_size, p.target, p.whole, p.rest, p.part, p.mean,
-    (cast('0x' || substr(md5('mix-1:' || coalesce(cast(s.doc_id as varchar), '')), 1, 13) as bigint) + 0.5e0) / 4503599627370496.0e0 as u
+    (cast('0x' || substr(md5('mix-1:' || s.name), 1, 13) as bigint) + 0.5e0) / 4503599627370496.0e0 as u
   from sized s join part p on s.source is not distinct from p.source
 ), placed as (
   select *, coalesce(sum(size) over (partition by source order by
