@@ -250,7 +250,7 @@ def candidate_groups(source: DataFrame, n: int, percent: int, largest: int, n_bu
 
 
 def shingle_table(source: DataFrame, described: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, shingles``: the packed shingles of each of ``nodes``, from one row that has that set."""
+    """``node, size, shingles``: the number and the packed shingles of each of ``nodes``, from one row that has that set."""
     wanted = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("row"))
     wanted = scratch(wanted.select(F.col("row.text_key").alias("of_key"), F.col("row.doc_id").alias("of_id")))
     few = wanted.count() <= BROADCAST_ROWS
@@ -262,7 +262,7 @@ def shingle_table(source: DataFrame, described: DataFrame, nodes: DataFrame, n:
         return {"node": [node_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
     # A row with a wanted row's key has its text, bar the odd collision, which only adds a node that nobody asks for.
-    return map_arrow(texts, rows, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return map_arrow(texts, rows, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")).select("node", (F.octet_length("shingles") / 8).cast("int").alias("size"), "shingles")
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -324,19 +324,15 @@ def forest(labels: list[int], sets: list[np.ndarray], left: list[int], right: li
     return edges
 
 
-def compared(open_groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``u, v``: links between labels, from all pairs of nodes of ``key, node, label`` rows that share a key.
+def compared(members: DataFrame, sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: links between labels, from all pairs of nodes of ``hub, node, label`` rows that share a hub.
 
-    Groups with the same least node are compared at once, in blocks if they are large, so
+    Members of a hub are compared at once, in blocks if the hub is in ``large`` (``of_hub, blocks``), so
     that a worker holds two blocks and no pairs are emitted.
     """
-    hubs = scratch(open_groups.groupBy("key").agg(F.min("node").alias("hub")))
-    members = scratch(open_groups.join(hubs, "key").select("hub", "node", "label").distinct())
-    sized = members.join(sets.select("node", "shingles"), "node").withColumn("size", F.octet_length("shingles") / 8)
-    weights = members.join(sets.select("node", (F.octet_length("shingles") / 8).alias("size")), "node").groupBy(F.col("hub").alias("of_hub"))
-    weights = scratch(weights.agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1"))
-    placed = sized.join(weights, F.col("hub") == F.col("of_hub"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.join(large, F.col("hub") == F.col("of_hub"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.join(sets.select("node", "shingles"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = placed.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "label", "shingles")
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -379,17 +375,22 @@ def renamed(found: DataFrame, edges: DataFrame) -> DataFrame:
 def linked_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, component`` of all nodes that link with another, by links between nodes that share a group.
 
-    First each node meets the least node of its groups. A group whose members are then in
-    one component is settled, for other links in it change nothing. Of the others all
-    pairs in different components are compared, so no link is missed.
+    A group's hub is its least node; groups of one hub are taken together. Where they are more than a
+    block, each member first meets the hub alone. A hub whose members are then in one component is
+    settled, for other links among them change nothing. Of the others' members
+    all pairs in different components are compared, so no link is missed.
     """
     hubs = scratch(groups.groupBy("key").agg(F.min("node").alias("hub")))
-    first = groups.join(hubs, "key").where("node <> hub").groupBy(F.col("node").alias("v")).agg(F.min("hub").alias("u"))
+    members = scratch(groups.join(hubs, "key").select("hub", "node").distinct())
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    large = scratch(members.join(sets.select("node", "size"), "node").groupBy(F.col("hub").alias("of_hub")).agg(blocks.alias("blocks")).where("blocks > 1"))
+    first = members.join(large, F.col("hub") == F.col("of_hub"), "left_semi").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
     found = scratch(components(verified(first, sets, percent)))
-    named = groups.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    named = members.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("hub", "node", F.coalesce("component", "node").alias("label"))
     named = scratch(named)
-    unsettled = scratch(named.groupBy(F.col("key").alias("of_key")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("of_key"))
-    return renamed(found, compared(named.join(unsettled, F.col("key") == F.col("of_key"), "left_semi"), sets, percent))
+    settled = named.groupBy(F.col("hub").alias("of_hub")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("of_hub")
+    unsettled = named.join(scratch(settled), F.col("hub") == F.col("of_hub"), "left_anti")
+    return renamed(found, compared(unsettled, sets, large, percent))
 
 
 def labelled(source: DataFrame, n: int, percent: int) -> DataFrame:

@@ -529,7 +529,7 @@ def test_members_of_one_group_that_do_not_link_with_its_least(spark, monkeypatch
             sets[node] = own
             members.append((g, node))
     groups = spark.createDataFrame(members, "key bigint, node bigint")
-    table = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node bigint, shingles binary")
+    table = spark.createDataFrame([(k, len(v), bytearray(v.tobytes())) for k, v in sets.items()], "node bigint, size int, shingles binary")
     got = {r["node"]: r["component"] for r in jaccard.linked_components(groups, table, 90).collect()}
     parent = {k: k for k in sets}
 
