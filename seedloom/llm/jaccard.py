@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,14 +132,56 @@ def text_key() -> Column:
     return F.xxhash64("text").alias("text_key")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall in each of about half as many bins, a power of two of them; counts stop at 255."""
+    bins = max(8, 1 << (max(len(shingles), 1) - 1).bit_length() >> 1)
+    return np.minimum(np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, bins: int) -> np.ndarray:
+    """The sketch over fewer bins."""
+    return counts.astype(np.int16 if bins > len(counts) // 64 else np.int64).reshape(-1, bins).sum(0) if len(counts) > bins else counts.astype(np.int16)
+
+
+def near(sizes: np.ndarray, sketches: list[np.ndarray], labels: np.ndarray, left: list[int], right: list[int], percent: int) -> np.ndarray:
+    """Which members have one of another label on the other side that their sketches don't tell from an alike set.
+
+    Sketches differ by no more than the sets do, unless counts stopped: sets of at least ``percent`` / 100 Jaccard differ in
+    at most (100 - percent) / (100 + percent) of the sum of their sizes.
+    """
+    found = np.zeros(len(sizes), bool)
+    widths = np.array([len(x) for x in sketches])
+    for bins in np.unique(widths).tolist():
+        # Pairs whose shorter sketch has so many bins; longer ones are folded.
+        wide = [j for j in right if widths[j] >= bins]
+        table = np.stack([folded(sketches[j], bins) for j in wide]) if wide else np.zeros((0, bins), np.int16)
+        wide = np.array(wide, np.int64)
+        for i in left:
+            if widths[i] < bins:
+                continue
+            ok = (labels[wide] != labels[i]) & (100 * np.minimum(sizes[wide], sizes[i]) >= percent * np.maximum(sizes[wide], sizes[i]))
+            if widths[i] > bins:
+                ok &= widths[wide] == bins
+            at = np.flatnonzero(ok)
+            if len(at):
+                apart = np.abs(table[at].astype(np.int32) - folded(sketches[i], bins).astype(np.int32)).sum(1)
+                hit = wide[at[apart * (100 + percent) <= (100 - percent) * (sizes[wide[at]] + sizes[i])]]
+                found[hit] = True
+                found[i] |= len(hit) > 0
+    return found
+
+
 def describe(source: DataFrame, n: int) -> DataFrame:
-    """``doc_id, text_key, n_shingles, node`` of every row of ``doc_id, text``; the node is null without shingles."""
+    """``doc_id, text_key, n_shingles, node, sketch`` of every row of ``doc_id, text``; node and sketch are null without shingles."""
 
     def rows(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t, n) for t in batch.column(2).to_pylist()]
-        return {"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets]}
+        return {
+            "doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": [len(s) for s in sets],
+            "node": [node_of(s) if len(s) else None for s in sets], "sketch": [sketch(s).tobytes() if len(s) else None for s in sets],
+        }
 
-    return map_arrow(source.select("doc_id", text_key(), "text"), rows, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint")
+    return map_arrow(source.select("doc_id", text_key(), "text"), rows, "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, sketch binary")
 
 
 def distinct_pairs(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -249,10 +291,15 @@ def candidate_groups(source: DataFrame, n: int, percent: int, largest: int, n_bu
     return met.distinct()
 
 
-def shingle_table(source: DataFrame, described: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, size, shingles``: the number and the packed shingles of each of ``nodes``, from one row that has that set."""
-    wanted = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("row"))
-    wanted = scratch(wanted.select(F.col("row.text_key").alias("of_key"), F.col("row.doc_id").alias("of_id")))
+def candidates(described: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, size, sketch, text_key, doc_id`` of each of ``nodes``, the last two those of one row that has the set."""
+    rows = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id", F.col("n_shingles").cast("int").alias("size"), "sketch")).alias("row"))
+    return rows.select("node", "row.size", "row.sketch", "row.text_key", "row.doc_id")
+
+
+def shingle_table(source: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``node, shingles``: the packed shingles of the set of each row of ``wanted`` (``text_key, doc_id``)."""
+    wanted = scratch(wanted.select(F.col("text_key").alias("of_key"), F.col("doc_id").alias("of_id")))
     few = wanted.count() <= BROADCAST_ROWS
     keyed = source.select("doc_id", text_key(), "text")
     texts = keyed.join(F.broadcast(wanted) if few else wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("text")
@@ -262,7 +309,7 @@ def shingle_table(source: DataFrame, described: DataFrame, nodes: DataFrame, n:
         return {"node": [node_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
     # A row with a wanted row's key has its text, bar the odd collision, which only adds a node that nobody asks for.
-    return map_arrow(texts, rows, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")).select("node", (F.octet_length("shingles") / 8).cast("int").alias("size"), "shingles")
+    return map_arrow(texts, rows, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -324,41 +371,48 @@ def forest(labels: list[int], sets: list[np.ndarray], left: list[int], right: li
     return edges
 
 
-def compared(members: DataFrame, sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """``u, v``: links between labels, from all pairs of nodes of ``hub, node, label`` rows that share a hub.
+def blocks_of_hubs(members: DataFrame, large: DataFrame, payload: DataFrame, columns: list[str], fn: Callable, schema: str) -> DataFrame:
+    """``fn(hub, left, right, columns)`` for each pair of blocks of a hub's ``hub, node, label`` members.
 
-    Members of a hub are compared at once, in blocks if the hub is in ``large`` (``of_hub, blocks``), so
-    that a worker holds two blocks and no pairs are emitted.
+    ``payload`` has ``columns`` by node; ``left`` and ``right`` are places in the lists that ``fn`` gets, and its result is
+    rows of ``schema``. Hubs in ``large`` (``of_hub, blocks``) are dealt into blocks, so that a worker holds two blocks.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     placed = members.join(large, F.col("hub") == F.col("of_hub"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(sets.select("node", "shingles"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "label", "shingles")
-    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    placed = placed.join(payload.select("node", *(c for c in columns if c not in ("node", "label"))), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *columns)
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
-    def links(low: int, high: int, blocks: list[int], labels: list[int], packed: list[bytes]) -> list[tuple[int, int]]:
+    def results(now: tuple, blocks: list[int], values: list[list]) -> list[tuple]:
+        hub, low, high = now
         left = [i for i, b in enumerate(blocks) if b == low]
         right = left if low == high else [i for i, b in enumerate(blocks) if b == high]
-        return forest(labels, [np.frombuffer(x, np.uint64) for x in packed], left, right, percent) if left and right and len(blocks) > 1 else []
+        return fn(hub, left, right, *values) if left and right and len(blocks) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, found = None, ([], [], []), []
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(out)], schema=out)
+
+        now, held, found = None, [[] for _ in range(1 + len(columns))], []
         for batch in batches:
             for hub, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (hub, low, high) != now:
                     if now:
-                        found += links(*now[1:], *held)
-                    now, held = (hub, low, high), ([], [], [])
+                        found += results(now, held[0], held[1:])
+                    now, held = (hub, low, high), [[] for _ in range(1 + len(columns))]
                 for x, value in zip(held, row):
                     x.append(value)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=out)
+                yield made()
                 found = []
         if now:
-            found += links(*now[1:], *held)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=out)
+            found = results(now, held[0], held[1:])
+            yield made()
 
-    return dealt.repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high").mapInArrow(run, "u bigint, v bigint")
+    return dealt.repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high").mapInArrow(run, schema)
 
 
 def renamed(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -372,25 +426,39 @@ def renamed(found: DataFrame, edges: DataFrame) -> DataFrame:
     return scratch(moved.unionByName(new))
 
 
-def linked_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked_components(groups: DataFrame, table: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """``node, component`` of all nodes that link with another, by links between nodes that share a group.
 
+    ``table`` has ``node, size, sketch`` and ``shingles_of`` gives ``node, shingles`` for some of its rows.
     A group's hub is its least node; groups of one hub are taken together. Where they are more than a
     block, each member first meets the hub alone. A hub whose members are then in one component is
-    settled, for other links among them change nothing. Of the others' members
-    all pairs in different components are compared, so no link is missed.
+    settled, for other links among them change nothing. Of the others' members all pairs in different
+    components are compared, by sketches and, where these can't tell, by sets, so no link is missed.
     """
     hubs = scratch(groups.groupBy("key").agg(F.min("node").alias("hub")))
     members = scratch(groups.join(hubs, "key").select("hub", "node").distinct())
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    large = scratch(members.join(sets.select("node", "size"), "node").groupBy(F.col("hub").alias("of_hub")).agg(blocks.alias("blocks")).where("blocks > 1"))
-    first = members.join(large, F.col("hub") == F.col("of_hub"), "left_semi").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
-    found = scratch(components(verified(first, sets, percent)))
-    named = members.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("hub", "node", F.coalesce("component", "node").alias("label"))
-    named = scratch(named)
-    settled = named.groupBy(F.col("hub").alias("of_hub")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("of_hub")
-    unsettled = named.join(scratch(settled), F.col("hub") == F.col("of_hub"), "left_anti")
-    return renamed(found, compared(unsettled, sets, large, percent))
+    large = scratch(members.join(table.select("node", "size"), "node").groupBy(F.col("hub").alias("of_hub")).agg(blocks.alias("blocks")).where("blocks > 1"))
+    found, named = None, members.withColumn("label", F.col("node"))
+    if not large.isEmpty():
+        first = scratch(members.join(large, F.col("hub") == F.col("of_hub"), "left_semi"))
+        sets = scratch(shingles_of(table.join(first.select("node"), "node", "left_semi")))
+        found = scratch(components(verified(first.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")), sets, percent)))
+        named = scratch(members.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("hub", "node", F.coalesce("component", "node").alias("label")))
+        settled = named.groupBy(F.col("hub").alias("of_hub")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("of_hub")
+        named = named.join(scratch(settled), F.col("hub") == F.col("of_hub"), "left_anti")
+
+    def like(hub: int, left: list[int], right: list[int], nodes: list[int], labels: list[int], sizes: list[int], sketches: list[bytes]) -> list[tuple]:
+        close = near(np.array(sizes, np.int64), [np.frombuffer(x, np.uint8) for x in sketches], np.array(labels, np.int64), left, right, percent)
+        return [(hub, nodes[i], labels[i]) for i in np.flatnonzero(close).tolist()]
+
+    def links(hub: int, left: list[int], right: list[int], labels: list[int], packed: list[bytes]) -> list[tuple]:
+        return forest(labels, [np.frombuffer(x, np.uint64) for x in packed], left, right, percent)
+
+    close = scratch(blocks_of_hubs(named, large, table, ["node", "label", "size", "sketch"], like, "hub bigint, node bigint, label bigint").distinct())
+    sets = scratch(shingles_of(table.join(close.select("node"), "node", "left_semi")))
+    edges = blocks_of_hubs(close, large, sets, ["label", "shingles"], links, "u bigint, v bigint")
+    return scratch(components(edges)) if found is None else renamed(found, edges)
 
 
 def labelled(source: DataFrame, n: int, percent: int) -> DataFrame:
@@ -400,8 +468,8 @@ def labelled(source: DataFrame, n: int, percent: int) -> DataFrame:
     share = 16 * 2.9 * (100 - percent) / percent  # bytes of signatures for a shingle
     n_buckets = max(64, int(total * share / BUCKET_BYTES) + 1)
     groups = scratch(candidate_groups(source, n, percent, max(largest, 1), n_buckets))
-    sets = scratch(shingle_table(source, described, groups.select("node").distinct(), n))
-    found = linked_components(groups, sets, percent)
+    table = scratch(candidates(described, groups.select("node").distinct()))
+    found = linked_components(groups, table, lambda rows: shingle_table(source, rows, n), percent)
 
     firsts = scratch(described.where("node is not null").groupBy(F.col("node").alias("of_node")).agg(F.min("doc_id").alias("first")))
     inside = scratch(found.join(firsts, F.col("node") == F.col("of_node")).select("node", "component", "first"))

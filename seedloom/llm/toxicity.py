@@ -24,6 +24,8 @@ LEAST_DOCS = 4
 #: Least log-likelihood ratio of a feature; chance seldom reaches it.
 LEAST_EVIDENCE = 4.0
 FOLDS = 5
+#: Tasks over the sample, and rows that a worker counts features of before it hands them on.
+SAMPLE_TASKS, COUNTED = 64, 250
 THRESHOLD = 0.5
 #: The chain's order, each category with the label column and value that it stands for; later models see the
 #: probabilities of earlier ones, and the last is the verdict.
@@ -174,7 +176,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE
     words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
     flags = [F.max(f"is_{name}").alias(f"is_{name}") for name, _, _ in categories]
     rows = joined.withColumn("words", F.xxhash64(words)).groupBy("words").agg(F.min("text").alias("text"), *flags)
-    return rows.orderBy("words").limit(toxic + clean).withColumn("fold", F.pmod("words", F.lit(FOLDS)).cast("int")).drop("words")
+    return rows.orderBy("words").limit(toxic + clean).withColumn("fold", F.pmod("words", F.lit(FOLDS)).cast("int")).repartition(SAMPLE_TASKS, "words").drop("words")
 
 
 def select_features(sample: DataFrame, names: list[str], width: int = FEATURES, least_docs: int = LEAST_DOCS) -> dict[tuple[int, int], list[str]]:
@@ -186,16 +188,17 @@ def select_features(sample: DataFrame, names: list[str], width: int = FEATURES,
     schema = pa.schema([("feature", pa.string()), ("fold", pa.int32()), ("docs", pa.int64()), *((f, pa.int64()) for f in flags)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[Counter]] = {}
         for batch in batches:
-            for text, fold, *of in zip(*(c.to_pylist() for c in batch.columns)):
-                own = held.setdefault(fold, [Counter() for _ in range(1 + len(flags))])
-                found = beginnings(text) | {""}
-                for counter, yes in zip(own, (1, *of)):
-                    if yes:
-                        counter.update(found)
-        rows = [(x, fold, *(counter.get(x, 0) for counter in own)) for fold, own in held.items() for x in own[0]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            for at in range(0, batch.num_rows, COUNTED):
+                held: dict[int, list[Counter]] = {}
+                for text, fold, *of in zip(*(c.to_pylist() for c in batch.slice(at, COUNTED).columns)):
+                    own = held.setdefault(fold, [Counter() for _ in range(1 + len(flags))])
+                    found = beginnings(text) | {""}
+                    for counter, yes in zip(own, (1, *of)):
+                        if yes:
+                            counter.update(found)
+                rows = [(x, fold, *(counter.get(x, 0) for counter in own)) for fold, own in held.items() for x in own[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     counts = sample.select("text", "fold", *flags).mapInArrow(count, ", ".join(f"{f.name} {'string' if f.name == 'feature' else 'int' if f.name == 'fold' else 'bigint'}" for f in schema))
     left_out = [-1, *range(FOLDS)]

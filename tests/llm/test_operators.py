@@ -529,8 +529,9 @@ def test_members_of_one_group_that_do_not_link_with_its_least(spark, monkeypatch
             sets[node] = own
             members.append((g, node))
     groups = spark.createDataFrame(members, "key bigint, node bigint")
-    table = spark.createDataFrame([(k, len(v), bytearray(v.tobytes())) for k, v in sets.items()], "node bigint, size int, shingles binary")
-    got = {r["node"]: r["component"] for r in jaccard.linked_components(groups, table, 90).collect()}
+    table = spark.createDataFrame([(k, len(v), bytearray(jaccard.sketch(v).tobytes())) for k, v in sets.items()], "node bigint, size int, sketch binary")
+    packed = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node bigint, shingles binary")
+    got = {r["node"]: r["component"] for r in jaccard.linked_components(groups, table, lambda rows: packed.join(rows, "node", "left_semi"), 90).collect()}
     parent = {k: k for k in sets}
 
     def root(x):
@@ -546,6 +547,23 @@ def test_members_of_one_group_that_do_not_link_with_its_least(spark, monkeypatch
     assert {k: got.get(k, k) for k in sets} == {k: root(k) for k in sets}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 200), st.sampled_from((80, 85)), st.integers(0, 10**6))
+def test_sketches_keep_every_link(size, changes, percent, seed):
+    rng = np.random.default_rng(seed)
+    scale = 2**63 if seed % 2 else 8 * size  # small numbers crowd into few bins
+    sets = [np.unique(rng.integers(0, scale, size, dtype=np.uint64))]
+    for _ in range(5):
+        base = sets[int(rng.integers(len(sets)))]
+        sets.append(np.unique(np.concatenate((base[int(rng.integers(0, changes + 1)) :], rng.integers(0, scale, int(rng.integers(0, changes + 1)), dtype=np.uint64)))))
+    sets = [x for x in sets if len(x)]
+    every = list(range(len(sets)))
+    close = jaccard.near(np.array([len(x) for x in sets]), [jaccard.sketch(x) for x in sets], np.arange(len(sets)), every, every, percent)
+    for i in every:
+        for j in every[:i]:
+            assert not jaccard.alike(sets[i], sets[j], percent) or close[i] and close[j]
+
+
 def test_texts_that_share_an_id(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(5, one), (5, two), (7, f"{one} more"), (9, f"{two} more"), (None, f"{two} else"), (None, "alone"), (5, one)]
