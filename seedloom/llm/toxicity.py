@@ -24,8 +24,8 @@ LEAST_DOCS = 4
 #: Least log-likelihood ratio of a feature; chance seldom reaches it.
 LEAST_EVIDENCE = 4.0
 FOLDS = 5
-#: Tasks over the sample, and rows that a worker counts features of before it hands them on.
-SAMPLE_TASKS, COUNTED = 64, 250
+#: Tasks over each fold of the sample, and rows that a worker counts features of before it hands them on.
+FOLD_TASKS, COUNTED = 3, 1000
 THRESHOLD = 0.5
 #: The chain's order, each category with the label column and value that it stands for; later models see the
 #: probabilities of earlier ones, and the last is the verdict.
@@ -176,7 +176,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE
     words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
     flags = [F.max(f"is_{name}").alias(f"is_{name}") for name, _, _ in categories]
     rows = joined.withColumn("words", F.xxhash64(words)).groupBy("words").agg(F.min("text").alias("text"), *flags)
-    return rows.orderBy("words").limit(toxic + clean).withColumn("fold", F.pmod("words", F.lit(FOLDS)).cast("int")).repartition(SAMPLE_TASKS, "words").drop("words")
+    return rows.orderBy("words").limit(toxic + clean).withColumn("fold", F.pmod("words", F.lit(FOLDS)).cast("int")).repartition(FOLDS * FOLD_TASKS, "fold", F.pmod(F.xxhash64("words"), F.lit(FOLD_TASKS))).drop("words")
 
 
 def select_features(sample: DataFrame, names: list[str], width: int = FEATURES, least_docs: int = LEAST_DOCS) -> dict[tuple[int, int], list[str]]:
