@@ -59,9 +59,8 @@ def gc_fraction(seq: Column) -> Column:
 
 def count_overlapping(text: Column, pattern: Column) -> Column:
     """Occurrences of ``pattern`` in ``text``, overlapping ones too; 0 for an empty pattern."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    hits = F.filter(places, lambda i: F.substring(text, i, F.length(pattern)) == pattern)
-    return F.when(F.length(pattern) > 0, F.size(hits)).otherwise(0)
+    ahead = F.concat(F.lit(r"(?=\Q"), pattern, F.lit(r"\E)"))
+    return F.when(F.length(pattern) > 0, F.regexp_count(text, ahead)).otherwise(0)
 
 
 def segment_rc_count(gene: Column, mirna: Column, first: int, end: int) -> Column:

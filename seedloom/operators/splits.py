@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 def numbered(df: DataFrame, order: list[Column], name: str, buckets: int = 200) -> DataFrame:
     """Adds the 1-based place of each row in ``order`` without ordering the table in one task.
 
-    Rows are dealt by ranges of the order into partitions, numbered inside each and moved on
-    by the rows of the partitions before; only the counts, one a partition, are windowed together.
+    Rows are dealt by ranges of the order into partitions, written once to the checkpoint folder, numbered inside each and
+    moved on by the rows of the partitions before; only the counts, one a partition, are windowed together. Numbers and
+    counts are of the same written rows, for a second dealing would sample other ranges.
     """
-    dealt = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order)
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -23,6 +25,18 @@ def numbered(df: DataFrame, order: list[Column], name: str, buckets: int = 200)
     return dealt.withColumn(name, F.row_number().over(inside)).join(F.broadcast(counts), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names; a local master without one uses a temporary folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seedloom-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def seeded_order(seed: int, key: str) -> Column:
     """A portable pseudo-random sort key of a row."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -83,9 +97,9 @@ def union_compatible(datasets: list[tuple[DataFrame, dict]], fields: tuple[str,
 
 def attach_labels(samples: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
     """Samples with their label; raises ``ValueError`` for repeated or missing label ids."""
-    counts = labels.groupBy(key).agg(F.count("*").alias("_n"))
-    joined = samples.select(key).join(counts, key, "left")
+    counted = labels.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    joined = samples.join(counted, key, "left")
     bad = joined.agg(F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_n") > 1).alias("repeated")).first()
     if bad["missing"] or bad["repeated"]:
         raise ValueError(f"labels: {bad['missing']} samples without one, {bad['repeated']} with several")
-    return samples.join(labels, key, "left")
+    return joined.drop("_n")
