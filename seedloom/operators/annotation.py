@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from seedloom.functions.names import parse_mature_id, parse_reference_id, strip_pri_pre
 
-ID_CHARACTERS = "123456789" + "abcdefghijklmnopqrstuvwxyz" + "{|}~"
+# Digits from 1, then the characters from "a" on.
+ID_CHARACTERS = "".join(map(chr, [*range(ord("1"), ord("9") + 1), *range(ord("a"), ord("~") + 1)]))
 
 
 def last_wins(catalogue: DataFrame) -> DataFrame:

@@ -16,27 +16,27 @@ def finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def _scale(mean: Column, squares: Column) -> Column:
-    variance = F.greatest(squares - mean * mean, F.lit(0.0))
-    return F.when(variance <= LEAST_VARIANCE, 1.0).otherwise(F.sqrt(variance))
-
-
 def fit_columns(df: DataFrame, columns: list[str], weight: Column | None = None) -> DataFrame:
     """``source, n, mean, std`` of columns: population std over finite values, 1 where the variance is 1e-12 or less.
 
-    One pass of sums; ``weight`` counts a row so many times.
+    ``weight`` counts a row so many times; squares are then summed around the means in a second pass, so that large means
+    cost no digits. Columns without a finite value have mean 0 and std 1.
     """
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    sums = []
-    for c in columns:
-        x = finite(F.col(c))
-        live = F.when(x.isNotNull(), w).otherwise(0.0)
-        sums += [F.sum(live).alias(f"n_{c}"), F.sum(w * x).alias(f"s_{c}"), F.sum(w * x * x).alias(f"q_{c}")]
-    row = df.agg(*sums)
-    packed = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("source"), F.col(f"n_{c}").alias("n"), F.col(f"s_{c}").alias("s"), F.col(f"q_{c}").alias("q")) for c in columns))).alias("r")).select("r.*")
-    n = F.nullif(F.col("n"), F.lit(0.0))
-    mean = F.coalesce(F.col("s") / n, F.lit(0.0))
-    return packed.select("source", "n", mean.alias("mean"), _scale(mean, F.coalesce(F.col("q") / n, F.lit(0.0))).alias("std"))
+    finished = df.select(*(finite(F.col(c)).cast("double").alias(f"x_{i}") for i, c in enumerate(columns)), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
+    places = range(len(columns))
+    if weight is None:
+        row = finished.agg(*(v for i in places for v in (F.count(f"x_{i}").cast("double").alias(f"n_{i}"), F.avg(f"x_{i}").alias(f"m_{i}"), F.var_pop(f"x_{i}").alias(f"v_{i}"))))
+    else:
+        live = [F.when(F.col(f"x_{i}").isNotNull(), F.col("w")).otherwise(0.0) for i in places]
+        means = finished.agg(*(v for i in places for v in (F.sum(live[i]).alias(f"n_{i}"), (F.sum(F.col("w") * F.col(f"x_{i}")) / F.nullif(F.sum(live[i]), F.lit(0.0))).alias(f"m_{i}"))))
+        # One row of means.
+        around = finished.join(F.broadcast(means))
+        row = around.agg(
+            *(v for i in places for v in (F.max(f"n_{i}").alias(f"n_{i}"), F.max(f"m_{i}").alias(f"m_{i}"), (F.sum(F.col("w") * (F.col(f"x_{i}") - F.col(f"m_{i}")) ** 2) / F.nullif(F.max(f"n_{i}"), F.lit(0.0))).alias(f"v_{i}")))
+        )
+    entries = F.array(*(F.struct(F.lit(c).alias("source"), F.coalesce(f"n_{i}", F.lit(0.0)).alias("n"), F.coalesce(f"m_{i}", F.lit(0.0)).alias("mean"), F.coalesce(f"v_{i}", F.lit(0.0)).alias("v")) for i, c in enumerate(columns)))
+    packed = row.select(F.explode(entries).alias("r")).select("r.*")
+    return packed.select("source", "n", "mean", F.when(F.col("v") <= LEAST_VARIANCE, 1.0).otherwise(F.sqrt("v")).alias("std"))
 
 
 def fit_position_scaler(df: DataFrame, tracks: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ def position_arrays(positions: DataFrame, keys: list[str], position: str, values
     kept = positions.where(F.col(position).between(1, length)).select(*keys, F.col(position).cast("int").alias("_at"), *(v.alias(f"_v_{n}") for n, v in values.items()))
     rows = kept.groupBy(*keys).agg(F.collect_list(F.struct("_at", *(f"_v_{n}" for n in values))).alias("_rows"))
     # Where each position is there once, the ordered rows are the array; only others are searched for each position.
-    rows = rows.withColumn("_rows", F.array_sort("_rows")).withColumn("_whole", F.size(F.array_distinct(F.transform("_rows", lambda r: r["_at"]))) + F.size("_rows") == 2 * length)
+    rows = rows.withColumn("_rows", F.array_sort("_rows")).withColumn("_whole", (F.size("_rows") == length) & (F.size(F.array_distinct(F.transform("_rows", lambda r: r["_at"]))) == length))
     for n in values:
         rows = rows.withColumn(n, F.when(F.col("_whole"), F.transform("_rows", _value(n))).otherwise(F.transform(F.sequence(F.lit(1), F.lit(length)), _at(n))))
     return rows.drop("_rows", "_whole")

@@ -12,22 +12,35 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), F.lit(False)), F.lit(0)) - 1, F.least(F.size(a), F.size(b)).cast("bigint"))
 
 
-def closest_relative(missing: DataFrame, present: DataFrame) -> DataFrame:
-    """``name, depth, relatives``: present species with the longest common lineage, names descending.
+def _prefixes(df: DataFrame) -> DataFrame:
+    """Each name at every beginning of its lineage, the empty one of depth 0 too."""
+    depths = F.sequence(F.lit(0), F.coalesce(F.size("lineage"), F.lit(0)))
+    forms = df.select("name", "lineage", F.explode(depths).alias("depth"))
+    return forms.select("name", "depth", F.array_join(F.slice("lineage", F.lit(1), F.col("depth")), ";").alias("prefix")).withColumn("prefix", F.coalesce("prefix", F.lit("")))
 
-    Both have ``name, lineage`` arrays. Species meet at each of their lineage's prefixes, so
-    only those of one clade are compared; without any common taxon all are at depth 0.
+
+def best_match_listing(missing: DataFrame, present: DataFrame, k: int = 3) -> DataFrame:
+    """``name, depth, shown, n_tied``: the first ``k`` present species, names descending, of the longest common lineage, and how many share it.
+
+    Both have ``name, lineage`` arrays. Only counts and ``k`` names of a clade are gathered, and only of clades that are
+    some species' deepest; without any common taxon all present species tie at depth 0. Repeated names count once, a null lineage is empty.
     """
-    def prefixes(df: DataFrame) -> DataFrame:
-        return df.select("name", F.posexplode(F.transform("lineage", lambda x, i: F.array_join(F.slice("lineage", F.lit(1), i + 1), ";"))).alias("depth", "prefix"))
+    have = _prefixes(present).distinct()
+    shared = have.select("depth", "prefix").distinct()
+    deepest = _prefixes(missing).join(shared, ["depth", "prefix"], "left_semi").groupBy("name").agg(F.max("depth").alias("depth"), F.max_by("prefix", "depth").alias("prefix"))
+    members = have.join(deepest.select("depth", "prefix").distinct(), ["depth", "prefix"], "left_semi")
+    counts = members.groupBy("depth", "prefix").agg(F.count("*").alias("n_tied"))
+    # Spark keeps k rows a clade before the exchange.
+    first = members.withColumn("place", F.row_number().over(Window.partitionBy("depth", "prefix").orderBy(F.desc("name")))).where(F.col("place") <= k)
+    shown = first.groupBy("depth", "prefix").agg(F.sort_array(F.collect_list("name"), asc=False).alias("shown"))
+    found = deepest.join(counts.join(shown, ["depth", "prefix"]), ["depth", "prefix"])
+    every = missing.select("name").distinct().join(found, "name", "left")
+    return every.select("name", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("shown", F.array().cast("array<string>")).alias("shown"), F.coalesce("n_tied", F.lit(0)).alias("n_tied"))
+
 
-    shared = prefixes(present).select(F.col("prefix").alias("of_prefix")).distinct()
-    deepest = prefixes(missing).join(shared, F.col("prefix") == F.col("of_prefix"), "left_semi").groupBy("name").agg(F.max_by("prefix", "depth").alias("prefix"), (F.max("depth") + 1).alias("depth"))
-    members = prefixes(present).groupBy("prefix").agg(F.sort_array(F.collect_set("name"), asc=False).alias("relatives"))
-    found = deepest.join(members, "prefix").select("name", "depth", "relatives")
-    everyone = present.agg(F.sort_array(F.collect_set("name"), asc=False).alias("relatives"))
-    none = missing.join(found, "name", "left_anti").select("name", F.lit(0).alias("depth")).join(F.broadcast(everyone))
-    return found.unionByName(none)
+def closest_relative(missing: DataFrame, present: DataFrame, k: int = 3) -> DataFrame:
+    """``name, depth, relatives``: the first ``k`` relatives of :func:`best_match_listing`."""
+    return best_match_listing(missing, present, k).select("name", "depth", F.col("shown").alias("relatives"))
 
 
 def match_species_names(codes: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -49,11 +62,6 @@ def lineage_table(species: DataFrame, level: int, highlighted: str) -> DataFrame
     return species.select("taxid", F.get("lineage", F.lit(level)).alias("taxon"), F.coalesce(F.array_contains("lineage", highlighted), F.lit(False)).alias("highlighted"))
 
 
-def best_match_listing(matches: DataFrame, k: int = 3) -> DataFrame:
-    """The first ``k`` relatives of each species and how many tie."""
-    return matches.select("name", "depth", F.slice("relatives", 1, k).alias("shown"), F.size("relatives").alias("n_tied"))
-
-
 def genus_species(name: Column, rank: Column, lineage: Column) -> Column:
     """Struct of genus, the first lineage entry of that rank, and species, the rest of a species' name."""
     genus = F.get(F.filter(lineage, lambda x: x["rank"] == "genus"), F.lit(0))["name"]

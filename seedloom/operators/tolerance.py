@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Names of the weight schemes.
 PARAMS = ("0", "0_MinNode", "0_MinNode_Mix", "0_MinNode_Mix2", "mean", "median", "X", "CountNodes_1", "CountNodes_2", "CountNodes_3", "CountNodes_4", "Equal")
 
 
@@ -54,8 +55,8 @@ def orient_edges(edges: DataFrame, distances: DataFrame) -> DataFrame:
     return joined.select("query_id", F.when(parent_far, F.col("parent")).otherwise(F.col("node")).alias("far"), F.when(parent_far, F.col("node")).otherwise(F.col("parent")).alias("near"))
 
 
-def distance_weights(distances: DataFrame, param: str, least: float | None = None) -> DataFrame:
-    """``query_id, node, weight`` under one weight scheme; ``least`` is needed by the threshold schemes only."""
+def scheme_weight(param: str, least: float | None = None) -> Column:
+    """A node's weight under one scheme, over the columns of :func:`leaf_distances`; ``least`` is needed by the threshold schemes only."""
     tree = Window.partitionBy("query_id")
     d, h = F.col("distance"), F.col("hops")
     leaf_min = F.min(F.when((F.col("is_leaf") == 1) & (F.col("is_query") == 0), d)).over(tree)
@@ -93,8 +94,12 @@ def distance_weights(distances: DataFrame, param: str, least: float | None = Non
     else:
         sigma = float(param)
         w = F.exp(-d * d / (sigma * sigma))
-    w = F.when(F.col("is_query") == 1, F.coalesce(w, F.lit(1.0))).otherwise(w)
-    return distances.select("query_id", "node", w.alias("weight"))
+    return F.when(F.col("is_query") == 1, F.coalesce(w, F.lit(1.0))).otherwise(w)
+
+
+def distance_weights(distances: DataFrame, param: str, least: float | None = None) -> DataFrame:
+    """``query_id, node, weight`` under one weight scheme; see :func:`scheme_weight`."""
+    return distances.select("query_id", "node", scheme_weight(param, least).alias("weight"))
 
 
 def gap_aware_posterior(nucleotides: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -157,7 +162,7 @@ def log_transform_score(score: Column) -> Column:
     return 1 - F.log(score + 1e-10) / F.log(F.lit(1e-10))
 
 
-def query_nt_count(msa: DataFrame, query_leaf: int) -> DataFrame:
-    """Leaves that carry the query leaf's letter, by query and site."""
-    own = msa.where(F.col("leaf") == query_leaf).select("query_id", "site", F.col("nt").alias("qnt"))
-    return msa.join(own, ["query_id", "site"]).groupBy("query_id", "site").agg(F.count_if(F.col("nt") == F.col("qnt")).alias("n_same"))
+def query_nt_count(msa: DataFrame, query_leaf: int | DataFrame) -> DataFrame:
+    """Leaves that carry the query leaf's letter, by query and site; the leaf is one number, or ``query_id, leaf`` rows."""
+    own = msa.where(F.col("leaf") == query_leaf) if isinstance(query_leaf, int) else msa.join(query_leaf.select("query_id", "leaf"), ["query_id", "leaf"], "left_semi")
+    return msa.join(own.select("query_id", "site", F.col("nt").alias("qnt")), ["query_id", "site"]).groupBy("query_id", "site").agg(F.count_if(F.col("nt") == F.col("qnt")).alias("n_same"))

@@ -476,10 +476,10 @@ def add_missing_species(spark, sf):
     return alignment.add_missing_species(rows, codes).where("aligned not rlike '[A-Z]'").where("seq_id in ('Sp7', 'Sp8')").select("query_id", "seq_id", "aligned")
 
 
-@query("select query_id, seq_id, translate(aligned, '-ACGT', '01111') as binary from v_alignments where query_id % 2 = 0")
+@query("select query_id, seq_id, translate(aligned, '-ACGT', '01111') as binary from v_alignments")
 def binarize_alignment(spark, sf):
-    """Binary alignments of those with enough sequences."""
-    rows = alignment.filter_min_sequences(V.alignments(spark, sf).where("query_id % 2 = 0 or input_pos < 20"), 10)
+    """Binary alignments of those with enough sequences, as all of these have."""
+    rows = alignment.filter_min_sequences(V.alignments(spark, sf), 10)
     return alignment.filter_gap_only(rows).select("query_id", "seq_id", alignment.binarize_alignment(F.col("aligned")).alias("binary"))
 
 
@@ -559,19 +559,16 @@ def leaf_distances(spark, sf):
 def orient_edges(spark, sf):
     """Far and near ends of internal edges."""
     rows = V.trees(spark, sf)
-    return tolerance.orient_edges(rows, tolerance.leaf_distances(rows))
+    return tolerance.orient_edges(rows, splits.written(tolerance.leaf_distances(rows)))
 
 
 @tree_query("select query_id, node, round(1 / (distance / leaf_min + 1), 9) as w_0, round(case when is_query = 1 then 1 else exp(-distance * distance) / 2 end, 9) as w_x, round(exp(-distance * distance / (mu * mu)), 9) as w_mean, round(exp(-distance * hops), 9) as w_count4, round((0.1e0 - 1) / most * distance + 1, 9) as w_threshold from (select *, min(case when is_leaf = 1 and is_query = 0 then distance end) over (partition by query_id) as leaf_min, avg(distance) over (partition by query_id) as mu, max(distance) over (partition by query_id) as most from walked)")
 def distance_weights(spark, sf):
     """Weights under five schemes."""
-    found = tolerance.leaf_distances(V.trees(spark, sf))
     schemes = {"w_0": ("0", None), "w_x": ("X", None), "w_mean": ("mean", None), "w_count4": ("CountNodes_4", None), "w_threshold": ("MinThreshold", 0.1)}
-    tables = [tolerance.distance_weights(found, p, least).withColumnRenamed("weight", n) for n, (p, least) in schemes.items()]
-    joined = tables[0]
-    for t in tables[1:]:
-        joined = joined.join(t, ["query_id", "node"])
-    return joined.select("query_id", "node", *(F.round(n, 9).alias(n) for n in schemes))
+    weights = {n: tolerance.scheme_weight(p, least) for n, (p, least) in schemes.items()}
+    found = tolerance.leaf_distances(V.trees(spark, sf)).select("query_id", "node", *(w.alias(n) for n, w in weights.items()))
+    return found.select("query_id", "node", *(F.round(n, 9).alias(n) for n in schemes))
 
 
 def _tolerance_sql() -> str:
@@ -600,7 +597,7 @@ def tolerance_scores(spark, sf):
     edges = V.trees(spark, sf)
     rows = V.states(spark, sf)
     posterior = tolerance.gap_aware_posterior(rows.drop("p_0"), rows.select("query_id", "node", "site", "p_0"))
-    found = tolerance.tolerance_scores(edges, tolerance.leaf_distances(edges), posterior, V.msa(spark, sf), "mean", "NN")
+    found = tolerance.tolerance_scores(edges, splits.written(tolerance.leaf_distances(edges)), posterior, V.msa(spark, sf), "mean", "NN")
     return found.select("query_id", "site", *(F.round(c, 9).alias(c) for c in found.columns[2:]))
 
 
@@ -608,7 +605,7 @@ def tolerance_scores(spark, sf):
 def closest_relative(spark, sf):
     """Relatives of customers by region, nation and key as a lineage."""
     rows = V.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("name"), F.array(F.concat(F.lit("r"), F.col("c_nationkey") % 5), F.concat(F.lit("n"), F.col("c_nationkey")), F.col("c_custkey").cast("string")).alias("lineage"))
-    return species.best_match_listing(species.closest_relative(rows, rows)).select("name", "depth", F.col("shown").alias("relatives"))
+    return species.closest_relative(rows, rows)
 
 
 @query("select code, case when code % 2 = 0 then 'Genus s' || code end as leaf from (select distinct s_suppkey as code from supplier)")

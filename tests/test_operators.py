@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seedloom.operators import alignment, annotation, features, metrics, species, splits, tolerance, validation
+from seedloom.operators import alignment, annotation, features, metrics, positions, species, splits, tolerance, validation
 from seedloom.plans import catalog
 
 
@@ -144,3 +144,31 @@ def test_relatives_without_common_taxa(spark):
     have = spark.createDataFrame([("p", ["x", "y"]), ("q", ["x", "z"])], "name string, lineage array<string>")
     lost = spark.createDataFrame([("m", ["x", "z", "w"]), ("n", ["o"])], "name string, lineage array<string>")
     assert rows(species.closest_relative(lost, have)) == [("m", 2, ["q"]), ("n", 0, ["q", "p"])]
+
+
+def test_listings_of_tied_relatives(spark):
+    have = spark.createDataFrame([("a", ["x"]), ("b", ["x", "y"]), ("c", ["x", "y"]), ("c", ["x", "y"]), ("d", ["z"]), ("e", None)], "name string, lineage array<string>")
+    lost = spark.createDataFrame([("m", ["x", "y", "w"]), ("n", ["q"]), ("o", None), ("m", ["x", "y", "w"])], "name string, lineage array<string>")
+    found = {r["name"]: (r["depth"], r["shown"], r["n_tied"]) for r in species.best_match_listing(lost, have, 2).collect()}
+    assert found == {"m": (2, ["c", "b"], 2), "n": (0, ["e", "d"], 5), "o": (0, ["e", "d"], 5)}
+    assert rows(species.best_match_listing(lost, have.limit(0))) == [("m", 0, [], 0), ("n", 0, [], 0), ("o", 0, [], 0)]
+
+
+def test_scalers_keep_digits_of_large_means(spark):
+    df = spark.createDataFrame([(1e9 + 1, 1), (1e9 + 3, 3), (None, 5), (float("nan"), 1)], "v double, w int")
+    assert features.fit_columns(df, ["v"]).first().asDict() == {"source": "v", "n": 2.0, "mean": 1e9 + 2, "std": 1.0}
+    weighted = features.fit_columns(df, ["v"], F.col("w")).first()
+    assert weighted["n"] == 4.0 and weighted["mean"] == 1e9 + 2.5 and abs(weighted["std"] - 0.75**0.5) < 1e-9
+    assert features.fit_columns(df.where("v is null"), ["v"], F.col("w")).first().asDict() == {"source": "v", "n": 0.0, "mean": 0.0, "std": 1.0}
+
+
+def test_repeated_positions_do_not_shift_arrays(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0), (1, 2, 5.0), (1, 2, 3.0), (2, 1, 1.0), (2, 2, 2.0), (2, 3, 3.0)], "k int, pos int, v double")
+    found = positions.position_arrays(df, ["k"], "pos", {"v": F.col("v")}, 3)
+    assert rows(found) == [(1, [1.0, 5.0, None]), (2, [1.0, 2.0, 3.0])]
+
+
+def test_query_leaves_by_tree(spark):
+    msa = spark.createDataFrame([(1, 3, 1, "A"), (1, 4, 1, "A"), (1, 5, 1, "C"), (2, 3, 1, "A"), (2, 4, 1, "C"), (2, 5, 1, "C")], "query_id int, leaf int, site int, nt string")
+    leaves = spark.createDataFrame([(1, 3), (2, 5)], "query_id int, leaf int")
+    assert rows(tolerance.query_nt_count(msa, leaves)) == [(1, 1, 2), (2, 1, 2)] and rows(tolerance.query_nt_count(msa, 3)) == [(1, 1, 2), (2, 1, 1)]

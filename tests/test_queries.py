@@ -1,6 +1,6 @@
 import pytest
 
-from seedloom.plans import catalog
+from seedloom.plans import catalog, inputs  # noqa: F401
 from tests.oracle import connect, same
 
 
