@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.llm import html_text, jaccard, language, line_dedup, media, mixing, packing, pii, quality, toxicity
+from seedloom.llm import html_text, jaccard, language, line_dedup, media, mixing, packing, pii, quality, secret_scan, spelling, toxicity, whitening
 from seedloom.llm.common import read
 
 
@@ -53,8 +53,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(read(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(read(spark, sf_dir, "documents")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_language_id, op4_toxicity, op5_quality_rules, op6_line_dedup, op7_pii, op8_packing, op9_source_mixing, op10_ngram_jaccard_join)}
+    every = (
+        op1_html_extraction, op2_media_columns, op3_language_id, op4_toxicity, op5_quality_rules, op6_line_dedup, op7_pii, op8_packing, op9_source_mixing,
+        op10_ngram_jaccard_join, op11_spelling_variants, op12_secret_scan, op13_embedding_whitening,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
