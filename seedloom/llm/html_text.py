@@ -34,7 +34,8 @@ ABOUT = frozenset("with has no without hide show layout".split())
 PLACES = frozenset(
     "site page top bottom left right main primary secondary inner outer box bar area block section container wrapper wrap list item items content global local "
     "links link text label header footer sticky fixed floating mobile desktop small large first last default new row col column group panel zone slot unit region "
-    "article post story entry body the a an and of by form button buttons icon icons message messages policy".split()
+    "article post story entry body the a an and of by form button buttons icon icons message messages policy "
+    "thread threads posts articles stories card cards tools tool cta callout mpu leaderboard rail strip stack feed count counter heading title tab tabs badge dialog".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_ANYWAY = frozenset(("html", "body", "article", "main"))
@@ -48,15 +49,16 @@ NAME_PART = re.compile(r"[a-z]+")
 #: Points that an article or main element starts with, and its share of each paragraph's points by level above it.
 ARTICLE_BONUS = 25.0
 SIBLING_SHARE = 0.2
-#: Points of all its blocks with which an element of a doubtful name is part of the article: one sentence of 25 characters with a comma has more.
-LEAST_POINTS = 1.2
+#: Share of an element's characters that must stand in sentences, headings or lists for an element of a doubtful name to be part of the article.
+SENTENCES = 0.5
+SENTENCE_END = re.compile(r"[.!?:;…。！？]['\"”’»)\]]*$")
 
 
 def beside_article(name: str, attributes: str) -> int:
     """2 if an element's name, class, id, role or visibility marks it as no part of an article, 1 if its name may, else 0.
 
-    A name that holds more than boilerplate and places, as in "social-history" or "notice-period", may speak of an
-    article's subject; the element's text decides.
+    The head of a name decides, its last part that isn't a place or form: "reader-comments" and "ad-slot-mpu" are
+    boilerplate, "social-history" and "notice-period" may speak of an article's subject; the element's text decides.
     """
     if name in DROPPED:
         return 2
@@ -73,7 +75,7 @@ def beside_article(name: str, attributes: str) -> int:
             for one in value.split():
                 parts = NAME_PART.findall(one)
                 if not BOILERPLATE.isdisjoint(parts) and ABOUT.isdisjoint(parts):
-                    if all(p in BOILERPLATE or p in PLACES or len(p) < 3 for p in parts):
+                    if next((p for p in reversed(parts) if p not in PLACES and len(p) > 1), parts[-1]) in BOILERPLATE:
                         return 2
                     found = 1
     return found
@@ -209,6 +211,22 @@ class Page:
             up = parents[up]
         return best, False
 
+    def introduced(self, chars: list[int], links: list[int]) -> set[int]:
+        """Lists and tables behind a heading or paragraph of their own container that isn't linked and doesn't name boilerplate, as a list of references."""
+        names, parents = self.names, self.parents
+        heads = {node: words for node, words, _ in self.blocks if names[node] in HEADINGS or names[node] == "p"}
+        last: dict[int, int] = {}
+        found = set()
+        for node in range(1, len(names)):
+            if not chars[node]:
+                continue
+            ahead = last.get(parents[node])
+            if names[node] in ("ul", "ol", "dl", "table") and ahead in heads and 2 * links[ahead] < chars[ahead]:
+                if names[ahead] == "p" or BOILERPLATE.isdisjoint(NAME_PART.findall(heads[ahead].lower())):
+                    found.add(node)
+            last[parents[node]] = node
+        return found
+
     def main_blocks(self) -> list[str]:
         """Text of the blocks in the whole article around the best container and of worthy siblings, in page order."""
         names, parents = self.names, self.parents
@@ -216,7 +234,7 @@ class Page:
             return []
         n = len(names)
         points, chars, links = [0.0] * n, [0] * n, [0] * n
-        own_points = [0.0] * n
+        sentences = [0] * n
         for node, words, linked in self.blocks:
             chars[node] += len(words)
             links[node] += min(linked, len(words))
@@ -225,7 +243,8 @@ class Page:
             else:
                 own = (len(words) >= 25) + words.count(",") + min(len(words) / 100, 3.0)
             own *= 1 - min(linked, len(words)) / len(words)
-            own_points[node] += own
+            if names[node] in HEADINGS or names[node] in ("li", "td", "th", "dd", "dt") or SENTENCE_END.search(words):
+                sentences[node] += len(words)
             # A block's text may stand right in a container, which is then its own first ancestor.
             up = node if names[node] in ("div", "article", "main", "section", "body", "td") else parents[node]
             for level in range(1, 6):
@@ -236,8 +255,8 @@ class Page:
         for node in range(n - 1, 0, -1):
             chars[parents[node]] += chars[node]
             links[parents[node]] += links[node]
-            own_points[parents[node]] += own_points[node]
-        left_out = {d for d in self.doubtful if own_points[d] < LEAST_POINTS or links[d] > 0.5 * chars[d]}
+            sentences[parents[node]] += sentences[node]
+        left_out = {d for d in self.doubtful if links[d] > 0.5 * chars[d] or sentences[d] < SENTENCES * chars[d]}
         best, most = 0, -1.0
         total = [0.0] * n
         for node in range(n):
@@ -260,6 +279,7 @@ class Page:
             above.add(up)
             up = parents[up]
         inside, scored, menu = [False] * n, [False] * n, [False] * n
+        introduced = self.introduced(chars, links) if tagged else set()
         for node in range(n):
             up = parents[node]
             inside[node] = node in kept or up >= 0 and inside[up]
@@ -268,7 +288,7 @@ class Page:
             # What is only taken along with the best container must be no row of links of other elements either.
             besides = not tagged and not scored[node] and node not in above and names[node] not in HEADINGS
             row = besides and links[node] and 2 * links[node] >= chars[node]
-            menu[node] = node in left_out or up >= 0 and menu[up] or bool(dense) and names[node] in ("ul", "ol", "dl", "table") or bool(row)
+            menu[node] = node in left_out or up >= 0 and menu[up] or bool(dense) and names[node] in ("ul", "ol", "dl", "table") and node not in introduced or bool(row)
         return [words for node, words, _ in self.blocks if inside[node] and not menu[node]]
 
 

@@ -25,15 +25,18 @@ BLOCK = 32
 #: Code points of a word; a longer run of letters, as in scripts without spaces, is so many words one after another.
 WIDTH = 24
 
-#: Numbers such as ½, ² and Ⅷ, which count as word characters but are no letters.
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Numbers such as ½, ² and Ⅷ count as word characters but are no letters. Their class is slow to match, so only words that hold one are cut at them.
 NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
 LETTERS = rf"[^\W\d_{NUMERALS}]"
-WORD = re.compile(rf"{LETTERS}+(?:['’]{LETTERS}+)*")
+LETTERS_ONLY = re.compile(rf"{LETTERS}+(?:['’]{LETTERS}+)*")
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters, long ones cut into words of at most ``WIDTH`` code points."""
     words = WORD.findall(text.lower()) if text else []
+    if words and not text.isascii() and not all(w.isalpha() or w.isascii() for w in words):
+        words = [part for w in words for part in ((w,) if w.isalpha() or w.isascii() else LETTERS_ONLY.findall(w))]
     if any(len(w) > WIDTH for w in words):
         words = [w[at : at + WIDTH] for w in words for at in range(0, len(w), WIDTH)]
     return words

@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The last kind has no base pattern: credentials, which only the method adds.
+from seedloom.llm.common import scratch
+
+#: The last kind has no base pattern: credentials, which only the method finds. They are kept apart from the spans of the other kinds.
 KINDS = ("email", "ip", "card", "phone", "secret")
 # The contract's patterns in forms that Java matches in linear time. A run
 # of the leading class is entered at its start or where the last match ended.
@@ -300,25 +302,38 @@ def train(found: DataFrame) -> SpanModel:
 
 
 def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SpanModel | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, base, spans``: arrays of ``start, kind, stop`` by start, then kind.
+    """``doc_id, base, spans, credentials``: arrays of ``start, kind, stop`` by start, then kind.
 
     ``base`` has the matches of the four base patterns that pass their conditions, leftmost
-    and not overlapping within a kind. ``spans`` adds looser candidates, credentials among them, that the span
-    classifier accepts and that overlap no base span. ``model`` defaults to
+    and not overlapping within a kind. ``spans`` adds looser candidates of these kinds that the span
+    classifier accepts; ``credentials`` are what it accepts as such. Nothing added overlaps a base span or another added one:
+    the leftmost stays, and a credential gives way to the other kinds. ``model`` defaults to
     :func:`train` on these documents. Positions are code points, the end exclusive.
 
-    One map over the table after one for training, nothing but pattern counts is shuffled.
+    One map over the table, whose candidates are written to the checkpoint folder (a row a document, without its text), since training
+    reads them before the result does; nothing but pattern counts is shuffled.
     Null and empty texts have no spans. Repeated rows and null ids are kept; an empty table
     gives an empty result; other columns are not read.
     """
-    found = candidates(documents, id_col, text_col)
+    found = scratch(candidates(documents, id_col, text_col))
     model = train(found) if model is None else model
     brief = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
     base = F.array_sort(F.transform(F.filter("base", passes), brief))
     limit = math.log(threshold / (1 - threshold))
-    placed = found.withColumn("base", base)
-    added = F.filter("loose", lambda s: (model.logit(s) >= limit) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return placed.select("doc_id", "base", F.array_sort(F.concat("base", F.transform(added, brief))).alias("spans"))
+
+    def apart_from(column: str):
+        return lambda s: ~F.exists(column, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+
+    def leftmost(spans: Column) -> Column:
+        """Spans in order, without those that overlap one kept before."""
+        keep = lambda kept, s: F.when((F.size(kept) > 0) & (s["start"] < F.element_at(kept, -1)["stop"]), kept).otherwise(F.concat(kept, F.array(s)))
+        return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,kind:int,stop:int>>"), keep)
+
+    accepted = found.withColumn("base", base).withColumn("loose", F.transform(F.filter("loose", lambda s: model.logit(s) >= limit), brief))
+    accepted = accepted.withColumn("loose", F.filter("loose", apart_from("base")))
+    credential = KINDS.index("secret")
+    spans = accepted.withColumn("added", leftmost(F.filter("loose", lambda s: s["kind"] != credential))).withColumn("spans", F.array_sort(F.concat("base", "added")))
+    return spans.select("doc_id", "base", "spans", leftmost(F.filter(F.filter("loose", lambda s: s["kind"] == credential), apart_from("added"))).alias("credentials"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -327,9 +342,9 @@ def spans_text(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The base counts, hash and text of :func:`find_personal_data` rows, and the number of all spans."""
+    """The base counts and hash, the text of all spans and their number, and that of credentials, of :func:`find_personal_data` rows."""
     def of_kind(k: int):
         return lambda s: s["kind"] == k
 
     counts = [F.size(F.filter("base", of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.size("spans").cast("bigint").alias("n_spans"), F.sha2(F.encode(spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.size("spans").cast("bigint").alias("n_spans"), F.sha2(F.encode(spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), spans_text(F.col("credentials")).alias("credentials"))

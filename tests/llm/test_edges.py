@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seedloom.llm import html_text, jaccard, language, line_dedup, media, mixing, packing, pii, quality, toxicity
+from seedloom.llm import html_text, jaccard, language, line_dedup, media, mixing, packing, pii, quality, secret_scan, toxicity
 
 LINE = "This line of more than forty characters repeats in documents"
 LONG = " ".join(f"word{i % 5000} und{i}" for i in range(15000))
@@ -17,7 +17,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string"
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, SCHEMA).withColumn("n_chars", F.length("text").cast("bigint"))
-    for name in ("digest", "digests", "class", "rank", "bin", "salt", "node", "size", "target", "lost_id", "copies", "words", "part", "base", "spans", "batch"):
+    for name in ("digest", "digests", "class", "rank", "bin", "salt", "node", "size", "target", "lost_id", "copies", "words", "part", "base", "spans", "batch", "row_key", "text_key", "keeper", "hub", "label", "fold", "lang_pred", "held_out", "credentials", "kind", "u", "v", "m"):
         df = df.withColumn(name, F.lit("clash"))
     return df.repartition(3)
 
@@ -40,6 +40,7 @@ RUNS = {
     "quality": lambda d, n: quality.quality_rules(d),
     "lines": lambda d, n: line_dedup.dedup_lines(d),
     "pii": lambda d, n: pii.digest(pii.find_personal_data(d)),
+    "secrets": lambda d, n: secret_scan.digest(secret_scan.find_secrets(d)),
     "packing": lambda d, n: packing.pack_documents(d),
     "mixing": lambda d, n: mixing.mix_sources(d),
     "jaccard": lambda d, n: jaccard.similar_documents(d),

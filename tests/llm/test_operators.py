@@ -76,6 +76,30 @@ def test_scoring_decides_on_doubtful_names():
     assert [x[:9] for x in html_text.main_text(page).split("\n\n")] == ["Work", "word, wor", "The union", "The term "]
 
 
+BESIDE = (
+    "reader-comments user-comments blog-comments author-comments comment-thread disqus_thread ad-slot-mpu advert-leaderboard google-ads privacy-notice legal-notice gdpr-dialog newsletter-callout "
+    "related-posts related-articles promo-card share-tools subscribe-cta breaking-alert"
+).split()
+
+
+@pytest.mark.parametrize("tag", ["main", "article", "div"])
+def test_the_head_of_a_name_decides(tag):
+    text = "<p>The river runs from the hills, past the old mill, and down to the sea.</p>"
+    more = "<p>Great read, thanks for this one. I liked it, really, and so did my friends.</p>"
+    page = lambda name, inner=more: html_text.main_text(f'<html><body><{tag}>{text * 4}<div class="{name}">{inner}</div></{tag}></body></html>')
+    assert [n for n in BESIDE if "Great read" in page(n)] == []
+    for name in ("social-history", "notice-period", "comment-culture", "banner-year"):
+        assert "Great read" in page(name) and "Short one." in page(name, "<p>Short one.</p>")
+
+
+def test_reference_lists_stay_and_menus_go():
+    text = "<p>The river runs from the hills, past the old mill, and down to the sea.</p>" * 3
+    links = "<ul><li><a href=x>Smith 2001, A book of rivers</a></li><li><a href=y>Jones 2003</a></li></ul>"
+    assert html_text.main_text(f"<body><article>{text}<h2>References</h2>{links}</article></body>").endswith("References\n\nSmith 2001, A book of rivers\n\nJones 2003")
+    for page in (f"<body><main>{links}<article>{text}</article></main></body>", f"<body><article>{text}<h3>Related articles</h3>{links}</article></body>", f'<body><article>{text}<p>See also.</p><div class="related-links">{links}</div></article></body>'):
+        assert "Smith" not in html_text.main_text(page)
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "plain text only", "<a '", "</p></div>", "<p>a<!-- b", "<script>x", "<div>" * 3000 + "deep"])
 def test_broken_pages(page):
     html_text.main_text(page)
@@ -375,7 +399,10 @@ def test_added_spans(spark):
         wanted[d] = set(spans)
     hit = extra = total = 0
     for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect():
-        added = {(pii.KINDS[s["kind"]], s["start"], s["stop"]) for s in r["spans"]} - {(pii.KINDS[s["kind"]], s["start"], s["stop"]) for s in r["base"]}
+        assert all(s["kind"] < 4 for s in r["spans"]) and all(s["kind"] == 4 for s in r["credentials"])
+        whole = sorted((s["start"], s["stop"]) for s in set(r["spans"] + r["credentials"]) - set(r["base"]))
+        assert all(a[1] <= b[0] for a, b in zip(whole, whole[1:]))
+        added = {(pii.KINDS[s["kind"]], s["start"], s["stop"]) for s in r["spans"] + r["credentials"]} - {(pii.KINDS[s["kind"]], s["start"], s["stop"]) for s in r["base"]}
         hit += len(added & wanted[r["doc_id"]])
         extra += len(added - wanted[r["doc_id"]])
         total += len(wanted[r["doc_id"]])
