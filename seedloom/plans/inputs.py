@@ -249,12 +249,12 @@ def standardize(spark, sf):
     return V.tracks(spark, sf).select("row_id", arrays.standardize(F.col("phastcons"), F.lit(0.5), F.lit(0.25)).alias("scaled"))
 
 
-@query("select row_id, case when n > 0 then [round(total / n, 9), round(2 * total / n, 9)] end as pooled from (select row_id, len(f) as n, list_sum(f) as total from (select row_id, list_filter(phastcons, lambda x: x >= 0.25) as f from v_tracks))")
+@query("select row_id, case when n > 0 then [total / n, 2 * total / n] end as pooled from (select row_id, len(f) as n, list_sum(f) as total from (select row_id, list_filter(phastcons, lambda x: x >= 0.25) as f from v_tracks))")
 def pool_tokens(spark, sf):
     """The mean of two-channel position vectors that a mask keeps."""
     x = arrays.fill_missing(F.col("phastcons"), 0.0)
     vectors, mask = F.transform(x, lambda v: F.array(v, v * 2)), F.transform(x, lambda v: F.when(v >= 0.25, 1).otherwise(0))
-    return V.tracks(spark, sf).select("row_id", _rounded(features.pool_tokens(vectors, mask)).alias("pooled"))
+    return V.tracks(spark, sf).select("row_id", features.pool_tokens(vectors, mask).alias("pooled"))
 
 
 @query("select row_id, phastcons as strict, phastcons as lenient, list_transform(range(1, 61), lambda i: case when len(list_filter(phastcons, lambda x: x is null)) > 0 or i > 50 then 0.0e0 else greatest(least(phastcons[i] * 2, 1.0e0), -1.0e0) end) as track from v_tracks")
