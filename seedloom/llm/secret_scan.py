@@ -33,8 +33,8 @@ CONTEXT = re.compile(
 #: The credential of an address: scheme://name:value@host.
 ADDRESS = re.compile(r"://[^\s/:@]{1,64}:(?P<value>[^\s/@]{6,256})@")
 NEEDS = rf"(?i)(?:{NAMES})|AKIA|[0-9a-f]{{24}}|://[^\s/:@]+:"
-#: The most frequent words over all documents, which make up the dictionary.
-LEXICON = 50_000
+#: The most frequent words over all documents make up the dictionary, if they occur so often: a secret's own letters must not make it cheap.
+LEXICON, OCCURRENCES = 50_000, 5
 LONGEST_WORD = 24
 #: Values that take 2 to this many guesses or more are secrets; behind a mere verb they need as many more.
 LEAST_BITS, WEAK_BITS = 33.0, 12.0
@@ -68,15 +68,15 @@ def case_bits(word: str) -> float:
     return 1.0 if upper == len(word) or upper == 1 and word[0].isupper() else math.log2(math.comb(len(word), upper) + 1)
 
 
-def word_bits(part: str, ranks: dict[str, int]) -> float | None:
+def word_bits(part: str, costs: dict[str, float]) -> float | None:
     """Bits of a dictionary word, with capitals and look-alikes; None if it is none."""
     lower = part.lower()
-    rank = ranks.get(lower)
-    if rank is not None:
-        return math.log2(rank + 2) + case_bits(part)
+    own = costs.get(lower)
+    if own is not None:
+        return own + case_bits(part)
     plain = lower.translate(LOOKS)
-    rank = ranks.get(plain) if plain != lower else None
-    return None if rank is None else math.log2(rank + 2) + case_bits(part) + sum(a != b for a, b in zip(lower, plain)) + 1.0
+    own = costs.get(plain) if plain != lower else None
+    return None if own is None else own + case_bits(part) + sum(a != b for a, b in zip(lower, plain)) + 1.0
 
 
 def walk_lengths(value: str) -> list[tuple[int, int]]:
@@ -94,7 +94,7 @@ def walk_lengths(value: str) -> list[tuple[int, int]]:
     return found
 
 
-def guess_bits(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_bits(value: str, costs: dict[str, float]) -> tuple[float, list[tuple[str, int, int]]]:
     """Bits of the cheapest segmentation of ``value``, and its spans: ``kind, start, end``.
 
     Dynamic programming over the ends of spans: dictionary words, dates, repeats of a unit, walks over
@@ -116,7 +116,7 @@ def guess_bits(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str
     for end in range(1, n + 1):
         offer("brute", end - 1, end, single[end] - single[end - 1])
         for start in range(max(0, end - LONGEST_WORD), end - 2):
-            bits = word_bits(value[start:end], ranks)
+            bits = word_bits(value[start:end], costs)
             if bits is not None:
                 offer("word", start, end, bits)
         for length in (4, 5, 6, 7, 8, 9, 10):
@@ -131,7 +131,7 @@ def guess_bits(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str
             times = run // unit + 1
             if times >= (3 if unit == 1 else 2):
                 part = value[end - unit : end]
-                own = word_bits(part, ranks)
+                own = word_bits(part, costs)
                 brute = single[end] - single[end - unit]
                 offer("repeat", end - times * unit, end, min(brute, brute if own is None else own) + math.log2(times))
     spans: list[tuple[str, int, int]] = []
@@ -167,7 +167,7 @@ def candidate_spans(text: str) -> list[tuple[int, int, str, bool]]:
     return sorted(found)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int, str]], ranks: dict[str, int], least: float = LEAST_BITS) -> list[tuple[int, int, int, float]]:
+def added_spans(text: str, base: list[tuple[int, int, int, str]], costs: dict[str, float], least: float = LEAST_BITS) -> list[tuple[int, int, int, float]]:
     """``start, kind, end, bits`` of candidates that are hard to guess and overlap neither base spans nor each other."""
     found: list[tuple[int, int, int, float]] = []
     for start, end, value, weak in candidate_spans(text):
@@ -177,40 +177,42 @@ def added_spans(text: str, base: list[tuple[int, int, int, str]], ranks: dict[st
         if value[0] in "$%&" or value.startswith(("http:", "https:", "www.")) or not any(c.isalnum() for c in value):
             continue
         classes = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value[1:])))
-        bits, _ = guess_bits(value, ranks)
+        bits, _ = guess_bits(value, costs)
         if bits >= least + (WEAK_BITS if weak else 0.0) and (classes > 1 or not weak):
             found.append((start, 0, end, bits))
     return found
 
 
-def lexicon(documents: DataFrame, text_col: str = "text", words: int = LEXICON) -> dict[str, int]:
-    """The ``words`` most frequent words of all documents (equally frequent ones by code point) and common passwords, by rank."""
+def common_words() -> dict[str, float]:
+    """Bits of the passwords that people choose first, by their place in the list."""
+    return {w: math.log2(i + 2) for i, w in enumerate(COMMON)}
 
+
+def lexicon(documents: DataFrame, text_col: str = "text", words: int = LEXICON) -> dict[str, float]:
+    """Bits of common passwords and of the ``words`` most frequent words of all documents (equally frequent ones by code point), by their share of these."""
     counts = counted(documents.select(F.lit(None).cast("bigint"), F.col(text_col).cast("string")), lambda _, text: letter_runs(text))
-    counts = counts.where(F.length("word").between(3, LONGEST_WORD))
-    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
-    ranks = {w: i for i, w in enumerate(COMMON)}
-    for w in top:
-        ranks.setdefault(w, len(ranks))
-    return ranks
+    counts = counts.where(F.length("word").between(3, LONGEST_WORD) & (F.col("n") >= OCCURRENCES))
+    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
+    total = sum(r["n"] for r in top)
+    return {r["word"]: math.log2(total / r["n"]) for r in top} | common_words()
 
 
 SCHEMA = "doc_id bigint, base array<struct<start:int,kind:int,stop:int,bits:double>>, spans array<struct<start:int,kind:int,stop:int,bits:double>>"
 
 
-def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: dict[str, int] | None = None, least: float = LEAST_BITS) -> DataFrame:
+def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", costs: dict[str, float] | None = None, least: float = LEAST_BITS) -> DataFrame:
     """``doc_id, base, spans``: arrays of ``start, kind, stop, bits`` by start, then kind.
 
     ``base`` has the matches of the three fixed patterns that are long enough, leftmost and not
     overlapping within a kind. ``spans`` adds, as kind ``assign``, values that stand in credential contexts
     and take 2 to the ``least`` guesses or more by the cheapest segmentation; they overlap no other span. ``bits`` is
-    that cost of a span's value. ``ranks`` defaults to :func:`lexicon` of these documents. Positions are code points, the end exclusive.
+    that cost of a span's value. ``costs`` defaults to :func:`lexicon` of these documents. Positions are code points, the end exclusive.
 
     One map over the table after one that counts words. Null and empty texts have no spans; repeated rows and
     null ids are kept; an empty table gives an empty result; other columns are not read.
     """
-    ranks = lexicon(documents, text_col) if ranks is None else ranks
-    shared = documents.sparkSession.sparkContext.broadcast(ranks)
+    costs = lexicon(documents, text_col) if costs is None else costs
+    shared = documents.sparkSession.sparkContext.broadcast(costs)
 
     def rows(batch: pa.RecordBatch) -> dict:
         texts = batch.column(1)

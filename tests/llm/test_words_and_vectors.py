@@ -179,14 +179,14 @@ def test_secrets_base_spans(spark, small):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in want) for i in range(3)]
 
 
-RANKS = {w: i for i, w in enumerate("password the and correct horse battery staple summer required monkey".split())}
+COSTS = {w: 1.0 + i for i, w in enumerate("password the and correct horse battery staple summer required monkey".split())}
 
 
-def bits_by_all_segmentations(value, ranks):
+def bits_by_all_segmentations(value, costs):
     """The least cost over all ways to cut ``value``, each piece priced by itself."""
     def piece(part, before_brute):
-        kinds = [secret_scan.word_bits(part, ranks) if len(part) >= 3 else None]
-        spans = [secret_scan.guess_bits(part, ranks)] if len(part) > 1 else []
+        kinds = [secret_scan.word_bits(part, costs) if len(part) >= 3 else None]
+        spans = [secret_scan.guess_bits(part, costs)] if len(part) > 1 else []
         kinds += [bits - 1.0 for bits, cut in spans if len(cut) == 1 and cut[0][0] != "brute"]
         brute = sum(map(secret_scan.character_bits, part))
         best = min([k + 1.0 for k in kinds if k is not None], default=float("inf"))
@@ -209,14 +209,14 @@ def bits_by_all_segmentations(value, ranks):
 
 @pytest.mark.parametrize("value", ["password1", "P4ssword", "aaaaab", "abcabcabc", "qwerty12", "19870412x", "horse!ha", "x7Kq9!m", "zzz1999", "thethe1", "1", ""])
 def test_guess_cost_is_least_over_all_segmentations(value):
-    bits, spans = secret_scan.guess_bits(value, RANKS)
+    bits, spans = secret_scan.guess_bits(value, COSTS)
     assert "".join(value[a:b] for _, a, b in spans) == value
     if value:
-        assert bits == pytest.approx(bits_by_all_segmentations(value, RANKS))
+        assert bits == pytest.approx(bits_by_all_segmentations(value, COSTS))
 
 
 def test_easy_values_cost_less_than_hard_ones():
-    bits = lambda v: secret_scan.guess_bits(v, RANKS)[0]
+    bits = lambda v: secret_scan.guess_bits(v, COSTS)[0]
     for easy in ("password", "P4ssw0rd1", "qwertyuiop", "aaaaaaaaaa", "abcabcabc", "1987-04-12", "12345678", "correcthorsebatterystaple", "Summer2024!", "required", "monkeymonkey"):
         assert bits(easy) < secret_scan.LEAST_BITS, easy
     for hard in ("x7Kq9!mZ2pLw", "04dbebab91ab85687d33", "wJalrXUtnFEMI", "Tr0ub4dor&3zQ"):
