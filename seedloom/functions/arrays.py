@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 BASES = ("a", "c", "g", "t")
 NEUTRAL_SCORE, NEUTRAL_PHYLOP, NEUTRAL_PHASTCONS = 0.5, 0.0, 0.5
@@ -97,14 +97,29 @@ def shift_target(values: Column, k: int, fill) -> Column:
     return F.slice(moved, F.lit(1), n)
 
 
-def random_shift(epoch: int, batch: Column, most: int) -> Column:
-    """One shift between -most and most for a batch of an epoch, decided by a hash."""
-    return F.pmod(F.xxhash64(F.lit(epoch), batch), F.lit(2 * most + 1)).cast("int") - most
+def shifted(values: Column, k: Column, fill: Column) -> Column:
+    """An array moved right by a column ``k`` (left if negative), with ``fill`` in the gap."""
+    n = F.size(values)
+    return F.when(n == 0, values).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((i - k >= 0) & (i - k < n), F.get(values, i - k)).otherwise(fill)))
+
+
+def shifted_text(text: Column, k: Column, fill: str = "N") -> Column:
+    """A sequence moved right by a column ``k`` (left if negative), its length kept, with the letter ``fill`` in the gap."""
+    n = F.length(text)
+    gap = F.repeat(F.lit(fill), F.least(F.abs(k), n))
+    return F.when(k >= 0, F.concat(gap, F.substring(text, F.lit(1), F.greatest(n - k, F.lit(0))))).otherwise(F.concat(F.substring(text, 1 - k, n), gap))
+
+
+def random_shift(seed: int, epoch: int, batch: Column, most: int) -> Column:
+    """One shift between -most and most for a batch of an epoch, decided by the md5 of seed, epoch and batch."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), batch.cast("string"))), 1, 8)
+    return (F.conv(digits, 16, 10).cast("bigint") % (2 * most + 1)).cast("int") - most
 
 
 def standardize(values: Column, mean: Column, std: Column) -> Column:
     """``(x - mean) / std`` where a value is finite, else 0."""
-    return F.transform(values, lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise((x - mean) / std))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.transform(values, lambda x: F.when(finite(x), (x - mean) / std).otherwise(0.0))
 
 
 def outer_interactions(left: Column, right: Column) -> Column:
@@ -201,3 +216,87 @@ def rc_pair_features(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator
         counts[:, 18] = counts[:, :16].sum(1)
         counts[:, 19] = (m[:, 1:8] >= 0).sum(1) * (t >= 0).sum(1)
         yield pd.Series(list(counts.astype(np.int32)))
+
+
+#: Channels of a pair feature grid after the 16 base pairs, which are named by miRNA and target base in the order A, C, G, T.
+PAIR_CHANNELS = (*(a + b for a in "ACGT" for b in "ACGT"), "watson_crick", "wobble", "valid", "seed")
+#: Bits of a cell: the low four are its pair, the others a plane each.
+CELL_BITS = {"watson_crick": 32, "wobble": 64, "valid": 16, "seed": 128}
+
+
+def _acgt(values: pd.Series, length: int) -> np.ndarray:
+    codes = _pair_codes(values, length)
+    return np.where(codes >= 0, np.array([0, 3, 1, 2, -1], np.int16)[codes], -1)
+
+
+@pandas_udf(BinaryType())
+def rc_pair_grid(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The 20 channels of a miRNA and the reverse complement of the padded target over their 28 by 50 cells, a byte a cell.
+
+    Low four bits: the pair, 4 x miRNA base + target base in the order A, C, G, T. Bit planes: valid (both are bases),
+    Watson-Crick, G-T wobble, and seed (valid and miRNA position 2 to 8). Cells that aren't valid are 0.
+    """
+    place = np.arange(MIRNA_LENGTH)
+    seed = ((place >= 1) & (place < 8))[None, :, None]
+    for mirna, gene in batches:
+        m, t = _acgt(mirna, MIRNA_LENGTH)[:, :, None], _acgt(gene, TARGET_LENGTH)[:, ::-1]
+        t = np.where(t >= 0, 3 - t, -1)[:, None, :]
+        valid = (m >= 0) & (t >= 0)
+        wobble = (m == 2) & (t == 3) | (m == 3) & (t == 2)
+        cells = np.where(valid, 4 * m + t + 16 + 32 * (m + t == 3) + 64 * wobble + 128 * seed, 0).astype(np.uint8)
+        yield pd.Series([g.tobytes() for g in cells])
+
+
+def _plane(cells: np.ndarray, channel: int) -> np.ndarray:
+    name = PAIR_CHANNELS[channel]
+    return (cells & CELL_BITS[name] > 0) if name in CELL_BITS else (cells & 31) == 16 + channel
+
+
+@pandas_udf(ArrayType(LongType()))
+def plane_checksums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Of each of the 20 planes of a pair feature grid, the sum of the places of its cells, counted from 1 by rows."""
+    weights = np.arange(1, MIRNA_LENGTH * TARGET_LENGTH + 1, dtype=np.int64)
+    for grids in batches:
+        cells = np.stack([np.frombuffer(g, np.uint8) for g in grids]).reshape(len(grids), -1)
+        yield pd.Series(list(np.stack([_plane(cells, c) @ weights for c in range(len(PAIR_CHANNELS))], 1)))
+
+
+def grid_plane(channel: str):
+    """A function of a pair feature grid that gives one channel as 1400 bytes of 0 and 1."""
+    at = PAIR_CHANNELS.index(channel)
+
+    @pandas_udf(BinaryType())
+    def plane(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for grids in batches:
+            yield pd.Series([_plane(np.frombuffer(g, np.uint8), at).astype(np.uint8).tobytes() for g in grids])
+
+    return plane
+
+
+@pandas_udf(BinaryType())
+def axis_grid(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Tracks of both axes over the cells of a pair as one block of 4-byte floats, a plane after the other.
+
+    First the miRNA tracks, each value along its row, then the target tracks along their columns, then
+    the products of every miRNA track with every target track. The arguments are arrays of tracks.
+    """
+    for mirna, target in batches:
+        out = []
+        for m, t in zip(mirna, target):
+            m, t = np.array([list(x) for x in m], np.float32), np.array([list(x) for x in t], np.float32)
+            shape = (m.shape[1], t.shape[1])
+            planes = [np.broadcast_to(x[:, None], shape) for x in m] + [np.broadcast_to(x[None, :], shape) for x in t] + [np.outer(x, y) for x in m for y in t]
+            out.append(np.stack(planes).astype("<f4").tobytes())
+        yield pd.Series(out)
+
+
+def axis_plane_checksums(cells: int):
+    """A function of an axis grid of planes of ``cells`` cells: of each plane, the sum of values times their places, counted from 1."""
+
+    @pandas_udf(ArrayType(DoubleType()))
+    def checksums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights = np.arange(1, cells + 1, dtype=float)
+        for grids in batches:
+            yield pd.Series([list(np.frombuffer(g, "<f4").reshape(-1, cells).astype(float) @ weights) for g in grids])
+
+    return checksums

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedloom.functions import arrays, sequence
-from seedloom.operators.features import finite
+from seedloom.operators.features import finite, fit_columns
 from seedloom.operators.metrics import ranking_metrics
 
 # Names of the 104 features in the order that models expect.
@@ -116,6 +117,55 @@ def target_matrix(positions: DataFrame, scores: dict[str, str], length: int, key
     return profile_matrix(rows, names, length, key, position).withColumn("has_any", F.array_contains("mask", 1).cast("int"))
 
 
+# Names of the target channels.
+TARGET_CHANNELS = ("score_A", "score_C", "score_G", "score_T", "actual_score", "nonactual_mean", "actual_minus_nonactual_mean")
+
+
+@dataclass(frozen=True)
+class TargetScaler:
+    """Mean and deviation of the seven target channels: fitted on one split's positions, applied to those of any."""
+
+    #: channel: (number of values, mean, deviation)
+    stats: dict[str, tuple[float, float, float]]
+    scores: dict[str, str]
+    length: int
+    position: str = "pos"
+    actual: str = "actual_nt"
+
+    @classmethod
+    def fit(cls, positions: DataFrame, scores: dict[str, str], length: int, position: str = "pos", actual: str = "actual_nt") -> TargetScaler:
+        """One aggregation over the positions inside 1 to ``length``.
+
+        The four score channels count every finite score; the actual base's score, the mean of the others and their difference only
+        positions with four finite scores and a base that is A, C, G or T. ``scores`` maps bases to columns. The driver gets seven rows.
+        """
+        four = {b: finite(F.col(scores[b])).cast("double") for b in BASES}
+        total = sum(four.values(), F.lit(0.0))
+        own = F.lit(None).cast("double")
+        for b, s in four.items():
+            own = F.when(F.upper(F.col(actual)) == b, s).otherwise(own)
+        own = F.when(total.isNotNull(), own)
+        rest = (total - own) / 3
+        values = [*four.values(), own, rest, own - rest]
+        rows = positions.where(F.col(position).between(1, length)).select(*(v.alias(n) for n, v in zip(TARGET_CHANNELS, values)))
+        return cls({r["source"]: (r["n"], r["mean"], r["std"]) for r in fit_columns(rows, list(TARGET_CHANNELS)).collect()}, dict(scores), length, position, actual)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """``source, n, mean, std``: the scaler as a table."""
+        return spark.createDataFrame([(c, *self.stats[c]) for c in TARGET_CHANNELS], "source string, n double, mean double, std double")
+
+    def transform(self, positions: DataFrame, key: str = "row_id") -> DataFrame:
+        """``key, tensor, has_any``: seven channels and the mask, each ``length`` long; standardized where the mask is 1, else 0."""
+        found = target_matrix(positions, self.scores, self.length, key, self.position, self.actual)
+
+        def scaled(i: int, channel: str) -> Column:
+            _, mean, std = self.stats[channel]
+            return F.zip_with(F.get("matrix", F.lit(i)), F.col("mask"), lambda x, m: F.when(m == 1, (x - mean) / std).otherwise(0.0))
+
+        planes = [scaled(i, c) for i, c in enumerate(TARGET_CHANNELS)] + [F.transform("mask", lambda m: m.cast("double"))]
+        return found.select(key, F.array(*planes).alias("tensor"), "has_any")
+
+
 def select_channels(mode: str, mirna: Column, target: Column) -> Column:
     """The channels of one axis (``mirna`` or ``target``), or of ``both``, miRNA first; raises ``ValueError`` for another mode."""
     if mode not in ("mirna", "target", "both"):

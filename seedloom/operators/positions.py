@@ -30,12 +30,21 @@ def _at(name: str):
     return lambda i: F.array_max(F.transform(F.filter("_rows", lambda r: r["_at"] == i), lambda r: r[f"_v_{name}"]))
 
 
-def attach_position_scores(rows: DataFrame, mirna: DataFrame, target: DataFrame, key: str = "row_id") -> DataFrame:
+#: Profiles up to this number are broadcast (an array of 28 scores each, some MB in all); more are joined by shuffle.
+BROADCAST_PROFILES = 20_000
+
+
+def attach_position_scores(rows: DataFrame, mirna: DataFrame, target: DataFrame, key: str = "row_id", broadcast_profiles: int = BROADCAST_PROFILES) -> DataFrame:
     """Rows with the arrays of both axes and ``missing``: the axes without any score.
 
-    Both score tables are arrays by key already, so each side of a join is exchanged once on the key; keys without a row are left out.
+    Both score tables are arrays by key already, so each side of a join is exchanged once on the key, or not at all where rows and scores are
+    bucketed by it; keys without a row are left out. miRNA scores by ``mature_id`` are broadcast if a count shows that they are few.
     """
-    joined = rows.join(target, key, "left").join(mirna, key, "left") if key in mirna.columns else rows.join(target, key, "left").join(F.broadcast(mirna), "mature_id", "left")
+    joined = rows.join(target, key, "left")
+    if key in mirna.columns:
+        joined = joined.join(mirna, key, "left")
+    else:
+        joined = joined.join(F.broadcast(mirna) if mirna.count() <= broadcast_profiles else mirna, "mature_id", "left")
     sides = F.array(F.when(F.col("target_scores").isNull(), F.lit("target")), F.when(F.col("mirna_scores").isNull(), F.lit("mirna")))
     return joined.withColumn("missing", F.array_compact(sides))
 

@@ -5,17 +5,26 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seedloom.functions.arrays import random_shift, shifted, shifted_text
 
-def numbered(df: DataFrame, order: list[Column], name: str, buckets: int = 200) -> DataFrame:
+
+#: Rows that one task puts in order.
+BUCKET_ROWS = 500_000
+#: Blocks of files up to this number are broadcast (some 100 bytes each); more are joined by shuffle.
+BROADCAST_BLOCKS = 100_000
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds the 1-based place of each row in ``order`` without ordering the table in one task.
 
-    Rows are dealt by ranges of the order into partitions, written once to the checkpoint folder, numbered inside each and
-    moved on by the rows of the partitions before; only the counts, one a partition, are windowed together. Numbers and
+    Rows are dealt by ranges of the order into as many partitions as their number asks for, written once to the checkpoint folder, numbered
+    inside each and moved on by the rows of the partitions before; only the counts, one a partition, are windowed together. Numbers and
     counts are of the same written rows, for a second dealing would sample other ranges.
     """
+    buckets = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // bucket_rows))
     dealt = written(df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order)
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -25,15 +34,44 @@ def numbered(df: DataFrame, order: list[Column], name: str, buckets: int = 200)
     return dealt.withColumn(name, F.row_number().over(inside)).join(F.broadcast(counts), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names; a local master without one uses a temporary folder."""
-    spark = df.sparkSession
+def add_row_id(scan: DataFrame, name: str = "row_id", first: int = 1, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """Adds the place of each row in the order of its files' paths and of the lines in them, from ``first`` on.
+
+    ``scan`` reads files and has been renamed or projected at most: filters would leave gaps to count. A task reads a block of a file from its beginning to its end, so a
+    row's place in its block is its distance from the block's first row; one pass over the files counts the
+    blocks' rows, whose running sum by path and offset is what comes before each. Nothing is sorted or shuffled but a row a
+    block, and the numbers don't depend on how files are cut into partitions.
+    """
+    placed = scan.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_place"))
+    blocks = written(placed.groupBy("_path", "_start").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first")))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(F.col("_path").alias("_of_path"), F.col("_start").alias("_of_start"), "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    before = F.broadcast(before) if blocks.count() <= broadcast_blocks else before
+    joined = placed.join(before, (F.col("_path") == F.col("_of_path")) & (F.col("_start") == F.col("_of_start")))
+    return joined.withColumn(name, F.col("_before") + F.col("_place") - F.col("_first") + first).drop("_path", "_start", "_place", "_of_path", "_of_start", "_first", "_before")
+
+
+def default_ids(scan: DataFrame, id_col: str = "id") -> DataFrame:
+    """``scan`` with trimmed ids as text, and where it has no such column the 1-based number of each row in its files."""
+    if id_col in scan.columns:
+        return scan.withColumn(id_col, F.trim(F.col(id_col).cast("string")))
+    return add_row_id(scan, id_col).withColumn(id_col, F.col(id_col).cast("string"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, made this session's checkpoint folder; a local master without one uses a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder and context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seedloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in :func:`shared_folder`."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -49,6 +87,13 @@ def random_row_split(df: DataFrame, key: str, fraction: float, seed: int) -> Dat
     return placed.join(F.broadcast(total)).withColumn("is_validation", F.col("_place") > F.col("_total") - F.floor(F.col("_total") * fraction)).drop("_place", "_total")
 
 
+def split_summary(split: DataFrame, fraction: float, flag: str = "is_validation") -> DataFrame:
+    """One row on a split: its rows, those of either part, those that ``fraction`` asks for, and whether they agree."""
+    counted = split.agg(F.count("*").alias("row_count"), F.count_if(~F.col(flag)).alias("train_rows"), F.count_if(F.col(flag)).alias("val_rows"))
+    wanted = F.floor(F.col("row_count") * fraction)
+    return counted.withColumn("expected_val_rows", wanted).withColumn("matches", F.col("val_rows") == wanted).withColumn("val_fraction", F.lit(float(fraction)))
+
+
 def assign_shards(df: DataFrame, row: str, size: int) -> DataFrame:
     """Adds ``shard``: ``(row - 1) / size`` for 1-based rows."""
     return df.withColumn("shard", F.floor((F.col(row) - 1) / size).cast("bigint"))
@@ -86,13 +131,63 @@ def union_phases(phases: dict[str, DataFrame], column: str = "split") -> DataFra
     return reduce(DataFrame.unionByName, (df.withColumn(column, F.lit(name)) for name, df in phases.items()))
 
 
-def union_compatible(datasets: list[tuple[DataFrame, dict]], fields: tuple[str, ...]) -> DataFrame:
-    """Union of datasets whose manifests agree on ``fields``; raises ``ValueError`` naming those that differ."""
-    first = datasets[0][1]
-    differing = sorted({f for _, m in datasets for f in fields if m.get(f) != first.get(f)})
+# Manifest fields that datasets of one union must share.
+UNION_FIELDS = (
+    "cache_type", "target_length", "mirna_length", "phact_dtype", "phact_reduction", "phact_models", "target_phact_models", "phact_axis_channel_counts",
+    "phact_axis_missingness_channel_counts", "phact_axis_total_channel_counts", "phact_channel_order",
+)
+
+
+def manifest_differences(manifests: DataFrame, reference: str, fields: tuple[str, ...], name: str = "dataset") -> DataFrame:
+    """``dataset, field, expected, found`` for each field in which a manifest (one row a dataset) differs from the reference's.
+
+    Values are compared and shown as JSON text, null with null, so that lists and maps are fields too; a field that the manifests lack is null in all.
+    """
+    held = [f for f in fields if f in manifests.columns]
+    entries = F.array(*(F.struct(F.lit(f).alias("field"), F.to_json(F.struct(F.col(f).alias("v"))).alias("value")) for f in held))
+    long = manifests.select(name, F.inline(entries))
+    base = long.where(F.col(name) == reference).select(F.col("field").alias("of_field"), F.col("value").alias("expected"))
+    shown = lambda c: F.regexp_extract(c, "^.\"v\":(.*).$", 1)
+    # A row a field of the reference.
+    joined = long.join(F.broadcast(base), F.col("field") == F.col("of_field")).where(F.col("value") != F.col("expected"))
+    return joined.select(name, "field", shown("expected").alias("expected"), shown("value").alias("found"))
+
+
+def union_manifest(manifests: DataFrame, fields: tuple[str, ...], name: str = "dataset") -> DataFrame:
+    """One row on a union of datasets of one kind: the shared fields, the names in order, and the sums of ``row_count`` and ``positive_rows``."""
+    held = [f for f in fields if f in manifests.columns]
+    return manifests.agg(*(F.first(f).alias(f) for f in held), F.array_sort(F.collect_list(name)).alias("datasets"), F.sum("row_count").alias("row_count"), F.sum("positive_rows").alias("positive_rows"))
+
+
+def union_compatible(datasets: dict[str, DataFrame], manifests: DataFrame, fields: tuple[str, ...] = UNION_FIELDS, name: str = "dataset") -> tuple[DataFrame, DataFrame]:
+    """The rows of all ``datasets`` and the manifest of their union.
+
+    ``manifests`` has a row a dataset with ``fields``, ``row_count`` and ``positive_rows``; the first dataset is the measure.
+    Raises ``ValueError`` that names each dataset that differs and the fields in which it does, and for a dataset without a manifest.
+    """
+    first = next(iter(datasets))
+    own = manifests.where(F.col(name).isin(list(datasets)))
+    if absent := sorted(set(datasets) - {r[name] for r in own.select(name).collect()}):
+        raise ValueError(f"no manifest of: {', '.join(absent)}")
+    differing: dict[str, list[str]] = {}
+    for r in manifest_differences(own, first, fields, name).orderBy(name, "field").collect():
+        differing.setdefault(r[name], []).append(r["field"])
     if differing:
-        raise ValueError(f"manifests differ in: {', '.join(differing)}")
-    return reduce(DataFrame.unionByName, (df for df, _ in datasets))
+        raise ValueError("; ".join(f"{d} differs from {first} in: {', '.join(f)}" for d, f in differing.items()))
+    return reduce(DataFrame.unionByName, datasets.values()), union_manifest(own, fields, name)
+
+
+def random_target_shift(rows: DataFrame, row: str, tracks: dict[str, Column], texts: dict[str, str], batch_size: int, most: int, seed: int, epoch: int, mode: str = "global", shard: str = "shard") -> DataFrame:
+    """``rows`` with ``place`` in the epoch's shuffle, ``batch`` and ``shift``, and all target tracks moved by their batch's shift.
+
+    Batches are ranges of ``batch_size`` places; each draws one shift between -most and most. ``tracks`` names the array columns
+    with what fills their gaps, ``texts`` the sequences with their filling letter.
+    """
+    placed = numbered(rows, epoch_order(mode, seed, epoch, row, shard), "place")
+    drawn = placed.withColumn("batch", F.floor((F.col("place") - 1) / batch_size).cast("bigint"))
+    drawn = drawn.withColumn("shift", random_shift(seed, epoch, F.col("batch"), most))
+    moved = {n: shifted(F.col(n), F.col("shift"), fill) for n, fill in tracks.items()} | {n: shifted_text(F.col(n), F.col("shift"), fill) for n, fill in texts.items()}
+    return drawn.withColumns(moved)
 
 
 def attach_labels(samples: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:

@@ -157,6 +157,101 @@ def tolerance_scores(edges: DataFrame, distances: DataFrame, posterior: DataFram
     return scaled.select("query_id", "site", *((F.col(f"{k}_{b}") / F.col(f"by_{k}")).alias(f"{k}_{b}") for k in ("wl", "wol") for b in bases))
 
 
+#: Sites that one group of joined rows spans: a query of any length is as many groups.
+RANGE_SITES = 256
+LEAF_MODES = ("wl", "wol")
+NORMS = ("NN", "FN", "raw")
+# Letters in the order of the score files, and the name that files give a scheme.
+LETTERS = ("A", "T", "G", "C")
+FILE_NAMES = {"X": "max05_Gauss"}
+
+
+def tree_nodes(edges: DataFrame, distances: DataFrame, params: list[tuple[str, float | None]]) -> DataFrame:
+    """``query_id, node, parent, is_leaf, is_query, far, weights, up_weights, n_inner, n_nodes``: one row a node, all that scores need of a tree.
+
+    ``weights`` has the node's weight under each scheme of ``params`` (name and least weight), ``up_weights`` its parent's;
+    ``far`` tells whether the parent is the end of the edge farther from the query, as at equal distance.
+    """
+    weighted = distances.select("query_id", "node", "distance", "is_query", F.array(*(scheme_weight(p, least) for p, least in params)).alias("weights"))
+    up = weighted.select("query_id", F.col("node").alias("parent"), F.col("distance").alias("up"), F.col("weights").alias("up_weights"))
+    sizes = edges.groupBy("query_id").agg(F.count("*").cast("double").alias("n_nodes"), F.count_if(F.col("is_leaf") == 0).cast("double").alias("n_inner"))
+    joined = edges.select("query_id", "node", "parent", "is_leaf").join(weighted, ["query_id", "node"]).join(up, ["query_id", "parent"], "left").join(sizes, "query_id")
+    return joined.select("query_id", "node", "parent", "is_leaf", "is_query", (F.col("up") >= F.col("distance")).alias("far"), "weights", "up_weights", "n_inner", "n_nodes")
+
+
+def site_range(site: str, sites: int) -> Column:
+    return F.floor((F.col(site) - 1) / sites).cast("int")
+
+
+def score_table(
+    edges: DataFrame, distances: DataFrame, posterior: DataFrame, msa: DataFrame, params: list[tuple[str, float | None]], norms: tuple[str, ...] = NORMS, range_sites: int = RANGE_SITES
+) -> DataFrame:
+    """``query_id, site, param, norm, leaf_mode, A, T, G, C``: tolerance scores of every site under all schemes, norms and leaf modes at once.
+
+    ``params`` are names of weight schemes with their least weight (threshold schemes only). What a scheme changes is a node's weight, so nodes carry
+    an array of weights through one pass: states and leaves meet the state of their parent in one join, every scheme is a sum of its own by query and
+    site, and norms and leaf modes are made of those sums. Joins are keyed by ranges of ``range_sites`` sites too, to which each tree's few nodes are sent,
+    so that a long query is many even groups. ``posterior`` and ``msa`` are as in :func:`tolerance_scores`; sites without the query leaf's letter give no row.
+    """
+    unknown = set(norms) - set(NORMS)
+    if unknown or not norms or not params:
+        raise ValueError(f"unknown normalisation {sorted(unknown)}" if unknown else "no scheme or norm is asked for")
+    bases = ("a", "c", "g", "t")
+    spanned = lambda df: df.withColumn("span", site_range("site", range_sites))
+    nodes = tree_nodes(edges, distances, params)
+    spans = spanned(posterior.select("query_id", "site")).select("query_id", "span").distinct()
+    nodes = nodes.join(spans, "query_id")
+    probability = [F.col(f"p_{b}") for b in bases]
+    states = spanned(posterior.select("query_id", "node", "site", F.array(*probability).alias("p")))
+    code = F.when(F.upper("nt").isin(*LETTERS), F.upper("nt")).otherwise("-")
+    letters = spanned(msa.select("query_id", F.col("leaf").alias("node"), "site", code.alias("nt")))
+    carried = ["parent", "is_query", "far", "weights", "up_weights", "n_inner", "n_nodes"]
+    inner = states.join(nodes.where("is_leaf = 0 and parent is not null").select("query_id", "span", "node", *carried), ["query_id", "span", "node"]).withColumn("nt", F.lit(None).cast("string"))
+    leaves = letters.join(nodes.where("is_leaf = 1").select("query_id", "span", "node", *carried), ["query_id", "span", "node"]).withColumn("p", F.lit(None).cast("array<double>"))
+    children = inner.unionByName(leaves.select(inner.columns))
+    above = states.select("query_id", "span", F.col("node").alias("parent"), "site", F.col("p").alias("q"))
+    met = children.join(above, ["query_id", "span", "parent", "site"], "left")
+    # Of each child row: the weights it counts with and the four values they are multiplied by.
+    zero = F.lit(0.0)
+    own = [F.col("nt") == b.upper() for b in bases]
+    up, mine = [F.get("q", F.lit(i)) for i in range(4)], [F.get("p", F.lit(i)) for i in range(4)]
+    edge = [F.when(F.col("far"), F.greatest(zero, u - m)).otherwise(F.greatest(zero, m - u)) for u, m in zip(up, mine)]
+    root = [F.when(is_own, zero).otherwise(u) for is_own, u in zip(own, up)]
+    leaf = [F.when(is_own, F.greatest(zero, 1 - u)).otherwise(zero) for is_own, u in zip(own, up)]
+    role = F.when(F.col("nt").isNull(), 0).when(F.col("is_query") == 1, 1).otherwise(2)
+    weight = F.when((F.col("role") == 0) & ~F.col("far"), F.col("weights")).when(F.col("role") <= 1, F.col("up_weights")).otherwise(F.col("weights"))
+    parts = met.withColumn("role", role).select(
+        "query_id", "span", "site", "role", "n_inner", "n_nodes", "nt", weight.alias("w"), F.col("weights").alias("own_w"),
+        *(F.when(F.col("role") == 0, e).when(F.col("role") == 1, r).otherwise(v).alias(f"v_{b}") for b, e, r, v in zip(bases, edge, root, leaf)),
+    )
+    sums = []
+    for k in range(len(params)):
+        w, own_w = F.get("w", F.lit(k)), F.get("own_w", F.lit(k))
+        for i, b in enumerate(bases):
+            # The query's own letter counts with its own weight instead of its parent's state.
+            value = w * F.col(f"v_{b}") + F.when((F.col("role") == 1) & own[i], own_w).otherwise(0.0)
+            sums += [F.sum(F.when(F.col("role") < 2, value)).alias(f"i_{k}_{b}"), F.sum(F.when(F.col("role") == 2, value)).alias(f"l_{k}_{b}")]
+    query_nt = F.max(F.when(F.col("role") == 1, F.col("nt"))).alias("qnt")
+    counts = [F.count_if((F.col("role") > 0) & (F.col("nt") == c)).alias(f"n_{i}") for i, c in enumerate((*LETTERS, "-"))]
+    whole = parts.groupBy("query_id", "span", "site").agg(*sums, query_nt, *counts, F.max("n_inner").alias("n_inner"), F.max("n_nodes").alias("n_nodes")).where("qnt is not null")
+    same = F.lit(0.0)
+    for i, c in enumerate((*LETTERS, "-")):
+        same = F.when(F.col("qnt") == c, F.col(f"n_{i}").cast("double")).otherwise(same)
+    # First a row a scheme, then one a norm and leaf mode: neither step grows with the product of all.
+    by_scheme = [
+        F.struct(F.lit(param).alias("param"), *(F.coalesce(F.col(f"i_{k}_{b}"), zero).alias(f"i_{b}") for b in bases), *(F.coalesce(F.col(f"l_{k}_{b}"), zero).alias(f"l_{b}") for b in bases))
+        for k, (param, _) in enumerate(params)
+    ]
+    schemes = whole.withColumn("same", same).select("query_id", "site", "same", "n_inner", "n_nodes", F.inline(F.array(*by_scheme)))
+    rows = []
+    for norm in norms:
+        for mode in LEAF_MODES:
+            by = {"raw": F.lit(1.0), "FN": F.col("same"), "NN": F.col("n_nodes" if mode == "wl" else "n_inner")}[norm]
+            total = {x: F.col(f"i_{x.lower()}") + F.col(f"l_{x.lower()}") if mode == "wl" else F.col(f"i_{x.lower()}") for x in LETTERS}
+            rows.append(F.struct(F.lit(norm).alias("norm"), F.lit(mode).alias("leaf_mode"), *((total[x] / by).alias(x) for x in LETTERS)))
+    return schemes.select("query_id", "site", "param", F.inline(F.array(*rows)))
+
+
 def log_transform_score(score: Column) -> Column:
     """``1 - ln(x + 1e-10) / ln(1e-10)``."""
     return 1 - F.log(score + 1e-10) / F.log(F.lit(1e-10))

@@ -365,6 +365,27 @@ def random_row_split(spark, sf):
     return splits.random_row_split(V.interactions(spark, sf), "row_id", 0.2, 7).select("row_id", "is_validation")
 
 
+@query("""select max(n)::bigint as row_count, (count(*) filter (where place <= n - floor(n * 0.2)))::bigint as train_rows, (count(*) filter (where place > n - floor(n * 0.2)))::bigint as val_rows,
+  floor(max(n) * 0.2)::bigint as expected_val_rows, true as matches, 0.2e0 as val_fraction
+from (select row_number() over (order by md5('7:' || cast(row_id as varchar)), row_id) as place, count(*) over () as n from v_interactions)""")
+def split_summary(spark, sf):
+    """Counts of a split, and whether they are those that its fraction asks for."""
+    return splits.split_summary(splits.random_row_split(V.interactions(spark, sf), "row_id", 0.2, 7), 0.2)
+
+
+@query("select cast(row_number() over () as varchar) as id, length(text) as n from documents")
+def default_ids(spark, sf):
+    """Ids of rows without an id column: their numbers as they stand in their files."""
+    return splits.default_ids(V.table(spark, sf, "documents").select(F.length("text").alias("n")))
+
+
+@query("select o_orderkey, row_number() over () as row_id from orders")
+def add_row_id(spark, sf):
+    """Numbers of rows as they stand in their files."""
+    scan = V.table(spark, sf, "orders").select("o_orderkey")
+    return splits.add_row_id(scan, "row_id")
+
+
 @query("select row_id, row_number() over (order by md5('45:' || cast(shard as varchar)), shard, md5('45:' || cast(row_id as varchar)), row_id) as place from (select row_id, (row_number() over (order by row_id) - 1) // 1000 as shard from v_interactions)")
 def epoch_shuffle(spark, sf):
     """Places of rows in a shuffle of shards, then rows inside."""
@@ -601,6 +622,62 @@ def tolerance_scores(spark, sf):
     return found.select("query_id", "site", *(F.round(c, 9).alias(c) for c in found.columns[2:]))
 
 
+#: Schemes of the score table's SQL: name, least weight, and the weight of any node but the query leaf and of that leaf.
+SCHEMES = (
+    ("0", None, "1 / (distance / leaf_min + 1)", "1 / (distance / leaf_min + 1)"),
+    ("0_MinNode_Mix", None, "sqrt(1 / (distance / node_min + 1) * exp(-distance * distance / (mu * mu)))", "1.0e0"),
+    ("mean", None, "exp(-distance * distance / (mu * mu))", "1.0e0"),
+    ("2.5", None, "exp(-distance * distance / 6.25e0)", "1.0e0"),
+    ("X", None, "exp(-distance * distance) / 2", "1.0e0"),
+    ("CountNodes_4", None, "exp(-distance * hops)", "1.0e0"),
+    ("Equal", None, "1.0e0", "1.0e0"),
+    ("MinThreshold", 0.1, "(0.1e0 - 1) / most * distance + 1", "1.0e0"),
+)
+_SCHEME_WEIGHTS = " union all ".join(f"select query_id, node, '{p}' as param, case when is_query = 1 then {q} else {w} end as weight from measured" for p, _, w, q in SCHEMES)
+_POST = "{0}.p_{1} * (1 - {0}.p_0)"
+_BASE_ROWS = " union all ".join(
+    f"select query_id, node, site, '{b.upper()}' as base, p_{b} * (1 - p_0) as p from v_states" for b in B
+)
+SCORE_VIEWS = f""", measured as (
+  select *, avg(distance) over t as mu, max(distance) over t as most, min(case when is_leaf = 1 and is_query = 0 then distance end) over t as leaf_min, min(case when is_leaf = 0 then distance end) over t as node_min
+  from walked window t as (partition by query_id)),
+weights as ({_SCHEME_WEIGHTS}),
+post as ({_BASE_ROWS}),
+oriented as (
+  select t.query_id, case when p.distance >= c.distance then t.parent else t.node end as far, case when p.distance >= c.distance then t.node else t.parent end as near
+  from v_tree t join walked c on c.query_id = t.query_id and c.node = t.node join walked p on p.query_id = t.query_id and p.node = t.parent where t.is_leaf = 0),
+own as (select query_id, site, nt, case when nt in ('A', 'C', 'G', 'T') then nt else '-' end as code from v_msa where leaf = 16),
+parts as (
+  select f.query_id, f.site, f.base, w.param, 0 as leafy, w.weight * greatest(0, f.p - n.p) as s
+  from oriented o join weights w on w.query_id = o.query_id and w.node = o.far join post f on f.query_id = o.query_id and f.node = o.far
+  join post n on n.query_id = o.query_id and n.node = o.near and n.site = f.site and n.base = f.base
+  union all
+  select u.query_id, u.site, u.base, w.param, 0, case when m.code = u.base then q.weight else w.weight * u.p end
+  from post u join own m using (query_id, site) join weights w on w.query_id = u.query_id and w.node = 8 join weights q on q.query_id = u.query_id and q.node = 16 and q.param = w.param where u.node = 8
+  union all
+  select l.query_id, l.site, u.base, w.param, 1, case when l.nt = u.base then w.weight * greatest(0, 1 - u.p) else 0 end
+  from v_msa l join weights w on w.query_id = l.query_id and w.node = l.leaf join post u on u.query_id = l.query_id and u.node = l.leaf // 2 and u.site = l.site where l.leaf <> 16),
+sums as (select query_id, site, base, param, sum(s) as wl, sum(case when leafy = 0 then s else 0 end) as wol from parts group by all),
+same as (
+  select m.query_id, m.site, count(*) filter (where case when l.nt in ('A', 'C', 'G', 'T') then l.nt else '-' end = m.code)::double as n_same
+  from own m join v_msa l using (query_id, site) group by all),
+modes as (
+  select query_id, site, base, param, unnest(['wl', 'wol']) as leaf_mode, unnest([wl, wol]) as score, unnest([31.0e0, 15.0e0]) as size from sums),
+scored as (
+  select m.*, unnest(['NN', 'FN', 'raw']) as norm, unnest([score / size, score / n_same, score]) as value from modes m join same using (query_id, site))"""
+
+
+@tree_query("""select query_id, site, param, norm, leaf_mode, max(case when base = 'A' then value end) as "A", max(case when base = 'T' then value end) as "T",
+  max(case when base = 'G' then value end) as "G", max(case when base = 'C' then value end) as "C" from scored group by query_id, site, param, norm, leaf_mode""", SCORE_VIEWS)
+def score_table(spark, sf):
+    """Scores of every site under eight schemes, all norms and both leaf modes in one pass."""
+    edges = V.trees(spark, sf)
+    rows = V.states(spark, sf)
+    posterior = tolerance.gap_aware_posterior(rows.drop("p_0"), rows.select("query_id", "node", "site", "p_0"))
+    params = [(p, least) for p, least, _, _ in SCHEMES]
+    return tolerance.score_table(edges, splits.written(tolerance.leaf_distances(edges)), posterior, V.msa(spark, sf), params, range_sites=8)
+
+
 @query("select cast(c_custkey as varchar) as name, 3 as depth, [cast(c_custkey as varchar)] as relatives from customer")
 def closest_relative(spark, sf):
     """Relatives of customers by region, nation and key as a lineage."""

@@ -273,11 +273,3 @@ def check_same_shape(spark, sf):
     """Splits whose longest target or count of last digits differs from that of the training split."""
     rows = V.interactions(spark, sf).groupBy("split")
     return validation.check_same_shape(rows.agg(F.max(F.length("gene")).alias("length"), F.count_distinct(F.col("row_id") % 10).alias("channels")))
-
-
-@query("select split, count(*) as n from v_interactions group by split")
-def union_compatible(spark, sf):
-    """Splits of one shape put together."""
-    rows = V.interactions(spark, sf)
-    parts = [(rows.where(F.col("split") == s), {"length": 50}) for s in ("train", "test", "leftout")]
-    return splits.union_compatible(parts, ("length",)).groupBy("split").agg(F.count("*").alias("n"))

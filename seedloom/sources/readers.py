@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seedloom.operators.validation import require_columns
+
+# Columns of the raw table and files of a split, which are input contracts.
 RAW_COLUMNS = (
     "gene", "noncodingRNA", "noncodingRNA_name", "noncodingRNA_fam", "feature", "label", "chr", "start", "end", "strand", "Nunique",
-    "dominant_region", "regions_present", "read_start", "read_end", "gene_cluster_ID", "gene_phyloP", "gene_phastCons",
+    "dominant_region", "regions_present", "read_start_in_sel_tx_1based", "read_end_in_sel_tx_1based", "gene_cluster_ID", "gene_phyloP", "gene_phastCons",
 )
 SPLIT_TABLES = {
     "samples": ("samples.tsv", "\t"), "labels": ("labels.csv", ","), "candidates": ("sample_mirna_candidates.tsv", "\t"),
@@ -20,6 +23,10 @@ SPLIT_TABLES = {
 }
 
 
+#: What every table of position scores holds.
+POSITION_COLUMNS = ("split", "row_id", "pos", "actual_nt")
+
+
 def read_interactions(spark: SparkSession, path: str) -> DataFrame:
     """Strings of a CSV or TSV file, a tab in its header line deciding; a byte order mark is left out.
 
@@ -34,13 +41,15 @@ def read_interactions(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*names)
 
 
-def read_raw_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The tab-separated raw table with its sequence column named ``mirna``; raises ``ValueError`` for absent columns."""
+def read_raw_rows(spark: SparkSession, path: str, required: tuple[str, ...] = RAW_COLUMNS) -> DataFrame:
+    """The tab-separated raw table with its sequence column, ``noncodingRNA`` or ``mirna`` in the header, named ``mirna``.
+
+    Raises ``ValueError`` that lists all ``required`` columns that are absent.
+    """
     df = read_interactions(spark, path)
     df = df if "mirna" in df.columns else df.withColumnRenamed("noncodingRNA", "mirna")
-    if absent := [n for n in ("gene", "mirna", "label") if n not in df.columns]:
-        raise ValueError(f"missing columns: {', '.join(absent)}")
-    return df
+    wanted = ["mirna" if n == "noncodingRNA" else n for n in required]
+    return require_columns(df, list(dict.fromkeys(wanted)))
 
 
 def read_split(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -57,10 +66,17 @@ def read_split(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return tables
 
 
-def read_position_scores(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Position scores of one split; Parquet folders by split are pruned to it."""
-    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, sep="\t", header=True)
-    return df.where(F.col("split") == split)
+def read_position_scores(spark: SparkSession, source: str, split: str, required: tuple[str, ...] = POSITION_COLUMNS) -> DataFrame:
+    """Position scores of one split; raises ``ValueError`` that lists all ``required`` columns that are absent.
+
+    ``source`` is a table that ``writers.store_position_scores`` made, of which only the split's partition is read, a Parquet folder
+    partitioned by split, likewise, or a tab-separated file.
+    """
+    if "/" not in source and spark.catalog.tableExists(source):
+        df = spark.table(source)
+    else:
+        df = spark.read.parquet(source) if source.rstrip("/").endswith(".parquet") else spark.read.csv(source, sep="\t", header=True)
+    return require_columns(df, list(required)).where(F.col("split") == split)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

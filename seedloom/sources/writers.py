@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.operators.metrics import hard_prediction
+from seedloom.operators.tolerance import FILE_NAMES
+
 
 def write_scores(scores: DataFrame, path: str) -> None:
-    """Score tables as CSV, partitioned by normalisation, scheme and leaf mode, columns ``Pos/NT, A, T, G, C``."""
-    out = scores.select("query_id", "norm", "param", "leaf_mode", F.col("site").alias("Pos/NT"), "A", "T", "G", "C")
+    """Rows of ``tolerance.score_table`` as CSV, partitioned by normalisation, scheme and leaf mode, columns ``Pos/NT, A, T, G, C``.
+
+    Folders name a scheme as score files do, ``max05_Gauss`` for ``X``. Rows are dealt by query, so that a task writes a few files of each folder.
+    """
+    name = F.col("param")
+    for param, file in FILE_NAMES.items():
+        name = F.when(F.col("param") == param, file).otherwise(name)
+    out = scores.withColumn("param", name).repartition("query_id").sortWithinPartitions("norm", "param", "leaf_mode", "query_id", "site").select("query_id", "norm", "param", "leaf_mode", F.col("site").alias("Pos/NT"), "A", "T", "G", "C")
     out.write.partitionBy("norm", "param", "leaf_mode").mode("overwrite").csv(path, header=True)
 
 
@@ -19,11 +28,20 @@ def write_feature_shards(df: DataFrame, path: str, shard_size: int) -> DataFrame
     return written.groupBy("shard").agg(F.count("*").alias("row_count"), F.sum(F.col("label").cast("bigint")).alias("positive_rows"))
 
 
+def store_position_scores(scores: DataFrame, table: str, path: str, buckets: int, key: str = "row_id", split: str = "split") -> None:
+    """Long position scores as a Parquet table under ``path``, partitioned by split and bucketed and sorted by row.
+
+    Tables of equal ``buckets`` are joined and gathered by row without an exchange, and a split is read alone. Each task writes one bucket of every split.
+    """
+    dealt = scores.repartition(buckets, key).sortWithinPartitions(split, key)
+    dealt.write.format("parquet").partitionBy(split).bucketBy(buckets, key).sortBy(key).mode("overwrite").option("path", path).saveAsTable(table)
+
+
 def prediction_rows(df: DataFrame, probability: str = "probability") -> DataFrame:
     """``id, prediction, probability_0, probability_1`` and the label if there is one."""
     p = F.col(probability)
     extra = ["label"] if "label" in df.columns else []
-    return df.select("id", (p >= 0.5).cast("int").alias("prediction"), (1 - p).alias("probability_0"), p.alias("probability_1"), *extra)
+    return df.select("id", hard_prediction(p).alias("prediction"), (1 - p).alias("probability_0"), p.alias("probability_1"), *extra)
 
 
 def write_predictions(df: DataFrame, path: str, probability: str = "probability") -> None:
