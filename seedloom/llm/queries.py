@@ -29,7 +29,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(read(spark, sf_dir, "documents"))
+    documents = read(spark, sf_dir, "documents")
+    return quality.quality_rules(documents, fitted=quality.train(documents, read(spark, sf_dir, "labels")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against brute force, SQL, round trips and held-out accuracy."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -294,9 +296,38 @@ def test_compression_bands_reject_noise_and_repeats(spark):
     assert found[1]["band_failed"] and found[2]["band_failed"] and found[1]["ratio"] < 1.5 and found[2]["ratio"] > 4
 
 
-def test_chunks_cover_every_byte():
-    import zstandard
+def test_fitted_bands_on_held_out_documents(spark):
+    """Recall of documents labelled as bad, and good ones kept, on the labels that didn't fit the bands; and noise of other kinds."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fitted = quality.train(docs, labels.where("doc_id % 2 = 0"))
+    found = quality.quality_rules(docs, fitted=fitted).where("not base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in found}
+    assert n.get((1, False), 0) <= 0.005 * n[1, True] and n[0, False] >= 0.55 * (n[0, False] + n[0, True]), n
+    rng = random.Random(5)
+    prose = max((r["text"] for r in docs.join(labels.where("quality = 1 and toxic = 0"), "doc_id").select("text").collect()), key=len)
+    for size in (2000, 5000, 12000):
+        hexes = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(3, 10))) for _ in range(size))[:size]
+        digits = " ".join(str(rng.randrange(10 ** rng.randint(2, 7))) for _ in range(size))[:size]
+        noisy = prose[: size * 6 // 10] + base64.b64encode(rng.randbytes(size)).decode()[: size * 4 // 10]
+        verdicts = [quality.band_verdict(x.encode(), zstandard.ZstdCompressor(level=3), fitted=fitted)[3] for x in (prose[:size], hexes, digits, noisy)]
+        assert verdicts == [True, size < 3000 and verdicts[1], False, False], (size, verdicts)
+
+
+def test_bands_without_labels(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert quality.train(docs, spark.createDataFrame([], "doc_id bigint, quality int")) == quality.Bands() == quality.train(docs.where("1 = 0"), spark.read.parquet(f"{small}/labels.parquet"))
+
 
+def test_op5_keeps_what_its_bands_and_base_rules_keep(spark, small, texts):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    fitted = quality.train(docs, labels)
+    for r in queries.op5_quality_rules(spark, small).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        verdict = quality.band_verdict(data, zstandard.ZstdCompressor(level=3), fitted=fitted)
+        assert (r["ratio"], r["n_chunks"], r["n_bad_chunks"], not r["band_failed"]) == verdict and r["kept"] == (verdict[3] and not r["base_failed"])
+
+
+def test_chunks_cover_every_byte():
     rng = random.Random(7)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(600)]
     prose = " ".join(rng.choice(words) for _ in range(4000)).encode()
