@@ -42,7 +42,21 @@ def leaf_distances(edges: DataFrame) -> DataFrame:
             }
         )
 
-    return edges.groupBy("query_id").applyInPandas(walk, "query_id bigint, node int, is_leaf int, is_query int, distance double, hops int")
+    kind = edges.schema["query_id"].dataType.simpleString()
+    return edges.groupBy("query_id").applyInPandas(walk, f"query_id {kind}, node int, is_leaf int, is_query int, distance double, hops int")
+
+
+def tree_distances(trees: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`leaf_distances` of trees as ``readers.read_newick`` gives them, from the leaf that ``queries`` (``query_id, seq_id``) names for each.
+
+    Names must be equal, not parts of each other. Raises ``ValueError`` for trees whose leaf is absent or there more than once.
+    """
+    named = trees.join(queries.select("query_id", F.col("seq_id").alias("_named")), "query_id")
+    marked = named.withColumn("is_query", F.when((F.col("is_leaf") == 1) & (F.col("label") == F.col("_named")), 1).otherwise(0)).drop("_named")
+    wrong = marked.groupBy("query_id").agg(F.sum("is_query").alias("n")).where("n <> 1").orderBy("query_id").limit(10).collect()
+    if wrong:
+        raise ValueError("query leaves not found once: " + ", ".join(f"{r['query_id']} ({r['n']})" for r in wrong))
+    return leaf_distances(marked.drop("label"))
 
 
 def orient_edges(edges: DataFrame, distances: DataFrame) -> DataFrame:
