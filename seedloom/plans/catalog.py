@@ -422,9 +422,9 @@ def attach_labels(spark, sf):
 
 @query("""select r.row_seq, case when e.header is not null then e.header when i.n = 1 then i.header when o.n = 1 then o.header end as header, case when e.header is not null then 1 when i.n = 1 then 2 when o.n = 1 then 3 else 0 end as step
 from (select distinct case when row_id % 3 = 0 then mirna when row_id % 3 = 1 then mirna || 'AC' else substr(mirna, 1, length(mirna) - 2) end as row_seq from v_interactions) r
-left join (select seq, max_by(mature_id || '_5p', mature_key) as header from v_catalogue where mature_key < 400 group by seq) e on e.seq = r.row_seq
-left join (select row_seq, count(distinct header) as n, min(header) as header from (select r.row_seq, c.header, rank() over (partition by r.row_seq order by length(r.row_seq) - length(c.seq)) as k from (select distinct case when row_id % 3 = 0 then mirna when row_id % 3 = 1 then mirna || 'AC' else substr(mirna, 1, length(mirna) - 2) end as row_seq from v_interactions) r join (select seq, max_by(mature_id || '_5p', mature_key) as header from v_catalogue where mature_key < 400 group by seq) c on contains(r.row_seq, c.seq)) where k = 1 group by row_seq) i using (row_seq)
-left join (select row_seq, count(distinct header) as n, min(header) as header from (select r.row_seq, c.header, rank() over (partition by r.row_seq order by length(c.seq) - length(r.row_seq)) as k from (select distinct case when row_id % 3 = 0 then mirna when row_id % 3 = 1 then mirna || 'AC' else substr(mirna, 1, length(mirna) - 2) end as row_seq from v_interactions) r join (select seq, max_by(mature_id || '_5p', mature_key) as header from v_catalogue where mature_key < 400 group by seq) c on contains(c.seq, r.row_seq)) where k = 1 group by row_seq) o using (row_seq)""")
+left join (select seq, max_by(mature_id || '_5p', mature_key) as header from v_catalogue group by seq) e on e.seq = r.row_seq
+left join (select row_seq, count(distinct header) as n, min(header) as header from (select r.row_seq, c.header, rank() over (partition by r.row_seq order by length(r.row_seq) - length(c.seq)) as k from (select distinct case when row_id % 3 = 0 then mirna when row_id % 3 = 1 then mirna || 'AC' else substr(mirna, 1, length(mirna) - 2) end as row_seq from v_interactions) r join (select seq, max_by(mature_id || '_5p', mature_key) as header from v_catalogue group by seq) c on contains(r.row_seq, c.seq)) where k = 1 group by row_seq) i using (row_seq)
+left join (select row_seq, count(distinct header) as n, min(header) as header from (select r.row_seq, c.header, rank() over (partition by r.row_seq order by length(c.seq) - length(r.row_seq)) as k from (select distinct case when row_id % 3 = 0 then mirna when row_id % 3 = 1 then mirna || 'AC' else substr(mirna, 1, length(mirna) - 2) end as row_seq from v_interactions) r join (select seq, max_by(mature_id || '_5p', mature_key) as header from v_catalogue group by seq) c on contains(c.seq, r.row_seq)) where k = 1 group by row_seq) o using (row_seq)""")
 def match_sequences(spark, sf):
     """Exact and containment matches of distinct row sequences."""
     r, m = F.col("row_id"), F.col("mirna")

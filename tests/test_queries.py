@@ -1,6 +1,6 @@
 import pytest
 
-from seedloom.plans import catalog, inputs, tensors  # noqa: F401
+from seedloom.plans import catalog, inputs, records, tensors  # noqa: F401
 from tests.oracle import connect, same
 
 
