@@ -219,11 +219,11 @@ def fill_tracks(spark, sf):
     return V.tracks(spark, sf).select("row_id", arrays.fill_missing(clipped, 0.0).alias("phylop"), F.size(F.filter("phastcons", lambda x: x.isNull())).cast("bigint").alias("n_missing"))
 
 
-@query("select row_id, round(list_avg(f), 9) as mean, list_min(f) as min, list_max(f) as max, round(list_median(f), 9) as median, round(quantile_cont(x, 0.25), 9) as q25, round(quantile_cont(x, 0.75), 9) as q75, round(stddev_pop(x), 9) as std, count(x) / 50.0e0 as finite_fraction from (select row_id, list_filter(phastcons, lambda x: x is not null) as f, unnest(phastcons) as x from v_tracks) group by row_id, f")
+@query("select row_id, floor((list_avg(f)) * 1073741824e0 + 0.5e0) / 1073741824e0 as mean, list_min(f) as min, list_max(f) as max, floor((list_median(f)) * 1073741824e0 + 0.5e0) / 1073741824e0 as median, floor((quantile_cont(x, 0.25)) * 1073741824e0 + 0.5e0) / 1073741824e0 as q25, floor((quantile_cont(x, 0.75)) * 1073741824e0 + 0.5e0) / 1073741824e0 as q75, floor((stddev_pop(x)) * 1073741824e0 + 0.5e0) / 1073741824e0 as std, count(x) / 50.0e0 as finite_fraction from (select row_id, list_filter(phastcons, lambda x: x is not null) as f, unnest(phastcons) as x from v_tracks) group by row_id, f")
 def vector_summary(spark, sf):
     """Summary statistics of a track."""
     s = arrays.vector_summary(F.col("phastcons"))
-    return V.tracks(spark, sf).select("row_id", *((F.round(s[n], 9) if n in ("mean", "median", "q25", "q75", "std") else s[n]).alias(n) for n in ("mean", "min", "max", "median", "q25", "q75", "std", "finite_fraction")))
+    return V.tracks(spark, sf).select("row_id", *((V.snapped(s[n]) if n in ("mean", "median", "q25", "q75", "std") else s[n]).alias(n) for n in ("mean", "min", "max", "median", "q25", "q75", "std", "finite_fraction")))
 
 
 @query("select row_id, list_transform(range(1, 51), lambda i: case when i > 3 then coalesce(phastcons[i - 3], 0.5e0) else 0.5e0 end) as shifted from v_tracks")
@@ -664,7 +664,7 @@ same as (
 modes as (
   select query_id, site, base, param, unnest(['wl', 'wol']) as leaf_mode, unnest([wl, wol]) as score, unnest([31.0e0, 15.0e0]) as size from sums),
 scored as (
-  select m.*, unnest(['NN', 'FN', 'raw']) as norm, unnest([score / size, score / n_same, score]) as value from modes m join same using (query_id, site))"""
+  select m.*, unnest(['NN', 'FN', 'raw']) as norm, unnest([floor(v * 1073741824e0 + 0.5e0) / 1073741824e0 for v in [score / size, score / n_same, score]]) as value from modes m join same using (query_id, site))"""
 
 
 @tree_query("""select query_id, site, param, norm, leaf_mode, max(case when base = 'A' then value end) as "A", max(case when base = 'T' then value end) as "T",
@@ -675,7 +675,8 @@ def score_table(spark, sf):
     rows = V.states(spark, sf)
     posterior = tolerance.gap_aware_posterior(rows.drop("p_0"), rows.select("query_id", "node", "site", "p_0"))
     params = [(p, least) for p, least, _, _ in SCHEMES]
-    return tolerance.score_table(edges, splits.written(tolerance.leaf_distances(edges)), posterior, V.msa(spark, sf), params, range_sites=8)
+    found = tolerance.score_table(edges, splits.written(tolerance.leaf_distances(edges)), posterior, V.msa(spark, sf), params, range_sites=8)
+    return found.select("query_id", "site", "param", "norm", "leaf_mode", *(V.snapped(F.col(x)).alias(x) for x in tolerance.LETTERS))
 
 
 @query("select cast(c_custkey as varchar) as name, 3 as depth, [cast(c_custkey as varchar)] as relatives from customer")

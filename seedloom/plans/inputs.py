@@ -20,14 +20,14 @@ def _exact_count(first: int, end: int) -> str:
     return COUNT.format(RC.format(f"substr(mirna, {first + 1}, {end - first})"))
 
 
-_SUMMARY = """select row_id, [round(avg(x), 9), round(stddev_pop(x), 9), round(min(x), 9), round(max(x), 9), round(median(x), 9),
-  round(quantile_cont(x, 0.25), 9), round(quantile_cont(x, 0.75), 9), round(count(x) / 50.0e0, 9), 0.0e0] as s from (select row_id, unnest({0}) as x from v_tracks) group by row_id"""
+_SUMMARY = """select row_id, [floor((avg(x)) * 1073741824e0 + 0.5e0) / 1073741824e0, floor((stddev_pop(x)) * 1073741824e0 + 0.5e0) / 1073741824e0, floor((min(x)) * 1073741824e0 + 0.5e0) / 1073741824e0, floor((max(x)) * 1073741824e0 + 0.5e0) / 1073741824e0, floor((median(x)) * 1073741824e0 + 0.5e0) / 1073741824e0,
+  floor((quantile_cont(x, 0.25)) * 1073741824e0 + 0.5e0) / 1073741824e0, floor((quantile_cont(x, 0.75)) * 1073741824e0 + 0.5e0) / 1073741824e0, floor((count(x) / 50.0e0) * 1073741824e0 + 0.5e0) / 1073741824e0, 0.0e0] as s from (select row_id, unnest({0}) as x from v_tracks) group by row_id"""
 _GC = "(length({0}) - length(regexp_replace({0}, '[GC]', '', 'g'))) / length({0})::double"
 _SEGMENTS = ", ".join(f"({i}, {first}, {end - first})" for i, (_, first, end) in enumerate(sequence.WINDOW_SEGMENTS))
 #: Of each segment: whether it fits, the best counts of pairs, and the shares of good windows.
 _WINDOWS = f"""select row_id, list([1.0e0, wc, wobble, pairs, score, good, better] order by seg) as w from (
-  select row_id, seg, round(max(wc) / n, 9) as wc, round(max(wobble) / n, 9) as wobble, round(max(wc + wobble) / n, 9) as pairs, round(max(wc + 0.5e0 * wobble) / n, 9) as score,
-    round(count(*) filter (where (wc + 0.5e0 * wobble) / n >= 0.75) / count(*)::double, 9) as good, round(count(*) filter (where (wc + 0.5e0 * wobble) / n >= 0.85) / count(*)::double, 9) as better
+  select row_id, seg, floor((max(wc) / n) * 1073741824e0 + 0.5e0) / 1073741824e0 as wc, floor((max(wobble) / n) * 1073741824e0 + 0.5e0) / 1073741824e0 as wobble, floor((max(wc + wobble) / n) * 1073741824e0 + 0.5e0) / 1073741824e0 as pairs, floor((max(wc + 0.5e0 * wobble) / n) * 1073741824e0 + 0.5e0) / 1073741824e0 as score,
+    floor((count(*) filter (where (wc + 0.5e0 * wobble) / n >= 0.75) / count(*)::double) * 1073741824e0 + 0.5e0) / 1073741824e0 as good, floor((count(*) filter (where (wc + 0.5e0 * wobble) / n >= 0.85) / count(*)::double) * 1073741824e0 + 0.5e0) / 1073741824e0 as better
   from (select i.row_id, g.seg, g.n::double as n, s.s,
       (count(*) filter (where substr(i.mirna, g.f + g.n - k.k, 1) || substr(i.gene, s.s + k.k + 1, 1) in ('AT', 'TA', 'CG', 'GC')))::double as wc,
       (count(*) filter (where substr(i.mirna, g.f + g.n - k.k, 1) || substr(i.gene, s.s + k.k + 1, 1) in ('GT', 'TG')))::double as wobble
@@ -35,7 +35,7 @@ _WINDOWS = f"""select row_id, list([1.0e0, wc, wobble, pairs, score, good, bette
     where length(i.mirna) >= g.f + g.n group by all) x group by row_id, seg, n) y group by row_id"""
 
 
-@query(f"""select i.row_id, [length(gene)::double, length(mirna)::double, round({_GC.format('gene')}, 9), round({_GC.format('mirna')}, 9)] as base,
+@query(f"""select i.row_id, [length(gene)::double, length(mirna)::double, floor(({_GC.format('gene')}) * 1073741824e0 + 0.5e0) / 1073741824e0, floor(({_GC.format('mirna')}) * 1073741824e0 + 0.5e0) / 1073741824e0] as base,
   [{_exact_count(1, 7)}::double, {_exact_count(1, 8)}::double] as seeds, p.s as phylop, c.s as phastcons, [(row_id % 6)::double, label::double, 1.0e0] as flags,
   [{", ".join(f"{_exact_count(a, b)}::double" for _, a, b in sequence.EXACT_SEGMENTS)}] as exact, list_slice(w.w, 1, 5) as windows, 104 as n
   from v_interactions i join ({_SUMMARY.format('phylop')}) p using (row_id) join ({_SUMMARY.format('phastcons')}) c using (row_id) join ({_WINDOWS}) w using (row_id)""")
@@ -43,7 +43,7 @@ def assemble_features(spark, sf):
     """The 104 values of each row, by their parts; of the windows those of five segments that every miRNA fits."""
     rows = V.interactions(spark, sf).join(V.tracks(spark, sf), "row_id").withColumn("candidate_count", (F.col("row_id") % 6).cast("int"))
     rows = rows.withColumn("has_selected_profile", F.col("label")).withColumn("has_target_scores", F.lit(1))
-    made = assembly.assemble_features(rows).withColumn("features", _rounded("features"))
+    made = assembly.assemble_features(rows).withColumn("features", F.transform("features", V.snapped))
     at = {n: i for i, n in enumerate(assembly.feature_names(("phylop", "phastcons")))}
     shown = ("segment_valid", "max_wc_frac", "max_wobble_frac", "max_pair_frac", "max_score_frac", "windows_score_ge_0p75_frac", "windows_score_ge_0p85_frac")
     part = lambda first, n: F.slice("features", first + 1, n)

@@ -12,6 +12,16 @@ BASES = ("a", "c", "g", "t")
 LEAF = 16  # the query leaf of each tree
 
 
+def snapped(x: Column) -> Column:
+    """``x`` to the nearest multiple of 2^-30: fractions of powers of two stay as they are, so none lies halfway as in decimal rounding."""
+    return F.floor(x * float(1 << 30) + 0.5) / float(1 << 30)
+
+
+def snapped_sql(x: str) -> str:
+    """:func:`snapped` in SQL."""
+    return f"(floor(({x}) * 1073741824e0 + 0.5e0) / 1073741824e0)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
