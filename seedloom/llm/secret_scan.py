@@ -7,10 +7,10 @@ import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import map_arrow
+from seedloom.llm.common import map_arrow, scratch
 from seedloom.llm.words import counted, letter_runs
 
 KINDS = ("assign", "access", "hex")
@@ -189,10 +189,17 @@ def common_words() -> dict[str, float]:
 
 
 def lexicon(documents: DataFrame, text_col: str = "text", words: int = LEXICON) -> dict[str, float]:
-    """Bits of common passwords and of the ``words`` most frequent words of all documents (equally frequent ones by code point), by their share of these."""
+    """Bits of common passwords and of the most frequent words of all documents, by their share of these.
+
+    As many of the highest counts are taken as give at most ``words`` words; where a count's words would exceed that, they and
+    rarer ones are left out. The driver gets that border and these words, whatever the number of tasks.
+    """
     counts = counted(documents.select(F.lit(None).cast("bigint"), F.col(text_col).cast("string")), lambda _, text: letter_runs(text))
-    counts = counts.where(F.length("word").between(3, LONGEST_WORD) & (F.col("n") >= OCCURRENCES))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = scratch(counts.where(F.length("word").between(3, LONGEST_WORD) & (F.col("n") >= OCCURRENCES)))
+    # One row a count: there are far fewer of these than words.
+    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    border = counts.groupBy("n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(falling)).where(F.col("upto") <= words).agg(F.min("n").alias("n")).first()["n"]
+    top = counts.where(F.col("n") >= border).collect() if border is not None else []
     total = sum(r["n"] for r in top)
     return {r["word"]: math.log2(total / r["n"]) for r in top} | common_words()
 

@@ -223,6 +223,14 @@ def test_easy_values_cost_less_than_hard_ones():
         assert bits(hard) > secret_scan.LEAST_BITS, hard
 
 
+def test_lexicon_ends_between_counts(spark):
+    text = " ".join(w for w, n in (("often", 40), ("some", 20), ("same", 20), ("rare", 6), ("once", 1)) for _ in range(n))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")
+    own = lambda k: {w for w in secret_scan.lexicon(docs, words=k) if w not in secret_scan.COMMON}
+    assert [own(k) for k in (0, 1, 2, 3, 9)] == [set(), {"often"}, {"often"}, {"often", "some", "same"}, {"often", "some", "same", "rare"}]
+    assert secret_scan.lexicon(docs, words=3)["often"] == 1.0
+
+
 def test_added_secrets(spark):
     """Precision and recall of the values that the method adds, planted among look-alikes in credential contexts."""
     rng = random.Random(11)
