@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedloom.functions.names import parse_mature_id, parse_reference_id, strip_pri_pre
+from seedloom.operators.joins import if_small
 
 # Digits from 1, then the characters from "a" on.
 ID_CHARACTERS = "".join(map(chr, [*range(ord("1"), ord("9") + 1), *range(ord("a"), ord("~") + 1)]))
@@ -82,8 +83,8 @@ def annotation_distincts(annotated: DataFrame) -> DataFrame:
 
 
 def attach_family(rows: DataFrame, families: DataFrame, key: str = "reference_id") -> DataFrame:
-    """Rows with the family of their precursor; unknown ids have none. ``families`` has one row an id, a few hundred in all."""
-    return rows.join(F.broadcast(families), key, "left")
+    """Rows with the family of their precursor; unknown ids have none. ``families`` has one row an id; beyond a counted bound they are joined by shuffle."""
+    return rows.join(if_small(families), key, "left")
 
 
 def dedupe_by_prefix(headers: DataFrame, header: str = "header", order: str = "input_pos") -> DataFrame:

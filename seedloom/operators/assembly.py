@@ -173,32 +173,35 @@ def select_channels(mode: str, mirna: Column, target: Column) -> Column:
     return {"mirna": mirna, "target": target}.get(mode, F.concat(mirna, target))
 
 
+def safe_name(model: str) -> str:
+    """A model's name as columns may carry it. Fixed values: ``p`` for a dot, one ``_`` for other runs of characters."""
+    return re.sub(r"[^0-9A-Za-z_]+", "_", model.replace(".", "p"))
+
+
 def resolve_score_models(columns: list[str], models: list[str], prefix: str, fallback: str | None = "score") -> dict[str, list[str]]:
-    """Columns ``<prefix>_<model>_<base>`` of each model, by its name or its name with other characters as ``p`` (dots) or ``_``.
+    """Columns ``<prefix>_<model>_<base>`` of each model, by its name or its :func:`safe_name`.
 
-    Where no column has the prefix, a single model takes ``<fallback>_<base>`` in either case. Raises ``ValueError`` for a
-    missing model, naming those there are.
+    Where no column has the prefix, a single model takes ``<fallback>_<base>`` in either case. Raises ``ValueError`` that lists
+    all models without their four columns, and those there are.
     """
+    pattern = re.compile(rf"{re.escape(prefix)}_(?P<model>.+)_(?P<base>[{''.join(BASES)}])")
+    header: dict[str, dict[str, str]] = {}
+    for m in filter(None, map(pattern.fullmatch, columns)):
+        header.setdefault(m["model"], {})[m["base"]] = m[0]
+    complete = {name: [own[b] for b in BASES] for name, own in header.items() if len(own) == len(BASES)}
     if not models:
         raise ValueError("at least one model is required")
-    held = set(columns)
-    found = {}
     if fallback and not any(c.startswith(f"{prefix}_") for c in columns):
-        plain = next((own for own in ([f"{fallback}_{b}" for b in BASES], [f"{fallback}_{b.lower()}" for b in BASES]) if held.issuperset(own)), None)
-        if plain is None or len(models) > 1:
+        lower = {c.lower(): c for c in sorted(columns, reverse=True)}
+        plain = [lower.get(f"{fallback}_{b}".lower()) for b in BASES]
+        if None in plain or len(models) > 1:
             raise ValueError(f"several models need columns named {prefix}_<model>_<base>")
         return {models[0]: plain}
-    for model in models:
-        raw = model.removeprefix(f"{prefix}_")
-        for name in (raw, re.sub(r"[^0-9A-Za-z_]+", "_", raw.replace(".", "p"))):
-            own = [f"{prefix}_{name}_{b}" for b in BASES]
-            if held.issuperset(own):
-                found[name] = own
-                break
-        else:
-            known = sorted({c[len(prefix) + 1 : -2] for c in columns if re.fullmatch(rf"{re.escape(prefix)}_.+_[ACGT]", c)})
-            raise ValueError(f"no columns of model {model!r}; there are {', '.join(known)}")
-    return found
+    asked = {m: m.removeprefix(f"{prefix}_") for m in models}
+    named = {m: raw if raw in complete else safe_name(raw) for m, raw in asked.items()}
+    if absent := [m for m, name in named.items() if name not in complete]:
+        raise ValueError(f"no columns of: {', '.join(absent)}; there are {', '.join(sorted(header))}")
+    return {name: complete[name] for name in named.values()}
 
 
 def attach_sample_weights(rows: DataFrame, weights: DataFrame, key: str = "row_id", weight: str = "weight") -> DataFrame:

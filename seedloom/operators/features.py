@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedloom.functions.names import MISSING, normalize_category
+from seedloom.operators.joins import if_small
 
 LEAST_VARIANCE = 1e-12
 NO_INDEX = 10**9
@@ -71,8 +72,8 @@ def fit_vocab(df: DataFrame, column: str, least: int = 100) -> DataFrame:
 
 
 def encode_category(df: DataFrame, vocab: DataFrame, column: str, to: str) -> DataFrame:
-    """Adds the vocabulary index of a category, 1 for tokens it lacks; the vocabulary is as small as its least count keeps it."""
-    table = F.broadcast(vocab.select(F.col("token").alias("_token"), F.col("index").alias(to)))
+    """Adds the vocabulary index of a category, 1 for tokens it lacks; a vocabulary beyond a counted bound is joined by shuffle."""
+    table = if_small(vocab.select(F.col("token").alias("_token"), F.col("index").alias(to)))
     return df.join(table, normalize_category(F.col(column)) == F.col("_token"), "left").drop("_token").withColumn(to, F.coalesce(to, F.lit(1)))
 
 

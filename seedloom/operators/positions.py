@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.functions.arrays import BASES
+from seedloom.operators.joins import if_small
 
 
 def position_arrays(positions: DataFrame, keys: list[str], position: str, values: dict[str, Column], length: int) -> DataFrame:
@@ -44,7 +45,7 @@ def attach_position_scores(rows: DataFrame, mirna: DataFrame, target: DataFrame,
     if key in mirna.columns:
         joined = joined.join(mirna, key, "left")
     else:
-        joined = joined.join(F.broadcast(mirna) if mirna.count() <= broadcast_profiles else mirna, "mature_id", "left")
+        joined = joined.join(if_small(mirna, broadcast_profiles), "mature_id", "left")
     sides = F.array(F.when(F.col("target_scores").isNull(), F.lit("target")), F.when(F.col("mirna_scores").isNull(), F.lit("mirna")))
     return joined.withColumn("missing", F.array_compact(sides))
 

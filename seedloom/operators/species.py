@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedloom.operators.joins import if_small
+
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common beginning of two arrays."""
@@ -53,8 +55,8 @@ def match_species_names(codes: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def attach_taxonomy(sequences: DataFrame, species: DataFrame) -> DataFrame:
-    """Sequences with the row of their species code, the first three letters in lower case; species are a few hundred."""
-    return sequences.withColumn("code", F.lower(F.substring("seq_id", 1, 3))).join(F.broadcast(species), "code", "left")
+    """Sequences with the row of their species code, the first three letters in lower case; species beyond a counted bound are joined by shuffle."""
+    return sequences.withColumn("code", F.lower(F.substring("seq_id", 1, 3))).join(if_small(species), "code", "left")
 
 
 def lineage_table(species: DataFrame, level: int, highlighted: str) -> DataFrame:

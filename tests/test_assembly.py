@@ -59,6 +59,8 @@ def test_score_models_and_channels():
     columns = ["id", *(f"s_a1p5_{b}" for b in "ACGT"), *(f"s_raw.x_{b}" for b in "ACGT")]
     assert assembly.resolve_score_models(columns, ["a1.5", "raw.x"], "s") == {"a1p5": columns[1:5], "raw.x": columns[5:]}
     assert assembly.resolve_score_models([f"score_{b}" for b in "acgt"], ["any"], "s") == {"any": [f"score_{b}" for b in "acgt"]}
+    with pytest.raises(ValueError, match="no columns of: b, c; there are a1p5, raw.x"):
+        assembly.resolve_score_models(columns, ["b", "raw.x", "c"], "s")
     for bad in ((columns, ["b"]), ([f"score_{b}" for b in "ACGT"], ["a", "b"]), (columns, [])):
         with pytest.raises(ValueError):
             assembly.resolve_score_models(*bad, "s")
