@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seedloom.functions import arrays, names, sequence
-from seedloom.operators import alignment, annotation, assembly, features, metrics, positions, species, splits, tolerance, validation
+from seedloom.operators import alignment, annotation, assembly, features, metrics, positions, species, tolerance, validation
 from seedloom.plans import views as V
 from seedloom.plans.catalog import COUNT, RC, USABLE, query
 
