@@ -60,13 +60,17 @@ def seed_counts(spark, sf):
     return V.interactions(spark, sf).select("row_id", *(c.cast("bigint").alias(n) for n, c in found.items()))
 
 
-@query("select row_id, coalesce(list_max(list_transform(range(1, 8), lambda k: case when len(list_filter(range(1, 9 - k), lambda i: contains(gene, substr(rc, i, k)))) > 0 then k else 0 end)), 0) as longest from (select row_id, gene, reverse(translate(substr(mirna, 2, 7), 'ACGT', 'TGCA')) as rc from v_interactions)")
+@query("""select row_id, coalesce(list_max(list_transform(range(1, 8), lambda k: case when len(list_filter(range(1, 9 - k), lambda i: contains(gene,
+          substr(rc, i, k)))) > 0 then k else 0 end)), 0) as longest from (select row_id, gene, reverse(translate(substr(mirna,
+          2, 7), 'ACGT', 'TGCA')) as rc from v_interactions)""")
 def seed_max_match(spark, sf):
     """Longest part of the seed's reverse complement in the target."""
     return V.interactions(spark, sf).select("row_id", sequence.seed_max_match(F.col("gene"), F.col("mirna")).cast("bigint").alias("longest"))
 
 
-@query("select mature_id, list_transform(range(1, 29), lambda i: case substr(seq, i, 1) when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end) as codes, list_transform(range(1, 29), lambda i: case substr(seq, i, 1) when 'A' then 0 when 'T' then 1 when 'C' then 2 when 'G' then 3 else -1 end) as pair_codes from v_catalogue")
+@query("""select mature_id, list_transform(range(1, 29), lambda i: case substr(seq, i, 1) when 'A' then 0 when 'C' then 1 when 'G' then 2
+    when 'T' then 3 else 4 end) as codes, list_transform(range(1, 29), lambda i: case substr(seq, i, 1) when 'A' then 0 when 'T'
+    then 1 when 'C' then 2 when 'G' then 3 else -1 end) as pair_codes from v_catalogue""")
 def base_codes(spark, sf):
     """Base codes in both orders."""
     s = F.col("seq")
@@ -146,7 +150,9 @@ def position_arrays(spark, sf):
     return rows.select("row_id", arrays.fill_missing(F.col("a"), 0.5).alias("filled"), arrays.missing_mask(F.col("a")).alias("mask"), F.size("a").cast("bigint").alias("n"))
 
 
-@query("select i.row_id, t.n as target_n, m.n as mirna_n, [] as missing from v_interactions i left join (select row_id, count(*) as n from v_target_positions group by row_id) t using (row_id) left join (select mature_id, count(*) as n from v_mirna_positions group by mature_id) m using (mature_id)")
+@query("""select i.row_id, t.n as target_n, m.n as mirna_n, [] as missing from v_interactions i
+  left join (select row_id, count(*) as n from v_target_positions group by row_id) t using (row_id)
+  left join (select mature_id, count(*) as n from v_mirna_positions group by mature_id) m using (mature_id)""")
 def attach_position_scores(spark, sf):
     """Rows with the arrays of both axes; profiles are shared by many rows and broadcast."""
     target = positions.position_arrays(V.target_positions(spark, sf), ["row_id"], "pos", {"target_scores": F.col("score_a")}, 50)
@@ -181,7 +187,10 @@ def check_compact_range(spark, sf):
     return validation.check_compact_range(rows, SCORES).select("row_id", "pos")
 
 
-@query("select rule, count(*) as n_rows from (select unnest(case when row_id % 5 = 0 then ['gene_letters'] else [] end || case when row_id % 7 = 0 and row_id % 5 <> 0 then ['gene_length'] else [] end || case when row_id % 11 = 0 then ['label'] else [] end || case when row_id % 13 = 0 then ['empty_id'] else [] end) as rule from v_interactions) group by rule")
+@query("""select rule, count(*) as n_rows from (select unnest(case when row_id % 5 = 0 then ['gene_letters'] else [] end || case when row_id
+      % 7 = 0 and row_id % 5 <> 0 then ['gene_length'] else [] end || case when row_id % 11 = 0 then ['label'] else [] end || case
+      when row_id % 13 = 0 then ['empty_id'] else [] end) as rule from v_interactions)
+  group by rule""")
 def reject_counts(spark, sf):
     """Rows that break each rule, after some are broken on purpose."""
     r = F.col("row_id")
@@ -198,7 +207,10 @@ def duplicate_ids(spark, sf):
     return bad.groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("select l_orderkey, l_linenumber from (select *, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as b from (select distinct l_orderkey, l_linenumber, min(l_partkey) over (partition by l_orderkey, l_linenumber) as l_partkey, 0 as l_suppkey from lineitem)) where b >= l_partkey")
+@query("""select l_orderkey, l_linenumber from (select *, lag(l_partkey) over (partition by l_orderkey
+      order by l_linenumber, l_partkey, l_suppkey) as b from (select distinct l_orderkey, l_linenumber, min(l_partkey) over (partition
+        by l_orderkey, l_linenumber) as l_partkey, 0 as l_suppkey from lineitem))
+  where b >= l_partkey""")
 def check_ascending(spark, sf):
     """Lines whose part isn't larger than that of the line before."""
     lines = V.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
@@ -211,7 +223,9 @@ def missing_ids(spark, sf):
     return validation.missing_ids(V.table(spark, sf, "customer"), V.table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
-@query("select row_id, list_transform(phylop, lambda x: case when x is null then 0.0e0 else greatest(least(x / 10, 1.0e0), -1.0e0) end) as phylop, len(list_filter(phastcons, lambda x: x is null)) as n_missing from v_tracks")
+@query("""select row_id, list_transform(phylop, lambda x: case when x is null then 0.0e0 else greatest(least(x / 10, 1.0e0), -1.0e0) end)
+  as phylop, len(list_filter(phastcons, lambda x: x is null)) as n_missing
+  from v_tracks""")
 def fill_tracks(spark, sf):
     """phyloP scaled, clipped and filled; missing phastCons counted."""
     scaled = F.transform("phylop", lambda x: F.greatest(F.least(x / 10, F.lit(1.0)), F.lit(-1.0)))
@@ -219,7 +233,11 @@ def fill_tracks(spark, sf):
     return V.tracks(spark, sf).select("row_id", arrays.fill_missing(clipped, 0.0).alias("phylop"), F.size(F.filter("phastcons", lambda x: x.isNull())).cast("bigint").alias("n_missing"))
 
 
-@query("select row_id, floor((list_avg(f)) * 1073741824e0 + 0.5e0) / 1073741824e0 as mean, list_min(f) as min, list_max(f) as max, floor((list_median(f)) * 1073741824e0 + 0.5e0) / 1073741824e0 as median, floor((quantile_cont(x, 0.25)) * 1073741824e0 + 0.5e0) / 1073741824e0 as q25, floor((quantile_cont(x, 0.75)) * 1073741824e0 + 0.5e0) / 1073741824e0 as q75, floor((stddev_pop(x)) * 1073741824e0 + 0.5e0) / 1073741824e0 as std, count(x) / 50.0e0 as finite_fraction from (select row_id, list_filter(phastcons, lambda x: x is not null) as f, unnest(phastcons) as x from v_tracks) group by row_id, f")
+@query("""select row_id, floor((list_avg(f)) * 1073741824e0 + 0.5e0) / 1073741824e0 as mean, list_min(f) as min, list_max(f) as max, floor((list_median(f))
+    * 1073741824e0 + 0.5e0) / 1073741824e0 as median, floor((quantile_cont(x, 0.25)) * 1073741824e0 + 0.5e0) / 1073741824e0 as
+  q25, floor((quantile_cont(x, 0.75)) * 1073741824e0 + 0.5e0) / 1073741824e0 as q75, floor((stddev_pop(x)) * 1073741824e0 + 0.5e0)
+  / 1073741824e0 as std, count(x) / 50.0e0 as finite_fraction from (select row_id, list_filter(phastcons, lambda x: x is not null)
+    as f, unnest(phastcons) as x from v_tracks) group by row_id, f""")
 def vector_summary(spark, sf):
     """Summary statistics of a track."""
     s = arrays.vector_summary(F.col("phastcons"))
@@ -240,20 +258,28 @@ def outer_interactions(spark, sf):
     return V.tracks(spark, sf).select("row_id", total.alias("total"))
 
 
-@query("select 'phylop' as source, count(x)::double as n, avg(x) as mean, round(stddev_pop(x), 9) as std from (select unnest(phylop) as x from v_tracks) union all select 'phastcons', count(x)::double, avg(x), round(stddev_pop(x), 9) from (select unnest(phastcons) as x from v_tracks)")
+@query("""select 'phylop' as source, count(x)::double as n, avg(x) as mean, round(stddev_pop(x), 9) as std
+  from (select unnest(phylop) as x from v_tracks) union all select 'phastcons', count(x)::double, avg(x), round(stddev_pop(x),
+    9) from (select unnest(phastcons) as x from v_tracks)""")
 def fit_position_scaler(spark, sf):
     """Mean and population std of the tracks over all positions."""
     return features.fit_position_scaler(V.tracks(spark, sf), ["phylop", "phastcons"]).withColumn("std", F.round("std", 9))
 
 
-@query("select source, sum(w * (x is not null)::int)::double as n, sum(w * x) / sum(w * (x is not null)::int) as mean, round(sqrt(sum(w * x * x) / sum(w * (x is not null)::int) - (sum(w * x) / sum(w * (x is not null)::int)) ** 2), 9) as std from (select c.n as w, unnest(['param_1_a', 'param_1_c']) as source, unnest([param_1_a, param_1_c]) as x from v_mirna_positions join (select mature_id, count(*) as n from v_interactions group by mature_id) c using (mature_id)) group by source")
+@query("""select source, sum(w * (x is not null)::int)::double as n, sum(w * x) / sum(w * (x is not null)::int) as mean, round(sqrt(sum(w
+        * x * x) / sum(w * (x is not null)::int) - (sum(w * x) / sum(w * (x is not null)::int)) ** 2), 9) as std
+  from (select c.n as w, unnest(['param_1_a', 'param_1_c']) as source, unnest([param_1_a, param_1_c]) as x
+    from v_mirna_positions join (select mature_id, count(*) as n from v_interactions
+      group by mature_id) c using (mature_id)) group by source""")
 def fit_mirna_scaler(spark, sf):
     """Profile scaler weighted by the samples that selected each profile."""
     fitted = features.fit_mirna_scaler(V.mirna_positions(spark, sf), V.interactions(spark, sf), ["param_1_a", "param_1_c"])
     return fitted.withColumn("std", F.round("std", 9))
 
 
-@query("select split, round(sum((x - (select avg(score_a) from v_target_positions)) / (select stddev_pop(score_a) from v_target_positions)), 4) as total from (select split, score_a as x from v_target_positions) group by split")
+@query("""select split, round(sum((x - (select avg(score_a) from v_target_positions)) / (select stddev_pop(score_a)
+        from v_target_positions)), 4) as total from (select split, score_a as x
+    from v_target_positions) group by split""")
 def apply_scaler(spark, sf):
     """Standardised scores summed by split."""
     rows = V.target_positions(spark, sf)
@@ -261,7 +287,11 @@ def apply_scaler(spark, sf):
     return scaled.groupBy("split").agg(F.round(F.sum("score_a"), 4).alias("total"))
 
 
-@query("select source, count(x)::double as n, round(avg(x), 9) as mean, round(stddev_pop(x), 9) as std from (select unnest(['actual_score', 'other_mean', 'difference']) as source, unnest([own, other, own - other]) as x from (select own, (score_a + score_c + score_g + score_t - own) / 3 as other from (select *, case actual_nt when 'A' then score_a when 'C' then score_c when 'G' then score_g else score_t end as own from v_target_positions))) group by source")
+@query("""select source, count(x)::double as n, round(avg(x), 9) as mean, round(stddev_pop(x), 9) as std
+  from (select unnest(['actual_score', 'other_mean', 'difference']) as source, unnest([own, other, own - other]) as x
+    from (select own, (score_a + score_c + score_g + score_t - own) / 3 as other
+      from (select *, case actual_nt when 'A' then score_a when 'C' then score_c when 'G' then score_g else score_t end as own
+        from v_target_positions))) group by source""")
 def fit_target_scaler(spark, sf):
     """Scaler of the channels derived from the actual base."""
     rows = positions.actual_features(V.target_positions(spark, sf), "actual_nt", "score_")
@@ -313,27 +343,43 @@ def attach_profiles(spark, sf):
     return features.attach_profiles(features.rank_candidates(V.candidates(spark, sf), 3), profiles, 3).select("id", "slot_mask")
 
 
-@query("select split, score, tp::bigint as tp, predicted::bigint as predicted, tp / predicted as precision, tp / max(tp) over (partition by split) as recall from (select split, probability_1 as score, sum(sum(label)) over w as tp, sum(count(*)) over w as predicted from v_predictions group by split, probability_1 window w as (partition by split order by probability_1 desc))")
+@query("""select split, score, tp::bigint as tp, predicted::bigint as predicted, tp / predicted as precision, tp / max(tp) over (partition
+    by split) as recall from (select split, probability_1 as score, sum(sum(label)) over w as tp, sum(count(*)) over w as predicted
+    from v_predictions group by split, probability_1 window w as (partition by split
+      order by probability_1 desc))""")
 def cumulative_pr_curve(spark, sf):
     """Precision and recall at each score of a split."""
     return metrics.cumulative_pr_curve(V.predictions(spark, sf), ["split"])
 
 
-@query("select split, max(an)::bigint as n_rows, max(ap)::bigint as n_pos, round(sum(pos * tp / pp) / max(ap), 9) as average_precision, round(sum(pos * ((an - pp) - (ap - tp) + (n - pos) / 2)) / (max(ap) * (max(an) - max(ap))), 9) as auroc from (select *, sum(pos) over w as tp, sum(n) over w as pp, sum(pos) over (partition by split) as ap, sum(n) over (partition by split) as an from (select split, probability_1 as s, sum(label)::double as pos, count(*)::double as n from v_predictions group by 1, 2) window w as (partition by split order by s desc)) group by split")
+@query("""select split, max(an)::bigint as n_rows, max(ap)::bigint as n_pos, round(sum(pos * tp / pp) / max(ap), 9) as average_precision,
+  round(sum(pos * ((an - pp) - (ap - tp) + (n - pos) / 2)) / (max(ap) * (max(an) - max(ap))), 9) as auroc
+  from (select *, sum(pos) over w as tp, sum(n) over w as pp, sum(pos) over (partition by split) as ap, sum(n) over (partition
+      by split) as an from (select split, probability_1 as s, sum(label)::double as pos, count(*)::double as n
+      from v_predictions group by 1, 2) window w as (partition by split
+      order by s desc)) group by split""")
 def ranking_metrics(spark, sf):
     """Average precision and AUROC of a split."""
     found = metrics.ranking_metrics(V.predictions(spark, sf), ["split"])
     return found.withColumn("average_precision", F.round("average_precision", 9)).withColumn("auroc", F.round("auroc", 9))
 
 
-@query("select split, n, round((tp + tn) / n, 9) as accuracy, round(tp / (tp + fp), 9) as precision, round(tp / (tp + fn), 9) as recall, round(2 * tp / (2 * tp + fp + fn), 9) as f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 9) as mcc, round(ll, 6) as log_loss, round(br, 9) as brier from (select split, count(*) as n, (count(*) filter (where h and label = 1))::double as tp, (count(*) filter (where h and label = 0))::double as fp, (count(*) filter (where not h and label = 1))::double as fn, (count(*) filter (where not h and label = 0))::double as tn, avg(-ln(case when label = 1 then p else 1 - p end)) as ll, avg((p - label) * (p - label)) as br from (select split, label, probability_1 >= 0.5 as h, greatest(least(probability_1, 1 - 1e-7::double), 1e-7::double) as p from v_predictions) group by split)")
+@query("""select split, n, round((tp + tn) / n, 9) as accuracy, round(tp / (tp + fp), 9) as precision, round(tp / (tp + fn), 9) as recall,
+  round(2 * tp / (2 * tp + fp + fn), 9) as f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)),
+    9) as mcc, round(ll, 6) as log_loss, round(br, 9) as brier from (select split, count(*) as n, (count(*) filter (where h and
+        label = 1))::double as tp, (count(*) filter (where h and label = 0))::double as fp, (count(*) filter (where not h and label
+        = 1))::double as fn, (count(*) filter (where not h and label = 0))::double as tn, avg(-ln(case when label = 1 then p else
+        1 - p end)) as ll, avg((p - label) * (p - label)) as br from (select split, label, probability_1 >= 0.5 as h, greatest(least(probability_1,
+          1 - 1e-7::double), 1e-7::double) as p from v_predictions) group by split)""")
 def threshold_metrics(spark, sf):
     """Threshold metrics of a split."""
     found = metrics.threshold_metrics(V.predictions(spark, sf), ["split"])
     return found.select("split", "n", *(F.round(c, 6 if c == "log_loss" else 9).alias(c) for c in found.columns[2:]))
 
 
-@query("select split, round(sum(l * w) / sum(w), 6) as loss from (select split, greatest(z, 0) - z * case when label = 1 then 0.9e0 else 0.05e0 end + ln(1 + exp(-abs(z))) as l, 1 + label as w from (select split, label, probability_1 * 8 - 4 as z from v_predictions)) group by split")
+@query("""select split, round(sum(l * w) / sum(w), 6) as loss from (select split, greatest(z, 0) - z * case when label = 1 then 0.9e0 else
+    0.05e0 end + ln(1 + exp(-abs(z))) as l, 1 + label as w from (select split, label, probability_1 * 8 - 4 as z
+      from v_predictions)) group by split""")
 def bce_loss(spark, sf):
     """Weighted smoothed cross-entropy of logits."""
     found = metrics.bce_loss(V.predictions(spark, sf), ["split"], F.col("probability_1") * 8 - 4, F.col("label"), 1 + F.col("label"), 0.1, 0.05)
@@ -359,7 +405,8 @@ def manifest_counts(spark, sf):
     return splits.manifest_counts(splits.assign_shards(rows, "row_number", 1000), ["shard"])
 
 
-@query("select row_id, place > n - floor(n * 0.2) as is_validation from (select row_id, row_number() over (order by md5('7:' || cast(row_id as varchar)), row_id) as place, count(*) over () as n from v_interactions)")
+@query("""select row_id, place > n - floor(n * 0.2) as is_validation from (select row_id, row_number() over (order by md5('7:' || cast(row_id
+          as varchar)), row_id) as place, count(*) over () as n from v_interactions)""")
 def random_row_split(spark, sf):
     """An exact fifth of the rows as validation."""
     return splits.random_row_split(V.interactions(spark, sf), "row_id", 0.2, 7).select("row_id", "is_validation")
@@ -386,7 +433,9 @@ def add_row_id(spark, sf):
     return splits.add_row_id(scan, "row_id")
 
 
-@query("select row_id, row_number() over (order by md5('45:' || cast(shard as varchar)), shard, md5('45:' || cast(row_id as varchar)), row_id) as place from (select row_id, (row_number() over (order by row_id) - 1) // 1000 as shard from v_interactions)")
+@query("""select row_id, row_number() over (order by md5('45:' || cast(shard as varchar)), shard, md5('45:' || cast(row_id as varchar)),
+    row_id) as place from (select row_id, (row_number() over (order by row_id) - 1) // 1000 as shard
+    from v_interactions)""")
 def epoch_shuffle(spark, sf):
     """Places of rows in a shuffle of shards, then rows inside."""
     rows = splits.assign_shards(splits.numbered(V.interactions(spark, sf), [F.col("row_id")], "n"), "n", 1000)
@@ -433,7 +482,8 @@ def match_sequences(spark, sf):
     return annotation.match_sequences(rows, table).select("row_seq", "header", "step")
 
 
-@query("select count(*) as total, count(*) as kept, 0 as dropped, count(distinct mature_id) as n_mature, count(distinct family) as n_family from v_interactions join (select mature_id, family from v_catalogue) using (mature_id)")
+@query("""select count(*) as total, count(*) as kept, 0 as dropped, count(distinct mature_id) as n_mature, count(distinct family) as n_family
+  from v_interactions join (select mature_id, family from v_catalogue) using (mature_id)""")
 def annotation_stats(spark, sf):
     """Rows annotated with the catalogue, with families, and counted."""
     table = V.catalogue(spark, sf)
@@ -444,7 +494,9 @@ def annotation_stats(spark, sf):
     return stats.join(F.broadcast(annotation.annotation_distincts(rows).select("n_mature", "n_family")))
 
 
-@query("select s_suppkey, 'Hsa-' || s_suppkey || '-v2' as mature_id, 'Hsa-' || s_suppkey as reference_id, 'Supplier ' || s_suppkey as common_name, 'Genus s' || s_suppkey as scientific_name, 'Hsa-' || s_suppkey as stripped from (select cast(s_suppkey as varchar) as s_suppkey from supplier)")
+@query("""select s_suppkey, 'Hsa-' || s_suppkey || '-v2' as mature_id, 'Hsa-' || s_suppkey as reference_id, 'Supplier ' || s_suppkey as common_name,
+  'Genus s' || s_suppkey as scientific_name, 'Hsa-' || s_suppkey as stripped
+  from (select cast(s_suppkey as varchar) as s_suppkey from supplier)""")
 def parse_names(spark, sf):
     """Mature ids, species names and record endings."""
     k = F.col("s_suppkey").cast("string")
@@ -465,7 +517,8 @@ def resolve_sequence_names(spark, sf):
     return annotation.resolve_sequence_names(table.select(F.col("mature_id").alias("name")), records, "pri")
 
 
-@query("select mature_id as header, repeat('.', 3) || repeat('A', length(seq)) || '..' as anchors, '...' || substr('123456789abcdefghijklmnopqrstuvwxyz', 1, length(seq)) || '..' as ids, 3 as start_5p from v_catalogue")
+@query("""select mature_id as header, repeat('.', 3) || repeat('A', length(seq)) || '..' as anchors, '...' || substr('123456789abcdefghijklmnopqrstuvwxyz',
+    1, length(seq)) || '..' as ids, 3 as start_5p from v_catalogue""")
 def anchor_strings(spark, sf):
     """Arms found in precursors and marked."""
     table = V.catalogue(spark, sf)
@@ -475,7 +528,9 @@ def anchor_strings(spark, sf):
     return found.select(F.col("precursor_id").alias("header"), "anchors", "ids", "start_5p")
 
 
-@query("select query_id, seq_id, string_agg(c, '' order by i) as aligned from (select a.query_id, a.seq_id, k.i, substr(a.aligned, k.i, 1) as c from v_alignments a join (select query_id, site as i from v_msa where leaf = 16 and nt <> '-') k using (query_id)) group by query_id, seq_id")
+@query("""select query_id, seq_id, string_agg(c, '' order by i) as aligned from (select a.query_id, a.seq_id, k.i, substr(a.aligned, k.i,
+      1) as c from v_alignments a join (select query_id, site as i from v_msa
+      where leaf = 16 and nt <> '-') k using (query_id)) group by query_id, seq_id""")
 def drop_query_gap_columns(spark, sf):
     """Columns in which the query has a gap are left out."""
     rows = V.alignments(spark, sf)
@@ -483,7 +538,9 @@ def drop_query_gap_columns(spark, sf):
     return alignment.drop_query_gap_columns(rows, own).select("query_id", "seq_id", "aligned")
 
 
-@query("select query_id, case when p = 1 then code else code || '-' || p end as seq_id, input_pos from (select query_id, input_pos, substr(seq_id, 1, 3) as code, row_number() over (partition by query_id, substr(seq_id, 1, 3) order by input_pos) as p from v_alignments)")
+@query("""select query_id, case when p = 1 then code else code || '-' || p end as seq_id, input_pos
+  from (select query_id, input_pos, substr(seq_id, 1, 3) as code, row_number() over (partition by query_id, substr(seq_id, 1, 3)
+      order by input_pos) as p from v_alignments)""")
 def rename_by_species(spark, sf):
     """Species codes, paralogs numbered."""
     return alignment.rename_by_species(V.alignments(spark, sf)).select("query_id", "seq_id", "input_pos")
@@ -576,14 +633,21 @@ def leaf_distances(spark, sf):
     return tolerance.leaf_distances(V.trees(spark, sf))
 
 
-@tree_query("select t.query_id, case when p.distance >= c.distance then t.parent else t.node end as far, case when p.distance >= c.distance then t.node else t.parent end as near from v_tree t join walked c on c.query_id = t.query_id and c.node = t.node join walked p on p.query_id = t.query_id and p.node = t.parent where t.is_leaf = 0")
+@tree_query("""select t.query_id, case when p.distance >= c.distance then t.parent else t.node end as far, case when p.distance >= c.distance
+  then t.node else t.parent end as near from v_tree t join walked c on c.query_id = t.query_id and c.node = t.node
+  join walked p on p.query_id = t.query_id and p.node = t.parent where t.is_leaf = 0""")
 def orient_edges(spark, sf):
     """Far and near ends of internal edges."""
     rows = V.trees(spark, sf)
     return tolerance.orient_edges(rows, splits.written(tolerance.leaf_distances(rows)))
 
 
-@tree_query("select query_id, node, round(1 / (distance / leaf_min + 1), 9) as w_0, round(case when is_query = 1 then 1 else exp(-distance * distance) / 2 end, 9) as w_x, round(exp(-distance * distance / (mu * mu)), 9) as w_mean, round(exp(-distance * hops), 9) as w_count4, round((0.1e0 - 1) / most * distance + 1, 9) as w_threshold from (select *, min(case when is_leaf = 1 and is_query = 0 then distance end) over (partition by query_id) as leaf_min, avg(distance) over (partition by query_id) as mu, max(distance) over (partition by query_id) as most from walked)")
+@tree_query("""select query_id, node, round(1 / (distance / leaf_min + 1), 9) as w_0, round(case when is_query = 1 then 1 else exp(-distance *
+      distance) / 2 end, 9) as w_x, round(exp(-distance * distance / (mu * mu)), 9) as w_mean, round(exp(-distance * hops), 9)
+  as w_count4, round((0.1e0 - 1) / most * distance + 1, 9) as w_threshold
+  from (select *, min(case when is_leaf = 1 and is_query = 0 then distance end) over (partition by query_id) as leaf_min, avg(distance)
+    over (partition by query_id) as mu, max(distance) over (partition by query_id) as most
+    from walked)""")
 def distance_weights(spark, sf):
     """Weights under five schemes."""
     schemes = {"w_0": ("0", None), "w_x": ("X", None), "w_mean": ("mean", None), "w_count4": ("CountNodes_4", None), "w_threshold": ("MinThreshold", 0.1)}
@@ -750,7 +814,8 @@ def extract_orthologue_links(spark, sf):
     return readers.extract_orthologue_links(_link_pages(spark, sf))
 
 
-@query("select cast(s_suppkey as bigint) as page_id, substr(translate(md5(cast(s_suppkey as varchar)), '0123456789', 'ghijklmnop'), 1, 3) as code, 'Name ' || s_suppkey || ' (Genus s)' as species from supplier")
+@query("""select cast(s_suppkey as bigint) as page_id, substr(translate(md5(cast(s_suppkey as varchar)), '0123456789', 'ghijklmnop'), 1,
+    3) as code, 'Name ' || s_suppkey || ' (Genus s)' as species from supplier""")
 def extract_species_links(spark, sf):
     """Species codes and names on stored pages."""
     return readers.extract_species_links(_link_pages(spark, sf))

@@ -133,7 +133,8 @@ def best_checkpoint(spark, sf):
     return metrics.best_checkpoint(rows.agg(F.max("label").alias("auprc"), F.min(F.length("mirna")).alias("log_loss")))
 
 
-@query("select prefix, min_by(header, mature_key) as header from (select 'M' || (mature_key % 50) as prefix, 'M' || (mature_key % 50) || '_' || mature_key as header, mature_key from v_catalogue) group by prefix")
+@query("""select prefix, min_by(header, mature_key) as header from (select 'M' || (mature_key % 50) as prefix, 'M' || (mature_key % 50) ||
+    '_' || mature_key as header, mature_key from v_catalogue) group by prefix""")
 def dedupe_by_prefix(spark, sf):
     """The first header of each text before an underscore."""
     k = F.col("mature_key")
@@ -171,7 +172,8 @@ def mature_ids(spark, sf):
     return annotation.mature_ids(rows, "name").select(F.col("key").alias("mature_id"), F.col("mature_id").alias("mature"), F.col("reference_id").alias("reference"))
 
 
-@query("select mature_id, case mature_key % 3 when 0 then '5p' when 1 then '3p' end as arm, 'Hsa' as species, 'Hsa-' || mature_id as precursor_id, sha256(seq || '|' || family || '|') as profile from v_catalogue")
+@query("""select mature_id, case mature_key % 3 when 0 then '5p' when 1 then '3p' end as arm, 'Hsa' as species, 'Hsa-' || mature_id as precursor_id,
+  sha256(seq || '|' || family || '|') as profile from v_catalogue""")
 def parse_mature_header(spark, sf):
     """Parts of mature headers, and stable ids of profiles."""
     k = F.col("mature_key") % 3
@@ -249,7 +251,9 @@ def standardize(spark, sf):
     return V.tracks(spark, sf).select("row_id", arrays.standardize(F.col("phastcons"), F.lit(0.5), F.lit(0.25)).alias("scaled"))
 
 
-@query("select row_id, case when n > 0 then [total / n, 2 * total / n] end as pooled from (select row_id, len(f) as n, list_sum(f) as total from (select row_id, list_filter(phastcons, lambda x: x >= 0.25) as f from v_tracks))")
+@query("""select row_id, case when n > 0 then [total / n, 2 * total / n] end as pooled
+  from (select row_id, len(f) as n, list_sum(f) as total from (select row_id, list_filter(phastcons, lambda x: x >= 0.25) as f
+      from v_tracks))""")
 def pool_tokens(spark, sf):
     """The mean of two-channel position vectors that a mask keeps."""
     x = arrays.fill_missing(F.col("phastcons"), 0.0)
@@ -257,7 +261,9 @@ def pool_tokens(spark, sf):
     return V.tracks(spark, sf).select("row_id", features.pool_tokens(vectors, mask).alias("pooled"))
 
 
-@query("select row_id, phastcons as strict, phastcons as lenient, list_transform(range(1, 61), lambda i: case when len(list_filter(phastcons, lambda x: x is null)) > 0 or i > 50 then 0.0e0 else greatest(least(phastcons[i] * 2, 1.0e0), -1.0e0) end) as track from v_tracks")
+@query("""select row_id, phastcons as strict, phastcons as lenient, list_transform(range(1, 61), lambda i: case when len(list_filter(phastcons,
+        lambda x: x is null)) > 0 or i > 50 then 0.0e0 else greatest(least(phastcons[i] * 2, 1.0e0), -1.0e0) end) as track
+  from v_tracks""")
 def parse_arrays(spark, sf):
     """Arrays written as text and read back: strictly, leniently, and as a padded track that any missing value makes neutral."""
     def text(missing, scale=1):
@@ -268,7 +274,9 @@ def parse_arrays(spark, sf):
     )
 
 
-@query("select m.split from (select split, max(length(gene)) as n, count(distinct row_id % 10) as c from v_interactions group by split) m, (select max(length(gene)) as n, count(distinct row_id % 10) as c from v_interactions where split = 'train') t where m.n <> t.n or m.c <> t.c")
+@query("""select m.split from (select split, max(length(gene)) as n, count(distinct row_id % 10) as c
+    from v_interactions group by split) m, (select max(length(gene)) as n, count(distinct row_id % 10) as c
+    from v_interactions where split = 'train') t where m.n <> t.n or m.c <> t.c""")
 def check_same_shape(spark, sf):
     """Splits whose longest target or count of last digits differs from that of the training split."""
     rows = V.interactions(spark, sf).groupBy("split")
