@@ -123,8 +123,9 @@ def test_splits_are_exact(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     for fraction in (0.0, 0.137, 1.0):
         assert splits.random_row_split(df, "k", fraction, 3).where("is_validation").count() == int(1000 * fraction)
+    manifests = spark.createDataFrame([("a", 1, 1000, 0), ("b", 2, 1000, 0)], "dataset string, width int, row_count bigint, positive_rows bigint")
     with pytest.raises(ValueError, match="width"):
-        splits.union_compatible([(df, {"width": 1}), (df, {"width": 2})], ("width",))
+        splits.union_compatible({"a": df, "b": df}, manifests, ("width",))
     with pytest.raises(ValueError, match="1 samples without"):
         splits.attach_labels(df.limit(2).withColumnRenamed("k", "id"), df.limit(1).withColumnRenamed("k", "id").withColumn("label", F.lit(1)))
 
