@@ -75,13 +75,13 @@ def check_positions_complete(positions: DataFrame, key: str, position: str, leng
 
 def check_partial_missing(df: DataFrame, scores: list[str]) -> DataFrame:
     """Rows where some of the scores, but not all, are missing."""
-    missing = F.size(F.filter(F.array(*scores), lambda x: x.isNull()))
-    return df.where((missing > 0) & (missing < len(scores)))
+    missing = sum((F.col(s).isNull().cast("int") for s in scores), F.lit(0))
+    return df.where(missing.between(1, len(scores) - 1))
 
 
 def check_compact_range(df: DataFrame, scores: list[str], limit: float = COMPACT_LIMIT) -> DataFrame:
     """Rows with a score beyond half-precision range."""
-    return df.where(F.exists(F.array(*scores), lambda x: F.abs(x) > limit))
+    return df.where(F.greatest(*(F.abs(F.col(s)) for s in scores), F.lit(0.0)) > limit)
 
 
 def missing_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
