@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedloom.functions.arrays import once
+
 
 def filter_gap_only(msa: DataFrame) -> DataFrame:
     """``*`` as gaps; sequences of gaps and N alone, empty ones too, are left out."""
@@ -80,18 +82,24 @@ def project_structure(aligned: Column, structure: Column) -> Column:
 
 def flanking_mask(anchors: Column) -> Column:
     """True before the first A and after the last B; null if either is absent."""
-    first = F.instr(anchors, "A")
-    last = F.length(anchors) - F.instr(F.reverse(anchors), "B") + 1
-    mask = F.transform(F.split(anchors, ""), lambda c, i: (i + 1 < first) | (i + 1 > last))
-    return F.when((first > 0) & (F.instr(anchors, "B") > 0), mask)
+
+    def mask(text: Column) -> Column:
+        ends = F.struct(F.instr(text, "A").alias("first"), (F.length(text) - F.instr(F.reverse(text), "B") + 1).alias("last"), F.instr(text, "B").alias("b"))
+        return once(ends, lambda e: F.when((e["first"] > 0) & (e["b"] > 0), F.transform(F.split(text, ""), lambda c, i: (i + 1 < e["first"]) | (i + 1 > e["last"]))))
+
+    return once(anchors, mask)
 
 
 def region_boundaries(mask: Column) -> Column:
     """Places, from 0, of the first step out of the flank and the last step into it."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(mask) - 1, F.lit(1)))
-    leaving = F.filter(places, lambda i: F.get(mask, i - 1) & ~F.get(mask, i))
-    entering = F.filter(places, lambda i: ~F.get(mask, i - 1) & F.get(mask, i))
-    return F.array_compact(F.array(F.get(leaving, F.lit(0)), F.try_element_at(entering, F.lit(-1))))
+
+    def edges(m: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(m) - 1, F.lit(1)))
+        leaving = F.filter(places, lambda i: F.get(m, i - 1) & ~F.get(m, i))
+        entering = F.filter(places, lambda i: ~F.get(m, i - 1) & F.get(m, i))
+        return F.array_compact(F.array(F.get(leaving, F.lit(0)), F.try_element_at(entering, F.lit(-1))))
+
+    return once(mask, edges)
 
 
 def consensus_differences(msa: DataFrame, consensus: DataFrame) -> DataFrame:
