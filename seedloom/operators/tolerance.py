@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedloom.operators.joins import by_key
+from seedloom.operators.trees import map_trees
+
 # Names of the weight schemes.
 PARAMS = ("0", "0_MinNode", "0_MinNode_Mix", "0_MinNode_Mix2", "mean", "median", "X", "CountNodes_1", "CountNodes_2", "CountNodes_3", "CountNodes_4", "Equal")
 
@@ -14,36 +16,27 @@ def leaf_distances(edges: DataFrame) -> DataFrame:
     """``query_id, node, is_leaf, is_query, distance, hops`` from each tree's query leaf to every node.
 
     ``edges`` has ``query_id, node, parent, branch_length, is_leaf, is_query``. A node's hops count
-    the nodes from the query's parent to it, that parent being 1; a leaf takes its parent's. Trees are small; each is walked once in one task.
+    the nodes from the query's parent to it, that parent being 1; a leaf takes its parent's. Trees are small; each is walked once.
     """
 
-    def walk(tree: pd.DataFrame) -> pd.DataFrame:
-        nodes = tree["node"].tolist()
-        parent = {n: (None if pd.isna(p) else int(p)) for n, p in zip(nodes, tree["parent"])}
-        length = dict(zip(nodes, tree["branch_length"].fillna(0.0)))
-        start = int(tree.loc[tree["is_query"] == 1, "node"].iloc[0])
-        near: dict[int, list[tuple[int, float]]] = {n: [] for n in nodes}
-        for n in nodes:
-            if parent[n] is not None:
-                near[n].append((parent[n], length[n]))
-                near[parent[n]].append((n, length[n]))
+    def walk(rows: list[dict]) -> list[tuple]:
+        parent = {r["node"]: r["parent"] for r in rows}
+        leaf = {r["node"]: r["is_leaf"] for r in rows}
+        start = next(r["node"] for r in rows if r["is_query"] == 1)
+        near: dict[int, list[tuple[int, float]]] = {n: [] for n in parent}
+        for r in rows:
+            if r["parent"] is not None:
+                near[r["node"]].append((r["parent"], r["branch_length"] or 0.0))
+                near[r["parent"]].append((r["node"], r["branch_length"] or 0.0))
         distance, hops, queue = {start: 0.0}, {start: 0}, [start]
         for n in queue:
             for other, step in near[n]:
                 if other not in distance:
                     distance[other], hops[other] = distance[n] + step, hops[n] + 1
                     queue.append(other)
-        leaf = dict(zip(nodes, tree["is_leaf"]))
-        reached = [n for n in nodes if n in distance]
-        return pd.DataFrame(
-            {
-                "query_id": tree["query_id"].iloc[0], "node": reached, "is_leaf": [int(leaf[n]) for n in reached], "is_query": [int(n == start) for n in reached],
-                "distance": [distance[n] for n in reached], "hops": [hops[parent[n]] if leaf[n] and n != start else hops[n] for n in reached],
-            }
-        )
+        return [(n, int(leaf[n]), int(n == start), distance[n], hops[parent[n]] if leaf[n] and n != start else hops[n]) for n in parent if n in distance]
 
-    kind = edges.schema["query_id"].dataType.simpleString()
-    return edges.groupBy("query_id").applyInPandas(walk, f"query_id {kind}, node int, is_leaf int, is_query int, distance double, hops int")
+    return map_trees(edges, ("node", "parent", "branch_length", "is_leaf", "is_query"), walk, "node int, is_leaf int, is_query int, distance double, hops int")
 
 
 def tree_distances(trees: DataFrame, queries: DataFrame) -> DataFrame:
@@ -51,7 +44,7 @@ def tree_distances(trees: DataFrame, queries: DataFrame) -> DataFrame:
 
     Names must be equal, not parts of each other. Raises ``ValueError`` for trees whose leaf is absent or there more than once.
     """
-    named = trees.join(queries.select("query_id", F.col("seq_id").alias("_named")), "query_id")
+    named = trees.join(by_key(queries.select("query_id", F.col("seq_id").alias("_named"))), "query_id")
     marked = named.withColumn("is_query", F.when((F.col("is_leaf") == 1) & (F.col("label") == F.col("_named")), 1).otherwise(0)).drop("_named")
     wrong = marked.groupBy("query_id").agg(F.sum("is_query").alias("n")).where("n <> 1").orderBy("query_id").limit(10).collect()
     if wrong:
@@ -64,7 +57,7 @@ def orient_edges(edges: DataFrame, distances: DataFrame) -> DataFrame:
     inner = edges.where("is_leaf = 0 and parent is not null").select("query_id", "node", "parent")
     own = distances.select("query_id", "node", F.col("distance").alias("own"))
     up = distances.select("query_id", F.col("node").alias("parent"), F.col("distance").alias("up"))
-    joined = inner.join(own, ["query_id", "node"]).join(up, ["query_id", "parent"])
+    joined = inner.join(by_key(own), ["query_id", "node"]).join(by_key(up), ["query_id", "parent"])
     parent_far = F.col("up") >= F.col("own")
     return joined.select("query_id", F.when(parent_far, F.col("parent")).otherwise(F.col("node")).alias("far"), F.when(parent_far, F.col("node")).otherwise(F.col("parent")).alias("near"))
 
@@ -118,7 +111,7 @@ def distance_weights(distances: DataFrame, param: str, least: float | None = Non
 
 def gap_aware_posterior(nucleotides: DataFrame, gaps: DataFrame) -> DataFrame:
     """Base probabilities times that of no gap, by ``query_id, node, site``."""
-    joined = nucleotides.join(gaps, ["query_id", "node", "site"])
+    joined = nucleotides.join(by_key(gaps), ["query_id", "node", "site"])
     rest = [c for c in joined.columns if c not in ("p_a", "p_c", "p_g", "p_t", "p_0")]
     return joined.select(*rest, *((F.col(c) * (1 - F.col("p_0"))).alias(c) for c in ("p_a", "p_c", "p_g", "p_t")))
 
@@ -133,24 +126,24 @@ def tolerance_scores(edges: DataFrame, distances: DataFrame, posterior: DataFram
     weights = distance_weights(distances, param, least)
     bases = ("a", "c", "g", "t")
     query = distances.where("is_query = 1").select("query_id", F.col("node").alias("leaf"))
-    query_nt = msa.join(query, ["query_id", "leaf"]).select("query_id", "site", F.upper("nt").alias("qnt"))
+    query_nt = msa.join(by_key(query), ["query_id", "leaf"]).select("query_id", "site", F.upper("nt").alias("qnt"))
 
     def probabilities(node: str, tag: str) -> DataFrame:
-        return posterior.select("query_id", F.col("node").alias(node), "site", *(F.col(f"p_{b}").alias(f"{tag}_{b}") for b in bases))
+        return by_key(posterior.select("query_id", F.col("node").alias(node), "site", *(F.col(f"p_{b}").alias(f"{tag}_{b}") for b in bases)))
 
-    oriented = orient_edges(edges, distances).join(weights.withColumnRenamed("node", "far"), ["query_id", "far"])
+    oriented = orient_edges(edges, distances).join(by_key(weights.withColumnRenamed("node", "far")), ["query_id", "far"])
     inner = oriented.join(probabilities("far", "f"), ["query_id", "far"]).join(probabilities("near", "n"), ["query_id", "near", "site"])
     parts = [inner.select("query_id", "site", F.lit(0).alias("leafy"), *((F.col("weight") * F.greatest(F.lit(0.0), F.col(f"f_{b}") - F.col(f"n_{b}"))).alias(b) for b in bases))]
 
     leaves = edges.where("is_leaf = 1").select("query_id", F.col("node").alias("leaf"), F.col("parent"))
-    root = leaves.join(query, ["query_id", "leaf"]).select("query_id", F.col("parent").alias("node"))
-    at_root = root.join(weights, ["query_id", "node"]).join(probabilities("node", "p"), ["query_id", "node"]).join(query_nt, ["query_id", "site"])
+    root = leaves.join(by_key(query), ["query_id", "leaf"]).select("query_id", F.col("parent").alias("node"))
+    at_root = root.join(by_key(weights), ["query_id", "node"]).join(probabilities("node", "p"), ["query_id", "node"]).join(by_key(query_nt), ["query_id", "site"])
     parts.append(at_root.select("query_id", "site", F.lit(0).alias("leafy"), *((F.when(F.col("qnt") == b.upper(), 0.0).otherwise(F.col("weight") * F.col(f"p_{b}"))).alias(b) for b in bases)))
-    own = query.join(weights, (weights["query_id"] == query["query_id"]) & (weights["node"] == query["leaf"])).select(query["query_id"], "weight").join(query_nt, "query_id")
+    own = query.join(by_key(weights.withColumnRenamed("node", "leaf")), ["query_id", "leaf"]).select("query_id", "weight").join(by_key(query_nt), "query_id")
     parts.append(own.select("query_id", "site", F.lit(0).alias("leafy"), *(F.when(F.col("qnt") == b.upper(), F.col("weight")).otherwise(0.0).alias(b) for b in bases)))
 
-    others = leaves.join(query, ["query_id", "leaf"], "left_anti").join(weights.withColumnRenamed("node", "leaf"), ["query_id", "leaf"])
-    others = others.join(msa.where(F.upper("nt").isin("A", "C", "G", "T")), ["query_id", "leaf"]).join(probabilities("parent", "p"), ["query_id", "parent", "site"])
+    others = leaves.join(by_key(query), ["query_id", "leaf"], "left_anti").join(by_key(weights.withColumnRenamed("node", "leaf")), ["query_id", "leaf"])
+    others = others.join(by_key(msa.where(F.upper("nt").isin("A", "C", "G", "T"))), ["query_id", "leaf"]).join(probabilities("parent", "p"), ["query_id", "parent", "site"])
     parts.append(others.select("query_id", "site", F.lit(1).alias("leafy"), *(F.when(F.upper("nt") == b.upper(), F.col("weight") * F.greatest(F.lit(0.0), 1 - F.col(f"p_{b}"))).otherwise(0.0).alias(b) for b in bases)))
 
     whole = parts[0]
@@ -161,11 +154,11 @@ def tolerance_scores(edges: DataFrame, distances: DataFrame, posterior: DataFram
         return sums
     if norm == "NN":
         sizes = edges.groupBy("query_id").agg(F.count("*").cast("double").alias("by_wl"), F.count_if(F.col("is_leaf") == 0).cast("double").alias("by_wol"))
-        scaled = sums.join(sizes, "query_id")
+        scaled = sums.join(by_key(sizes), "query_id")
     elif norm == "FN":
         code = lambda c: F.when(F.upper(c).isin("A", "C", "G", "T"), F.upper(c)).otherwise("-")
-        same = msa.join(query_nt, ["query_id", "site"]).groupBy("query_id", "site").agg(F.count_if(code(F.col("nt")) == code(F.col("qnt"))).cast("double").alias("by_wl"))
-        scaled = sums.join(same, ["query_id", "site"]).withColumn("by_wol", F.col("by_wl"))
+        same = msa.join(by_key(query_nt), ["query_id", "site"]).groupBy("query_id", "site").agg(F.count_if(code(F.col("nt")) == code(F.col("qnt"))).cast("double").alias("by_wl"))
+        scaled = sums.join(by_key(same), ["query_id", "site"]).withColumn("by_wol", F.col("by_wl"))
     else:
         raise ValueError(f"unknown normalisation {norm!r}")
     return scaled.select("query_id", "site", *((F.col(f"{k}_{b}") / F.col(f"by_{k}")).alias(f"{k}_{b}") for k in ("wl", "wol") for b in bases))
@@ -189,7 +182,7 @@ def tree_nodes(edges: DataFrame, distances: DataFrame, params: list[tuple[str, f
     weighted = distances.select("query_id", "node", "distance", "is_query", F.array(*(scheme_weight(p, least) for p, least in params)).alias("weights"))
     up = weighted.select("query_id", F.col("node").alias("parent"), F.col("distance").alias("up"), F.col("weights").alias("up_weights"))
     sizes = edges.groupBy("query_id").agg(F.count("*").cast("double").alias("n_nodes"), F.count_if(F.col("is_leaf") == 0).cast("double").alias("n_inner"))
-    joined = edges.select("query_id", "node", "parent", "is_leaf").join(weighted, ["query_id", "node"]).join(up, ["query_id", "parent"], "left").join(sizes, "query_id")
+    joined = edges.select("query_id", "node", "parent", "is_leaf").join(by_key(weighted), ["query_id", "node"]).join(by_key(up), ["query_id", "parent"], "left").join(by_key(sizes), "query_id")
     return joined.select("query_id", "node", "parent", "is_leaf", "is_query", (F.col("up") >= F.col("distance")).alias("far"), "weights", "up_weights", "n_inner", "n_nodes")
 
 
@@ -214,17 +207,17 @@ def score_table(
     spanned = lambda df: df.withColumn("span", site_range("site", range_sites))
     nodes = tree_nodes(edges, distances, params)
     spans = spanned(posterior.select("query_id", "site")).select("query_id", "span").distinct()
-    nodes = nodes.join(spans, "query_id")
+    nodes = nodes.join(by_key(spans), "query_id")
     probability = [F.col(f"p_{b}") for b in bases]
     states = spanned(posterior.select("query_id", "node", "site", F.array(*probability).alias("p")))
     code = F.when(F.upper("nt").isin(*LETTERS), F.upper("nt")).otherwise("-")
     letters = spanned(msa.select("query_id", F.col("leaf").alias("node"), "site", code.alias("nt")))
     carried = ["parent", "is_query", "far", "weights", "up_weights", "n_inner", "n_nodes"]
-    inner = states.join(nodes.where("is_leaf = 0 and parent is not null").select("query_id", "span", "node", *carried), ["query_id", "span", "node"]).withColumn("nt", F.lit(None).cast("string"))
-    leaves = letters.join(nodes.where("is_leaf = 1").select("query_id", "span", "node", *carried), ["query_id", "span", "node"]).withColumn("p", F.lit(None).cast("array<double>"))
+    inner = states.join(by_key(nodes.where("is_leaf = 0 and parent is not null").select("query_id", "span", "node", *carried)), ["query_id", "span", "node"]).withColumn("nt", F.lit(None).cast("string"))
+    leaves = letters.join(by_key(nodes.where("is_leaf = 1").select("query_id", "span", "node", *carried)), ["query_id", "span", "node"]).withColumn("p", F.lit(None).cast("array<double>"))
     children = inner.unionByName(leaves.select(inner.columns))
     above = states.select("query_id", "span", F.col("node").alias("parent"), "site", F.col("p").alias("q"))
-    met = children.join(above, ["query_id", "span", "parent", "site"], "left")
+    met = children.join(by_key(above), ["query_id", "span", "parent", "site"], "left")
     # Of each child row: the weights it counts with and the four values they are multiplied by.
     zero = F.lit(0.0)
     own = [F.col("nt") == b.upper() for b in bases]
@@ -273,5 +266,5 @@ def log_transform_score(score: Column) -> Column:
 
 def query_nt_count(msa: DataFrame, query_leaf: int | DataFrame) -> DataFrame:
     """Leaves that carry the query leaf's letter, by query and site; the leaf is one number, or ``query_id, leaf`` rows."""
-    own = msa.where(F.col("leaf") == query_leaf) if isinstance(query_leaf, int) else msa.join(query_leaf.select("query_id", "leaf"), ["query_id", "leaf"], "left_semi")
-    return msa.join(own.select("query_id", "site", F.col("nt").alias("qnt")), ["query_id", "site"]).groupBy("query_id", "site").agg(F.count_if(F.col("nt") == F.col("qnt")).alias("n_same"))
+    own = msa.where(F.col("leaf") == query_leaf) if isinstance(query_leaf, int) else msa.join(by_key(query_leaf.select("query_id", "leaf")), ["query_id", "leaf"], "left_semi")
+    return msa.join(by_key(own.select("query_id", "site", F.col("nt").alias("qnt"))), ["query_id", "site"]).groupBy("query_id", "site").agg(F.count_if(F.col("nt") == F.col("qnt")).alias("n_same"))
