@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seedloom.operators.trees import map_trees
 from seedloom.operators.validation import require_columns
 
 # Columns of the raw table and files of a split, which are input contracts.
@@ -197,19 +198,14 @@ def unroot_rows(rows: list[tuple]) -> list[tuple]:
 
 
 def change_trees(trees: DataFrame, taxa: DataFrame | None = None, unroot: bool = False) -> DataFrame:
-    """Each tree pruned to the ``query_id, seq_id`` taxa of its query, and unrooted if asked; one small tree a group."""
-    names = trees.select("query_id").distinct().withColumn("taxa", F.lit(None).cast("array<string>")) if taxa is None else taxa.groupBy("query_id").agg(F.collect_set("seq_id").alias("taxa"))
-
-    def change(tree: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(n), None if pd.isna(p) else int(p), None if pd.isna(b) else float(b), s, int(leaf)) for n, p, b, s, leaf in zip(tree["node"], tree["parent"], tree["branch_length"], tree["label"], tree["is_leaf"])]
-        rows.sort(key=lambda r: r[0])
-        wanted = tree["taxa"].iloc[0]
+    """Each tree pruned to the ``query_id, seq_id`` taxa of its query, and unrooted if asked; trees without any taxon listed are left out."""
+    def change(tree: list[dict], wanted: list[str] | None = None) -> list[tuple]:
+        rows = [(r["node"], r["parent"], r["branch_length"], r["label"], r["is_leaf"]) for r in tree]
         rows = rows if wanted is None else prune_rows(rows, set(wanted))
-        rows = unroot_rows(rows) if unroot and rows else rows
-        out = pd.DataFrame(rows, columns=["node", "parent", "branch_length", "label", "is_leaf"]).astype({"parent": "Int32"})
-        return out.assign(query_id=tree["query_id"].iloc[0])[["query_id", "node", "parent", "branch_length", "label", "is_leaf"]]
+        return unroot_rows(rows) if unroot and rows else rows
 
-    return trees.join(names, "query_id").groupBy("query_id").applyInPandas(change, f"query_id string, {TREE}")
+    names = None if taxa is None else taxa.groupBy("query_id").agg(F.collect_set("seq_id").alias("taxa"))
+    return map_trees(trees, ("node", "parent", "branch_length", "label", "is_leaf"), change, TREE, names)
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
