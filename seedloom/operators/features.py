@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seedloom.functions.names import MISSING, normalize_category
 from seedloom.operators.joins import if_small
+from seedloom.operators.splits import written
 
 LEAST_VARIANCE = 1e-12
 NO_INDEX = 10**9
@@ -48,8 +49,8 @@ def fit_position_scaler(df: DataFrame, tracks: list[str]) -> DataFrame:
 
 def fit_mirna_scaler(profiles: DataFrame, selected: DataFrame, columns: list[str], key: str = "mature_id") -> DataFrame:
     """Scaler over profile positions, each profile weighted by how many samples selected it."""
-    counts = selected.groupBy(key).agg(F.count("*").alias("n_selected"))
-    return fit_columns(profiles.join(counts, key), columns, F.col("n_selected"))
+    counts = written(selected.groupBy(key).agg(F.count("*").alias("n_selected")))
+    return fit_columns(profiles.join(if_small(counts), key), columns, F.col("n_selected"))
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
