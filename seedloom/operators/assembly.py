@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from seedloom.functions import arrays, sequence
 from seedloom.operators.features import finite, fit_columns
+from seedloom.operators.joins import by_key
 from seedloom.operators.metrics import ranking_metrics
+from seedloom.operators.positions import BROADCAST_PROFILES, gathered
+from seedloom.operators.splits import written
 
 # Names of the 104 features in the order that models expect.
 BASE_FEATURES = ("gene_len", "mirna_len", "gene_gc_frac", "mirna_gc_frac", "seed_max_contiguous_rc_match_len_2_8", "seed6_rc_match_count_2_7", "seed7_rc_match_count_2_8")
@@ -57,22 +60,14 @@ def profile_matrix(profiles: DataFrame, scores: list[str], length: int, key: str
 
     Values that aren't finite are 0, and so are absent positions; of repeated positions the largest value stays.
     """
-    kept = profiles.where(F.col(position).between(1, length)).select(key, F.col(position).cast("int").alias("_at"), *(finite(F.col(s)).alias(s) for s in scores))
-    one = kept.groupBy(key, "_at").agg(*(F.max(s).alias(s) for s in scores))
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col("_at"), F.struct(*scores))))
-    held = profiles.select(key).distinct().join(one.groupBy(key).agg(entries.alias("_at")), key, "left").withColumn("_at", F.coalesce("_at", F.create_map().cast(f"map<int,struct<{','.join(f'{s}:double' for s in scores)}>>")))
-    places = F.sequence(F.lit(1), F.lit(length))
-    rows = F.array(*(F.transform(places, _held(s)) for s in scores))
-
-    def any_score(i: Column) -> Column:
-        found = F.try_element_at("_at", i)
-        return F.when(F.coalesce(*(found[s] for s in scores)).isNotNull(), 1).otherwise(0)
-
-    return held.select(key, rows.alias("matrix"), F.transform(places, any_score).alias("mask"))
+    held = gathered(profiles, [key], position, {s: finite(F.col(s)) for s in scores}, length)
+    rows = F.array(*(F.transform("_rows", _held(s)) for s in scores))
+    any_score = lambda r: F.when(F.coalesce(*(r[f"_v_{s}"] for s in scores)).isNotNull(), 1).otherwise(0)
+    return held.select(key, rows.alias("matrix"), F.transform("_rows", any_score).alias("mask"))
 
 
 def _held(score: str):
-    return lambda i: F.coalesce(F.try_element_at("_at", i)[score].cast("double"), F.lit(0.0))
+    return lambda r: F.coalesce(r[f"_v_{score}"].cast("double"), F.lit(0.0))
 
 
 def standardize_matrix(df: DataFrame, scores: list[str], scaler: DataFrame, matrix: str = "matrix", mask: str = "mask") -> DataFrame:
@@ -93,10 +88,17 @@ def standardize_matrix(df: DataFrame, scores: list[str], scaler: DataFrame, matr
 
 
 def attach_selected_profile(samples: DataFrame, selected: DataFrame, profiles: DataFrame, channels: int, length: int, key: str = "id") -> DataFrame:
-    """Samples with ``profile``, the standardized matrix of the selected candidate's ``mature_id``; zeros where there is none."""
-    chosen = selected.select(key, "mature_id").join(profiles.select("mature_id", F.col("matrix").alias("profile")), "mature_id", "left").drop("mature_id")
+    """Samples with ``profile``, the standardized matrix of the selected candidate's ``mature_id``; zeros where there is none.
+
+    Matrices meet the samples last, so that none is exchanged with a sample where the selected ids are few; those of other ids are left out before.
+    """
+    ids = written(selected.select("mature_id").distinct().limit(BROADCAST_PROFILES + 1))
+    few = ids.count() <= BROADCAST_PROFILES
+    own = profiles.select("mature_id", F.col("matrix").alias("profile"))
+    own = F.broadcast(own.join(F.broadcast(ids), "mature_id", "left_semi")) if few else by_key(own)
+    chosen = samples.join(by_key(selected.select(key, "mature_id")), key, "left").join(own, "mature_id", "left")
     zeros = F.array_repeat(F.array_repeat(F.lit(0.0), length), channels)
-    return samples.join(chosen, key, "left").withColumn("profile", F.coalesce("profile", zeros))
+    return chosen.drop("mature_id").withColumn("profile", F.coalesce("profile", zeros))
 
 
 def target_matrix(positions: DataFrame, scores: dict[str, str], length: int, key: str = "row_id", position: str = "pos", actual: str = "actual_nt") -> DataFrame:
