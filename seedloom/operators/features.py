@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedloom.functions.arrays import once
 from seedloom.functions.names import MISSING, normalize_category
 from seedloom.operators.joins import if_small
 from seedloom.operators.splits import written
@@ -126,7 +127,10 @@ def attach_embeddings(rows: DataFrame, vectors: DataFrame, left: str, right: str
 
 def pool_tokens(vectors: Column, mask: Column) -> Column:
     """Mean of the token vectors whose mask is 1; null without any."""
-    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1)
-    n = F.size(kept)
-    total = F.aggregate(kept, F.transform(F.get(kept["v"], F.lit(0)), lambda x: F.lit(0.0)), lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q))
-    return F.when(n > 0, F.transform(total, lambda x: x / n))
+
+    def mean(kept: Column) -> Column:
+        n = F.size(kept)
+        total = F.aggregate(kept, F.transform(F.get(kept["v"], F.lit(0)), lambda x: F.lit(0.0)), lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q))
+        return F.when(n > 0, F.transform(total, lambda x: x / n))
+
+    return once(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), mean)
