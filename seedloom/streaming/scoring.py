@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +18,10 @@ ScoreRows = Callable[[pd.DataFrame], pd.Series]
 
 
 def score_rows(df: DataFrame, load: Callable[[], ScoreRows], column: str = "prediction") -> DataFrame:
-    """``df`` with a probability column by a model that ``load`` gives once a task; raises ``ValueError`` if it has the column already."""
+    """``df`` with a probability column by a model that ``load`` gives once a task; raises ``ValueError`` if it has the column already.
+
+    A model that leaves cycles behind, such as pandas' ``.str`` accessors, would keep whole batches: bytes and strings alone start no garbage collection, so each batch does.
+    """
     if column in df.columns:
         raise ValueError(f"the input already has a column {column}")
 
@@ -25,6 +29,8 @@ def score_rows(df: DataFrame, load: Callable[[], ScoreRows], column: str = "pred
         model = load()
         for frame in frames:
             yield frame.assign(**{column: model(frame).astype("float64")})
+            del frame
+            gc.collect()
 
     return df.mapInPandas(run, StructType([*df.schema.fields, StructField(column, DoubleType())]))
 
@@ -36,6 +42,8 @@ def embed_unique(df: DataFrame, column: str, load: Callable[[], Callable[[pd.Ser
         encode = load()
         for frame in frames:
             yield pd.DataFrame({"_seq": frame["_seq"], to: encode(frame["_seq"])})
+            del frame
+            gc.collect()
 
     unique = df.select(F.col(column).alias("_seq")).where("_seq is not null").distinct().mapInPandas(run, f"_seq string, {to} array<double>")
     return df.join(unique, F.col(column) == F.col("_seq"), "left").drop("_seq")
