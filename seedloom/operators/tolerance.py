@@ -166,6 +166,8 @@ def tolerance_scores(edges: DataFrame, distances: DataFrame, posterior: DataFram
 
 #: Sites that one group of joined rows spans: a query of any length is as many groups.
 RANGE_SITES = 256
+#: Letters that one task of the score table is dealt, with the states and nodes of their trees.
+TASK_LETTERS = 250_000
 LEAF_MODES = ("wl", "wol")
 NORMS = ("NN", "FN", "raw")
 # Letters in the order of the score files, and the name that files give a scheme.
@@ -196,39 +198,49 @@ def score_table(
     """``query_id, site, param, norm, leaf_mode, A, T, G, C``: tolerance scores of every site under all schemes, norms and leaf modes at once.
 
     ``params`` are names of weight schemes with their least weight (threshold schemes only). What a scheme changes is a node's weight, so nodes carry
-    an array of weights through one pass: states and leaves meet the state of their parent in one join, every scheme is a sum of its own by query and
-    site, and norms and leaf modes are made of those sums. Joins are keyed by ranges of ``range_sites`` sites too, to which each tree's few nodes are sent,
-    so that a long query is many even groups. ``posterior`` and ``msa`` are as in :func:`tolerance_scores`; sites without the query leaf's letter give no row.
+    an array of weights through one pass: states, leaves and nodes are dealt once by query and range of ``range_sites`` sites, meet their node and the
+    state of their parent there, every scheme is a sum of its own by query and site, and norms and leaf modes are made of those sums. A tree's few nodes
+    are sent to each of its ranges, so that a long query is many even groups. ``posterior`` and ``msa`` are as in :func:`tolerance_scores`; sites without
+    the query leaf's letter give no row.
     """
     unknown = set(norms) - set(NORMS)
     if unknown or not norms or not params:
         raise ValueError(f"unknown normalisation {sorted(unknown)}" if unknown else "no scheme or norm is asked for")
     bases = ("a", "c", "g", "t")
     spanned = lambda df: df.withColumn("span", site_range("site", range_sites))
-    nodes = tree_nodes(edges, distances, params)
-    spans = spanned(posterior.select("query_id", "site")).select("query_id", "span").distinct()
-    nodes = nodes.join(by_key(spans), "query_id")
-    probability = [F.col(f"p_{b}") for b in bases]
-    states = spanned(posterior.select("query_id", "node", "site", F.array(*probability).alias("p")))
+    states = spanned(posterior.select("query_id", "node", "site", F.array(*(F.col(f"p_{b}") for b in bases)).alias("p")))
     code = F.when(F.upper("nt").isin(*LETTERS), F.upper("nt")).otherwise("-")
     letters = spanned(msa.select("query_id", F.col("leaf").alias("node"), "site", code.alias("nt")))
-    carried = ["parent", "is_query", "far", "weights", "up_weights", "n_inner", "n_nodes"]
-    inner = states.join(by_key(nodes.where("is_leaf = 0 and parent is not null").select("query_id", "span", "node", *carried)), ["query_id", "span", "node"]).withColumn("nt", F.lit(None).cast("string"))
-    leaves = letters.join(by_key(nodes.where("is_leaf = 1").select("query_id", "span", "node", *carried)), ["query_id", "span", "node"]).withColumn("p", F.lit(None).cast("array<double>"))
-    children = inner.unionByName(leaves.select(inner.columns))
-    above = states.select("query_id", "span", F.col("node").alias("parent"), "site", F.col("p").alias("q"))
-    met = children.join(by_key(above), ["query_id", "span", "parent", "site"], "left")
-    # Of each child row: the weights it counts with and the four values they are multiplied by.
+    nodes = tree_nodes(edges, distances, params)
+    about = F.struct("parent", "is_leaf", "is_query", "far", "weights", "up_weights", "n_inner", "n_nodes").alias("about")
+    nodes = nodes.join(by_key(letters.select("query_id", "span").distinct()), "query_id").select("query_id", "span", "node", about)
+    rows = states.where("site is not null").unionByName(letters.where("site is not null"), True).unionByName(nodes, True)
+    rows = rows.repartition(max(1, -(-msa.count() // TASK_LETTERS)), "query_id", "span")
+    # A node stands before its states and letters, a parent's state before those of its children: none of them is exchanged again, and sums have one order.
+    at_node = Window.partitionBy("query_id", "span", "node").orderBy(F.col("site").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    known = rows.withColumn("about", F.first("about").over(at_node)).where("site is not null")
+    inner, leafy = F.col("about.is_leaf") == 0, F.col("about.is_leaf") == 1
+    role = F.when(F.col("nt").isNull() & inner & F.col("about.parent").isNotNull(), 0).when(F.col("nt").isNotNull() & leafy, F.when(F.col("about.is_query") == 1, 1).otherwise(2))
+    known = known.withColumn("role", role)
+    weight = F.when((F.col("role") == 0) & ~F.col("about.far"), F.col("about.weights")).when(F.col("role") <= 1, F.col("about.up_weights")).otherwise(F.col("about.weights"))
+    child = {"parent": F.col("about.parent"), "role": F.col("role"), "node": F.col("node"), "p": F.col("p"), "nt": F.col("nt"), "far": F.col("about.far"), "w": weight}
+    child |= {"own_w": F.when(F.col("role") == 1, F.col("about.weights")), "n_inner": F.col("about.n_inner"), "n_nodes": F.col("about.n_nodes")}
+    as_child = F.struct(*(v.alias(n) for n, v in child.items()))
+    above = {"parent": F.col("node"), "role": F.lit(-1), "p": F.col("p")}
+    as_parent = F.struct(*(above.get(n, F.lit(None)).alias(n) for n in child))
+    both = F.when(F.col("role").isNull(), F.array(as_parent)).when(F.col("role") == 0, F.array(as_parent, as_child)).otherwise(F.array(as_child))
+    family = Window.partitionBy("query_id", "span", "parent", "site").orderBy("role", "node").rowsBetween(Window.unboundedPreceding, 0)
+    met = known.where("role is not null or nt is null").select("query_id", "span", "site", F.inline(both))
+    met = met.withColumn("q", F.first(F.when(F.col("role") == -1, F.col("p"))).over(family)).where("role >= 0")
+    # Of each child row: the four values that its weights are multiplied by.
     zero = F.lit(0.0)
     own = [F.col("nt") == b.upper() for b in bases]
     up, mine = [F.get("q", F.lit(i)) for i in range(4)], [F.get("p", F.lit(i)) for i in range(4)]
     edge = [F.when(F.col("far"), F.greatest(zero, u - m)).otherwise(F.greatest(zero, m - u)) for u, m in zip(up, mine)]
     root = [F.when(is_own, zero).otherwise(u) for is_own, u in zip(own, up)]
     leaf = [F.when(is_own, F.greatest(zero, 1 - u)).otherwise(zero) for is_own, u in zip(own, up)]
-    role = F.when(F.col("nt").isNull(), 0).when(F.col("is_query") == 1, 1).otherwise(2)
-    weight = F.when((F.col("role") == 0) & ~F.col("far"), F.col("weights")).when(F.col("role") <= 1, F.col("up_weights")).otherwise(F.col("weights"))
-    parts = met.withColumn("role", role).select(
-        "query_id", "span", "site", "role", "n_inner", "n_nodes", "nt", weight.alias("w"), F.col("weights").alias("own_w"),
+    parts = met.select(
+        "query_id", "span", "site", "role", "n_inner", "n_nodes", "nt", "w", "own_w",
         *(F.when(F.col("role") == 0, e).when(F.col("role") == 1, r).otherwise(v).alias(f"v_{b}") for b, e, r, v in zip(bases, edge, root, leaf)),
     )
     sums = []
