@@ -101,26 +101,37 @@ def attach_selected_profile(samples: DataFrame, selected: DataFrame, profiles: D
     return chosen.drop("mature_id").withColumn("profile", F.coalesce("profile", zeros))
 
 
-def target_matrix(positions: DataFrame, scores: dict[str, str], length: int, key: str = "row_id", position: str = "pos", actual: str = "actual_nt") -> DataFrame:
-    """``key, matrix, mask, has_any``: four scores, the actual base's, the mean of the others and their difference.
+# Names of the target channels.
+TARGET_CHANNELS = ("score_A", "score_C", "score_G", "score_T", "actual_score", "nonactual_mean", "actual_minus_nonactual_mean")
 
-    A position counts if its base is A, C, G or T and all four ``scores`` (by base) are finite; others are 0 and not in the mask.
+
+def target_values(positions: DataFrame, scores: dict[str, str], actual: str = "actual_nt", *keep: str) -> DataFrame:
+    """Columns ``keep`` and the seven channels of each position: the four ``scores`` (by base) where finite, the actual base's, the mean of the others and their difference.
+
+    The last three are null unless all four are finite and the base is A, C, G or T. Each step names those before it by column: put into one
+    another, their expressions grow to more than Spark compiles, and a score is tested anew wherever it is named.
     """
-    four = {b: finite(F.col(scores[b])) for b in BASES}
-    total = sum(four.values(), F.lit(0.0))
+    four = dict(zip(BASES, TARGET_CHANNELS))
+    rows = positions.select(*keep, F.upper(F.col(actual)).alias("_base"), *(finite(F.col(scores[b])).cast("double").alias(n) for b, n in four.items()))
     own = F.lit(None).cast("double")
-    for b, s in four.items():
-        own = F.when(F.upper(F.col(actual)) == b, s).otherwise(own)
-    rest = (total - own) / 3
-    names = [f"score_{b.lower()}" for b in BASES] + ["actual", "others", "difference"]
-    values = [*four.values(), own, rest, own - rest]
-    whole = total.isNotNull() & own.isNotNull()
-    rows = positions.select(key, position, *(F.when(whole, v).alias(n) for n, v in zip(names, values)))
-    return profile_matrix(rows, names, length, key, position).withColumn("has_any", F.array_contains("mask", 1).cast("int"))
+    for b, n in four.items():
+        own = F.when(F.col("_base") == b, F.col(n)).otherwise(own)
+    rows = rows.select(*keep, *four.values(), sum(map(F.col, four.values()), F.lit(0.0)).alias("_total"), own.alias("_own"))
+    rows = rows.select(*keep, *four.values(), "_own", ((F.col("_total") - F.col("_own")) / 3).alias("_rest"))
+    last = (F.when(F.col("_rest").isNotNull(), F.col("_own")), F.col("_rest"), F.col("_own") - F.col("_rest"))
+    return rows.select(*keep, *four.values(), *(v.alias(n) for v, n in zip(last, TARGET_CHANNELS[4:])))
 
 
-# Names of the target channels.
-TARGET_CHANNELS = ("score_A", "score_C", "score_G", "score_T", "actual_score", "nonactual_mean", "actual_minus_nonactual_mean")
+def target_matrix(positions: DataFrame, scores: dict[str, str], length: int, key: str = "row_id", position: str = "pos", actual: str = "actual_nt") -> DataFrame:
+    """``key, matrix, mask, has_any``: four scores, the actual base's, the mean of the others and their difference.
+
+    A position counts if its base is A, C, G or T and all four ``scores`` (by base) are finite; others are 0 and not in the mask.
+    """
+    values = target_values(positions, scores, actual, key, position)
+    # The actual base's score is there only where all four are.
+    whole = F.col("actual_score").isNotNull()
+    rows = values.select(key, position, *(F.when(whole, F.col(n)).alias(n) for n in TARGET_CHANNELS))
+    return profile_matrix(rows, list(TARGET_CHANNELS), length, key, position).withColumn("has_any", F.array_contains("mask", 1).cast("int"))
 
 
 @dataclass(frozen=True)
@@ -141,15 +152,7 @@ class TargetScaler:
         The four score channels count every finite score; the actual base's score, the mean of the others and their difference only
         positions with four finite scores and a base that is A, C, G or T. ``scores`` maps bases to columns. The driver gets seven rows.
         """
-        four = {b: finite(F.col(scores[b])).cast("double") for b in BASES}
-        total = sum(four.values(), F.lit(0.0))
-        own = F.lit(None).cast("double")
-        for b, s in four.items():
-            own = F.when(F.upper(F.col(actual)) == b, s).otherwise(own)
-        own = F.when(total.isNotNull(), own)
-        rest = (total - own) / 3
-        values = [*four.values(), own, rest, own - rest]
-        rows = positions.where(F.col(position).between(1, length)).select(*(v.alias(n) for n, v in zip(TARGET_CHANNELS, values)))
+        rows = target_values(positions.where(F.col(position).between(1, length)), scores, actual)
         return cls({r["source"]: (r["n"], r["mean"], r["std"]) for r in fit_columns(rows, list(TARGET_CHANNELS)).collect()}, dict(scores), length, position, actual)
 
     def rows(self, spark: SparkSession) -> DataFrame:
